@@ -8,14 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import sentencepiece_bpe, url_filter
-from lumenfold.llm.common import table
+from lumenfold.llm import language_id, sentencepiece_bpe, simhash, url_filter
+from lumenfold.llm.common import table, written
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = written(simhash.fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
+    return prints.join(simhash.near_components(prints), "fp").select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
+
+
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     """Where a public vocabulary file is; LUMENFOLD_TOKENIZERS names another folder."""
     if at := os.environ.get("LUMENFOLD_TOKENIZERS"):
@@ -30,9 +35,18 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", sentencepiece_bpe.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    judged = language_id.predict(docs.select("doc_id", "text"), model, reject=False)
+    return judged.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_simhash": op6_simhash,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_url_filter": op8_url_filter,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
