@@ -8,14 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import language_id, sentencepiece_bpe, simhash, url_filter
-from lumenfold.llm.common import table, written
+from lumenfold.llm import bloom_lm, language_id, sentencepiece_bpe, simhash, url_filter
+from lumenfold.llm.common import fold, table, written
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 1
+    words, model = bloom_lm.train_model(docs.filter(~held_out))
+    scored = bloom_lm.score(docs, words, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = written(simhash.fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
     return prints.join(simhash.near_components(prints), "fp").select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
@@ -43,6 +51,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_bloom_lm": op4_bloom_lm,
     "op6_simhash": op6_simhash,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_url_filter": op8_url_filter,
