@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bloom_lm, language_id, sentencepiece_bpe, simhash, url_filter
+from lumenfold.llm import bloom_lm, language_id, sentencepiece_bpe, simhash, toxicity, url_filter
 from lumenfold.llm.common import fold, table, written
 
 
@@ -16,6 +16,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    net = toxicity.train(docs.filter(~held_out).select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return toxicity.predict(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 5) == 1
@@ -51,6 +58,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op4_bloom_lm": op4_bloom_lm,
     "op6_simhash": op6_simhash,
     "op7_sentencepiece": op7_sentencepiece,
