@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bloom_lm, language_id, sentencepiece_bpe, simhash, toxicity, url_filter
+from lumenfold.llm import ann, bloom_lm, language_id, merkle, sentencepiece_bpe, simhash, toxicity, url_filter
 from lumenfold.llm.common import fold, table, written
 
 
@@ -23,6 +23,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.against_edits(table(spark, sf_dir, "documents"))
+
+
 def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 5) == 1
@@ -50,6 +54,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", sentencepiece_bpe.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
@@ -59,10 +68,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_merkle": op2_merkle,
     "op4_bloom_lm": op4_bloom_lm,
     "op6_simhash": op6_simhash,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_url_filter": op8_url_filter,
+    "op9_ann": op9_ann,
     "op10_language_id": op10_language_id,
 }
 
