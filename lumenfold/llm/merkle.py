@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import map_batches
 
 #: A leaf: to a line end, a sentence end or a word end after one of a few letters; at most 160 characters.
-LEAF = re.compile(r"(?:[^\n]{20,160}?(?:[.!?;:|$#%&*][ ]|[dry][ ,]|\n)|[^\n]{1,160}\n?|\n)")
+LEAF = re.compile(r"(?:[^\n]{12,160}?(?:[.!?;:|$#%&*][ ]|[dry][ ,]|\n)|[^\n]{1,160}\n?|\n)")
 SECTION_MASK = 3  # a section has four paragraphs on average
 LEAF_HEX, ROOT_HEX = 8, 32
 

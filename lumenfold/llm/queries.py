@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import ann, bloom_lm, language_id, merkle, sentencepiece_bpe, simhash, toxicity, url_filter
-from lumenfold.llm.common import fold, table, written
+from lumenfold.llm import ann, bloom_lm, compaction, language_id, merkle, mixing, sentencepiece_bpe, simhash, toxicity, url_filter
+from lumenfold.llm.common import fold, scratch, table, written
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,25 @@ def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.against_edits(table(spark, sf_dir, "documents"))
 
 
+def op3_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two arrivals, each followed by a compaction; every document with the shard that holds it in the last version."""
+    docs = table(spark, sf_dir, "documents")
+    store = compaction.Store(spark, scratch(spark, "store"))
+    late = fold(F.col("doc_id"), 4) == 0
+    for arrival in (docs.filter(~late), docs.filter(late)):
+        store.append(arrival)
+        store.compact()
+    return store.members("doc_id")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixture of as many tokens as the corpus has, near equal weights, no source more than four times."""
+    docs = table(spark, sf_dir, "documents")
+    tokens = docs.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0))).first()[0]
+    mixed = mixing.mix(docs.select("doc_id", "source", "text"), limit=4.0, budget=float(tokens))
+    return mixed.select("doc_id", "source", F.col("__epoch").alias("epoch"), F.col("__at").alias("at"), F.col("__block").alias("block"), F.col("__place").alias("place"))
+
+
 def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 5) == 1
@@ -69,7 +88,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_merkle": op2_merkle,
+    "op3_compaction": op3_compaction,
     "op4_bloom_lm": op4_bloom_lm,
+    "op5_mixing": op5_mixing,
     "op6_simhash": op6_simhash,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_url_filter": op8_url_filter,

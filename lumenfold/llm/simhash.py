@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import ascii_words, map_batches
+from lumenfold.llm.common import ascii_words, map_batches, written
 from lumenfold.llm.components import components
 
 SEED, BITS, KEPT = 42, 64, 4
@@ -177,3 +177,20 @@ def near_components(prints: DataFrame, radius: int = 2, doc_id: str = "doc_id")
 
 def hex_of(fp: str) -> Column:
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
+
+
+def deduplicate(docs: DataFrame, words: int = 5, radius: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs' rows but those near to a row of a smaller id: one row of each component stays.
+
+    docs is read twice, so it must be a table or otherwise give its rows in the same partitions each time.
+    """
+    numbered = docs.select(F.monotonically_increasing_id().alias("__n"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    source = numbered.select("__n", F.col("__row")[doc_id].alias("__id"), F.col("__row")[text].alias("__text"))
+    prints = written(fingerprints(source, words, "__text", ("__n", "__id")), "fingerprints")
+    # The order of rows: by id, then by place. Components are made of places.
+    first = F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__n"))
+    nodes = prints.groupBy("fp").agg(F.min(first).alias("least"))
+    roots = components(near_links(nodes.select("fp"), radius))
+    rooted = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least")["__n"].alias("__n"))
+    return numbered.join(kept, "__n", "left_semi").select(*(F.col("__row")[c].alias(c) for c in docs.columns))
