@@ -159,11 +159,17 @@ def items(raw: Column) -> Column:
     """The objects of an output as array<struct> of strings: a list, one object, or flat objects found in broken text."""
     t = repaired_json(json_text(raw))
     whole = F.when(t.startswith("["), F.from_json(t, f"array<{ITEM}>", {"mode": "PERMISSIVE"})).when(t.startswith("{"), F.array(F.from_json(t, ITEM)))
-    sound = F.try_parse_json(t).isNotNull()
+    sound = whole_json(t).isNotNull()
     flat = F.transform(F.regexp_extract_all(t, F.lit(FLAT_OBJECT), F.lit(1)), lambda o: F.from_json(repaired_json(o), ITEM))
     return F.filter(F.when(sound, whole).otherwise(flat), lambda x: x.isNotNull())
 
 
+def whole_json(c: Column) -> Column:
+    """The text as a variant if it is one JSON value and nothing else; parsing alone would ignore what follows a value."""
+    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return F.when(F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def round_half_even(c: Column) -> Column:
     return F.bround(c, 0).cast("int")
 
@@ -211,11 +217,11 @@ def parse(outputs: DataFrame, candidates: DataFrame) -> DataFrame:
 def harness_state(raw: Column) -> Column:
     """How an output could be read: empty_output, valid_array, wrapped_object, single_object, truncated_recovery, parse_error."""
     t = strip(F.regexp_replace(F.coalesce(raw, F.lit("")), "```(?:json)?", ""))
-    is_array = lambda p: F.coalesce(F.schema_of_variant(F.try_parse_json(p)).startswith("ARRAY"), F.lit(False))
+    is_array = lambda p: F.coalesce(F.schema_of_variant(whole_json(p)).startswith("ARRAY"), F.lit(False))
     objects, any_array, obj = (F.regexp_extract(t, p, 1) for p in (r"(?s)(\[\s*\{.*\}\s*\])", r"(?s)(\[.*\])", r"(?s)(\{.*\})"))
-    parsed = F.try_parse_json(F.when(obj != "", obj))
+    parsed = whole_json(F.when(obj != "", obj))
     shape = F.coalesce(F.schema_of_variant(parsed), F.lit(""))
-    recovered = F.exists(F.regexp_extract_all(t, F.lit(r'(?s)(\{\s*"facet_id".*?\})'), F.lit(1)), lambda o: F.try_parse_json(o).isNotNull())
+    recovered = F.exists(F.regexp_extract_all(t, F.lit(r'(?s)(\{\s*"facet_id".*?\})'), F.lit(1)), lambda o: whole_json(o).isNotNull())
     return (
         F.when(strip(F.coalesce(raw, F.lit(""))) == "", "empty_output")
         .when(is_array(F.when(objects != "", objects)) | is_array(F.when(any_array != "", any_array)), "valid_array")

@@ -325,7 +325,7 @@ def _(t):
     return ret.rrf([*_lists(t, 50), ret.bm25_top(t.corpus(), _expanded(t), 50)], 10).select("query_id", "doc_id", "rank")
 
 
-_TIER = "u AS (SELECT q, doc, 0 AS tier, rank FROM b_all WHERE rank <= 10 UNION ALL SELECT q, doc, 1, rank FROM dense_all WHERE rank <= 10), o AS (SELECT q, doc, min(tier * 1000 + rank) AS at FROM u GROUP BY q, doc), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY at) AS rank FROM o)"
+_TIER = "u AS (SELECT q, doc, 0 AS tier, rank FROM b_all WHERE rank <= 10 UNION ALL SELECT q, doc, 1, rank FROM dense_all WHERE rank <= 10), o AS (SELECT q, doc, min(tier * 1000 + rank) AS place FROM u GROUP BY q, doc), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY place) AS rank FROM o)"
 
 
 @query("tiered_union", f"WITH {CORPUS}, {BM25}, {DENSE}, {_TIER} SELECT q AS query_id, doc AS doc_id, rank FROM r WHERE rank <= 20")
@@ -439,7 +439,7 @@ _parse_query("parse_score_coercion", f"'[' || {_obj(1, score='4.7')} || ', ' ||
 _parse_query("parse_completeness", f"{_obj(2)}", {1: "default", 2: _OK, 3: "default"})
 _parse_query("evidence_nulling", f"'[' || {_obj(1, 'not_observable')} || ', ' || {_obj(2, 'perhaps')} || ', ' || {_obj(3, 'SCORED')} || ', ' || {_obj(4, evidence=' said so ')} || ']'", {1: _want("not_observable", "NULL", "NULL"), 2: _NONE, 3: "default", 4: _OK})
 
-_STATES = [("'   '", "empty_output"), (f"'[' || {_obj(1)} || ']'", "valid_array"), ("'Sure: [1, 2]'", "valid_array"), (f"'{{\"results\": [' || {_obj(1)} || ' ]}}'", "valid_array"), ("'{\"results\": [], \"n\": [[1}'", "parse_error"), (f"'```json ' || {_obj(1)} || ' ```'", "single_object"), (f"'[' || {_obj(1)} || ', {{\"facet_id\": \"F2\", \"fa'", "truncated_recovery"), ("'no json here ' || p_name", "parse_error")]
+_STATES = [("'   '", "empty_output"), (f"'[' || {_obj(1)} || ']'", "valid_array"), ("'Sure: [1, 2]'", "valid_array"), (f"'{{\"results\": [' || {_obj(1)} || ' ]}}'", "valid_array"), ("'{\"results\": [], \"n\": [[1}'", "valid_array"), (f"'```json ' || {_obj(1)} || ' ```'", "single_object"), (f"'[' || {_obj(1)} || ', ' || {_obj(2)} || ', {{\"facet_id\": \"F3\", \"fa'", "truncated_recovery"), ("'no json here ' || p_name", "parse_error")]
 _STATE_SQL = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN {o}" for i, (o, _) in enumerate(_STATES)) + " END"
 
 
