@@ -14,6 +14,7 @@ from lumenfold.operators import retrieval as ret
 from lumenfold.operators import scoring as sc
 from lumenfold.plans import evaluate as plan
 from lumenfold.plans import sql as S
+from lumenfold.session import stored
 from lumenfold.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,12 @@ class Tables:
     def catalog(self) -> DataFrame:
         return cat.build(self.raw())
 
+    def kept_catalog(self) -> DataFrame:
+        return stored(self.catalog())
+
+    def accepted(self) -> DataFrame:
+        return stored(plan.split_inputs(self.folded())[0])
+
     def folded(self) -> DataFrame:
         return plan.fold(self.conversations)
 
@@ -469,14 +476,14 @@ h AS (SELECT low, arg_min(facet_id, pos) AS f FROM (SELECT DISTINCT low FROM e W
 SELECT name_id, name, coalesce(a, b, c, h.f) AS facet_id, CASE WHEN a IS NOT NULL THEN 'normalized' WHEN b IS NOT NULL THEN 'raw' WHEN c IS NOT NULL THEN 'lower' WHEN h.f IS NOT NULL THEN 'contains' ELSE 'none' END AS matched_by FROM e LEFT JOIN h USING (low)""")
 def _(t):
     names = t.part.select(F.col("p_partkey").alias("name_id"), F.expr("CASE p_partkey % 4 WHEN 0 THEN p_name || ' ' || p_type || ' trait ' || p_partkey WHEN 1 THEN upper(p_name || ' hostility ' || p_partkey || ':') WHEN 2 THEN 'hostility ' || p_partkey ELSE p_name || ' unknown' END").alias("name"))
-    return ev.resolve_names(names, t.catalog())
+    return ev.resolve_names(names, t.kept_catalog())
 
 
 @query("alias_resolution", f"""WITH {S.CATALOG}, names AS (SELECT p_partkey AS name_id, CASE WHEN p_partkey % 2 = 0 THEN 'Nick:' ELSE p_name || ' ' || p_type || ' trait ' || p_partkey END AS name FROM part), n1 AS (SELECT normalized_facet AS x, arg_max(facet_id, pos) AS f FROM catalog WHERE normalized_facet <> '' GROUP BY 1)
 SELECT name_id, name, n1.f AS facet_id, CASE WHEN n1.f IS NULL THEN 'none' WHEN p THEN 'alias' ELSE 'normalized' END AS matched_by FROM (SELECT *, name = 'Nick:' AS p, CASE WHEN name = 'Nick:' THEN 'Self Esteem' ELSE name END AS y FROM names) LEFT JOIN n1 ON n1.x = y""")
 def _(t):
     names = t.part.select(F.col("p_partkey").alias("name_id"), F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'Nick:' ELSE p_name || ' ' || p_type || ' trait ' || p_partkey END").alias("name"))
-    return ev.resolve_names(names, t.catalog(), t.spark.createDataFrame([("nick", "Self Esteem")], "alias string, target string"))
+    return ev.resolve_names(names, t.kept_catalog(), t.spark.createDataFrame([("nick", "Self Esteem")], "alias string, target string"))
 
 
 @query("theta_contains_match", "WITH r AS (SELECT conv_id AS case_id, turn AS pos, lower(trim(text)) AS own FROM conversations), w AS (SELECT DISTINCT conv_id AS case_id, 'the' AS want FROM conversations), j AS (SELECT w.case_id, r.pos, coalesce(own = want OR contains(own, want) OR contains(want, own), false) AS hit FROM w JOIN r USING (case_id)) SELECT case_id, 'the' AS expected, bool_or(hit) AS matched, coalesce(min(pos) FILTER (hit), min(pos)) AS pos FROM j GROUP BY case_id")
@@ -691,7 +698,7 @@ def _(t):
 
 @query("mixed_test_union", f"WITH {S.CATALOG} SELECT 'r' || item_id AS case_id, text FROM benchmark UNION ALL SELECT 'c' || p_partkey, p_name FROM part WHERE 'Self Esteem' IN (SELECT normalized_facet FROM catalog) AND p_partkey IN (SELECT pos FROM catalog WHERE conversation_observable)")
 def _(t):
-    resolved = cat.observable(t.catalog()).select(F.col("pos").alias("p_partkey"))
+    resolved = cat.observable(t.kept_catalog()).select(F.col("pos").alias("p_partkey"))
     cases = t.part.join(resolved, "p_partkey", "left_semi").select(F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("case_id"), F.col("p_name").alias("text"))
     return t.benchmark.select(F.concat(F.lit("r"), F.col("item_id").cast("string")).alias("case_id"), "text").unionByName(cases)
 
@@ -719,21 +726,20 @@ results AS (SELECT conv_id, rank, facet_id, facet, {', '.join(f'{v} AS {k}' for
 
 @query("evaluate_end_to_end", f"WITH {_EVAL} SELECT * FROM results")
 def _(t):
-    accepted, _ = plan.split_inputs(t.folded())
-    return plan.evaluate(accepted, t.catalog()).select("conv_id", "rank", "facet_id", "facet", "status", "score", "confidence", "evidence")
+    return plan.evaluate(t.accepted(), t.kept_catalog()).select("conv_id", "rank", "facet_id", "facet", "status", "score", "confidence", "evidence")
 
 
 @query("response_metadata", f"WITH {_EVAL} SELECT conv_id, count(*) AS n_retrieved, count_if(status = 'scored') AS n_scored, count_if(status <> 'scored') AS n_abstained FROM results GROUP BY conv_id")
 def _(t):
-    accepted, _ = plan.split_inputs(t.folded())
-    return ev.response_metadata(plan.evaluate(accepted, t.catalog()))
+    return ev.response_metadata(plan.evaluate(t.accepted(), t.kept_catalog()))
 
 
 @query("candidate_override", f"WITH {S.CATALOG}, {S.CONVERSATIONS}, g AS (SELECT conv_id, facet_id, normalized_facet, conversation_observable, abstention_reason, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS rank FROM folded, catalog WHERE facet_id IN ('FACET_009', 'FACET_015', 'FACET_021')) SELECT conv_id, rank, facet_id, CASE WHEN conversation_observable THEN 'routed' ELSE 'not_observable' END AS status FROM g")
 def _(t):
     given = t.folded().select("conv_id", F.explode(F.array(*map(F.lit, ("FACET_009", "FACET_015", "FACET_021")))).alias("facet_id"))
-    out = plan.evaluate(t.folded(), t.catalog(), facets=given)
-    hidden = t.catalog().select("facet_id", "conversation_observable")
+    catalog = t.kept_catalog()
+    out = plan.evaluate(stored(t.folded()), catalog, facets=given)
+    hidden = catalog.select("facet_id", "conversation_observable")
     return out.join(hidden, "facet_id").select("conv_id", "rank", "facet_id", F.when(F.col("conversation_observable"), "routed").otherwise(F.col("status")).alias("status"))
 
 
@@ -748,13 +754,11 @@ def echo_backend(system: str, user: str) -> str:
 
 @query("mapinpandas_backend", f"WITH {_EVAL} SELECT conv_id, rank, facet_id, 'scored' AS status, 3 AS score FROM results")
 def _(t):
-    accepted, _ = plan.split_inputs(t.folded())
-    return plan.evaluate(accepted, t.catalog(), batch_size=4, backend=echo_backend).select("conv_id", "rank", "facet_id", "status", "score")
+    return plan.evaluate(t.accepted(), t.kept_catalog(), batch_size=4, backend=echo_backend).select("conv_id", "rank", "facet_id", "status", "score")
 
 
 @query("nested_export")
 def _(t):
-    accepted, _ = plan.split_inputs(t.folded())
-    return files.nested_export(plan.evaluate(accepted, t.catalog()))
+    return files.nested_export(plan.evaluate(t.accepted(), t.kept_catalog()))
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @dataclass(frozen=True)
@@ -49,3 +51,20 @@ def session(name: str = "lumenfold", master: str | None = None, shuffle_partitio
     for k, v in conf.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not at:
+        at = tempfile.mkdtemp(prefix="lumenfold-")
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder. A catalog is built once and then read by every plan that uses it, which
+    keeps those plans small: the rules' long expressions are not repeated in each of their branches."""
+    at = f"{shared_dir(df.sparkSession)}/lumenfold/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
