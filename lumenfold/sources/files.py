@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lumenfold import schemas
 
-ENCODINGS = ("UTF-8", "windows-1252", "ISO-8859-1")
+#: What windows-1252 has where ISO-8859-1 has control characters; bytes that it leaves undefined are kept.
+WINDOWS_1252 = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 DAMAGED = "�"
 
 
@@ -21,23 +22,28 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read_raw_catalog(spark: SparkSession, path: str) -> DataFrame:
     """pos (0-based place in the file), raw_facet of a one-column CSV with the header Facets or facets.
 
-    The first of UTF-8, windows-1252 and ISO-8859-1 that reads without replacement characters is taken. Blank lines are
-    left out; NA, null and empty cells are null.
+    Read as UTF-8, or where that gives replacement characters as windows-1252, or as ISO-8859-1 where it has bytes that
+    windows-1252 doesn't define. Blank lines are left out; NA, null and empty cells are null.
     """
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    for encoding in ENCODINGS:
-        lines = spark.read.option("encoding", encoding).option("header", True).option("mode", "PERMISSIVE").csv(path)
-        names = [c for c in lines.columns if c.strip() in ("Facets", "facets")]
-        if not names:
-            raise ValueError(f"{path} has no column Facets")
-        raw = lines.select(F.col(f"`{names[0]}`").alias("raw_facet"), F.col("_metadata.file_path").alias("__f"), F.monotonically_increasing_id().alias("__n"))
-        if encoding == ENCODINGS[-1] or not raw.filter(F.col("raw_facet").contains(DAMAGED)).limit(1).count():
-            break
+    raw = _one_column(spark, path, "UTF-8")
+    if raw.filter(F.col("raw_facet").contains(DAMAGED)).limit(1).count():
+        raw = _one_column(spark, path, "ISO-8859-1")
+        if not raw.filter(F.col("raw_facet").rlike("[\\x81\\x8D\\x8F\\x90\\x9D]")).limit(1).count():
+            raw = raw.withColumn("raw_facet", F.translate("raw_facet", "".join(WINDOWS_1252), "".join(WINDOWS_1252.values())))
     value = F.when(F.col("raw_facet").isin("NA", "null", ""), None).otherwise(F.col("raw_facet"))
     return raw.select(F.col("__n").alias("pos"), value.alias("raw_facet"))  # ids of a scan's rows grow with their place
 
 
+def _one_column(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    lines = spark.read.option("encoding", encoding).option("header", True).csv(path)
+    names = [c for c in lines.columns if c.strip() in ("Facets", "facets")]
+    if not names:
+        raise ValueError(f"{path} has no column Facets")
+    return lines.select(F.col(f"`{names[0]}`").alias("raw_facet"), F.monotonically_increasing_id().alias("__n"))
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """The enriched catalog from JSON records (an array or lines), CSV or Parquet by the path's ending."""
     reader = spark.read.schema(schemas.CATALOG)
