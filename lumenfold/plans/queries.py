@@ -469,20 +469,31 @@ def _(t):
 # names and matching
 
 
-@query("name_resolution_cascade", f"""WITH {S.CATALOG}, names AS (SELECT p_partkey AS name_id, CASE p_partkey % 4 WHEN 0 THEN p_name || ' ' || p_type || ' trait ' || p_partkey WHEN 1 THEN upper(p_name || ' hostility ' || p_partkey || ':') WHEN 2 THEN 'hostility ' || p_partkey ELSE p_name || ' unknown' END AS name FROM part),
-k AS (SELECT *, lower({S.strip("regexp_replace(name, ':+$', '')")}) AS low FROM names), n1 AS (SELECT normalized_facet AS x, arg_max(facet_id, pos) AS f FROM catalog WHERE normalized_facet <> '' GROUP BY 1), r1 AS (SELECT raw_facet AS x, arg_max(facet_id, pos) AS f FROM catalog WHERE raw_facet <> '' GROUP BY 1),
-l1 AS (SELECT lower({S.strip("regexp_replace(normalized_facet, ':+$', '')")}) AS x, arg_max(facet_id, pos) AS f FROM catalog WHERE normalized_facet <> '' GROUP BY 1), e AS (SELECT k.*, n1.f AS a, r1.f AS b, l1.f AS c FROM k LEFT JOIN n1 ON n1.x = name LEFT JOIN r1 ON r1.x = name LEFT JOIN l1 ON l1.x = low),
-h AS (SELECT low, arg_min(facet_id, pos) AS f FROM (SELECT DISTINCT low FROM e WHERE coalesce(a, b, c) IS NULL) z JOIN catalog ON contains(lower({S.strip("regexp_replace(normalized_facet, ':+$', '')")}), low) GROUP BY low)
-SELECT name_id, name, coalesce(a, b, c, h.f) AS facet_id, CASE WHEN a IS NOT NULL THEN 'normalized' WHEN b IS NOT NULL THEN 'raw' WHEN c IS NOT NULL THEN 'lower' WHEN h.f IS NOT NULL THEN 'contains' ELSE 'none' END AS matched_by FROM e LEFT JOIN h USING (low)""")
+_KEY = S.strip("regexp_replace({}, ':+$', '')")
+
+
+def _cascade(names: str) -> str:
+    """names: SQL of name_id, name, y (what is looked for), is_alias."""
+    low = f"lower({_KEY.format('normalized_facet')})"
+    return f"""WITH {S.CATALOG}, names AS ({names}), k AS (SELECT *, lower({_KEY.format('y')}) AS low FROM names), n1 AS (SELECT normalized_facet AS x, arg_max(facet_id, pos) AS f FROM catalog WHERE normalized_facet <> '' GROUP BY 1),
+r1 AS (SELECT raw_facet AS x, arg_max(facet_id, pos) AS f FROM catalog WHERE raw_facet <> '' GROUP BY 1), l1 AS (SELECT {low} AS x, arg_max(facet_id, pos) AS f FROM catalog WHERE normalized_facet <> '' GROUP BY 1),
+e AS (SELECT k.*, n1.f AS a, r1.f AS b, l1.f AS c FROM k LEFT JOIN n1 ON n1.x = y LEFT JOIN r1 ON r1.x = y LEFT JOIN l1 ON l1.x = low),
+h AS (SELECT low, arg_min(facet_id, pos) AS f FROM (SELECT DISTINCT low FROM e WHERE coalesce(a, b, c) IS NULL) z JOIN catalog ON contains({low}, low) GROUP BY low)
+SELECT name_id, name, coalesce(a, b, c, h.f) AS facet_id, CASE WHEN a IS NOT NULL AND is_alias THEN 'alias' WHEN a IS NOT NULL THEN 'normalized' WHEN b IS NOT NULL THEN 'raw' WHEN c IS NOT NULL THEN 'lower' WHEN h.f IS NOT NULL THEN 'contains' ELSE 'none' END AS matched_by FROM e LEFT JOIN h USING (low)"""
+
+
+_NAMES = "CASE p_partkey % 4 WHEN 0 THEN p_name || ' ' || p_type || ' trait ' || p_partkey WHEN 1 THEN upper(p_name || ' hostility ' || p_partkey || ':') WHEN 2 THEN 'hostility ' || p_partkey ELSE p_name || ' unknown' END"
+_NICK = "CASE WHEN p_partkey % 2 = 0 THEN 'Nick:' ELSE p_name || ' ' || p_type || ' trait ' || p_partkey END"
+
+
+@query("name_resolution_cascade", _cascade(f"SELECT p_partkey AS name_id, {_NAMES} AS name, {_NAMES} AS y, false AS is_alias FROM part"))
 def _(t):
-    names = t.part.select(F.col("p_partkey").alias("name_id"), F.expr("CASE p_partkey % 4 WHEN 0 THEN p_name || ' ' || p_type || ' trait ' || p_partkey WHEN 1 THEN upper(p_name || ' hostility ' || p_partkey || ':') WHEN 2 THEN 'hostility ' || p_partkey ELSE p_name || ' unknown' END").alias("name"))
-    return ev.resolve_names(names, t.kept_catalog())
+    return ev.resolve_names(t.part.select(F.col("p_partkey").alias("name_id"), F.expr(_NAMES).alias("name")), t.kept_catalog())
 
 
-@query("alias_resolution", f"""WITH {S.CATALOG}, names AS (SELECT p_partkey AS name_id, CASE WHEN p_partkey % 2 = 0 THEN 'Nick:' ELSE p_name || ' ' || p_type || ' trait ' || p_partkey END AS name FROM part), n1 AS (SELECT normalized_facet AS x, arg_max(facet_id, pos) AS f FROM catalog WHERE normalized_facet <> '' GROUP BY 1)
-SELECT name_id, name, n1.f AS facet_id, CASE WHEN n1.f IS NULL THEN 'none' WHEN p THEN 'alias' ELSE 'normalized' END AS matched_by FROM (SELECT *, name = 'Nick:' AS p, CASE WHEN name = 'Nick:' THEN 'Self Esteem' ELSE name END AS y FROM names) LEFT JOIN n1 ON n1.x = y""")
+@query("alias_resolution", _cascade(f"SELECT p_partkey AS name_id, {_NICK} AS name, CASE WHEN p_partkey % 2 = 0 THEN 'Self Esteem' ELSE {_NICK} END AS y, p_partkey % 2 = 0 AS is_alias FROM part"))
 def _(t):
-    names = t.part.select(F.col("p_partkey").alias("name_id"), F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'Nick:' ELSE p_name || ' ' || p_type || ' trait ' || p_partkey END").alias("name"))
+    names = t.part.select(F.col("p_partkey").alias("name_id"), F.expr(_NICK).alias("name"))
     return ev.resolve_names(names, t.kept_catalog(), t.spark.createDataFrame([("nick", "Self Esteem")], "alias string, target string"))
 
 
