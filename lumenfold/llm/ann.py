@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import written
 
 TREES, DEPTH, SHARE, SAMPLE, SEED = 8, 5, 0.18, 8192, 9
+LEAF_SAMPLE = 64  # vectors of the sample that a leaf has at least, so small samples give shallow trees
 CHUNK, QUERY_BLOCK, AT_ONCE = 50_000, 50_000, 256
 
 
@@ -102,6 +103,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
         return empty
     dims = [len(v) for v in sample]
     dim = max(set(dims), key=lambda d: (dims.count(d), -d))
+    depth = max(0, min(depth, math.floor(math.log2(max(1, dims.count(dim) / LEAF_SAMPLE)))))
     sized = distinct.filter(F.size("v") == dim)
     largest = sized.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))))).first()[0]
     forest = spark.sparkContext.broadcast(Forest(np.array([v for v in sample if len(v) == dim], np.float64), largest, trees, depth))  # a size fixed by trees, depth and dim

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import fold, map_batches
+from lumenfold.llm.common import fold, map_batches, schema_of
 
 ORDER = 4
 SAMPLE_DOCS = 400
@@ -103,14 +103,16 @@ class Model:
         n_langs = len(self.languages)
         self.uniform = 1.0 / (1 + len(np.unique(np.concatenate([g[:, -1] for g, _ in types.values()])))) if types else 1.0
         self.reject_above, self.sharpness = np.inf, 8.0
+        self.prob: dict[int, Lookup] = {}
+        self.back: dict[int, Lookup] = {}
+        if not types:
+            return
         own: dict[int, list] = {n: [] for n in range(1, ORDER + 1)}
         for lang in self.languages:
             grams, count = types[lang]
             for n in range(ORDER, 0, -1):
                 own[n].append((grams, count))
                 grams, (count,) = _grouped(grams[:, 1:], [np.ones(len(grams))])  # continuation counts of the next order
-        self.prob: dict[int, Lookup] = {}
-        self.back: dict[int, Lookup] = {}
         for n in range(1, ORDER + 1):
             everywhere, _ = _grouped(np.concatenate([g for g, _ in own[n]]), [])
             contexts, _ = _grouped(everywhere[:, :-1], [])
@@ -243,8 +245,7 @@ def predict(docs: DataFrame, model: Model, reject: bool = True, text: str = "tex
             langs, score, least = scorer.judge(batch.column(batch.num_columns - 1).to_pylist(), reject)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(least, pa.float64(), from_pandas=True)], [*keep, "lang_pred", "score", "entropy"])
 
-    types = dict(docs.dtypes)
-    return map_batches(docs.select(*keep, F.col(text).alias("__text")), run, ", ".join([*(f"`{k}` {types[k]}" for k in keep), "lang_pred string", "score double", "entropy double"]))
+    return map_batches(docs.select(*keep, F.col(text).alias("__text")), run, schema_of(docs, keep, "lang_pred string", "score double", "entropy double"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -116,7 +116,7 @@ def mix(docs: DataFrame, limit: float | None = None, entropy: float | None = Non
     budget: tokens of the mixture; None takes every text at least once.
     """
     rows, table = plan(docs, limit, entropy, budget, seed, block_tokens, {"doc_id": doc_id, "source": source, "text": text})
-    names = [*docs.columns, "__epoch", "__at", "__block", "__place"]
+    names = [*(F.col(f"`{c}`") for c in docs.columns), "__epoch", "__at", "__block", "__place"]
     if not table:
         return rows.withColumns({"__epoch": F.lit(0), "__at": F.lit(0.0), "__block": F.lit(0).cast("long"), "__place": F.lit(0).cast("long")}).select(*names)
     small = docs.sparkSession.createDataFrame(table, "__source string, __blocks long, __stride long, __whole long, __last long, __cut long, __budget double")

@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import map_batches
+from lumenfold.llm.common import map_batches, schema_of
 
 MARK = "▁"
 CACHED_CHARS, CACHED_SEGMENTS, CACHED_PAIRS = 48, 400_000, 1_000_000
@@ -253,8 +253,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
             ids = [codec.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array([codec.decode(x) for x in ids], pa.string())], [*keep, "ids", "decoded"])
 
-    types = dict(docs.dtypes)
-    return map_batches(docs.select(*keep, F.col(text).alias("__text")), run, ", ".join([*(f"`{k}` {types[k]}" for k in keep), "ids binary", "decoded string"]))
+    return map_batches(docs.select(*keep, F.col(text).alias("__text")), run, schema_of(docs, keep, "ids binary", "decoded string"))
 
 
 def n_ids(ids: Column) -> Column:

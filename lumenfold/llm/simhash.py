@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import ascii_words, map_batches
+from lumenfold.llm.common import ascii_words, map_batches, schema_of
 from lumenfold.llm.components import components
 
 SEED, BITS, KEPT = 42, 64, 4
@@ -62,8 +62,7 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", keep: tupl
             fps = [fingerprint(hashed(shingles(ascii_words(t.as_py()), words))) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(fps, np.uint64).view(np.int64))], [*keep, "fp"])
 
-    types = dict(docs.dtypes)
-    return map_batches(docs.select(*keep, F.col(text).alias("__text")), run, ", ".join([*(f"`{k}` {types[k]}" for k in keep), "fp long"]))
+    return map_batches(docs.select(*keep, F.col(text).alias("__text")), run, schema_of(docs, keep, "fp long"))
 
 
 class BKTree:

@@ -26,12 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import map_batches, written
+from lumenfold.llm.common import map_batches, schema_of, written
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 12
 POSITIVE, NEGATIVE, WINDOWS_EACH, SEED = 2000, 4000, 10, 1
+LEAST_STEPS = 120
 CACHED_WORDS = 300_000
 UNTRAINED = 0.0
 WORDS = re.compile(r"[^\W\d_]+")
@@ -203,10 +204,12 @@ def fit(windows: list[list[str]], labels: np.ndarray, docs: np.ndarray, epochs:
         return by[first | second | (labels[by] == 0)]
 
     for part, n in enumerate(epochs):
-        for _ in range(n):
+        first, done = steps, 0
+        while done < n or steps - first < LEAST_STEPS:  # small samples are gone through more often
             use = rng.permutation(len(at) if not part else chosen())
             for i in range(0, len(use), batch):
                 step(use[i : i + batch])
+            done += 1
     return net
 
 
@@ -267,8 +270,7 @@ def with_logits(docs: DataFrame, net: Network, text: str, keep: tuple[str, ...])
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scorer.logits(batch.column(batch.num_columns - 1).to_pylist()), pa.float64())], [*keep, "logit"])
 
-    types = dict(docs.dtypes)
-    return map_batches(docs.select(*keep, F.col(text).alias("__text")), run, ", ".join([*(f"`{k}` {types[k]}" for k in keep), "logit double"]))
+    return map_batches(docs.select(*keep, F.col(text).alias("__text")), run, schema_of(docs, keep, "logit double"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positive: int = POSITIVE, negative: int = NEGATIVE, text: str = "text", doc_id: str = "doc_id") -> Network:
