@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import written
+from lumenfold.llm.common import least_hashed, written
 
 TREES, DEPTH, SHARE, SAMPLE, SEED = 8, 5, 0.18, 8192, 9
 LEAF_SAMPLE = 64  # vectors of the sample that a leaf has at least, so small samples give shallow trees
@@ -97,7 +97,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
 
     ranked = valid(vectors).withColumn("n", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("n") <= k + 1)
     distinct = written(ranked.groupBy("v").agg(F.sort_array(F.collect_set("id")).alias("ids")), "vectors")
-    sample = [r.v for r in distinct.select("v").orderBy(F.xxhash64(F.lit(SEED), "v")).limit(SAMPLE).collect()]
+    sample = [r.v for r in least_hashed(distinct.select("v"), F.xxhash64(F.lit(SEED), "v"), SAMPLE, distinct.count()).collect()]
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not sample:
         return empty

@@ -43,6 +43,17 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
+def unit(h: Column) -> Column:
+    """A 64-bit hash as a number from 0 to 1."""
+    return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
+
+
+def least_hashed(df: DataFrame, h: Column, n: int, total: int, *ties: str) -> DataFrame:
+    """The n rows of the least hashes of total ones. Rows that are surely not among them are left out first, so that a
+    partition sends on its share of some 4 n rows and not n."""
+    return df.filter(unit(h) <= 4 * n / max(total, 1)).orderBy(unit(h), *ties).limit(n)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

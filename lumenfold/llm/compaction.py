@@ -6,8 +6,8 @@ file from ``SEALED`` of the target on is left as it is. A version is one JSON fi
 under another name and renamed, which fails if that version is there, so a reader sees a whole version or none and of
 two writers one starts again. Shards of older versions stay until ``vacuum``.
 
-Planning works on the manifest (a line a shard); rows move once, by the merge's own number, so a task holds one target
-file. All files go through Spark's file system layer, so the store can be any that Spark reaches.
+Planning works on the manifest (a line a shard); rows move once, by the merge's own number, a task each, so a task holds one
+target file. All files go through Spark's file system layer, so the store can be any that Spark reaches.
 
 Edge cases: an empty arrival adds a version without shards; null and repeated rows are rows like others; columns are
 kept as they are; an arrival with other columns than the store's raises ValueError.
@@ -20,6 +20,7 @@ import math
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -101,10 +102,15 @@ class Store:
             stream.write(bytearray(json.dumps({"version": version, "schema": schema, "shards": [asdict(s) for s in shards]}).encode()))
         finally:
             stream.close()
-        done = not self.fs.exists(final) and self.fs.rename(draft, final)
-        if not done:
+        none = self.spark.sparkContext._gateway.new_array(getattr(self.jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+        try:  # without the option to overwrite, the rename itself fails if the version is there
+            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri() if final.toUri().getScheme() else self.fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, final, none)
+        except Py4JJavaError as e:
             self.fs.delete(draft, False)
-        return done
+            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            return False
+        return True
 
     def _files(self, folder: str) -> list[tuple[str, int]]:
         at = self._path(folder)
@@ -142,7 +148,7 @@ class Store:
         rows = self.spark.read.schema(self._schema(now)).parquet(*(f"{self.root}/{s.path}" for g in groups for s in g))
         # File names are unique (they hold a UUID); the list is the manifest's, a line a shard.
         named = rows.withColumn("__file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).join(F.broadcast(to), "__file").drop("__file")
-        named.repartition(len(groups), "merge").write.option("compression", "zstd").partitionBy("merge").parquet(f"{self.root}/{folder}")
+        named.repartitionById(len(groups), "merge").write.option("compression", "zstd").partitionBy("merge").parquet(f"{self.root}/{folder}")
         gone = {s.path for g in groups for s in g}
         files = self._files(folder)
         while True:

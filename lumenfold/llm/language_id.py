@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import fold, map_batches, schema_of
+from lumenfold.llm.common import fold, map_batches, schema_of, unit
 
 ORDER = 4
 SAMPLE_DOCS = 400
@@ -204,8 +204,10 @@ class Scorer:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
     """docs: the rows to learn from; those with null text or language are left out."""
     known = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    by = Window.partitionBy("__lang").orderBy("__h", "__id")
-    keys = known.select(F.col(lang).alias("__lang"), F.col(doc_id).alias("__id"), F.xxhash64(F.lit(SAMPLE_SEED), F.col(doc_id)).alias("__h"))
+    by = Window.partitionBy("__lang").orderBy("__u", "__id")
+    keys = known.select(F.col(lang).alias("__lang"), F.col(doc_id).alias("__id"), unit(F.xxhash64(F.lit(SAMPLE_SEED), F.col(doc_id))).alias("__u"))
+    shares = known.groupBy(F.col(lang).alias("__lang")).agg((4 * F.lit(sample_docs) / F.count("*")).alias("__share"))  # a row a language
+    keys = keys.join(F.broadcast(shares), "__lang").filter(F.col("__u") <= F.col("__share"))  # so that a partition sends few rows on
     chosen = keys.withColumn("__n", F.row_number().over(by)).filter(F.col("__n") <= sample_docs).select("__lang", "__id").distinct()
     sample = known.select(F.col(lang).alias("__lang"), F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), ["__lang", "__id"])  # at most sample_docs ids a language
 

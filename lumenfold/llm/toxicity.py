@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import map_batches, schema_of, written
+from lumenfold.llm.common import least_hashed, map_batches, schema_of, written
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
@@ -277,8 +277,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positive: in
     """docs: those to learn from; labels: doc_id and label."""
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg((F.max(label) > 0).cast("int").alias("__label"))
     known = known.join(docs.select(F.col(doc_id).alias("__id")).distinct(), "__id")
-    by = F.xxhash64(F.lit(SEED), F.col("__id"))
-    chosen = known.filter("__label = 1").orderBy(by, "__id").limit(positive).unionByName(known.filter("__label = 0").orderBy(by, "__id").limit(negative))
+    by, sizes = F.xxhash64(F.lit(SEED), F.col("__id")), known.agg(F.count_if(F.col("__label") == 1), F.count_if(F.col("__label") == 0)).first()
+    chosen = least_hashed(known.filter("__label = 1"), by, positive, sizes[0], "__id").unionByName(least_hashed(known.filter("__label = 0"), by, negative, sizes[1], "__id"))
     sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id").dropDuplicates(["__id"])
     sample = written(sample.select("__id", "__label", F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("__id")), F.lit(5)).alias("__part"), "__text"), "toxic-sample")
 
