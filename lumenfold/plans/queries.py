@@ -381,21 +381,24 @@ def _(t):
 # prompts, backends, parsing
 
 
-def _candidates(t: Tables, k: int = 6) -> DataFrame:
-    """The first k observable entries for every conversation."""
-    first = ret.ranked(cat.observable(t.catalog()).withColumn("one", F.lit(1)), [F.col("pos")], k, by="one").drop("one")
-    return t.folded().join(F.broadcast(first))
+def _candidates(t: Tables) -> DataFrame:
+    """The ten entries retrieved for every conversation, with the conversation's text."""
+    talk, catalog = t.accepted(), t.kept_catalog()
+    found = plan.retrieve(talk, catalog, 10).select(F.col("query_id").alias("conv_id"), F.col("doc_id").alias("facet_id"), "rank")
+    return found.join(catalog, "facet_id").join(talk, "conv_id")
 
 
-_CAND = f"{S.CONVERSATIONS}, firsts AS (SELECT *, row_number() OVER (ORDER BY pos) AS rank FROM catalog WHERE conversation_observable QUALIFY row_number() OVER (ORDER BY pos) <= 6), cand AS (SELECT f.conv_id, f.text, c.* FROM folded f, firsts c)"
+_SEARCH = f"""{S.CATALOG}, {S.CONVERSATIONS}, ok AS MATERIALIZED (SELECT conv_id AS q, {S.strip('text')} AS text FROM folded WHERE {S.strip('text')} <> '' AND length(text) <= 10000),
+entries AS MATERIALIZED (SELECT facet_id AS doc, pos, normalized_facet || ' ' || facet_type || ' ' || scoring_definition AS text FROM catalog WHERE conversation_observable), {S.bm25('entries', 'ok')}"""
+_CAND = f"{_SEARCH}, cand AS (SELECT a.q AS conv_id, ok.text, a.rank, c.* FROM b_all a JOIN catalog c ON c.facet_id = a.doc JOIN ok ON ok.q = a.q WHERE a.rank <= 10)"
 
 
-@query("batch_assignment", f"WITH {S.CATALOG}, {_CAND} SELECT conv_id, facet_id, rank, ((rank - 1) // 4)::INT AS batch FROM cand")
+@query("batch_assignment", f"WITH {_CAND} SELECT conv_id, facet_id, rank, ((rank - 1) // 4)::INT AS batch FROM cand")
 def _(t):
     return sc.batches(_candidates(t), 4).select("conv_id", "facet_id", "rank", "batch")
 
 
-@query("prompt_build", f"""WITH {S.CATALOG}, {_CAND}, n AS (SELECT *, ((rank - 1) // 4)::INT AS batch, row_number() OVER (PARTITION BY conv_id, (rank - 1) // 4 ORDER BY rank) AS i FROM cand),
+@query("prompt_build", f"""WITH {_CAND}, n AS (SELECT *, ((rank - 1) // 4)::INT AS batch, row_number() OVER (PARTITION BY conv_id, (rank - 1) // 4 ORDER BY rank) AS i FROM cand),
 b AS (SELECT *, 'Candidate ' || i || ':' || chr(10) || '  - Facet ID: ' || facet_id || chr(10) || '  - Facet Name: ' || normalized_facet || chr(10) || '  - Type: ' || facet_type || chr(10) || '  - Definition: ' || scoring_definition || chr(10) || '  - Anchors: ' || coalesce(nullif(scoring_anchors, ''), 'High/Low behavioral indicators') || chr(10) AS block FROM n)
 SELECT conv_id, batch, count(*) AS n_candidates, '[CONVERSATION TRANSCRIPT]' || chr(10) || '"' || {S.strip('any_value(text)')} || '"' || chr(10) || chr(10) || '[CANDIDATE FACETS TO EVALUATE]' || chr(10) || string_agg(block, chr(10) ORDER BY i) || chr(10) || chr(10) || 'Evaluate each candidate facet above strictly against the conversation transcript.' || chr(10) || 'Return a JSON array containing exactly ' || count(*) || ' objects.' || chr(10) AS prompt FROM b GROUP BY conv_id, batch""")
 def _(t):
@@ -405,7 +408,7 @@ def _(t):
 _RULE = S.rule_fields("low", "conv")
 
 
-@query("rule_backend_scores", f"WITH {S.CATALOG}, {_CAND}, r AS (SELECT conv_id, facet_id, lower(normalized_facet) AS low, lower(string_split({S.strip('text')}, '\"')[1]) AS conv FROM cand) SELECT conv_id, facet_id, {', '.join(f'{v} AS {k}' for k, v in _RULE.items())} FROM r")
+@query("rule_backend_scores", f"WITH {_CAND}, r AS (SELECT conv_id, facet_id, lower(normalized_facet) AS low, lower(string_split({S.strip('text')}, '\"')[1]) AS conv FROM cand) SELECT conv_id, facet_id, {', '.join(f'{v} AS {k}' for k, v in _RULE.items())} FROM r")
 def _(t):
     r = sc.rule_result(F.col("facet_id"), F.col("normalized_facet"), F.col("text"))
     return _candidates(t).select("conv_id", r.alias("r")).select("conv_id", "r.facet_id", "r.status", "r.score", "r.confidence", "r.evidence")
@@ -729,8 +732,6 @@ def _(t):
 
 # end to end
 
-_SEARCH = f"""{S.CATALOG}, {S.CONVERSATIONS}, ok AS MATERIALIZED (SELECT conv_id AS q, {S.strip('text')} AS text FROM folded WHERE {S.strip('text')} <> '' AND length(text) <= 10000),
-entries AS MATERIALIZED (SELECT facet_id AS doc, pos, normalized_facet || ' ' || facet_type || ' ' || scoring_definition AS text FROM catalog WHERE conversation_observable), {S.bm25('entries', 'ok')}"""
 _EVAL = f"""{_SEARCH}, x AS (SELECT a.q AS conv_id, a.rank, a.doc AS facet_id, c.normalized_facet AS facet, lower(c.normalized_facet) AS low, lower(string_split(ok.text, '"')[1]) AS conv FROM b_all a JOIN catalog c ON c.facet_id = a.doc JOIN ok ON ok.q = a.q WHERE a.rank <= 10),
 results AS (SELECT conv_id, rank, facet_id, facet, {', '.join(f'{v} AS {k}' for k, v in _RULE.items())} FROM x)"""
 
