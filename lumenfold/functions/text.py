@@ -130,7 +130,7 @@ def input_error(c: Column, max_chars: int | None = 10_000) -> Column:
 
 def _words(lower: Column) -> Column:
     """Maximal runs of letters, digits and _ that are all [a-z0-9]."""
-    return F.filter(F.regexp_extract_all(lower, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda t: t.rlike("^[a-z0-9]+$"))
+    return F.regexp_extract_all(lower, F.lit(r"((?<![\p{L}\p{N}_])[a-z0-9]++(?![\p{L}\p{N}_]))"), F.lit(1))
 
 
 def split_words(c: Column) -> Column:
@@ -145,8 +145,9 @@ def bigrams(words: Column) -> Column:
 
 def terms(c: Column) -> Column:
     """Distinct terms in order: words with camel case split, words as they are, pairs of the first."""
-    first = split_words(c)
-    return F.array_distinct(F.concat(first, _words(F.lower(F.coalesce(c, F.lit("")))), bigrams(first)))
+    read = F.struct(split_words(c).alias("split"), _words(F.lower(F.coalesce(c, F.lit("")))).alias("whole"))
+    # The lambda's argument is computed once, where a repeated expression would tokenize once for each of its places.
+    return F.transform(F.array(read), lambda r: F.array_distinct(F.concat(r["split"], r["whole"], bigrams(r["split"]))))[0]
 
 
 def word_tokens(c: Column) -> Column:

@@ -46,29 +46,54 @@ def _with_idf(df: DataFrame, floor: float | None) -> DataFrame:
     return df.withColumn("idf", F.greatest(value, F.lit(floor)) if floor is not None else value)
 
 
+def _length_share(stats: str = "avg_len", k1: float = K1, b: float = B) -> Column:
+    return (k1 + 1) / F.greatest(1 + k1 * (1 - b + b * F.col("n_terms") / F.col(stats)), F.lit(1e-6))
+
+
+def _matched(docs: DataFrame, queries: DataFrame, text_col: str, floor: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(query_id, token), the postings of those tokens, and (token, idf, avg_len, everywhere)."""
+    terms = lexical_terms(docs, text_col)
+    stats = terms.agg(F.count("*").alias("n"), F.greatest(F.coalesce(F.avg("n_terms"), F.lit(0.0)), F.lit(1.0)).alias("avg_len"))
+    asked = queries.select("query_id", F.explode(text.terms(F.col("text"))).alias("token"))
+    hits = terms.select("doc_id", "doc_pos", "n_terms", F.explode("terms").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
+    df = _with_idf(hits.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(stats)), floor)
+    return asked, hits, df.select("token", "idf", "avg_len", (F.col("df") == F.col("n")).alias("everywhere"))
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, text_col: str = "text", k1: float = K1, b: float = B, floor: float | None = IDF_FLOOR) -> DataFrame:
     """query_id, doc_id, doc_pos, score of the pairs that share a term.
 
     Only the postings of the queries' terms are kept, so neither the documents' term table nor the pairs without a
     shared term are ever made.
     """
-    terms = lexical_terms(docs, text_col)
-    stats = terms.agg(F.count("*").alias("n"), F.greatest(F.coalesce(F.avg("n_terms"), F.lit(0.0)), F.lit(1.0)).alias("avg_len"))
-    asked = queries.select("query_id", F.explode(text.terms(F.col("text"))).alias("token"))
-    hits = terms.select("doc_id", "doc_pos", "n_terms", F.explode("terms").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    df = _with_idf(hits.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(stats)), floor).select("token", "idf", "avg_len")
-    share = F.col("idf") * (k1 + 1) / F.greatest(1 + k1 * (1 - b + b * F.col("n_terms") / F.col("avg_len")), F.lit(1e-6))
-    weighed = hits.join(df, "token").select("token", "doc_id", "doc_pos", share.alias("share"))
+    asked, hits, df = _matched(docs, queries, text_col, floor)
+    weighed = hits.join(df, "token").select("token", "doc_id", "doc_pos", (F.col("idf") * _length_share(k1=k1, b=b)).alias("share"))
     return weighed.join(asked, "token").groupBy("query_id", "doc_id", "doc_pos").agg(F.round(F.sum("share"), DIGITS).alias("score"))
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, top_k: int, **how) -> DataFrame:
-    """The best top_k documents of each query. As in a list of all documents, those without a shared term follow with
-    score 0 in the documents' order; only a query's first top_k documents can be needed for that."""
-    found = ranked(bm25_scores(docs, queries, **how).filter("score > 0"), [F.desc("score"), F.col("doc_pos")], top_k)
-    first = docs.select("doc_id", "doc_pos").orderBy("doc_pos").limit(top_k)
-    fill = queries.select("query_id").join(F.broadcast(first)).withColumn("score", F.lit(0.0))  # top_k rows
-    both = found.select("query_id", "doc_id", "doc_pos", "score").unionByName(fill).groupBy("query_id", "doc_id", "doc_pos").agg(F.max("score").alias("score"))
+def bm25_top(docs: DataFrame, queries: DataFrame, top_k: int, text_col: str = "text", k1: float = K1, b: float = B, floor: float | None = IDF_FLOOR) -> DataFrame:
+    """The best top_k documents of each query, as in a list of all documents, in which those without a shared term
+    follow with score 0 in the documents' order.
+
+    A term that every document has gives each the same weight times a share that falls with its length, so such terms
+    are added by one number a query and not joined. Beside the documents that share another term, only the top_k
+    shortest can come into a list then, or the top_k first where the query has no such term.
+    """
+    asked, hits, df = _matched(docs, queries, text_col, floor)
+    stats = lexical_terms(docs, text_col).agg(F.greatest(F.coalesce(F.avg("n_terms"), F.lit(0.0)), F.lit(1.0)).alias("avg_len"))
+    common = asked.join(df.filter("everywhere"), "token").groupBy("query_id").agg(F.sum("idf").alias("u"))
+    every = queries.select("query_id").distinct().join(common, "query_id", "left").withColumn("u", F.coalesce("u", F.lit(0.0)))
+    share = _length_share(k1=k1, b=b)
+    weighed = hits.join(df.filter("not everywhere"), "token").select("token", "doc_id", "doc_pos", "n_terms", "avg_len", (F.col("idf") * share).alias("share"))
+    summed = weighed.join(asked, "token").groupBy("query_id", "doc_id", "doc_pos", "n_terms", "avg_len").agg(F.sum("share").alias("s"))
+    found = summed.join(every, "query_id").select("query_id", "doc_id", "doc_pos", F.round(F.col("s") + F.col("u") * share, DIGITS).alias("score"))
+    found = ranked(found, [F.desc("score"), F.col("doc_pos")], top_k).drop("rank")
+    sized = lexical_terms(docs, text_col).select("doc_id", "doc_pos", "n_terms")
+    short = sized.orderBy("n_terms", "doc_pos").limit(top_k).withColumn("for_common", F.lit(True))
+    first = sized.orderBy("doc_pos").limit(top_k).withColumn("for_common", F.lit(False))
+    few = short.unionByName(first).join(F.broadcast(stats))
+    fill = every.join(F.broadcast(few), (F.col("u") > 0) == F.col("for_common")).select("query_id", "doc_id", "doc_pos", F.round(F.col("u") * share, DIGITS).alias("score"))  # top_k rows a query
+    both = found.unionByName(fill).groupBy("query_id", "doc_id", "doc_pos").agg(F.max("score").alias("score"))
     return ranked(both, [F.desc("score"), F.col("doc_pos")], top_k)
 
 

@@ -59,25 +59,30 @@ def prompts(batched: DataFrame) -> DataFrame:
     return grouped.select("conv_id", "batch", "n_candidates", prompt.alias("prompt"))
 
 
-def rule_result(facet_id: Column, facet: Column, conversation: Column) -> Column:
-    """The deterministic backend as one struct of a result: ordered rules on the trait's name and the conversation."""
-    name, low = strip(facet), F.lower(strip(facet))
-    conv = F.lower(F.substring_index(strip(conversation), '"', 1))  # a transcript ends at its first inner quote
+def cues(conversation: Column) -> Column:
+    """What the rules look for in a conversation, once for all its candidates: its lower-case text up to the first inner
+    quote, and whether it holds a cue, a strong cue, a rejected quotation."""
+    conv = F.lower(F.substring_index(strip(conversation), '"', 1))
+    quoted = conv.contains("exhibiting hesitation") & conv.contains("disagree")
+    return F.struct(conv.alias("conv"), any_of(conv, CUE_WORDS).alias("cue"), any_of(conv, STRONG_WORDS).alias("strong"), quoted.alias("quoted"))
+
+
+def rule_result(facet_id: Column, facet: Column, about: Column) -> Column:
+    """The deterministic backend as one struct of a result: ordered rules on the trait's name and the conversation's cues."""
+    name, low, conv = strip(facet), F.lower(strip(facet)), about["conv"]
     none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
     words = F.filter(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: w.rlike("^[a-z0-9]+$") & (F.length(w) > 3) & ~w.isin(*NAME_STOP_WORDS))
-    matching = F.exists(words, lambda w: conv.contains(w))
-    scored = matching | (any_of(conv, CUE_WORDS) & any_of(low, TRAIT_WORDS))
+    scored = F.exists(words, lambda w: conv.contains(w)) | (about["cue"] & any_of(low, TRAIT_WORDS))
     said = lambda before, after: F.concat(F.lit(before), name, F.lit(after))
 
     def result(status: str, score: Column, confidence: float, evidence: Column, reason: Column) -> Column:
         return F.struct(facet_id.alias("facet_id"), name.alias("facet"), F.lit(status).alias("status"), score.alias("score"), F.lit(confidence).alias("confidence"), evidence.alias("evidence"), reason.alias("reason"))
 
-    strong = F.when(any_of(conv, STRONG_WORDS), 5).otherwise(4)
     return (
         F.when(any_of(low, MEDICAL_WORDS), result("not_observable", none_i, 0.95, none_s, said("Unobservable metric or clinical construct: '", "'.")))
         .when(any_of(low, EXTERNAL_WORDS), result("not_observable", none_i, 0.90, none_s, said("External system log or biographical verification required for '", "'.")))
-        .when(conv.contains("exhibiting hesitation") & conv.contains("disagree") & low.contains("hesitation"), result("insufficient_evidence", none_i, 0.85, none_s, F.lit("Quoted third-party statement rejected by speaker.")))
-        .when(scored, result("scored", strong, 0.90, F.substring(conv, 1, 60), said("Extracted clear conversational evidence for ", ".")))
+        .when(about["quoted"] & low.contains("hesitation"), result("insufficient_evidence", none_i, 0.85, none_s, F.lit("Quoted third-party statement rejected by speaker.")))
+        .when(scored, result("scored", F.when(about["strong"], 5).otherwise(4), 0.90, F.substring(conv, 1, 60), said("Extracted clear conversational evidence for ", ".")))
         .otherwise(result("insufficient_evidence", none_i, 0.85, none_s, said("Conversational text does not express sufficient evidence for trait '", "'.")))
     )
 

@@ -63,11 +63,12 @@ def evaluate(conversations: DataFrame, catalog: DataFrame, top_k: int = 10, batc
         given = facets.join(catalog.select("facet_id", "pos"), "facet_id")
         given = retrieval.ranked(given, [F.col("pos")], by="conv_id").select("conv_id", "facet_id", F.col("rank").cast("int").alias("rank"))
         found = found.join(facets.select("conv_id").distinct(), "conv_id", "left_anti").unionByName(given)
-    candidates = found.join(catalog.drop("pos"), "facet_id").join(conversations.select("conv_id", "text"), "conv_id")
+    talk = conversations.select("conv_id", scoring.cues(F.col("text")).alias("cues")) if backend is None else conversations.select("conv_id", "text")
+    candidates = found.join(catalog.drop("pos"), "facet_id").join(talk, "conv_id")
     score, abstain = routed(candidates)
     hidden = abstain.select("conv_id", "rank", scoring.unobservable_result(F.col("facet_id"), F.col("normalized_facet"), F.col("abstention_reason")).alias("r")).select("conv_id", "rank", "r.*")
     if backend is None:
-        scored = score.select("conv_id", "rank", scoring.rule_result(F.col("facet_id"), F.col("normalized_facet"), F.col("text")).alias("r")).select("conv_id", "rank", "r.*")
+        scored = score.select("conv_id", "rank", scoring.rule_result(F.col("facet_id"), F.col("normalized_facet"), F.col("cues")).alias("r")).select("conv_id", "rank", "r.*")
     else:
         batched = scoring.batches(score, batch_size)
         outputs = scoring.complete(scoring.prompts(batched), backend)

@@ -410,8 +410,9 @@ _RULE = S.rule_fields("low", "conv")
 
 @query("rule_backend_scores", f"WITH {_CAND}, r AS (SELECT conv_id, facet_id, lower(normalized_facet) AS low, lower(string_split({S.strip('text')}, '\"')[1]) AS conv FROM cand) SELECT conv_id, facet_id, {', '.join(f'{v} AS {k}' for k, v in _RULE.items())} FROM r")
 def _(t):
-    r = sc.rule_result(F.col("facet_id"), F.col("normalized_facet"), F.col("text"))
-    return _candidates(t).select("conv_id", r.alias("r")).select("conv_id", "r.facet_id", "r.status", "r.score", "r.confidence", "r.evidence")
+    r = sc.rule_result(F.col("facet_id"), F.col("normalized_facet"), F.col("cues"))
+    about = t.accepted().select("conv_id", sc.cues(F.col("text")).alias("cues"))
+    return _candidates(t).drop("text").join(about, "conv_id").select("conv_id", r.alias("r")).select("conv_id", "r.facet_id", "r.status", "r.score", "r.confidence", "r.evidence")
 
 
 _O = """'{"facet_id": "F' || %d || '", "facet": "' || p_name || '", "status": "%s", "score": %s, "confidence": 0.7, "evidence": "%s", "reason": "because ' || p_partkey || '"}'"""
