@@ -33,7 +33,7 @@ HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 12
 POSITIVE, NEGATIVE, WINDOWS_EACH, SEED = 2000, 4000, 10, 1
 LEAST_STEPS = 120
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 UNTRAINED = 0.0
 WORDS = re.compile(r"[^\W\d_]+")
 GATES = 3 * HIDDEN
