@@ -1,22 +1,23 @@
-"""Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
+"""Language-model scores from a log-frequency Bloom filter of quantised pair counts.
 
-Tokens are ``[^\\x20\\x09-\\x0D]+`` words with A-Z lower-cased and one end a text. A count is quantised to a level of
-``LEVELS``; an n-gram is put into the filter once for each level up to its own, so that its level is read back by
-membership probes until one fails. The filter is made of blocks (an n-gram's probes lie in one block), so each block is
-built by the task that its n-grams were shuffled to; the driver only joins the blocks and broadcasts them.
+Tokens are ``[^\\x20\\x09-\\x0D]+`` words with A-Z lower-cased and one end a text. A pair's count is quantised to a level
+of ``LEVELS``; the pair is put into the filter once for each level up to its own, so that its level is read back by
+membership probes until one fails.
 
-Size: all pairs of all training texts are counted; those that occur twice and have a relative frequency from
-``1 / PAIRS_BOUND`` on enter the filter. At most ``PAIRS_BOUND`` pairs can, so the broadcast has a bound for any corpus. Exact
-counts of the words from ``1 / WORDS_BOUND`` on (at most ``WORDS_BOUND`` words) are broadcast too; those of all others
-are joined by a shuffle, so the unigram part (c, N, V) is exact for every word.
+Size: every pair of all training texts enters the filter, also those that occur once, so it grows with the corpus and no
+machine holds it whole. It is cut into parts by the pairs' hashes, about one for each ``PART_BYTES`` of text. A task
+counts the pairs of its parts and sets their bits; the parts lie in the shared folder. To score, a batch of texts sends the
+keys of its pairs to their parts, packed, and gets the levels back. Words go the same way to parts with their exact
+counts and the number of different words that follow each. Only totals come to the driver; nothing is broadcast.
 
 Model: P(w | v) = SHARE * ((count(v, w) - D) / count(v) + back(v) * P(w)) + (1 - SHARE) * P(w), where P(w) is the base
-estimate (c + 0.5) / (N + 0.5 (V + 1)), a pair's count and count(v) are read from the filter, and back(v), the weight
-left after discounting v's pairs, is a level in the filter too. A first word follows the end token. A pair outside the
-filter has count 0, and a word outside it as v backs off wholly, so P(w | v) = P(w) there.
+estimate (c + 0.5) / (N + 0.5 (V + 1)), a pair's count is read from the filter, count(v) is exact, and back(v) = D *
+followers(v) / count(v) is the weight left after discounting v's pairs. A first word follows the end token. A pair
+that the filter doesn't have has count 0; of an unknown word as v, P(w | v) = P(w).
 
-Edge cases: null counts as empty (one end token); with no training text c, N and V are 0 and scores are those of the
-formula; repeated rows stay; ids may repeat; other columns aren't read.
+Words are told apart by 64 bits, pairs by 64 bits in counting and by 32 bits beside their part in the filter, whose own
+false positives are some in a hundred. Edge cases: null counts as empty (one end token); with no training text c, N and V
+are 0 and scores are those of the formula; repeated rows stay; ids may repeat; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ from lumenfold.llm.common import ascii_words, map_batches, schema_of, written
 
 END = b""  # no word is empty
 SHARE, D = 0.5, 0.5
-WORDS_BOUND, PAIRS_BOUND, LEAST_PAIR = 1 << 20, 1 << 24, 2
+WORDS_BOUND, PAIRS_HELD = 600_000, 2_000_000  # what a counting task holds before it sends its counts on
+PART_BYTES = 16 << 20  # of text, about, for each part of the filter
 PROBES, BITS_PER_KEY, BLOCK_BITS, LINE_BITS = 4, 8, 1 << 19, 512
 #: Least counts of the levels 1, 2, ...: every count at first, then steps of about a sixteenth.
 LEVELS = [1]
@@ -42,11 +44,12 @@ while LEVELS[-1] < 1 << 45:
     LEVELS.append(max(LEVELS[-1] + 1, math.floor(LEVELS[-1] * 17 / 16)))
 LEVELS_ARRAY = np.array(LEVELS, np.int64)
 MIDDLE = np.concatenate([[0.0], np.sqrt(LEVELS_ARRAY.astype(float) * np.append(LEVELS_ARRAY[1:] - 1, LEVELS_ARRAY[-1]))])
-BACK_STEPS = 16  # levels of back(v): 1 - level / BACK_STEPS
-WORD, PAIR, BACK = (np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
+PAIR, PART = (np.uint64(x) for x in (0x13198A2E03707344, 0xA4093822299F31D0))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = xxhash.xxh64_intdigest(END)
-CACHED_WORDS, COUNTED_WORDS = 300_000, 600_000
+KEY_BYTES, HEAD_BYTES = 4, 5  # of a pair's key in its part; of a first word
+FILTER, WORDS, FOLLOWERS, ASKED = range(4)  # kinds of rows that a part gets
+ROWS = "part long, chunk long, kind int, blocks long, a binary, b binary"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -136,9 +139,53 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def count_grams(train: DataFrame, text: str) -> DataFrame:
-    """Counts over all training texts in one pass: word (binary; empty: the end; null: a pair), h (of the word, or
-    pair_hash), c. Counted a task, then by shuffle; pairs that occur once are left out."""
+def head_of(pairs: np.ndarray) -> np.ndarray:
+    return pairs >> np.uint64(24)
+
+
+def part_of(h: np.ndarray, n_parts: int) -> np.ndarray:
+    return (mixed(h ^ PART) % np.uint64(n_parts)).astype(np.int64)
+
+
+def keys_of(pairs: np.ndarray) -> np.ndarray:
+    """What the filter knows a pair by, inside its part."""
+    return mixed(pairs ^ PAIR) & np.uint64((1 << 8 * KEY_BYTES) - 1)
+
+
+def packed(x: np.ndarray, n: int) -> bytes:
+    """The n low bytes of each."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.pad(np.frombuffer(raw, np.uint8).reshape(-1, n), ((0, 0), (0, 8 - n))).view(np.uint64).reshape(-1)
+
+
+def dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that occurs, and the places of its elements in their order."""
+    order = np.argsort(part, kind="stable")
+    parts, starts = np.unique(part[order], return_index=True)
+    return zip(parts.tolist(), np.split(order, starts[1:]), strict=False)
+
+
+def summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes in order, and the sum of each one's numbers."""
+    if not len(h):
+        return h, n
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[starts], np.add.reduceat(n, starts)
+
+
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of ROWS."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], [x.split()[0] for x in ROWS.split(", ")])
+
+
+def dealt_counts(train: DataFrame, text: str, n_parts: int) -> DataFrame:
+    """ROWS of hashes (a) and counts (b): those of pairs for the parts from 0 on, those of words for the parts from n_parts on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hashes, seen = Numbers(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -147,16 +194,17 @@ def count_grams(train: DataFrame, text: str) -> DataFrame:
 
         def words_out() -> pa.RecordBatch:
             some = np.flatnonzero(seen)
-            names = [known.names[i] for i in some.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(hashes[some].view(np.int64)), pa.array(seen[some])], ["word", "h", "n"])
+            h, n = hashes[some], seen[some].astype(np.uint32)
+            return rows_of([(n_parts + p, None, WORDS, 0, h[at].tobytes(), n[at].tobytes()) for p, at in dealt(part_of(head_of(h), n_parts))])
 
         def pairs_out() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
+            n = n.astype(np.uint32)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.binary()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "h", "n"])
+            return rows_of([(p, None, FILTER, 0, h[at].tobytes(), n[at].tobytes()) for p, at in dealt(part_of(h, n_parts))])
 
         for batch in batches:
-            if len(known) > COUNTED_WORDS:
+            if len(known) > WORDS_BOUND:
                 yield words_out()
                 known, hashes, seen = Numbers(), hashes[:0], seen[:0]
             words = [END]  # what stands before the first word; not counted itself
@@ -170,183 +218,235 @@ def count_grams(train: DataFrame, text: str) -> DataFrame:
             h = hashes[at]
             held.append(pair_hash(h[:-1], h[1:]))
             size += len(h)
-            if size > 4_000_000:
+            if size > PAIRS_HELD:
                 yield pairs_out()
                 size = 0
         if held:
             yield pairs_out()
         yield words_out()
 
-    parts = map_batches(train.select(F.col(text).alias("__text")), run, "word binary, h long, n long")
-    return parts.groupBy("word", "h").agg(F.sum("n").alias("c")).filter(F.col("word").isNotNull() | (F.col("c") >= LEAST_PAIR))
+    return map_batches(train.select(F.col(text).alias("__text")), run, ROWS)
 
 
-def build_filter(keys: DataFrame, n_blocks: int) -> np.ndarray:
-    """keys: k, level (all levels up to it are set). Each task sets the bits of its blocks; the driver joins them."""
+def written_at_once(df: DataFrame, name: str, rows_per_batch: int) -> DataFrame:
+    """written(), with fewer rows sent to a worker at once, as one row holds many packed ones."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
+    return written(df, name)
 
-    def block_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.column(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block_of(k, n_blocks).astype(np.int64))], ["k", "level", "block"])
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
-        for batch in batches:
-            k, level, block = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            at = np.repeat(np.arange(len(k)), level)
-            each = np.arange(len(at)) - np.repeat(np.cumsum(level) - level, level) + 1
-            for b in np.unique(block):
-                own = block[at] == b
-                bitmap = made.setdefault(int(b), np.zeros(BLOCK_BITS, bool))
-                for place in Filter.positions(k[at[own]], each[own]):
-                    bitmap[place] = True
-        for b, bitmap in made.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([np.packbits(bitmap, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
-
-    spread = keys.mapInArrow(block_ids, "k long, level int, block long")
-    n = min(n_blocks, max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_blocks // 16))
-    rows = spread.repartition(n, "block").sortWithinPartitions("block").mapInArrow(bits, "block long, bits binary")
-    out = np.zeros(n_blocks * BLOCK_BITS // 8, np.uint8)
-    size = BLOCK_BITS // 8
-    for r in rows.toLocalIterator(prefetchPartitions=False) if n_blocks > 4096 else rows.collect():
-        out[r.block * size : (r.block + 1) * size] = np.frombuffer(r.bits, np.uint8)
-    return out
-
-
-class Model:
-    """The filter, the counts of frequent words and the corpus totals, as workers hold them."""
-
-    def __init__(self, n: int, v: int, n_blocks: int, bits: bytes, words: dict[bytes, int]):
-        self.n, self.v, self.words = n, v, words
-        self.filter = Filter(n_blocks, np.frombuffer(bits, np.uint8))
-        self.rows = np.zeros((1024, 4))  # of known words: frequent, c, count(v) as quantised, back(v)
-        self.hashes = np.zeros(1024, np.uint64)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known, self.learned = Numbers(), 0
-
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return (c + 0.5) / (self.n + 0.5 * (self.v + 1))
-
-    def learn(self, words: list[bytes]) -> np.ndarray:
-        """Places of the words; what is read about each word is read once."""
-        if len(self.known) > CACHED_WORDS:
-            self.forget()
-        at, names = self.known.of(words), self.known.names
-        new = names[self.learned :]
-        if new:
-            h = word_hashes(new)
-            c = np.fromiter((self.words.get(w, 0) for w in new), np.float64, len(new))
-            back = 1 - np.minimum(self.filter.level(mixed((h >> np.uint64(24)) ^ BACK)), BACK_STEPS) / BACK_STEPS
-            level, heads = np.zeros(len(new), np.int64), np.flatnonzero(back < 1)
-            level[heads] = self.filter.level(mixed(h[heads] ^ WORD))
-            while len(names) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            self.rows[self.learned : len(names)], self.hashes[self.learned : len(names)] = np.stack([c > 0, c, MIDDLE[level], back], axis=1), h
-            self.learned = len(names)
-        return at
-
-    def pairs(self, before: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each token: its pair's discounted relative frequency, and the weight of the base estimate."""
-        total, back = self.rows[before, 2], self.rows[before, 3]
-        count = np.zeros(len(at))
-        some = np.flatnonzero(back < 1)  # a first word with no pair in the filter backs off wholly
-        h, where = np.unique(pair_hash(self.hashes[before[some]], self.hashes[at[some]]), return_inverse=True)
-        count[some] = MIDDLE[self.filter.level(mixed(h ^ PAIR))][where]
-        direct = np.where((total > 0) & (back < 1), np.minimum(np.maximum(count - D, 0) / np.maximum(total, 1), 1), 0)
-        return direct, np.where(back < 1, np.maximum(back, 1 / (2 * BACK_STEPS)), 1)
+def by_part(rows: DataFrame, n_parts: int) -> DataFrame:
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_parts // 8)
+    return rows.repartition(n, "part").sortWithinPartitions("part", "chunk", "kind")  # null chunks first
+
+
+def filled(keys: np.ndarray, level: np.ndarray) -> Filter:
+    """A filter that has all levels of each key up to its own."""
+    n_blocks = max(1, math.ceil(int(level.sum()) * BITS_PER_KEY / BLOCK_BITS))
+    bitmap = np.zeros(n_blocks * BLOCK_BITS, bool)
+    for k in range(0, len(keys), 1 << 17):
+        key, upto = keys[k : k + (1 << 17)], level[k : k + (1 << 17)]
+        at = np.repeat(np.arange(len(key)), upto)
+        each = np.arange(len(at)) - np.repeat(np.cumsum(upto) - upto, upto) + 1
+        start = block_of(key, n_blocks)[at] * np.uint64(BLOCK_BITS)
+        for place in Filter.positions(key[at], each):
+            bitmap[start + place] = True
+    return Filter(n_blocks, np.packbits(bitmap, bitorder="little"))
 
 
 def train_model(train: DataFrame, text: str = "text") -> tuple[DataFrame, dict]:
-    """The table of words (word, h, c) and what is broadcast: totals, filter blocks and frequent words."""
-    spark = train.sparkSession
-    grams = written(count_grams(train, text), "grams")
-    words = grams.filter("word IS NOT NULL")
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    pairs = grams.filter(F.col("word").isNull() & (F.col("c") >= max(LEAST_PAIR, math.ceil(n / PAIRS_BOUND)))).select("h", "c")
-    least = max(1, math.ceil(n / WORDS_BOUND))
-    frequent = {bytes(r.word): r.c for r in words.filter(F.col("c") >= least).select("word", "c").collect()}  # at most WORDS_BOUND
-    kept = pairs.groupBy(F.shiftrightunsigned("h", 24).alias("v")).agg(F.sum("c").alias("kept"), F.count("*").alias("kinds"))
-    heads = words.select(F.shiftrightunsigned("h", 24).alias("v"), "c").groupBy("v").agg(F.sum("c").alias("c"))
-    left = 1 - F.least((F.col("kept") - D * F.col("kinds")) / F.col("c"), F.lit(1.0))
-    backs = kept.join(heads, "v").select("v", F.round((1 - left) * BACK_STEPS).cast("int").alias("level")).select("v", F.greatest("level", F.lit(1)).alias("level"))
-    contexts = backs.select("v").join(words.select(F.shiftrightunsigned("h", 24).alias("v"), "h", "c"), "v")
-    counted = contexts.select(F.lit(0).alias("kind"), "h", "c").unionByName(pairs.select(F.lit(1).alias("kind"), "h", "c"))
-    entries = counted.unionByName(backs.select(F.lit(2).alias("kind"), F.col("v").alias("h"), F.col("level").cast("long").alias("c")))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = np.array([WORD, PAIR, BACK])
-        for batch in batches:
-            kind, h, c = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
-            level = np.where(kind == 2, c, levels_of(c))
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(h ^ salts[kind]).view(np.int64)), pa.array(level.astype(np.int32))], ["k", "level"])
+    """The table of the model's parts (ROWS, with tokens and words), and totals.
+
+    A part of pairs gives its filter, and for the parts of words how many pairs each first word has; a part of words gives
+    their counts.
+    """
+    size = train.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    n_parts = max(2 * int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
+
+    def part_out(part: int, h: np.ndarray, n: np.ndarray) -> list[tuple]:
+        if part >= n_parts:
+            return [(part, None, WORDS, 0, h.tobytes(), n.tobytes(), int(n.sum()), len(h))]
+        f = filled(keys_of(h), levels_of(n))
+        heads, kinds = np.unique(head_of(h), return_counts=True)
+        to = dealt(part_of(heads, n_parts))
+        return [(part, None, FILTER, f.n_blocks, f.bits.tobytes(), None, 0, 0), *((n_parts + p, None, FOLLOWERS, 0, packed(heads[at], HEAD_BYTES), kinds[at].astype(np.int32).tobytes(), 0, 0) for p, at in to)]
 
-    keys = written(entries.mapInArrow(keyed, "k long, level int"), "keys")
-    total = keys.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
-    n_blocks = max(1, math.ceil(total * BITS_PER_KEY / BLOCK_BITS))
-    bits = build_filter(keys, n_blocks).tobytes()
-    return words, {"n": n, "v": v, "n_blocks": n_blocks, "bits": spark.sparkContext.broadcast(bits), "words": spark.sparkContext.broadcast(frequent)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hs, ns, held = None, [], [], 0
+
+        def out() -> pa.RecordBatch:
+            rows = part_out(now, *summed(np.concatenate(hs), np.concatenate(ns)))
+            base = rows_of(rows)
+            return pa.RecordBatch.from_arrays([*base.columns, pa.array([r[6] for r in rows], pa.int64()), pa.array([r[7] for r in rows], pa.int64())], [*base.schema.names, "tokens", "words"])
 
+        for batch in batches:
+            for part, a, b in zip(batch.column(0).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                if part != now:
+                    if hs:
+                        yield out()
+                    now, hs, ns, held = part, [], [], 0
+                hs.append(np.frombuffer(a.as_py(), np.uint64))
+                ns.append(np.frombuffer(b.as_py(), np.uint32).astype(np.int64))
+                held += len(hs[-1])
+                if held > PAIRS_HELD:
+                    h, n = summed(np.concatenate(hs), np.concatenate(ns))
+                    hs, ns, held = [h], [n], 0
+        if hs:
+            yield out()
+
+    made = map_batches(by_part(dealt_counts(train, text, n_parts), n_parts), run, ROWS + ", tokens long, words long")
+    model = written_at_once(made, "language-model", 128)
+    n, v = model.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    train.sparkSession._jvm.System.gc()  # lets Spark delete the shuffle of the counts
+    return model, {"n": n, "v": v, "n_parts": n_parts}
+
+
+class Part:
+    """What one part of the model knows."""
+
+    def __init__(self) -> None:
+        self.filter: Filter | None = None
+        self.words = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        self.followers = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+
+    def take(self, kind: int, blocks: int, a: bytes, b: bytes | None) -> None:
+        if kind == FILTER:
+            self.filter = Filter(blocks, np.frombuffer(a, np.uint8))
+        elif kind == WORDS:
+            self.words.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)))
+        else:
+            self.followers.append((unpacked(a, HEAD_BYTES), np.frombuffer(b, np.int32).astype(np.int64)))
+
+    def merge(self) -> None:
+        for name in ("words", "followers"):
+            both = getattr(self, name)
+            if len(both) > 1:
+                setattr(self, name, [summed(np.concatenate([x for x, _ in both]), np.concatenate([x for _, x in both]))])
 
-def score(docs: DataFrame, words: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    @staticmethod
+    def found(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
+        names, n = table
+        if not len(names):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+        return np.where(names[at] == h, n[at], 0)
+
+    def pair_levels(self, raw: bytes) -> bytes:
+        keys = unpacked(raw, KEY_BYTES)
+        return (self.filter.level(keys) if self.filter else np.zeros(len(keys))).astype(np.uint16).tobytes()
+
+    def word_counts(self, raw: bytes) -> tuple[bytes, bytes]:
+        self.merge()
+        h = np.frombuffer(raw, np.uint64)
+        return self.found(self.words[0], h).tobytes(), self.found(self.followers[0], head_of(h)).tobytes()
+
+
+class Asked:
+    """The tokens of a batch of texts, and what is to be read about them."""
+
+    def __init__(self, texts: pa.Array, n_parts: int):
+        known, words, ends = Numbers(), [END], [1]
+        for t in texts:
+            words += tokens(t.as_py())
+            ends.append(len(words))
+        at = known.of(words)
+        self.n, self.before, self.at = np.diff(ends), at[:-1], at[1:]
+        self.words = word_hashes(known.names)
+        self.pairs, self.pair_at = np.unique(pair_hash(self.words[self.before], self.words[self.at]), return_inverse=True)
+        self.pair_parts = list(dealt(part_of(self.pairs, n_parts)))
+        self.word_parts = [(n_parts + p, to) for p, to in dealt(part_of(head_of(self.words), n_parts))]
+
+    def rows(self, chunk: int) -> list[tuple]:
+        keys = keys_of(self.pairs)
+        pairs = [(p, chunk, ASKED, 0, packed(keys[to], KEY_BYTES), None) for p, to in self.pair_parts]
+        return pairs + [(p, chunk, ASKED, 0, self.words[to].tobytes(), None) for p, to in self.word_parts]
+
+    def answers(self, got: dict[int, tuple[bytes, bytes | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each pair's level, each word's count and number of followers; 0 for what no part knows."""
+        level, c, followers = np.zeros(len(self.pairs), np.int64), np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
+        for p, to in self.pair_parts:
+            level[to] = np.frombuffer(got[p][0], np.uint16)
+        for p, to in self.word_parts:
+            c[to], followers[to] = (np.frombuffer(x, np.int64) for x in got[p])
+        return level, c, followers
+
+
+def score(docs: DataFrame, parts: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns, n_tokens, n_known, train_tokens, base_score, score of every row.
 
-    A worker sums the tokens whose counts it holds; for the others it sends on (row, word, how often, and what the
-    filter gives for each place), which the join with the table of words completes.
+    The texts are written once in chunks of a batch each, so that a chunk that gets its answers is the one that asked.
     """
-    totals, held, frequent = (model["n"], model["v"], model["n_blocks"]), model["bits"], model["words"]
+    n, v, n_parts = model["n"], model["v"], model["n_parts"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*totals, held.value, frequent.value)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.num_columns - 2
-            words, ends = [END], [1]
-            for t in batch.column(k + 1):
-                words += tokens(t.as_py())
-                ends.append(len(words))
-            at = m.learn(words)
-            n = np.diff(ends)
-            row = np.repeat(np.arange(len(n)), n)
-            before, at = at[:-1], at[1:]
-            direct, back = m.pairs(before, at)
-            direct, back = SHARE * direct, SHARE * back + 1 - SHARE
-            known = m.rows[at, 0] > 0
-            p = m.base(m.rows[at, 1])
-            base = np.bincount(row, np.where(known, np.log10(p), 0), len(n))
-            # Of a rare word without a pair, log10(back * P(w)) parts into what is known here and what the join gives.
-            alone = ~known & (direct == 0)
-            whole = np.bincount(row, np.where(known, np.log10(direct + back * p), np.where(alone, np.log10(back), 0)), len(n))
-            names, ids = m.known.names, batch.column(k).to_numpy()
-            sums = [pa.array(n), pa.array(np.bincount(row, known, len(n)).astype(np.int64)), pa.array(base), pa.array(whole)]
-            none = [pa.nulls(len(n), x) for x in (pa.int32(), pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: k + 1], *sums, pa.array([b" %d" % i for i in ids.tolist()], pa.binary()), *none], names_out)
-            both, times = np.unique(row[alone] * len(names) + at[alone], return_counts=True)
-            paired = np.flatnonzero(~known & (direct > 0))
-            to, word = np.concatenate([both // len(names), row[paired]]), np.concatenate([both % len(names), at[paired]])
-            rest = [np.concatenate(x) for x in ((times, np.ones(len(paired), int)), (np.zeros(len(both)), direct[paired]), (np.ones(len(both)), back[paired]))]
-            if len(to):
-                blank = [pa.nulls(len(to), f.type) for f in batch.schema][:k]
-                found = [pa.array([names[i] for i in word.tolist()], pa.binary()), pa.array(rest[0].astype(np.int32)), pa.array(rest[1]), pa.array(rest[2])]
-                yield pa.RecordBatch.from_arrays([*blank, pa.array(ids[to]), *(pa.nulls(len(to), x.type) for x in sums), *found], names_out)
-
-    names_out = [*keep, "__row", "n_tokens", "n_known", "base_score", "score", "word", "times", "direct", "back"]
-    source = docs.select(*keep, F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__text"))
-    types_out = "n_tokens long, n_known long, base_score double, score double"
-    parts = map_batches(source, run, schema_of(docs, keep, "__row long", types_out, "word binary, times int, direct double, back double"))
-    # A row of the text itself has a word that no text has (it starts with a space), so it finds no count.
-    found = parts.join(words.select("word", "c"), "word", "left")
-    # Small integers go back to the texts, not sums of doubles, which would not compress.
-    back = found.select(*keep, "__row", "n_tokens", "n_known", "base_score", "score", "c", "times", "direct", "back")
-    back = back.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__row")
-    n, v = model["n"], model["v"]
-    p = (F.coalesce("c", F.lit(0)) + 0.5) / F.lit(n + 0.5 * (v + 1))
-    total = back.groupBy("__row").agg(
-        *(F.max(k).alias(k) for k in keep),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("times"))), F.lit(0))).alias("n_known"),
-        (F.sum("base_score") + F.coalesce(F.sum(F.col("times") * F.log10(p)), F.lit(0.0))).alias("base_score"),
-        (F.sum("score") + F.coalesce(F.sum(F.col("times") * F.log10(F.col("direct") + F.col("back") * p)), F.lit(0.0))).alias("score"),
-    )
-    return total.select(*keep, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+            if batch.num_rows:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["data"])
+
+    def texts_of(data: bytes) -> pa.RecordBatch:
+        return pa.ipc.open_stream(data).read_next_batch()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                texts = texts_of(data.as_py())
+                yield rows_of(Asked(texts.column(texts.num_columns - 1), n_parts).rows(chunk))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, Part()
+        for batch in batches:
+            rows = []
+            for i, (part, chunk, kind, blocks) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if part != now:
+                    now, held = part, Part()
+                a, b = batch.column(4)[i].as_py(), batch.column(5)[i].as_py()
+                if kind != ASKED:
+                    held.take(kind, blocks, a, b)
+                elif part < n_parts:
+                    rows.append((part, chunk, kind, 0, held.pair_levels(a), None))
+                else:
+                    rows.append((part, chunk, kind, 0, *held.word_counts(a)))
+            yield rows_of(rows)
+
+    def judged(data: bytes, got: dict[int, tuple[bytes, bytes | None]]) -> pa.RecordBatch:
+        texts = texts_of(data)
+        asked = Asked(texts.column(texts.num_columns - 1), n_parts)
+        level, c, followers = asked.answers(got)
+        size = len(asked.n)
+        row, total = np.repeat(np.arange(size), asked.n), c[asked.before]
+        p = (c[asked.at] + 0.5) / (n + 0.5 * (v + 1))
+        back = np.where(total > 0, np.minimum(D * followers[asked.before] / np.maximum(total, 1), 1), 1)
+        direct = np.where(total > 0, np.clip((MIDDLE[level][asked.pair_at] - D) / np.maximum(total, 1), 0, 1), 0)
+        whole = SHARE * (direct + back * p) + (1 - SHARE) * p
+        sums = [np.bincount(row, x, size) for x in (c[asked.at] > 0, np.log10(p), np.log10(whole))]
+        made = [pa.array(asked.n), pa.array(sums[0].astype(np.int64)), pa.array(np.full(size, n, np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+        return pa.RecordBatch.from_arrays([*texts.columns[:-1], *made], [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, data, got = None, b"", {}
+        for batch in batches:
+            for i, (part, chunk) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if chunk != now:
+                    if now is not None:
+                        yield judged(data, got)
+                    now, data, got = chunk, b"", {}
+                a = batch.column(4)[i].as_py()
+                if part < 0:
+                    data = a
+                else:
+                    got[part] = (a, batch.column(5)[i].as_py())
+        if now is not None:
+            yield judged(data, got)
+
+    source = map_batches(docs.select(*keep, F.col(text).alias("__text")), pack, "data binary")
+    chunks = written(source.select(F.monotonically_increasing_id().alias("chunk"), "data"), "chunks")
+    asked = map_batches(chunks, ask, ROWS)
+    known = parts.select(*asked.columns)
+    answers = written_at_once(map_batches(by_part(known.unionByName(asked), n_parts), answer, ROWS), "answers", 32)
+    docs.sparkSession._jvm.System.gc()  # lets Spark delete the shuffle of the questions
+    own = chunks.select(F.lit(-1).cast("long").alias("part"), "chunk", F.lit(ASKED).alias("kind"), F.lit(0).cast("long").alias("blocks"), F.col("data").alias("a"), F.lit(None).cast("binary").alias("b"))
+    n_tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = own.unionByName(answers).repartition(n_tasks, "chunk").sortWithinPartitions("chunk", "part")
+    return map_batches(met, judge, schema_of(docs, keep, "n_tokens long, n_known long, train_tokens long, base_score double, score double"))

@@ -233,6 +233,22 @@ def test_bloom_lm_against_brute_force(spark, odd, none, monkeypatch):
     assert len(bare) == len(ODD) and {r.train_tokens for r in bare} == {0}
 
 
+def test_bloom_lm_keeps_every_pair(spark):
+    """Pairs that occur once, and as rare a pair whatever the size of the corpus, are read with their counts."""
+    rare = [(i, f"left{i} right{i}") for i in range(300)]
+    often = [(1000 + i, " ".join(["all the same"] * 200)) for i in range(20)]
+    docs = spark.createDataFrame(rare + often, "doc_id long, text string")
+    parts, model = bloom_lm.train_model(docs)
+    n, v = model["n"], model["v"]
+    p = 1.5 / (n + 0.5 * (v + 1))
+    end = (320 + 0.5) / (n + 0.5 * (v + 1))
+    first = 0.5 * (0.5 / 320 + bloom_lm.D * 301 / 320 * p) + 0.5 * p
+    want = math.log10(first) + math.log10(0.5 * (0.5 + 0.5 * p) + 0.5 * p) + math.log10(0.5 * (0.5 + 0.5 * end) + 0.5 * end)
+    got = [r.score for r in bloom_lm.score(docs, parts, model).filter("doc_id < 1000").collect()]
+    assert len(got) == 300 and sum(math.isclose(g, want, rel_tol=1e-9) for g in got) > 270  # the others meet a false positive
+    assert all(g >= want - 1e-9 for g in got)
+
+
 # 5 mixing
 
 
