@@ -5,13 +5,14 @@ fingerprints of such texts differ in some ten bits, for which shards of agreeing
 shards come from the shingles: ``BANDS`` keys of ``ROWS`` minima each, of which near texts share one but for a chance
 of (1 - 0.8 ** 2) ** 10, or 4 in 100,000. In a shard, a BK-tree over the fingerprints finds those within ``RADIUS``; a sketch
 of the shingles sorts out most of the rest; each new text gets links to the groups that it joins, not to all their
-members; and the links are then checked on the whole shingle sets.
+members; and the links are then checked on the whole shingle sets. Groups in a shard rest on estimates, so shards with a
+link that the check rejects are searched again, with the groups that are certain by then and without the rejected
+pairs, until no link is left to check.
 
 Groups of thousands of near copies: equal texts are one node to start with; a new text is first held against the texts
 that most others were linked to, and branches of the tree that lie wholly in groups it has joined are not entered. So
-the work in a shard grows with its size times few. A text gets one link to each group that it surely joins and up to
-``UNSURE_EACH`` to those near the bound, the likeliest first: the sketch's standard error is some 0.03, so that a pair at
-the bound stands before pairs at 0.7, of which a group of near copies can have any number.
+the work in a shard grows with its size times few. In a round a text gets one link to each group that it likely joins, and
+links to the likeliest of the groups near the bound; what is held back comes in later rounds, four times as much in each.
 
 Edge cases: null, empty and wordless texts are one group; texts of fewer words than a shingle are near only to equal
 ones; of a group the row of the least id stays (null ids last, then by place), of repeated rows one; all columns stay.
@@ -33,7 +34,8 @@ from lumenfold.llm.simhash import fingerprint, hashed, shingles
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 18
 BANDS, ROWS, BINS = 10, 2, 256
-HUBS, UNSURE_EACH = 32, 16
+HUBS, UNSURE_EACH, FASTER = 32, 16, 4  # UNSURE_EACH: groups near the bound that a text tries in the first round
+ERRORS = 3  # of the sketch, below the bound
 _random = np.random.default_rng(6)
 FACTORS = _random.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 SHIFT = np.uint64(17)
@@ -90,6 +92,8 @@ class Shard:
         self.group: list[int] = []
         self.hits: list[int] = []
         self.hubs: list[int] = []
+        self.labels: dict[int, int] = {}  # a node of each certain group
+        self.held_back = False  # whether the last node has groups that it got no link to
         self.sketches = np.zeros((16, BINS), np.uint8)
 
     def root(self, at: int) -> int:
@@ -115,18 +119,21 @@ class Shard:
         either = np.maximum(((rows | sketch) != 0).sum(1), 1)
         return ((rows == sketch) & (rows != 0)).sum(1) / either, np.sqrt(self.similarity * (1 - self.similarity) / either)
 
-    def add(self, value: int, sketch: np.ndarray) -> list[int]:
-        """Adds a node; returns the nodes it is to be linked to."""
+    def add(self, value: int, sketch: np.ndarray, label: int | None = None, rejected: frozenset[int] = frozenset(), pace: int = 1) -> list[int]:
+        """Adds a node, of a certain group if it has a label; returns the nodes it is to be linked to, no rejected one."""
         new = len(self.fp)
         found: dict[int, list[tuple[float, int, bool]]] = {}
-        joined: set[int] = set()
+        own = self.root(self.labels[label]) if label in self.labels else -1
+        joined: set[int] = {own} - {-1}
 
         def consider(at: list[int]) -> None:
             if not at:
                 return
             like, error = self.likeness(sketch, at)
-            for i in np.flatnonzero(like >= self.similarity - 3 * error):
+            for i in np.flatnonzero(like >= self.similarity - ERRORS * error):
                 r = self.root(at[i])
+                if at[i] in rejected or r == own:
+                    continue
                 found.setdefault(r, []).append((float(like[i]), at[i], bool(like[i] >= self.similarity + 2 * error[i])))
                 if found[r][-1][2]:
                     joined.add(r)
@@ -135,10 +142,12 @@ class Shard:
         near = self.near(value, joined)
         for k in range(0, len(near), 4096):
             consider([n for n in near[k : k + 4096] if self.root(n) not in joined])
-        # One link to each group with a text that is surely near; of the others the likeliest, whose check decides.
-        best = sorted((max(many) for many in found.values()), reverse=True)
-        sure = [n for _, n, certain in best if certain]
-        links, at = sure + [n for _, n, certain in best if not certain][:UNSURE_EACH], 0
+        # One link to each group with a text that is likely near; of the others the likeliest, whose check decides.
+        best = sorted(((max(many), r) for r, many in found.items()), reverse=True)
+        sure = [many[1] for many, r in best if r in joined]
+        unsure = [r for _, r in best if r not in joined]
+        self.held_back = len(unsure) > UNSURE_EACH * pace
+        links, at = sure + [n for r in unsure[: UNSURE_EACH * pace] for _, n, _ in sorted(found[r], reverse=True)[:pace]], 0
         if new == len(self.sketches):
             self.sketches = np.concatenate([self.sketches, np.zeros_like(self.sketches)])
         self.sketches[new] = sketch
@@ -147,8 +156,10 @@ class Shard:
         self.group.append(new)
         self.whole.append(new)
         self.hits.append(0)
-        for n in sure:
+        for n in [*sure, own] if own >= 0 else sure:
             self.group[self.root(n)] = self.root(new)
+        if label is not None:
+            self.labels[label] = new
         for n in links:
             self.hits[n] += 1
             if n not in self.hubs:
@@ -166,29 +177,45 @@ class Shard:
         return links
 
 
-def candidate_links(nodes: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """nodes: same, fp, sketch, keys. Returns a, b."""
+def candidate_links(nodes: DataFrame, similarity: float, radius: int, again: tuple[DataFrame, DataFrame, DataFrame] | None = None, pace: int = 1) -> DataFrame:
+    """nodes: same, fp, sketch, keys. Returns a, b; both the same for a node that was held back.
+
+    again: the shards to search (band, key), what is certain of nodes (same, label), and pairs rejected (a, b).
+    """
     band = F.posexplode("keys").alias("band", "key")
-    spread = nodes.filter("keys IS NOT NULL").select("same", "fp", "sketch", band)
+    some = nodes.filter("keys IS NOT NULL")
+    if again:
+        shards, labels, rejected = again
+        not_near = rejected.groupBy(F.col("b").alias("same")).agg(F.collect_set("a").alias("rejected"))  # b comes after a in a shard
+        known = some.select("same", band).join(shards, ["band", "key"], "left_semi").join(some.select("same", "fp", "sketch"), "same")
+        spread = known.join(labels, "same", "left").join(not_near, "same", "left").select("same", "fp", "sketch", "band", "key", "label", "rejected")
+    else:
+        spread = some.select("same", "fp", "sketch", band, F.lit(None).cast("long").alias("label"), F.lit(None).cast("array<long>").alias("rejected"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, first, shard, names = None, None, None, []
+        now, first, shard, names, order = None, None, None, {}, []
         for batch in batches:
-            same, fp, band, key = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
-            sketches = batch.column(2)
+            same, fp, band, key, label = (batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5))
+            sketches, rejected = batch.column(2), batch.column(6)
             a, b = [], []
+
+            def add(i: int) -> tuple:
+                return same[i], fp[i] & (2**64 - 1), np.frombuffer(sketches[i].as_py(), np.uint8), label[i]  # noqa: B023
+
             for i in range(len(same)):
                 if (band[i], key[i]) != now:
-                    now, first, shard, names = (band[i], key[i]), (same[i], fp[i], sketches[i].as_py()), None, []
+                    now, first, shard, names, order = (band[i], key[i]), add(i), None, {}, []
                     continue  # most shards have one text: no tree for those
                 if shard is None:
                     shard = Shard(similarity, radius)
-                    shard.add(first[1] & (2**64 - 1), np.frombuffer(first[2], np.uint8))
-                    names.append(first[0])
-                for n in shard.add(fp[i] & (2**64 - 1), np.frombuffer(sketches[i].as_py(), np.uint8)):
-                    a.append(same[i])
-                    b.append(names[n])
-                names.append(same[i])
+                    shard.add(*first[1:])
+                    names[first[0]] = 0
+                    order.append(first[0])
+                links = shard.add(*add(i)[1:], frozenset(names[x] for x in rejected[i].as_py() or () if x in names), pace)
+                a += [same[i]] * (len(links) + shard.held_back)
+                b += [order[n] for n in links] + [same[i]] * shard.held_back
+                names[same[i]] = len(order)
+                order.append(same[i])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     n = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -197,7 +224,7 @@ def candidate_links(nodes: DataFrame, similarity: float, radius: int) -> DataFra
 
 
 def checked(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The links whose whole shingle sets are near. texts: same, text, one row a node."""
+    """a, b, near: whether the whole shingle sets of the links are. texts: same, text, one row a node."""
     ends = links.select(F.explode(F.array("a", "b")).alias("same")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,12 +238,38 @@ def checked(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+                keep.append(bool(both >= similarity * (len(p) + len(q) - both) - 1e-9))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["a", "b", "near"])
 
     sets = written(map_batches(texts.join(ends, "same", "left_semi").select("same", "text"), run, "same long, set binary"), "shingle-sets")
     pairs = links.join(sets.select(F.col("same").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("same").alias("b"), F.col("set").alias("y")), "b")
-    return map_batches(pairs.select("a", "b", "x", "y"), compare, "a long, b long")
+    return map_batches(pairs.select("a", "b", "x", "y"), compare, "a long, b long, near boolean")
+
+
+def near_groups(nodes: DataFrame, chosen: DataFrame, source: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """u, root of nodes in groups. chosen: same, __n of each node; source: __n, __text.
+
+    A shard whose links all pass has nothing left: each near pair in it is linked over texts that were checked. The others are
+    searched again; each round settles pairs, so the rounds end.
+    """
+    passed, rejected, again, pace = None, None, None, 1
+    while True:
+        found = written(candidate_links(nodes, similarity, radius, again, pace), "links")
+        links, held = found.filter("a <> b"), found.filter("a = b")
+        ends = chosen.join(links.select(F.explode(F.array("a", "b")).alias("same")).distinct(), "same", "left_semi")
+        texts = source.join(ends, "__n").select("same", F.col("__text").alias("text"))
+        verdicts = written(checked(links, texts, similarity), "verdicts")
+        near, far = verdicts.filter("near").select("a", "b"), verdicts.filter("NOT near").select("a", "b")
+        passed, rejected = (near, far) if passed is None else (passed.unionByName(near), rejected.unionByName(far))
+        roots = components(passed)
+        unsettled = far.unionByName(held)
+        if unsettled.isEmpty():
+            return roots
+        labels = roots.select(F.col("u").alias("same"), F.col("root").alias("label")).unionByName(roots.select(F.col("root").alias("same"), F.col("root").alias("label")).distinct())
+        keys = nodes.select("same", "keys")
+        both = unsettled.join(keys.select(F.col("same").alias("a"), F.col("keys").alias("x")), "a").join(keys.select(F.col("same").alias("b"), F.col("keys").alias("y")), "b")
+        shared = both.select(F.posexplode(F.arrays_zip("x", "y")).alias("band", "k")).filter("k.x = k.y")
+        again, pace = (written(shared.select("band", F.col("k.x").alias("key")).distinct(), "shards"), labels, rejected), pace * FASTER
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -232,9 +285,7 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, radius: int = R
     # One row a node, that of its least place, by a join that moves no sketch of a repeated text twice.
     chosen = least.select("same", F.col("least.n").alias("__n"))
     nodes = made.join(chosen, ["same", "__n"])
-    links = written(candidate_links(nodes, similarity, radius), "links")
-    texts = source.join(chosen.join(links.select(F.explode(F.array("a", "b")).alias("same")).distinct(), "same", "left_semi"), "__n").select("same", F.col("__text").alias("text"))
-    roots = components(checked(links, texts, similarity))
+    roots = near_groups(nodes, chosen, source, similarity, radius)
     rooted = least.join(roots.withColumnRenamed("u", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.n").alias("__n"))
     return numbered.join(kept, "__n", "left_semi").select(*(F.col("__row")[c].alias(c) for c in docs.columns))

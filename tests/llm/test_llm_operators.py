@@ -370,6 +370,45 @@ def test_near_dedup_against_brute_force(spark, odd, none, tmp_path):
     assert near_dedup.deduplicate(none).count() == 0
 
 
+def test_near_pair_behind_a_rejected_likelier_one(spark, tmp_path):
+    """c's likeliest member of a's and b's group is truly far; its near one must be tried after it."""
+    rng = np.random.default_rng(12)
+    shard = near_dedup.Shard()
+    u = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+    fp, sketch = simhash.fingerprint(u), near_dedup.sketch_of(u)
+    assert shard.add(fp, sketch) == [] and shard.add(fp, sketch) == [0]
+    first = shard.add(fp, sketch)
+    assert len(first) == 1
+    again = near_dedup.Shard()
+    again.add(fp, sketch)
+    again.add(fp, sketch, None, frozenset(), 4)
+    assert again.add(fp, sketch, None, frozenset(first), 4) == [1 - first[0]]
+    labelled = near_dedup.Shard()
+    labelled.add(fp, sketch, 7)
+    assert labelled.add(fp, sketch, 7) == []
+    # Families whose pairs lie on both sides of the bound, held against brute force.
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(8):
+        words = rng.choice(vocab, 1000).tolist()
+        for _ in range(12):
+            copy = list(words)
+            for at in rng.integers(0, 1000, 12 + rng.integers(0, 14)):
+                copy[at] = str(rng.choice(vocab))
+            texts.append(" ".join(copy))
+    at = str(tmp_path / "docs")
+    spark.createDataFrame(rows_of(texts), DOCS).repartition(3).write.parquet(at)
+    kept = {r.doc_id for r in near_dedup.deduplicate(spark.read.parquet(at)).collect()}
+    sets = [set(simhash.shingles(common.ascii_words(x), 5)) for x in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    assert kept == {i for i, x in enumerate(root) if x == i}
+
+
 def test_hot_group_of_near_copies_stays_cheap():
     """Copies that are alike by some 0.82: near the bound, where the sketch alone decides nothing."""
     rng = np.random.default_rng(5)
