@@ -3,7 +3,9 @@
 Texts are near where the Jaccard similarity of their sets of five-word shingles is ``SIMILARITY`` or more. At 0.8 the
 fingerprints of such texts differ in some ten bits, for which shards of agreeing bit blocks would be far too many; so
 shards come from the shingles: ``BANDS`` keys of ``ROWS`` minima each, of which near texts share one but for a chance
-of (1 - 0.8 ** 2) ** 10, or 4 in 100,000. In a shard, a BK-tree over the fingerprints finds those within ``RADIUS``; a sketch
+of (1 - 0.8 ** 2) ** 10, or 4 in 100,000. In a shard, a BK-tree over the fingerprints (of the different
+shingles, as similarity is over sets) finds those within ``RADIUS``: at 0.8 a bit differs with a chance of 0.15, and of 0.19
+for the worst small sets (4 against 5 shingles), so that over 30 of 64 differ once in a million pairs at most; a sketch
 of the shingles sorts out most of the rest; each new text gets links to the groups that it joins, not to all their
 members; and the links are then checked on the whole shingle sets. Groups in a shard rest on estimates, so shards with a
 link that the check rejects are searched again, with the groups that are certain by then and without the rejected
@@ -32,7 +34,7 @@ from lumenfold.llm.common import ascii_words, map_batches, schema_of, written
 from lumenfold.llm.components import components
 from lumenfold.llm.simhash import fingerprint, hashed, shingles
 
-WORDS, SIMILARITY, RADIUS = 5, 0.8, 18
+WORDS, SIMILARITY, RADIUS = 5, 0.8, 30
 BANDS, ROWS, BINS = 10, 2, 256
 HUBS, UNSURE_EACH, FASTER = 32, 16, 4  # UNSURE_EACH: groups near the bound that a text tries in the first round
 ERRORS = 3  # of the sketch, below the bound
@@ -66,13 +68,12 @@ def prints(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
             for t in batch.column(batch.num_columns - 1):
                 words = ascii_words(t.as_py())
                 same.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
-                h = hashed(shingles(words, WORDS))
-                fps.append(fingerprint(h))
+                u = np.unique(hashed(shingles(words, WORDS)))
+                fps.append(fingerprint(u))
                 if len(words) < WORDS:
                     sketches.append(None)
                     keys.append(None)
                 else:
-                    u = np.unique(h)
                     sketches.append(sketch_of(u).tobytes())
                     keys.append(keys_of(u).view(np.int64).tolist())
             long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))

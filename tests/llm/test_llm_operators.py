@@ -409,6 +409,23 @@ def test_near_pair_behind_a_rejected_likelier_one(spark, tmp_path):
     assert kept == {i for i, x in enumerate(root) if x == i}
 
 
+def test_near_pair_of_far_fingerprints(spark):
+    """Texts whose sets are near though one repeats a passage 200 times; and small sets, whose fingerprints differ most."""
+    rng = np.random.default_rng(8)
+    pairs = []
+    for i in range(12):
+        article, footer = [f"a{i}_{k}" for k in range(100)], [f"f{i}_{k}" for k in range(24)]
+        pairs.append((article + footer * 2, article + footer * 200))
+    texts = [" ".join(x) for p in pairs for x in p]
+    docs = spark.createDataFrame(rows_of(texts), DOCS)
+    assert {r.doc_id for r in near_dedup.deduplicate(docs).collect()} == set(range(0, 24, 2))
+    for _ in range(5000):
+        five = np.unique(rng.integers(0, 2**63, 5, dtype=np.uint64)) * np.uint64(2) + np.uint64(1)
+        shard = near_dedup.Shard()
+        shard.add(simhash.fingerprint(five[:4]), near_dedup.sketch_of(five[:4]))
+        assert shard.add(simhash.fingerprint(five), near_dedup.sketch_of(five)) == [0]
+
+
 def test_hot_group_of_near_copies_stays_cheap():
     """Copies that are alike by some 0.82: near the bound, where the sketch alone decides nothing."""
     rng = np.random.default_rng(5)
