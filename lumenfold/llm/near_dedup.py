@@ -276,9 +276,10 @@ def near_groups(nodes: DataFrame, chosen: DataFrame, source: DataFrame, similari
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs' rows but those that chains of near texts lead from to a row before them.
 
-    docs is read several times, so it must be a table or otherwise give its rows in the same partitions each time.
+    The rows are numbered once and written with their numbers, as a second scan may deal them to other partitions.
     """
-    numbered = docs.select(F.monotonically_increasing_id().alias("__n"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    rows = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("__n"), rows), "numbered")
     source = numbered.select("__n", F.col("__row")[doc_id].alias("__id"), F.col("__row")[text].alias("__text"))
     made = written(prints(source, "__text", ("__n", "__id")), "prints")
     place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__n").alias("n"))

@@ -426,6 +426,23 @@ def test_near_pair_of_far_fingerprints(spark):
         assert shard.add(simhash.fingerprint(five), near_dedup.sketch_of(five)) == [0]
 
 
+def test_near_dedup_when_partitions_change(spark, tmp_path):
+    """Files that are dealt to other partitions in a later scan."""
+    texts = [f"one text of its own with number {i} and some words more {i * i}" for i in range(40)] + [f"copied text of words {i % 5} that stands here again" for i in range(20)]
+    at = str(tmp_path / "docs")
+    spark.createDataFrame(rows_of(texts), DOCS).repartition(8).write.parquet(at)
+    keys = ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        spark.conf.set(keys[2], "8")
+        out = near_dedup.deduplicate(spark.read.parquet(at))
+        spark.conf.set(keys[2], "1")
+        assert sorted(r.doc_id for r in out.collect()) == list(range(45))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_hot_group_of_near_copies_stays_cheap():
     """Copies that are alike by some 0.82: near the bound, where the sketch alone decides nothing."""
     rng = np.random.default_rng(5)
