@@ -47,7 +47,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, those of small sources more than once, up to one and a half times on average."""
-    return mixing.mix(docs, limit=1.5).select(*(F.col(f"`{c}`") for c in docs.columns))
+    order = ("__at", "__block", "__place")  # the block permutations, which the written files are to hold
+    mixed = mixing.mix(docs, limit=1.5).repartitionByRange(*order).sortWithinPartitions(*order)
+    return mixed.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

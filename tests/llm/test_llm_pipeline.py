@@ -55,3 +55,21 @@ def test_stages_keep_columns_and_edges(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_mixture_files_hold_the_permutation(spark, tmp_path):
+    from glob import glob
+
+    import pyarrow.parquet as pq
+
+    from lumenfold.llm import mixing
+
+    rows = [(i, " ".join(["word"] * 300), "en", f"s{i % 2}") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    corpus_pipeline.mix_sources(spark, docs, "").write.parquet(str(tmp_path / "out"))
+    got = [(r["doc_id"], r["source"]) for f in sorted(glob(str(tmp_path / "out" / "part-*"))) for r in pq.read_table(f).to_pylist()]
+    mixed = mixing.mix(docs, limit=1.5).collect()
+    for s in ("s0", "s1"):
+        want = [r.doc_id for r in sorted(mixed, key=lambda r: (r["__at"], r["__block"], r["__place"])) if r.source == s]
+        assert want and [i for i, x in got if x == s] == want
