@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 #: A-Z to a-z on UTF-8 bytes; every other byte stays, so multi-byte characters are untouched.
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -32,15 +32,26 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def schema_of(df: DataFrame, keep: tuple[str, ...], *more: str) -> StructType:
-    """df's own fields named in keep, whatever their types, and those of DDL texts after them."""
-    return StructType([*(df.schema[k] for k in keep), *StructType.fromDDL(", ".join(more)).fields])
+def carried(docs: DataFrame, keep: tuple[str, ...], text: str, made: str) -> tuple[DataFrame, tuple[str, ...], StructType]:
+    """The columns of keep and, last, the text; their names; the schema of them and of made, the DDL of the columns to come.
+    A kept column with the name of one of those is called NAME_kept, so no name clashes."""
+    new = StructType.fromDDL(made).fields
+    taken = {f.name.lower() for f in new}
+    names = tuple(f"{k}_kept" if k.lower() in taken else k for k in keep)
+    kept = [StructField(n, docs.schema[k].dataType) for k, n in zip(keep, names, strict=True)]
+    return docs.select(*(F.col(f"`{k}`").alias(n) for k, n in zip(keep, names, strict=True)), F.col(f"`{text}`").alias("__text")), names, StructType([*kept, *new])
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow with small batches, so that a worker never holds many long texts at once."""
+    """mapInArrow with small batches, so that a worker never holds many long texts at once. All operators of this
+    subpackage leave the session at the same batch size, so a plan's doesn't depend on what ran before."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()  # a worker waits for its next task with less
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lean, schema)
 
 
 def unit(h: Column) -> Column:
@@ -70,11 +81,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lumenfold/{name}-{uuid.uuid4().hex}"
 
 
+#: Deletes a statement's shuffle files when it ends, and not when the driver's collector comes to it.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    at = scratch(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors. The shuffles that
+    made it are deleted then, as no later plan reads them."""
+    spark = df.sparkSession
+    at, before = scratch(spark, name), spark.conf.get(CLEAN_SHUFFLES)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(at)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(at)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import fold, map_batches, schema_of, unit
+from lumenfold.llm.common import carried, fold, map_batches, unit
 
 ORDER = 4
 SAMPLE_DOCS = 400
@@ -238,7 +238,8 @@ def calibrate(model: Model, held: list[tuple[str, str]]) -> None:
 
 
 def predict(docs: DataFrame, model: Model, reject: bool = True, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, lang_pred, score, entropy (bits a character of the language that is nearest)."""
+    """keep columns (one named as those to come: NAME_kept), lang_pred, score, entropy (bits a character of the language that is nearest)."""
+    rows, keep, schema = carried(docs, keep, text, "lang_pred string, score double, entropy double")
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +248,7 @@ def predict(docs: DataFrame, model: Model, reject: bool = True, text: str = "tex
             langs, score, least = scorer.judge(batch.column(batch.num_columns - 1).to_pylist(), reject)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(least, pa.float64(), from_pandas=True)], [*keep, "lang_pred", "score", "entropy"])
 
-    return map_batches(docs.select(*keep, F.col(text).alias("__text")), run, schema_of(docs, keep, "lang_pred string", "score double", "entropy double"))
+    return map_batches(rows, run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import map_batches, schema_of
+from lumenfold.llm.common import carried, map_batches
 
 #: A leaf: to a line end, a sentence end or a word end after one of a few letters; at most 160 characters.
 LEAF = re.compile(r"(?:[^\n]{12,160}?(?:[.!?;:|$#%&*][ ]|[dry][ ,]|\n)|[^\n]{1,160}\n?|\n)")
@@ -96,13 +96,14 @@ def likeness(a: str, b: str) -> float:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, fingerprint."""
+    """keep columns (one named fingerprint: fingerprint_kept), fingerprint."""
+    rows, keep, schema = carried(docs, keep, text, "fingerprint string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([Tree(t.as_py() or "").fingerprint() for t in batch.column(batch.num_columns - 1)], pa.string())], [*keep, "fingerprint"])
 
-    return map_batches(docs.select(*keep, F.col(text).alias("__text")), run, schema_of(docs, keep, "fingerprint string"))
+    return map_batches(rows, run, schema)
 
 
 BUCKET_ROWS = 2000  # rows of one range of ids, about

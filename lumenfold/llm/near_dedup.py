@@ -1,20 +1,22 @@
-"""Near-duplicate removal: SimHash fingerprints in BK-trees, sharded by minima of word shingles, with an exact check.
+"""Near-duplicate removal: SimHash fingerprints in BK-trees, sharded by minima of word shingles, decided on whole sets.
 
 Texts are near where the Jaccard similarity of their sets of five-word shingles is ``SIMILARITY`` or more. At 0.8 the
 fingerprints of such texts differ in some ten bits, for which shards of agreeing bit blocks would be far too many; so
 shards come from the shingles: ``BANDS`` keys of ``ROWS`` minima each, of which near texts share one but for a chance
-of (1 - 0.8 ** 2) ** 10, or 4 in 100,000. In a shard, a BK-tree over the fingerprints (of the different
-shingles, as similarity is over sets) finds those within ``RADIUS``: at 0.8 a bit differs with a chance of 0.15, and of 0.19
-for the worst small sets (4 against 5 shingles), so that over 30 of 64 differ once in a million pairs at most; a sketch
-of the shingles sorts out most of the rest; each new text gets links to the groups that it joins, not to all their
-members; and the links are then checked on the whole shingle sets. Groups in a shard rest on estimates, so shards with a
-link that the check rejects are searched again, with the groups that are certain by then and without the rejected
-pairs, until no link is left to check.
+of (1 - 0.8 ** 2) ** 10, or 4 in 100,000. Shards of one text are left out before anything else moves. In a shard, a
+BK-tree over the fingerprints (of the different shingles, as similarity is over sets) finds those within ``RADIUS``: at
+0.8 a bit differs with a chance of 0.15, and of 0.19 for the worst small sets (4 against 5 shingles), so that over 30 of
+64 differ once in a million pairs at most. What it finds is decided there and then on the whole shingle sets, until a
+text has a link to each group of the shard that it joins, or none of the group's texts is near. No candidate is left out.
+
+Two rounds: the first searches the shards of ``FIRST`` keys. What it links needs no more links, so the second searches
+only those shards of the other keys whose texts are not all in one group by then.
 
 Groups of thousands of near copies: equal texts are one node to start with; a new text is first held against the texts
 that most others were linked to, and branches of the tree that lie wholly in groups it has joined are not entered. So
-the work in a shard grows with its size times few. In a round a text gets one link to each group that it likely joins, and
-links to the likeliest of the groups near the bound; what is held back comes in later rounds, four times as much in each.
+the work in a shard grows with its size times few. A shard whose sets take over ``BLOCK_BYTES`` is cut into blocks, a tree
+each; in the second round those of its texts that are outside its largest group go to all its blocks, so that no pair of
+different groups is left out and no task holds a whole shard.
 
 Edge cases: null, empty and wordless texts are one group; texts of fewer words than a shingle are near only to equal
 ones; of a group the row of the least id stays (null ids last, then by place), of repeated rows one; all columns stay.
@@ -30,26 +32,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import ascii_words, map_batches, schema_of, written
+from lumenfold.llm.common import ascii_words, carried, map_batches, written
 from lumenfold.llm.components import components
 from lumenfold.llm.simhash import fingerprint, hashed, shingles
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 30
-BANDS, ROWS, BINS = 10, 2, 256
-HUBS, UNSURE_EACH, FASTER = 32, 16, 4  # UNSURE_EACH: groups near the bound that a text tries in the first round
-ERRORS = 3  # of the sketch, below the bound
+BANDS, ROWS, FIRST = 10, 2, 2
+HUBS, AT_ONCE = 32, 64  # AT_ONCE: sets that are held against a new one in one step
+BLOCK_BYTES = 32 << 20
 _random = np.random.default_rng(6)
 FACTORS = _random.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 SHIFT = np.uint64(17)
 
 
-def sketch_of(unique: np.ndarray) -> np.ndarray:
-    """For each bin of the hashes eight bits of its least one, 1 to 255; 0 for an empty bin."""
-    least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, (unique & np.uint64(BINS - 1)).astype(np.int64), unique >> np.uint64(8))
-    return np.where(least == np.iinfo(np.uint64).max, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-
-
 def keys_of(unique: np.ndarray) -> np.ndarray:
     """A key a band, of ROWS minima under different multiplications."""
     least = np.array([((unique * f) ^ ((unique * f) >> SHIFT)).min() for f in FACTORS]).reshape(BANDS, ROWS)
@@ -60,42 +55,61 @@ def keys_of(unique: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """keep columns, same (equal for texts of the same words), fp, sketch, keys (null where no text but an equal one is near)."""
+    """keep columns, same (equal for texts of the same words), n (different shingles), keys (null where no text but an equal one is near)."""
+    rows, keep, schema = carried(docs, keep, text, "same long, n long, keys array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, fps, sketches, keys = [], [], [], []
+            same, sizes, keys = [], [], []
             for t in batch.column(batch.num_columns - 1):
                 words = ascii_words(t.as_py())
                 same.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
-                u = np.unique(hashed(shingles(words, WORDS)))
-                fps.append(fingerprint(u))
-                if len(words) < WORDS:
-                    sketches.append(None)
-                    keys.append(None)
-                else:
-                    sketches.append(sketch_of(u).tobytes())
-                    keys.append(keys_of(u).view(np.int64).tolist())
-            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], long(same), long(fps), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], [*keep, "same", "fp", "sketch", "keys"])
+                u = set_of(words)
+                sizes.append(len(u))
+                keys.append(None if len(words) < WORDS else keys_of(u).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], [*keep, "same", "n", "keys"])
+
+    return map_batches(rows, run, schema)
+
+
+def set_of(words: list[bytes]) -> np.ndarray:
+    """The different shingles' hashes in order."""
+    return np.unique(hashed(shingles(words, WORDS)))
+
 
-    return map_batches(docs.select(*keep, F.col(text).alias("__text")), run, schema_of(docs, keep, "same long, fp long, sketch binary, keys array<long>"))
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """texts: same, text, one row a node. Returns same, fp, set (packed hashes in order)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [set_of(ascii_words(t.as_py())) for t in batch.column(1)]
+            fps = np.array([fingerprint(u) for u in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([u.tobytes() for u in sets], pa.binary())], ["same", "fp", "set"])
+
+    return map_batches(texts.select("same", "text"), run, "same long, fp long, set binary")
+
+
+def overlaps(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the others (none empty) shares with own; all are in order."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    return np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
 
 
 class Shard:
-    """A BK-tree of fingerprints whose nodes know their group, and the sketches that decide on links."""
+    """A BK-tree of fingerprints whose nodes know their group and their shingle set."""
 
     def __init__(self, similarity: float = SIMILARITY, radius: int = RADIUS):
         self.similarity, self.radius = similarity, radius
         self.fp: list[int] = []
+        self.sets: list[np.ndarray] = []
         self.children: list[dict[int, int]] = []
         self.whole: list[int] = []  # a node of the group that all of the branch is in, or -1
         self.group: list[int] = []
         self.hits: list[int] = []
         self.hubs: list[int] = []
-        self.labels: dict[int, int] = {}  # a node of each certain group
-        self.held_back = False  # whether the last node has groups that it got no link to
-        self.sketches = np.zeros((16, BINS), np.uint8)
+        self.labels: dict[int, int] = {}  # a node of each group that was known before
 
     def root(self, at: int) -> int:
         while self.group[at] != at:
@@ -114,51 +128,34 @@ class Shard:
             todo += [c for edge, c in self.children[at].items() if d - self.radius <= edge <= d + self.radius]
         return out
 
-    def likeness(self, sketch: np.ndarray, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """The estimated similarity to each node, and its standard error near the bound."""
-        rows = self.sketches[at]
-        either = np.maximum(((rows | sketch) != 0).sum(1), 1)
-        return ((rows == sketch) & (rows != 0)).sum(1) / either, np.sqrt(self.similarity * (1 - self.similarity) / either)
-
-    def add(self, value: int, sketch: np.ndarray, label: int | None = None, rejected: frozenset[int] = frozenset(), pace: int = 1) -> list[int]:
-        """Adds a node, of a certain group if it has a label; returns the nodes it is to be linked to, no rejected one."""
+    def add(self, value: int, own: np.ndarray, label: int | None = None) -> list[int]:
+        """Adds a node, of a known group if it has a label; returns a near node of each other group that it joins."""
         new = len(self.fp)
-        found: dict[int, list[tuple[float, int, bool]]] = {}
-        own = self.root(self.labels[label]) if label in self.labels else -1
-        joined: set[int] = {own} - {-1}
-
-        def consider(at: list[int]) -> None:
-            if not at:
-                return
-            like, error = self.likeness(sketch, at)
-            for i in np.flatnonzero(like >= self.similarity - ERRORS * error):
-                r = self.root(at[i])
-                if at[i] in rejected or r == own:
+        joined = {self.root(self.labels[label])} if label in self.labels else set()
+        links: list[int] = []
+
+        def consider(at: list[int], step: int) -> None:
+            size, bound = len(own), self.similarity
+            at = [n for n in at if bound * size <= len(self.sets[n]) + 1e-9 and bound * len(self.sets[n]) <= size + 1e-9]
+            for k in range(0, len(at), step):
+                some = [n for n in at[k : k + step] if self.root(n) not in joined]
+                if not some:
                     continue
-                found.setdefault(r, []).append((float(like[i]), at[i], bool(like[i] >= self.similarity + 2 * error[i])))
-                if found[r][-1][2]:
-                    joined.add(r)
-
-        consider(self.hubs)
-        near = self.near(value, joined)
-        for k in range(0, len(near), 4096):
-            consider([n for n in near[k : k + 4096] if self.root(n) not in joined])
-        # One link to each group with a text that is likely near; of the others the likeliest, whose check decides.
-        best = sorted(((max(many), r) for r, many in found.items()), reverse=True)
-        sure = [many[1] for many, r in best if r in joined]
-        unsure = [r for _, r in best if r not in joined]
-        self.held_back = len(unsure) > UNSURE_EACH * pace
-        links, at = sure + [n for r in unsure[: UNSURE_EACH * pace] for _, n, _ in sorted(found[r], reverse=True)[:pace]], 0
-        if new == len(self.sketches):
-            self.sketches = np.concatenate([self.sketches, np.zeros_like(self.sketches)])
-        self.sketches[new] = sketch
+                for n, both in zip(some, overlaps(own, [self.sets[n] for n in some]).tolist(), strict=True):
+                    if both >= bound * (size + len(self.sets[n]) - both) - 1e-9 and self.root(n) not in joined:
+                        joined.add(self.root(n))
+                        links.append(n)
+
+        consider(sorted(self.hubs, key=self.hits.__getitem__, reverse=True), 4)
+        consider(self.near(value, joined), AT_ONCE)
         self.fp.append(value)
+        self.sets.append(own)
         self.children.append({})
         self.group.append(new)
         self.whole.append(new)
         self.hits.append(0)
-        for n in [*sure, own] if own >= 0 else sure:
-            self.group[self.root(n)] = self.root(new)
+        for r in joined:
+            self.group[r] = new
         if label is not None:
             self.labels[label] = new
         for n in links:
@@ -167,8 +164,9 @@ class Shard:
                 self.hubs.append(n)
                 if len(self.hubs) > HUBS:
                     self.hubs.remove(min(self.hubs, key=self.hits.__getitem__))
+        at = 0
         while new:  # down to its place; the branches on the way now hold it
-            if self.whole[at] >= 0 and self.root(self.whole[at]) != self.root(new):
+            if self.whole[at] >= 0 and self.root(self.whole[at]) != new:
                 self.whole[at] = -1
             d = (self.fp[at] ^ value).bit_count()
             if d not in self.children[at]:
@@ -178,99 +176,49 @@ class Shard:
         return links
 
 
-def candidate_links(nodes: DataFrame, similarity: float, radius: int, again: tuple[DataFrame, DataFrame, DataFrame] | None = None, pace: int = 1) -> DataFrame:
-    """nodes: same, fp, sketch, keys. Returns a, b; both the same for a node that was held back.
-
-    again: the shards to search (band, key), what is certain of nodes (same, label), and pairs rejected (a, b).
-    """
-    band = F.posexplode("keys").alias("band", "key")
-    some = nodes.filter("keys IS NOT NULL")
-    if again:
-        shards, labels, rejected = again
-        not_near = rejected.groupBy(F.col("b").alias("same")).agg(F.collect_set("a").alias("rejected"))  # b comes after a in a shard
-        known = some.select("same", band).join(shards, ["band", "key"], "left_semi").join(some.select("same", "fp", "sketch"), "same")
-        spread = known.join(labels, "same", "left").join(not_near, "same", "left").select("same", "fp", "sketch", "band", "key", "label", "rejected")
-    else:
-        spread = some.select("same", "fp", "sketch", band, F.lit(None).cast("long").alias("label"), F.lit(None).cast("array<long>").alias("rejected"))
+def tree_links(rows: DataFrame, sets: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """rows: band, key, block, same, label. Returns a, b: near nodes that connect what chains of near ones in a block connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, first, shard, names, order = None, None, None, {}, []
+        now, shard, order = None, None, []
         for batch in batches:
-            same, fp, band, key, label = (batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5))
-            sketches, rejected = batch.column(2), batch.column(6)
+            band, key, block, same, label, fp = (batch.column(i).to_pylist() for i in range(6))
             a, b = [], []
-
-            def add(i: int) -> tuple:
-                return same[i], fp[i] & (2**64 - 1), np.frombuffer(sketches[i].as_py(), np.uint8), label[i]  # noqa: B023
-
-            for i in range(len(same)):
-                if (band[i], key[i]) != now:
-                    now, first, shard, names, order = (band[i], key[i]), add(i), None, {}, []
-                    continue  # most shards have one text: no tree for those
-                if shard is None:
-                    shard = Shard(similarity, radius)
-                    shard.add(*first[1:])
-                    names[first[0]] = 0
-                    order.append(first[0])
-                links = shard.add(*add(i)[1:], frozenset(names[x] for x in rejected[i].as_py() or () if x in names), pace)
-                a += [same[i]] * (len(links) + shard.held_back)
-                b += [order[n] for n in links] + [same[i]] * shard.held_back
-                names[same[i]] = len(order)
+            for i, raw in enumerate(batch.column(6)):
+                if (band[i], key[i], block[i]) != now:
+                    now, shard, order = (band[i], key[i], block[i]), Shard(similarity, radius), []
+                links = shard.add(fp[i] & (2**64 - 1), np.frombuffer(raw.as_py(), np.uint64), label[i])
+                a += [same[i]] * len(links)
+                b += [order[n] for n in links]
                 order.append(same[i])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    n = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = spread.repartition(n, "band", "key").sortWithinPartitions("band", "key", "same").mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def checked(links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """a, b, near: whether the whole shingle sets of the links are. texts: same, text, one row a node."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("same")).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(hashed(shingles(ascii_words(t.as_py()), WORDS))).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["same", "set"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(bool(both >= similarity * (len(p) + len(q) - both) - 1e-9))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], ["a", "b", "near"])
-
-    sets = written(map_batches(texts.join(ends, "same", "left_semi").select("same", "text"), run, "same long, set binary"), "shingle-sets")
-    pairs = links.join(sets.select(F.col("same").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("same").alias("b"), F.col("set").alias("y")), "b")
-    return map_batches(pairs.select("a", "b", "x", "y"), compare, "a long, b long, near boolean")
+    place = ["band", "key", "block"]
+    whole = rows.join(sets, "same").select(*place, "same", "label", "fp", "set")
+    return map_batches(whole.repartition(*place).sortWithinPartitions(*place, "same"), run, "a long, b long")
 
 
 def near_groups(nodes: DataFrame, chosen: DataFrame, source: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """u, root of nodes in groups. chosen: same, __n of each node; source: __n, __text.
-
-    A shard whose links all pass has nothing left: each near pair in it is linked over texts that were checked. The others are
-    searched again; each round settles pairs, so the rounds end.
-    """
-    passed, rejected, again, pace = None, None, None, 1
-    while True:
-        found = written(candidate_links(nodes, similarity, radius, again, pace), "links")
-        links, held = found.filter("a <> b"), found.filter("a = b")
-        ends = chosen.join(links.select(F.explode(F.array("a", "b")).alias("same")).distinct(), "same", "left_semi")
-        texts = source.join(ends, "__n").select("same", F.col("__text").alias("text"))
-        verdicts = written(checked(links, texts, similarity), "verdicts")
-        near, far = verdicts.filter("near").select("a", "b"), verdicts.filter("NOT near").select("a", "b")
-        passed, rejected = (near, far) if passed is None else (passed.unionByName(near), rejected.unionByName(far))
-        roots = components(passed)
-        unsettled = far.unionByName(held)
-        if unsettled.isEmpty():
-            return roots
-        labels = roots.select(F.col("u").alias("same"), F.col("root").alias("label")).unionByName(roots.select(F.col("root").alias("same"), F.col("root").alias("label")).distinct())
-        keys = nodes.select("same", "keys")
-        both = unsettled.join(keys.select(F.col("same").alias("a"), F.col("keys").alias("x")), "a").join(keys.select(F.col("same").alias("b"), F.col("keys").alias("y")), "b")
-        shared = both.select(F.posexplode(F.arrays_zip("x", "y")).alias("band", "k")).filter("k.x = k.y")
-        again, pace = (written(shared.select("band", F.col("k.x").alias("key")).distinct(), "shards"), labels, rejected), pace * FASTER
+    """u, root of nodes in groups. nodes: same, n, keys; chosen: same, __n of each node; source: __n, __text."""
+    spread = nodes.filter("keys IS NOT NULL").select("same", "n", F.posexplode("keys").alias("band", "key"))
+    shared = spread.groupBy("band", "key").agg(F.count("*").alias("m"), F.sum("n").alias("size")).filter("m > 1")
+    blocks = F.ceil(8 * F.col("size") / BLOCK_BYTES).cast("int").alias("blocks")
+    members = written(spread.join(shared.select("band", "key", blocks), ["band", "key"]).select("band", "key", "blocks", "same"), "members")
+    ends = chosen.join(members.select("same").distinct(), "same", "left_semi")
+    sets = written(shingle_sets(source.join(ends, "__n").select("same", F.col("__text").alias("text"))), "shingle-sets")
+    own = F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int")
+    first = members.filter(F.col("band") < FIRST).select("band", "key", own.alias("block"), "same", F.lit(None).cast("long").alias("label"))
+    roots = components(written(tree_links(first, sets, similarity, radius), "links"))
+    known = members.join(roots.withColumnRenamed("u", "same"), "same", "left").withColumn("label", F.coalesce("root", "same"))
+    groups = known.groupBy("band", "key", "label").agg(F.count("*").alias("m")).groupBy("band", "key").agg(F.max(F.struct("m", "label"))["label"].alias("most"), F.count("*").alias("groups"))
+    open_shards = groups.filter("groups > 1").select("band", "key", "most")
+    rest = known.filter((F.col("band") >= FIRST) | (F.col("blocks") > 1)).join(open_shards, ["band", "key"])
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = F.explode(F.when(F.col("label") == F.col("most"), F.array(own)).otherwise(everywhere)).alias("block")
+    more = written(tree_links(rest.select("band", "key", dealt, "same", "label"), sets, similarity, radius), "links")
+    if more.isEmpty():
+        return roots
+    return components(more.unionByName(roots.select(F.col("u").alias("a"), F.col("root").alias("b"))))
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -284,9 +232,9 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY, radius: int = R
     made = written(prints(source, "__text", ("__n", "__id")), "prints")
     place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__n").alias("n"))
     least = written(made.groupBy("same").agg(F.min(place).alias("least")), "nodes")
-    # One row a node, that of its least place, by a join that moves no sketch of a repeated text twice.
+    # One row a node, that of its least place.
     chosen = least.select("same", F.col("least.n").alias("__n"))
-    nodes = made.join(chosen, ["same", "__n"])
+    nodes = written(made.join(chosen, ["same", "__n"]).select("same", "n", "keys"), "keys")
     roots = near_groups(nodes, chosen, source, similarity, radius)
     rooted = least.join(roots.withColumnRenamed("u", "same"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.n").alias("__n"))

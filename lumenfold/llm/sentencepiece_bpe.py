@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import map_batches, schema_of
+from lumenfold.llm.common import carried, map_batches
 
 MARK = "▁"
 CACHED_CHARS, CACHED_SEGMENTS, CACHED_PAIRS = 48, 400_000, 1_000_000
@@ -239,13 +239,14 @@ def _codec(name: str) -> Codec:
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, ids (binary: little-endian unsigned 32-bit integers), decoded (string).
+    """keep columns (one named as those to come: NAME_kept), ids (binary: little-endian unsigned 32-bit integers), decoded (string).
 
     model is a path on the driver; the file is sent to every executor once. ``ids_array`` makes an array of ids.
     """
     spark = docs.sparkSession
     spark.sparkContext.addFile(model)
     name = os.path.basename(model)
+    rows, keep, schema = carried(docs, keep, text, "ids binary, decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name)
@@ -253,7 +254,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
             ids = [codec.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array([codec.decode(x) for x in ids], pa.string())], [*keep, "ids", "decoded"])
 
-    return map_batches(docs.select(*keep, F.col(text).alias("__text")), run, schema_of(docs, keep, "ids binary", "decoded string"))
+    return map_batches(rows, run, schema)
 
 
 def n_ids(ids: Column) -> Column:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import ascii_words, map_batches, schema_of
+from lumenfold.llm.common import ascii_words, carried, map_batches
 from lumenfold.llm.components import components
 
 SEED, BITS, KEPT = 42, 64, 4
@@ -55,14 +55,15 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns and fp: the 64 bits as a signed long."""
+    """keep columns (one named fp: fp_kept) and fp: the 64 bits as a signed long."""
+    rows, keep, schema = carried(docs, keep, text, "fp long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(hashed(shingles(ascii_words(t.as_py()), words))) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(fps, np.uint64).view(np.int64))], [*keep, "fp"])
 
-    return map_batches(docs.select(*keep, F.col(text).alias("__text")), run, schema_of(docs, keep, "fp long"))
+    return map_batches(rows, run, schema)
 
 
 class BKTree:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import least_hashed, map_batches, schema_of, written
+from lumenfold.llm.common import carried, least_hashed, map_batches, written
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
@@ -263,6 +263,7 @@ class Scorer:
 
 
 def with_logits(docs: DataFrame, net: Network, text: str, keep: tuple[str, ...]) -> DataFrame:
+    rows, keep, schema = carried(docs, keep, text, "logit double")
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(net))  # a size fixed by the network's shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +271,7 @@ def with_logits(docs: DataFrame, net: Network, text: str, keep: tuple[str, ...])
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scorer.logits(batch.column(batch.num_columns - 1).to_pylist()), pa.float64())], [*keep, "logit"])
 
-    return map_batches(docs.select(*keep, F.col(text).alias("__text")), run, schema_of(docs, keep, "logit double"))
+    return map_batches(rows, run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positive: int = POSITIVE, negative: int = NEGATIVE, text: str = "text", doc_id: str = "doc_id") -> Network:
@@ -321,8 +322,9 @@ def calibrate(net: Network, logit: np.ndarray, label: np.ndarray, rounds: int =
 
 
 def predict(docs: DataFrame, net: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, score, predicted."""
+    """keep columns (one named score, predicted or logit: NAME_kept), score, predicted."""
+    rows, keep, _ = carried(docs, keep, text, "logit double, score double, predicted int")
     if not net.trained:
-        return docs.select(*keep, F.lit(UNTRAINED).alias("score"), F.lit(0).alias("predicted"))
-    scored = with_logits(docs, net, text, keep).select(*keep, (1 / (1 + F.exp(-(F.col("logit") * net.slope + net.shift)))).alias("score"))
+        return rows.select(*keep, F.lit(UNTRAINED).alias("score"), F.lit(0).alias("predicted"))
+    scored = with_logits(rows, net, "__text", keep).select(*keep, (1 / (1 + F.exp(-(F.col("logit") * net.slope + net.shift)))).alias("score"))
     return scored.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))
