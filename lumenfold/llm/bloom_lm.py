@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import ascii_words, map_batches, schema_of, written
+from lumenfold.llm.common import ROWS_PER_BATCH, ascii_words, carried, map_batches, written
 
 END = b""  # no word is empty
 SHARE, D = 0.5, 0.5
@@ -161,6 +161,16 @@ def unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.pad(np.frombuffer(raw, np.uint8).reshape(-1, n), ((0, 0), (0, 8 - n))).view(np.uint64).reshape(-1)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The low bytes of all, then the next ones, and so on: small numbers become runs of zeros, which compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def unplaned(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
 def dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each part that occurs, and the places of its elements in their order."""
     order = np.argsort(part, kind="stable")
@@ -195,13 +205,13 @@ def dealt_counts(train: DataFrame, text: str, n_parts: int) -> DataFrame:
         def words_out() -> pa.RecordBatch:
             some = np.flatnonzero(seen)
             h, n = hashes[some], seen[some].astype(np.uint32)
-            return rows_of([(n_parts + p, None, WORDS, 0, h[at].tobytes(), n[at].tobytes()) for p, at in dealt(part_of(head_of(h), n_parts))])
+            return rows_of([(n_parts + p, None, WORDS, 0, planes(h[at]), planes(n[at])) for p, at in dealt(part_of(head_of(h), n_parts))])
 
         def pairs_out() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
             n = n.astype(np.uint32)
             held.clear()
-            return rows_of([(p, None, FILTER, 0, h[at].tobytes(), n[at].tobytes()) for p, at in dealt(part_of(h, n_parts))])
+            return rows_of([(p, None, FILTER, 0, planes(h[at]), planes(n[at])) for p, at in dealt(part_of(h, n_parts))])
 
         for batch in batches:
             if len(known) > WORDS_BOUND:
@@ -231,7 +241,10 @@ def dealt_counts(train: DataFrame, text: str, n_parts: int) -> DataFrame:
 def written_at_once(df: DataFrame, name: str, rows_per_batch: int) -> DataFrame:
     """written(), with fewer rows sent to a worker at once, as one row holds many packed ones."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
-    return written(df, name)
+    try:
+        return written(df, name)
+    finally:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
 def by_part(rows: DataFrame, n_parts: int) -> DataFrame:
@@ -264,7 +277,7 @@ def train_model(train: DataFrame, text: str = "text") -> tuple[DataFrame, dict]:
 
     def part_out(part: int, h: np.ndarray, n: np.ndarray) -> list[tuple]:
         if part >= n_parts:
-            return [(part, None, WORDS, 0, h.tobytes(), n.tobytes(), int(n.sum()), len(h))]
+            return [(part, None, WORDS, 0, planes(h), planes(n), int(n.sum()), len(h))]
         f = filled(keys_of(h), levels_of(n))
         heads, kinds = np.unique(head_of(h), return_counts=True)
         to = dealt(part_of(heads, n_parts))
@@ -284,8 +297,8 @@ def train_model(train: DataFrame, text: str = "text") -> tuple[DataFrame, dict]:
                     if hs:
                         yield out()
                     now, hs, ns, held = part, [], [], 0
-                hs.append(np.frombuffer(a.as_py(), np.uint64))
-                ns.append(np.frombuffer(b.as_py(), np.uint32).astype(np.int64))
+                hs.append(unplaned(a.as_py(), np.uint64))
+                ns.append(unplaned(b.as_py(), np.uint32).astype(np.int64))
                 held += len(hs[-1])
                 if held > PAIRS_HELD:
                     h, n = summed(np.concatenate(hs), np.concatenate(ns))
@@ -296,7 +309,6 @@ def train_model(train: DataFrame, text: str = "text") -> tuple[DataFrame, dict]:
     made = map_batches(by_part(dealt_counts(train, text, n_parts), n_parts), run, ROWS + ", tokens long, words long")
     model = written_at_once(made, "language-model", 128)
     n, v = model.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    train.sparkSession._jvm.System.gc()  # lets Spark delete the shuffle of the counts
     return model, {"n": n, "v": v, "n_parts": n_parts}
 
 
@@ -312,7 +324,7 @@ class Part:
         if kind == FILTER:
             self.filter = Filter(blocks, np.frombuffer(a, np.uint8))
         elif kind == WORDS:
-            self.words.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)))
+            self.words.append((unplaned(a, np.uint64), unplaned(b, np.int64)))
         else:
             self.followers.append((unpacked(a, HEAD_BYTES), np.frombuffer(b, np.int32).astype(np.int64)))
 
@@ -332,12 +344,12 @@ class Part:
 
     def pair_levels(self, raw: bytes) -> bytes:
         keys = unpacked(raw, KEY_BYTES)
-        return (self.filter.level(keys) if self.filter else np.zeros(len(keys))).astype(np.uint16).tobytes()
+        return planes((self.filter.level(keys) if self.filter else np.zeros(len(keys))).astype(np.uint16))
 
     def word_counts(self, raw: bytes) -> tuple[bytes, bytes]:
         self.merge()
-        h = np.frombuffer(raw, np.uint64)
-        return self.found(self.words[0], h).tobytes(), self.found(self.followers[0], head_of(h)).tobytes()
+        h = unplaned(raw, np.uint64)
+        return planes(self.found(self.words[0], h)), planes(self.found(self.followers[0], head_of(h)))
 
 
 class Asked:
@@ -358,24 +370,25 @@ class Asked:
     def rows(self, chunk: int) -> list[tuple]:
         keys = keys_of(self.pairs)
         pairs = [(p, chunk, ASKED, 0, packed(keys[to], KEY_BYTES), None) for p, to in self.pair_parts]
-        return pairs + [(p, chunk, ASKED, 0, self.words[to].tobytes(), None) for p, to in self.word_parts]
+        return pairs + [(p, chunk, ASKED, 0, planes(self.words[to]), None) for p, to in self.word_parts]
 
     def answers(self, got: dict[int, tuple[bytes, bytes | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each pair's level, each word's count and number of followers; 0 for what no part knows."""
         level, c, followers = np.zeros(len(self.pairs), np.int64), np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
         for p, to in self.pair_parts:
-            level[to] = np.frombuffer(got[p][0], np.uint16)
+            level[to] = unplaned(got[p][0], np.uint16)
         for p, to in self.word_parts:
-            c[to], followers[to] = (np.frombuffer(x, np.int64) for x in got[p])
+            c[to], followers[to] = (unplaned(x, np.int64) for x in got[p])
         return level, c, followers
 
 
 def score(docs: DataFrame, parts: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, n_tokens, n_known, train_tokens, base_score, score of every row.
+    """keep columns, n_tokens, n_known, train_tokens, base_score, score of every row (a kept column of such a name: NAME_kept).
 
     The texts are written once in chunks of a batch each, so that a chunk that gets its answers is the one that asked.
     """
     n, v, n_parts = model["n"], model["v"], model["n_parts"]
+    rows, keep, schema = carried(docs, keep, text, "n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,7 +410,7 @@ def score(docs: DataFrame, parts: DataFrame, model: dict, text: str = "text", ke
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, Part()
         for batch in batches:
-            rows = []
+            out = []
             for i, (part, chunk, kind, blocks) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
                 if part != now:
                     now, held = part, Part()
@@ -405,10 +418,10 @@ def score(docs: DataFrame, parts: DataFrame, model: dict, text: str = "text", ke
                 if kind != ASKED:
                     held.take(kind, blocks, a, b)
                 elif part < n_parts:
-                    rows.append((part, chunk, kind, 0, held.pair_levels(a), None))
+                    out.append((part, chunk, kind, 0, held.pair_levels(a), None))
                 else:
-                    rows.append((part, chunk, kind, 0, *held.word_counts(a)))
-            yield rows_of(rows)
+                    out.append((part, chunk, kind, 0, *held.word_counts(a)))
+            yield rows_of(out)
 
     def judged(data: bytes, got: dict[int, tuple[bytes, bytes | None]]) -> pa.RecordBatch:
         texts = texts_of(data)
@@ -440,13 +453,12 @@ def score(docs: DataFrame, parts: DataFrame, model: dict, text: str = "text", ke
         if now is not None:
             yield judged(data, got)
 
-    source = map_batches(docs.select(*keep, F.col(text).alias("__text")), pack, "data binary")
+    source = map_batches(rows, pack, "data binary")
     chunks = written(source.select(F.monotonically_increasing_id().alias("chunk"), "data"), "chunks")
     asked = map_batches(chunks, ask, ROWS)
     known = parts.select(*asked.columns)
     answers = written_at_once(map_batches(by_part(known.unionByName(asked), n_parts), answer, ROWS), "answers", 32)
-    docs.sparkSession._jvm.System.gc()  # lets Spark delete the shuffle of the questions
     own = chunks.select(F.lit(-1).cast("long").alias("part"), "chunk", F.lit(ASKED).alias("kind"), F.lit(0).cast("long").alias("blocks"), F.col("data").alias("a"), F.lit(None).cast("binary").alias("b"))
     n_tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = own.unionByName(answers).repartition(n_tasks, "chunk").sortWithinPartitions("chunk", "part")
-    return map_batches(met, judge, schema_of(docs, keep, "n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+    return map_batches(met, judge, schema)
