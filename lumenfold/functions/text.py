@@ -133,19 +133,26 @@ def _words(lower: Column) -> Column:
     return F.regexp_extract_all(lower, F.lit(r"((?<![\p{L}\p{N}_])[a-z0-9]++(?![\p{L}\p{N}_]))"), F.lit(1))
 
 
+def whole_words(c: Column) -> Column:
+    """Lower-cased words as they stand, camel case unsplit."""
+    return _words(F.lower(F.coalesce(c, F.lit(""))))
+
+
 def split_words(c: Column) -> Column:
     text = F.coalesce(c, F.lit(""))
     return _words(F.replace(F.lower(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")), F.lit("-"), F.lit(" ")))
 
 
 def bigrams(words: Column) -> Column:
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: F.concat(a, F.lit("_"), b))
-    return F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))
+    """Neighbouring words with _ between. Words hold no space, so one replacement over their line makes all pairs at
+    once, where a lambda would be called for each."""
+    pairs = F.split(F.regexp_replace(F.array_join(words, " "), "([^ ]+) (?=([^ ]+))", "$1_$2 "), " ")
+    return F.when(F.size(words) > 1, F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
 
 
 def terms(c: Column) -> Column:
     """Distinct terms in order: words with camel case split, words as they are, pairs of the first."""
-    read = F.struct(split_words(c).alias("split"), _words(F.lower(F.coalesce(c, F.lit("")))).alias("whole"))
+    read = F.struct(split_words(c).alias("split"), whole_words(c).alias("whole"))
     # The lambda's argument is computed once, where a repeated expression would tokenize once for each of its places.
     return F.transform(F.array(read), lambda r: F.array_distinct(F.concat(r["split"], r["whole"], bigrams(r["split"]))))[0]
 

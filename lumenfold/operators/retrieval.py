@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text
+from lumenfold.session import spread, stored
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 0.01
 RRF_K = 60
@@ -29,10 +30,17 @@ def ranked(scores: DataFrame, order: list[Column], top_k: int | None = None, to:
 
 
 def lexical_terms(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, doc_pos, terms, n_terms."""
+    """doc_id, doc_pos, terms, n_terms. Documents that have their terms already (``index``) are taken as they are."""
+    if "terms" in docs.columns and "n_terms" in docs.columns:
+        return docs.select("doc_id", "doc_pos", "terms", "n_terms")
     return docs.select("doc_id", "doc_pos", text.terms(F.col(text_col)).alias("terms")).withColumn("n_terms", F.size("terms"))
 
 
+def index(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents' terms as a table of the shared folder: texts are tokenized once, whatever is asked of them after."""
+    return stored(lexical_terms(spread(docs), text_col))
+
+
 def idf(docs: DataFrame, text_col: str = "text", floor: float | None = IDF_FLOOR) -> DataFrame:
     """token, df, idf of every term of the documents."""
     terms = lexical_terms(docs, text_col)
@@ -79,6 +87,7 @@ def bm25_top(docs: DataFrame, queries: DataFrame, top_k: int, text_col: str = "t
     are added by one number a query and not joined. Beside the documents that share another term, only the top_k
     shortest can come into a list then, or the top_k first where the query has no such term.
     """
+    docs = docs if "terms" in docs.columns else index(docs, text_col)
     asked, hits, df = _matched(docs, queries, text_col, floor)
     stats = lexical_terms(docs, text_col).agg(F.greatest(F.coalesce(F.avg("n_terms"), F.lit(0.0)), F.lit(1.0)).alias("avg_len"))
     common = asked.join(df.filter("everywhere"), "token").groupBy("query_id").agg(F.sum("idf").alias("u"))
@@ -124,6 +133,7 @@ def term_vectors(docs: DataFrame, inverse: bool = False, statistics_of: DataFram
 
 def term_cosine(docs: DataFrame, queries: DataFrame, top_k: int, inverse: bool = False) -> DataFrame:
     """Cosine of sparse term vectors: a join on terms. Query terms outside the documents' vocabulary don't count."""
+    docs = spread(docs)
     d = term_vectors(docs, inverse)
     vocabulary = d.select("term").distinct()
     asked = queries.select(F.col("query_id").alias("doc_id"), "text")
@@ -139,19 +149,27 @@ def term_cosine(docs: DataFrame, queries: DataFrame, top_k: int, inverse: bool =
     return ranked(scores, [F.desc("score"), F.col("doc_pos")], top_k)
 
 
-def dense_scores(docs: DataFrame, queries: DataFrame, top_k: int | None = None, normalise: bool = True) -> DataFrame:
-    """query_id, doc_id, doc_pos, score: cosine (or dot product) of every query with every document's vector.
+def _small(rows: DataFrame, row_bytes: int) -> DataFrame:
+    """Rows that are to go to the driver and all workers, once their count says that they may."""
+    n = rows.count()
+    if n * row_bytes > MAX_QUERY_BYTES:
+        raise ValueError(f"{n} rows of some {row_bytes} bytes; give them in blocks of at most {MAX_QUERY_BYTES} bytes")
+    return rows
 
-    The queries, a stated set of at most ``MAX_QUERY_BYTES``, go to all workers; documents stream past in Arrow batches as
-    one matrix product each, and with top_k only a batch's best go on.
-    """
+
+Use = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def _dense_map(docs: DataFrame, queries: DataFrame, use: Use, schema: str, normalise: bool) -> DataFrame:
+    """Documents stream past the queries in Arrow batches, one matrix product each. use gets the queries' ids, the scores
+    [queries, documents], the documents' ids and places, and returns rows of schema as columns."""
     spark = docs.sparkSession
-    rows = queries.select("query_id", F.col("vector").cast("array<double>").alias("v")).filter("v is not null").collect()
-    if not rows:
-        return spark.createDataFrame([], "query_id long, doc_id long, doc_pos long, score double")
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("v")).filter("v is not null")
+    widest = asked.agg(F.max(F.size("v"))).first()[0]
+    if not widest:
+        return spark.createDataFrame([], schema)
+    rows = _small(asked, 8 * widest + 64).collect()
     q = np.array([r.v for r in rows], np.float64)
-    if q.nbytes > MAX_QUERY_BYTES:
-        raise ValueError(f"the query vectors take {q.nbytes} bytes; give them in blocks of at most {MAX_QUERY_BYTES}")
     if normalise:
         norm = np.linalg.norm(q, axis=1, keepdims=True)
         q = np.where(norm > 0, q / np.where(norm > 0, norm, 1), 0)
@@ -167,17 +185,136 @@ def dense_scores(docs: DataFrame, queries: DataFrame, top_k: int | None = None,
             if normalise:
                 norm = np.linalg.norm(x, axis=1, keepdims=True)
                 x = x / np.where(norm > 0, norm, 1e-9)
-            s = np.round(q @ x.T, DIGITS) + 0.0
-            if top_k and top_k < len(ids):
-                order = np.lexsort((np.broadcast_to(pos, s.shape), -s), axis=1)[:, :top_k]
-            else:
-                order = np.broadcast_to(np.arange(len(ids)), s.shape)
-            who = np.repeat(np.arange(len(names)), order.shape[1])
-            what = order.ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array(ids[what]), pa.array(pos[what]), pa.array(s[who, what])], ["query_id", "doc_id", "doc_pos", "score"])
+            made = use(names, np.round(q @ x.T, DIGITS) + 0.0, ids, pos)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], [c.split()[0] for c in schema.split(", ")])
 
     vectors = docs.select(F.col("doc_id").cast("long"), F.col("doc_pos").cast("long"), F.col("vector").cast("array<double>").alias("v")).filter("v is not null")
-    return vectors.mapInArrow(run, "query_id long, doc_id long, doc_pos long, score double")
+    return vectors.mapInArrow(run, schema)
+
+
+SCORED = "query_id long, doc_id long, doc_pos long, score double"
+
+
+def dense_scores(docs: DataFrame, queries: DataFrame, top_k: int | None = None, normalise: bool = True) -> DataFrame:
+    """query_id, doc_id, doc_pos, score: cosine (or dot product) of every query with every document's vector.
+
+    The queries, a stated set of at most ``MAX_QUERY_BYTES``, go to all workers; with top_k only a batch's best go on.
+    """
+
+    def best(names: np.ndarray, s: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple:
+        if top_k and top_k < len(ids):
+            order = np.lexsort((np.broadcast_to(pos, s.shape), -s), axis=1)[:, :top_k]
+        else:
+            order = np.broadcast_to(np.arange(len(ids)), s.shape)
+        who, what = np.repeat(np.arange(len(names)), order.shape[1]), order.ravel()
+        return names[who], ids[what], pos[what], s[who, what]
+
+    return _dense_map(docs, queries, best, SCORED, normalise)
+
+
+def before(scores: np.ndarray, pos: np.ndarray, score: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many of the rows (scores, pos) stand before each (score, at) in a list of falling scores and then rising places."""
+    order = np.lexsort((pos, -scores))
+    low, pos = -scores[order], pos[order]
+    first, last = np.searchsorted(low, -score, "left"), np.searchsorted(low, -score, "right")
+    return np.array([f + np.searchsorted(pos[f:e], p) for f, e, p in zip(first.tolist(), last.tolist(), at.tolist(), strict=True)], np.int64)
+
+
+def _of_query(rows: list, *columns: str) -> dict[int, tuple]:
+    """Arrays of the columns for each query_id."""
+    out: dict[int, list] = {}
+    for r in rows:
+        out.setdefault(r["query_id"], []).append(tuple(r[c] for c in columns))
+    return {q: tuple(np.array(c) for c in zip(*held, strict=True)) for q, held in out.items()}
+
+
+def dense_ranks(docs: DataFrame, queries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """query_id, doc_id, rank in the list of all documents for the wanted pairs (a stated set), by counting what stands
+    before each: two passes over the vectors, and no list of all pairs."""
+    shared = docs.sparkSession.sparkContext.broadcast(_of_query(_small(wanted, 64).select("query_id", "doc_id").collect(), "doc_id"))
+
+    def find(names: np.ndarray, s: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple:
+        hits = [np.flatnonzero(np.isin(ids, shared.value[n][0])) if n in shared.value else np.zeros(0, np.int64) for n in names.tolist()]
+        who, what = np.repeat(np.arange(len(names)), [len(h) for h in hits]), np.concatenate(hits)
+        return names[who], ids[what], pos[what], s[who, what]
+
+    rows = _dense_map(docs, queries, find, SCORED, True).collect()  # at most the wanted pairs
+    found = docs.sparkSession.sparkContext.broadcast(_of_query(rows, "doc_id", "score", "doc_pos"))
+
+    def count(names: np.ndarray, s: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple:
+        out = [(np.full(len(w[0]), n), w[0], before(s[k], pos, w[1], w[2])) for k, n in enumerate(names.tolist()) if (w := found.value.get(n)) is not None]
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+    counts = _dense_map(docs, queries, count, "query_id long, doc_id long, n long", True)
+    return counts.groupBy("query_id", "doc_id").agg((F.sum("n") + 1).cast("int").alias("rank"))
+
+
+def bm25_ranks(docs: DataFrame, queries: DataFrame, wanted: DataFrame, **how) -> DataFrame:
+    """query_id, doc_id, rank in the list of all documents for the wanted pairs (a stated set; ids and places are numbers).
+
+    Pairs with a shared term stand after as many as score more; the others after all of those, and after the documents
+    before them that share none, which is the documents before them and the scored ones behind them.
+    """
+    spark = docs.sparkSession
+    scored = bm25_scores(docs, queries, **how).select(F.col("query_id").cast("long").alias("query_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_pos").cast("long").alias("doc_pos"), "score")
+    pairs = _small(wanted, 96).select("query_id", "doc_id").distinct().join(docs.select("doc_id", "doc_pos"), "doc_id")
+    rows = pairs.join(scored.select("query_id", "doc_id", "score"), ["query_id", "doc_id"], "left").collect()  # the wanted pairs
+    have = spark.sparkContext.broadcast(_of_query([r for r in rows if r["score"] is not None], "doc_id", "score", "doc_pos"))
+    lack = spark.sparkContext.broadcast(_of_query([r for r in rows if r["score"] is None], "doc_id", "doc_pos"))
+    schema = "query_id long, doc_id long, n long"
+
+    def of_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            query, pos, score = (batch.column(i).to_numpy() for i in range(3))
+            for n in np.unique(query).tolist():
+                own = query == n
+                if (w := have.value.get(n)) is not None:
+                    yield _counted(n, w[0], before(score[own], pos[own], w[1], w[2]))
+                if (w := lack.value.get(n)) is not None:
+                    yield _counted(n, w[0], own.sum() - np.searchsorted(np.sort(pos[own]), w[1]))
+
+    def of_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pos = np.sort(batch.column(0).to_numpy())
+            for n, w in lack.value.items():
+                yield _counted(n, w[0], np.searchsorted(pos, w[1]))
+            for n, w in have.value.items():
+                yield _counted(n, w[0], np.zeros(len(w[0]), np.int64))
+
+    counts = scored.select("query_id", "doc_pos", "score").mapInArrow(of_scores, schema).unionByName(docs.select(F.col("doc_pos").cast("long").alias("doc_pos")).mapInArrow(of_places, schema))
+    return counts.groupBy("query_id", "doc_id").agg((F.sum("n") + 1).cast("int").alias("rank"))
+
+
+def _counted(query: int, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), query)), pa.array(ids), pa.array(n.astype(np.int64))], ["query_id", "doc_id", "n"])
+
+
+def rrf_complete(docs: DataFrame, vectors: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
+    """Fusion of the lexical and the dense list of all documents, without making them: a document outside the first
+    59 + 2 top_k of both can't be among the best, and of those inside the exact rank in the other list is counted."""
+    depth = RRF_K + 2 * top_k
+    docs = docs if "terms" in docs.columns else index(docs)
+    lists = [stored(bm25_top(docs, queries, depth).select("query_id", "doc_id", "rank")), stored(dense_top(vectors, queries, depth).select("query_id", "doc_id", "rank"))]
+    pairs = stored(lists[0].select("query_id", "doc_id").unionByName(lists[1].select("query_id", "doc_id")).distinct())
+    return rrf([bm25_ranks(docs, queries, pairs), dense_ranks(vectors, queries, pairs)], top_k)
+
+
+def containing(docs: DataFrame, indexed: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id of the documents that hold a query's text literally.
+
+    A word inside the text (with other characters on both sides) stands whole in such a document, so those with the
+    query's rarest one are tried; queries without such a word, a stated set, are held against all documents.
+    """
+    inner = F.regexp_replace("text", r"^[\p{L}\p{N}_]+|[\p{L}\p{N}_]+$", "")
+    words = queries.filter("text IS NOT NULL").select("query_id", F.col("text").alias("want"), F.array_distinct(text.whole_words(inner)).alias("words"))
+    each = words.select("query_id", "want", F.explode("words").alias("token"))
+    held = indexed.select("doc_id", F.explode("terms").alias("token")).join(each.select("token").distinct(), "token", "left_semi")
+    df = held.groupBy("token").agg(F.count("*").alias("df"))
+    rarest = each.join(df, "token", "left").groupBy("query_id", "want").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
+    tried = rarest.join(held, "token").join(docs.select("doc_id", "text"), "doc_id")
+    rest = _small(words.filter("size(words) = 0").select("query_id", "want"), 1024)
+    every = docs.select("doc_id", "text").join(F.broadcast(rest), F.col("text").contains(F.col("want")))
+    return tried.filter(F.col("text").contains(F.col("want"))).select("query_id", "doc_id").unionByName(every.select("query_id", "doc_id"))
 
 
 def dense_top(docs: DataFrame, queries: DataFrame, top_k: int | None, normalise: bool = True) -> DataFrame:

@@ -14,7 +14,7 @@ from lumenfold.operators import retrieval as ret
 from lumenfold.operators import scoring as sc
 from lumenfold.plans import evaluate as plan
 from lumenfold.plans import sql as S
-from lumenfold.session import stored
+from lumenfold.session import spread, stored
 from lumenfold.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +25,7 @@ class Tables:
     """The tables of a folder by name."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.index = spark, sf_dir, None
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -46,9 +46,18 @@ class Tables:
         return plan.fold(self.conversations)
 
     def corpus(self) -> DataFrame:
-        """Documents that have a vector."""
-        vectors = self.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-        return self.documents.select("doc_id", F.col("doc_id").alias("doc_pos"), "text").join(vectors, "doc_id")
+        """All documents, in the order of their ids."""
+        return self.documents.select("doc_id", F.col("doc_id").alias("doc_pos"), "text")
+
+    def indexed(self) -> DataFrame:
+        """The terms of all documents, tokenized once a query."""
+        if self.index is None:
+            self.index = ret.index(self.corpus())
+        return self.index
+
+    def dense(self) -> DataFrame:
+        """The vectors of those documents that have one."""
+        return self.vectors().join(self.documents.select("doc_id"), "doc_id", "left_semi")
 
     def asked(self) -> DataFrame:
         vectors = self.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -76,10 +85,10 @@ PREDICTED = "CASE n_chars % 7 WHEN 0 THEN 'insufficient_evidence' WHEN 1 THEN 'n
 PREDICTED_SCORE = "CASE WHEN n_chars % 7 >= 3 THEN CAST(1 + n_chars % 5 AS INT) END"
 JUDGED = f"""judged AS (SELECT l.doc_id, l.expected_status, l.expected_score, coalesce(p.ps, 'insufficient_evidence') AS predicted_status, p.pc AS predicted_score FROM
  (SELECT doc_id, {EXPECTED} AS expected_status, {EXPECTED_SCORE} AS expected_score FROM labels) l LEFT JOIN (SELECT doc_id, {PREDICTED} AS ps, {PREDICTED_SCORE} AS pc FROM documents) p USING (doc_id))"""
-CORPUS = """corpus AS MATERIALIZED (SELECT d.doc_id AS doc, d.doc_id AS pos, d.text, e.embedding::DOUBLE[] AS v FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+CORPUS = """corpus AS MATERIALIZED (SELECT d.doc_id AS doc, d.doc_id AS pos, d.text, e.embedding::DOUBLE[] AS v FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
 asked AS MATERIALIZED (SELECT item_id AS q, b.text, e.embedding::DOUBLE[] AS v FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)"""
 DENSE = f"""dense_all AS MATERIALIZED (SELECT q, doc, pos, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, pos) AS rank FROM
- (SELECT a.q, c.doc, c.pos, {S.cosine('', 'a.v', 'c.v')} AS score FROM asked a, corpus c WHERE a.v IS NOT NULL))"""
+ (SELECT a.q, c.doc, c.pos, {S.cosine('', 'a.v', 'c.v')} AS score FROM asked a, corpus c WHERE a.v IS NOT NULL AND c.v IS NOT NULL))"""
 BM25 = S.bm25("corpus", "asked")
 NEAR = f"""pairs AS (SELECT a.q, e.vec_id AS doc, {S.cosine('', 'a.v', 'e.embedding::DOUBLE[]')} AS score FROM asked a, embeddings e WHERE a.v IS NOT NULL),
 near AS MATERIALIZED (SELECT q, doc, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank FROM pairs),
@@ -189,7 +198,9 @@ def _(t):
 
 @query("tokenize_terms", f"SELECT doc_id, array_to_string(list_sort({S.terms('text')}), ' ') AS terms, len({S.terms('text')}) AS n FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.array_join(F.array_sort(text.terms(F.col("text"))), " ").alias("terms"), F.size(text.terms(F.col("text"))).cast("long").alias("n"))
+    found = spread(t.documents).select("doc_id", F.struct(F.array_sort(text.terms(F.col("text"))).alias("terms")).alias("made"))
+    line = F.transform(F.array("made"), lambda m: F.struct(F.array_join(m["terms"], " ").alias("terms"), F.size(m["terms"]).cast("long").alias("n")))[0]
+    return found.select("doc_id", line.alias("line")).select("doc_id", "line.terms", "line.n")
 
 
 _FIRST = S.words(f"replace(lower({S.camel('text')}), '-', ' ')")
@@ -197,7 +208,7 @@ _FIRST = S.words(f"replace(lower({S.camel('text')}), '-', ' ')")
 
 @query("tokenize_bigrams", f"SELECT doc_id, array_to_string(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || '_' || w[i + 1]), ' ') AS bigrams FROM (SELECT doc_id, {_FIRST} AS w FROM documents)")
 def _(t):
-    return t.documents.select("doc_id", F.array_join(text.bigrams(text.split_words(F.col("text"))), " ").alias("bigrams"))
+    return spread(t.documents).select("doc_id", F.array_join(text.bigrams(text.split_words(F.col("text"))), " ").alias("bigrams"))
 
 
 _STOP = ", ".join(map(S.q, text.STOP_WORDS))
@@ -248,22 +259,22 @@ def _(t):
 
 @query("bm25_idf", f"WITH {CORPUS}, {BM25} SELECT tok AS token, df, round(idf, 9) AS idf FROM b_df")
 def _(t):
-    return ret.idf(t.corpus()).select("token", "df", F.round("idf", 9).alias("idf"))
+    return ret.idf(t.indexed()).select("token", "df", F.round("idf", 9).alias("idf"))
 
 
 @query("bm25_idf_unfloored", f"WITH {CORPUS}, {BM25} SELECT tok AS token, df, round(ln((any_value(n) - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1), 9) AS idf FROM b_df, b_st GROUP BY tok, df")
 def _(t):
-    return ret.idf(t.corpus(), floor=None).select("token", "df", F.round("idf", 9).alias("idf"))
+    return ret.idf(t.indexed(), floor=None).select("token", "df", F.round("idf", 9).alias("idf"))
 
 
 @query("bm25_topk", f"WITH {CORPUS}, {BM25} SELECT q AS query_id, doc AS doc_id, score, rank FROM b_all WHERE rank <= 10")
 def _(t):
-    return ret.bm25_top(t.corpus(), t.asked(), 10).select("query_id", "doc_id", "score", "rank")
+    return ret.bm25_top(t.indexed(), t.asked(), 10).select("query_id", "doc_id", "score", "rank")
 
 
 @query("bm25_all_docs_rank", f"WITH {CORPUS}, {BM25} SELECT q AS query_id, doc AS doc_id, rank FROM b_all")
 def _(t):
-    return ret.bm25_all(t.corpus(), t.asked()).select("query_id", "doc_id", "rank")
+    return ret.bm25_all(t.indexed(), t.asked()).select("query_id", "doc_id", "rank")
 
 
 _TF = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')"
@@ -292,7 +303,7 @@ def _(t):
 
 @query("dense_cosine_topk", f"WITH {CORPUS}, {DENSE} SELECT q AS query_id, doc AS doc_id, round(score, 6) AS score, rank FROM dense_all WHERE rank <= 10")
 def _(t):
-    return ret.dense_top(t.corpus(), t.asked(), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return ret.dense_top(t.dense(), t.asked(), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 _RRF = "row_number() OVER (PARTITION BY q ORDER BY score DESC, r1 NULLS LAST, r2 NULLS LAST, doc)"
@@ -304,7 +315,7 @@ def _pool(n: int) -> str:
 
 @query("rrf_hybrid_topk", f"WITH {CORPUS}, {BM25}, {DENSE}, {_pool(1000000000)}, r AS (SELECT *, {_RRF} AS rank FROM pooled) SELECT q AS query_id, doc AS doc_id, round(score, 9) AS score, rank FROM r WHERE rank <= 10")
 def _(t):
-    return ret.rrf([ret.bm25_all(t.corpus(), t.asked()), ret.dense_top(t.corpus(), t.asked(), None)], 10).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
+    return ret.rrf_complete(t.indexed(), t.dense(), t.asked(), 10).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
 @query("rrf_pooled_topk", f"WITH {CORPUS}, {BM25}, {DENSE}, {_pool(50)}, r AS (SELECT *, {_RRF} AS rank FROM pooled) SELECT q AS query_id, doc AS doc_id, round(score, 9) AS score, rank FROM r WHERE rank <= 10")
@@ -313,7 +324,8 @@ def _(t):
 
 
 def _lists(t: Tables, n: int) -> list[DataFrame]:
-    return [ret.bm25_top(t.corpus(), t.asked(), n), ret.dense_top(t.corpus(), t.asked(), n)]
+    """The first n of the lexical and of the dense list, stored, as plans use them in several branches."""
+    return [stored(ret.bm25_top(t.indexed(), t.asked(), n)), stored(ret.dense_top(t.dense(), t.asked(), n))]
 
 
 def _pooled(t: Tables, n: int = 50, k: int = 10) -> DataFrame:
@@ -329,7 +341,7 @@ u AS (SELECT q, doc, 1 AS l, rank FROM b_all WHERE rank <= 50 UNION ALL SELECT q
 f AS (SELECT q, doc, max(rank) FILTER (l = 1) AS r1, max(rank) FILTER (l = 2) AS r2, max(rank) FILTER (l = 3) AS r3, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM u GROUP BY q, doc),
 r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, r1 NULLS LAST, r2 NULLS LAST, r3 NULLS LAST, doc) AS rank FROM f) SELECT q AS query_id, doc AS doc_id, rank FROM r WHERE rank <= 10""")
 def _(t):
-    return ret.rrf([*_lists(t, 50), ret.bm25_top(t.corpus(), _expanded(t), 50)], 10).select("query_id", "doc_id", "rank")
+    return ret.rrf([*_lists(t, 50), ret.bm25_top(t.indexed(), _expanded(t), 50)], 10).select("query_id", "doc_id", "rank")
 
 
 _TIER = "u AS (SELECT q, doc, 0 AS tier, rank FROM b_all WHERE rank <= 10 UNION ALL SELECT q, doc, 1, rank FROM dense_all WHERE rank <= 10), o AS (SELECT q, doc, min(tier * 1000 + rank) AS place FROM u GROUP BY q, doc), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY place) AS rank FROM o)"
@@ -342,8 +354,8 @@ def _(t):
 
 @query("threshold_filter", f"WITH {CORPUS}, {BM25}, {DENSE} SELECT d.q AS query_id, d.doc AS doc_id FROM dense_all d JOIN b_all b ON b.q = d.q AND b.doc = d.doc WHERE d.rank <= 20 AND NOT (d.score < 0.3 AND b.score <= 0)")
 def _(t):
-    dense = ret.dense_top(t.corpus(), t.asked(), 20).select("query_id", "doc_id", F.col("score").alias("dense_score"))
-    both = dense.join(ret.bm25_scores(t.corpus(), t.asked()).select("query_id", "doc_id", F.col("score").alias("bm25_score")), ["query_id", "doc_id"], "left")
+    dense = ret.dense_top(t.dense(), t.asked(), 20).select("query_id", "doc_id", F.col("score").alias("dense_score"))
+    both = dense.join(ret.bm25_scores(t.indexed(), t.asked()).select("query_id", "doc_id", F.col("score").alias("bm25_score")), ["query_id", "doc_id"], "left")
     return ret.above_threshold(both.withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0))), 0.3).select("query_id", "doc_id")
 
 
@@ -351,7 +363,7 @@ def _(t):
 s AS (SELECT q, doc, rank, round(coalesce(len(list_intersect(qt.t, dt.t)), 0) / greatest(coalesce(len(qt.t), 0), 1), 6) AS score FROM c LEFT JOIN qt USING (q) JOIN dt USING (doc)), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, rank) AS new_rank FROM s)
 SELECT q AS query_id, doc AS doc_id, score AS reranker_score, new_rank FROM r WHERE new_rank <= 10""")
 def _(t):
-    pool = ret.bm25_top(t.corpus(), t.asked(), ret.rerank_pool(10, True)).select("query_id", "doc_id", "rank")
+    pool = ret.bm25_top(t.indexed(), t.asked(), ret.rerank_pool(10, True)).select("query_id", "doc_id", "rank")
     texts = pool.join(t.asked().select("query_id", F.col("text").alias("query_text")), "query_id").join(t.corpus().select("doc_id", F.col("text").alias("doc_text")), "doc_id")
     return ret.rerank(texts).select("query_id", "doc_id", "reranker_score", "new_rank")
 
@@ -365,17 +377,17 @@ def _targets(t: Tables) -> DataFrame:
 
 @query("target_rank", f"WITH {CORPUS}, {BM25}, {_TARGET} SELECT t.q AS query_id, t.doc AS doc_id, coalesce(min(rank), 999) AS target_rank FROM targets t LEFT JOIN (SELECT * FROM b_all WHERE rank <= 30) b ON b.q = t.q AND b.doc = t.doc GROUP BY t.q, t.doc")
 def _(t):
-    return ret.target_rank(ret.bm25_top(t.corpus(), t.asked(), 30), _targets(t))
+    return ret.target_rank(ret.bm25_top(t.indexed(), t.asked(), 30), _targets(t))
 
 
 @query("target_inclusion", f"WITH {CORPUS}, {BM25}, {_TARGET}, c AS (SELECT q, doc, rank FROM b_all WHERE rank <= 10) SELECT q AS query_id, doc AS doc_id, rank FROM c UNION ALL SELECT t.q, t.doc, coalesce((SELECT max(rank) FROM c WHERE c.q = t.q), 0) + 1 FROM targets t WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.q = t.q AND c.doc = t.doc)")
 def _(t):
-    return ret.include_target(ret.bm25_top(t.corpus(), t.asked(), 10), _targets(t))
+    return ret.include_target(ret.bm25_top(t.indexed(), t.asked(), 10), _targets(t))
 
 
 @query("topk_pivot", f"WITH {CORPUS}, {BM25} SELECT q AS query_id, {', '.join(f'''coalesce(max(doc::VARCHAR) FILTER (rank = {i}), '') AS top{i}''' for i in range(1, 11))} FROM b_all WHERE rank <= 10 GROUP BY q")
 def _(t):
-    return ret.pivot_top(ret.bm25_top(t.corpus(), t.asked(), 10))
+    return ret.pivot_top(ret.bm25_top(t.indexed(), t.asked(), 10))
 
 
 # prompts, backends, parsing
@@ -678,10 +690,7 @@ e AS (SELECT w.strategy, w.q, min(s.rank) AS first, """ + ", ".join(f"count_if(c
 
 
 def _containing(t: Tables) -> DataFrame:
-    """Documents that hold a query's text literally, found through shared terms first."""
-    near = ret.bm25_scores(t.corpus(), t.asked()).select("query_id", "doc_id")
-    texts = near.join(t.asked().select("query_id", F.col("text").alias("want")), "query_id").join(t.corpus().select("doc_id", "text"), "doc_id")
-    return texts.filter(F.col("text").contains(F.col("want"))).select("query_id", "doc_id")
+    return ret.containing(t.corpus(), t.indexed(), t.asked())
 
 
 def _tagged(t: Tables) -> DataFrame:

@@ -53,6 +53,16 @@ def session(name: str = "lumenfold", master: str | None = None, shuffle_partitio
     return builder.getOrCreate()
 
 
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small table dealt out to all cores. Such a table often lies in one row group, which one task reads; what
+    is heavy on each row then runs in that task alone. Larger tables have row groups enough and stay where they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
