@@ -4,11 +4,13 @@ A text's leaves are pieces of its paragraphs: a paragraph (a line with its line
 where it has none after word ends that its own characters choose, so a cut doesn't depend on what stands before. A
 paragraph's digest is over its leaves' digests, a section's over those of its paragraphs, the root's over those of its
 sections; a section ends where a paragraph's digest says so, so sections too keep their cuts under edits elsewhere.
-Levels and the kind of node go into each digest. Equal roots mean equal texts; where they differ, ``changed`` goes
-down only the branches whose digests differ and gives the leaves' spans.
+Levels and the kind of node go into each digest. Equal roots mean equal texts.
 
-The fingerprint of a text is ``root:tree``, the tree in preorder with each leaf's short digest and length; ``likeness``
-of two is the characters in leaves that both have, as a share of both texts' characters (0 to 1; two empty texts: 1).
+The fingerprint of a text is that tree in preorder: the root, and each section, paragraph and leaf with a short digest and
+its number of code points. Two fingerprints are compared from the root down, and only branches whose digests the other
+doesn't have are entered: ``likeness`` is the characters in what both have, as a share of both texts' characters (0 to 1;
+two empty texts: 1), ``changed`` gives the spans of the one text that the other doesn't have. Neither needs the texts. Moved
+pieces count as had, so likeness may be 1 where the order alone differs; the roots tell those apart.
 
 Edge cases: null counts as empty, which has no leaf and a root of its own; texts of any length are hashed whole;
 repeated rows stay; other columns are carried only where named.
@@ -30,7 +32,7 @@ from lumenfold.llm.common import carried, map_batches
 #: A leaf: to a line end, a sentence end or a word end after one of a few letters; at most 160 characters.
 LEAF = re.compile(r"(?:[^\n]{12,160}?(?:[.!?;:|$#%&*][ ]|[dry][ ,]|\n)|[^\n]{1,160}\n?|\n)")
 SECTION_MASK = 3  # a section has four paragraphs on average
-LEAF_HEX, ROOT_HEX = 8, 32
+SHORT_HEX, ROOT_HEX = 8, 32
 
 
 def _digest(kind: bytes, parts: list[bytes]) -> bytes:
@@ -57,42 +59,79 @@ class Tree:
         self.root = _digest(b"root", [x[0] for x in self.sections])
 
     def fingerprint(self) -> str:
-        """``root:`` and, for each section, paragraph and leaf in order, ``/``, ``,`` and a short digest with a length."""
-        return self.root.hex() + ":" + "".join("/" + "".join("," + "".join(f"{leaf[0].hex()[:LEAF_HEX]}{leaf[2] - leaf[1]:x}." for leaf in p[1]) for p in s[1]) for s in self.sections)
+        """``root``, then ``/`` for each section, ``,`` for each paragraph, ``.`` for each leaf: a short digest and a length."""
+        out = [self.root.hex()]
+        for section, paragraphs in self.sections:
+            out.append(f"/{section.hex()[:SHORT_HEX]}{paragraphs[-1][1][-1][2] - paragraphs[0][1][0][1]:x}")
+            for paragraph, leaves in paragraphs:
+                out.append(f",{paragraph.hex()[:SHORT_HEX]}{leaves[-1][2] - leaves[0][1]:x}")
+                out += [f".{d.hex()[:SHORT_HEX]}{end - start:x}" for d, start, end in leaves]
+        return "".join(out)
+
+
+def _length(node: str) -> int:
+    """Of a section, paragraph or leaf as it stands in a fingerprint, without what is below it."""
+    return int(node[SHORT_HEX:], 16)
+
+
+def _apart(a: list[tuple], b: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """Nodes (text of the node, text below it, start) of each list that the other has no equal one for."""
+    count = Counter(x[0] for x in a) & Counter(x[0] for x in b)
+    if not count:
+        return a, b
+    rest = []
+    for nodes in (a, b):
+        left, out = count.copy(), []
+        for x in nodes:
+            if left[x[0]] > 0:
+                left[x[0]] -= 1
+            else:
+                out.append(x)
+        rest.append(out)
+    return rest[0], rest[1]
+
+
+def _below(nodes: list[tuple], mark: str) -> list[tuple]:
+    """The children of nodes, with their starts."""
+    out = []
+    for _, text, start in nodes:
+        for child in text.split(mark)[1:]:
+            name = child if mark == "." else child[: child.index("," if mark == "/" else ".")]
+            out.append((name, child, start))
+            start += _length(name)
+    return out
+
+
+def differing(a: str, b: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Spans of the leaves of each fingerprint's text that the other's doesn't have (repeats counted)."""
+    if a == b:
+        return [], []
+    sides = ([("", a, 0)], [("", b, 0)])
+    for mark in "/,.":
+        sides = _apart(_below(sides[0], mark), _below(sides[1], mark))
+    return tuple([(start, start + _length(name)) for name, _, start in side] for side in sides)
 
 
-def changed(a: Tree, b: Tree) -> list[tuple[int, int]]:
-    """Spans of b's leaves that a doesn't have; subtrees whose digest a has are not entered."""
-    if a.root == b.root:
-        return []
-    sections = {s[0] for s in a.sections}
-    paragraphs = {p[0] for s in a.sections for p in s[1]}
-    leaves = {x[0] for s in a.sections for p in s[1] for x in p[1]}
+def changed(a: str, b: str) -> list[tuple[int, int]]:
+    """Spans of b's text that a's doesn't have, neighbouring ones as one."""
     spans: list[tuple[int, int]] = []
-    for s in b.sections:
-        for p in [] if s[0] in sections else s[1]:
-            for d, start, end in [] if p[0] in paragraphs else p[1]:
-                if d not in leaves:
-                    if spans and spans[-1][1] == start:
-                        start = spans.pop()[0]
-                    spans.append((start, end))
+    for start, end in differing(a, b)[1]:
+        if spans and spans[-1][1] == start:
+            start = spans.pop()[0]
+        spans.append((start, end))
     return spans
 
 
+def n_chars_of(fingerprint: str) -> int:
+    return sum(_length(name) for name, _, _ in _below([("", fingerprint, 0)], "/"))
+
+
 def likeness(a: str, b: str) -> float:
     """Of two fingerprints, 0 to 1."""
     if a == b:
         return 1.0
-    sizes = []
-    for f in (a, b):
-        count: Counter = Counter()
-        for leaf in f[ROOT_HEX + 1 :].replace("/", "").replace(",", "").split("."):
-            if leaf:
-                count[leaf] += 1
-        sizes.append(count)
-    chars = lambda c: sum(int(leaf[LEAF_HEX:], 16) * n for leaf, n in c.items())
-    both = chars(sizes[0]) + chars(sizes[1])
-    return min(1.0, 2 * chars(sizes[0] & sizes[1]) / both) if both else 0.0
+    both = n_chars_of(a) + n_chars_of(b)
+    return 1 - sum(end - start for side in differing(a, b) for start, end in side) / both if both else 0.0
 
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -143,9 +182,10 @@ def _search(key: Column, cuts: list[int], low: int, high: int) -> Column:
 
 
 def against_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """For each row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_spans.
 
     The edited text has the last half (rounded down) of the code points replaced by the first as many of the next text.
+    edited_spans are those of the edited text that the text doesn't have, as the fingerprints tell.
     """
     near = with_next(docs, doc_id, text)
 
@@ -169,7 +209,8 @@ def against_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return map_batches(dealt.select("__bucket", "__id", "__text", "__own"), run, PAIR_SCHEMA)
 
 
-PAIR_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+PAIR_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_spans array<struct<start:long,end:long>>"
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _pair(held: tuple, following: str, following_print: str) -> tuple:
@@ -177,9 +218,9 @@ def _pair(held: tuple, following: str, following_print: str) -> tuple:
     half = len(t) // 2
     edited = t[: len(t) - half] + following[:half]
     own = Tree(edited).fingerprint()
-    return i, len(t), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), f, own, likeness(f, own), likeness(f, following_print)
+    return i, len(t), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), f, own, likeness(f, own), likeness(f, following_print), [{"start": s, "end": e} for s, e in changed(f, own)]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), SPANS)
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], [x.split()[0] for x in PAIR_SCHEMA.split(", ")])
