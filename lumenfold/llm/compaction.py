@@ -4,19 +4,22 @@ Arrivals are appended as small immutable shards, one Parquet file each. Compacti
 a power of ``fanout`` times ``MIN_BYTES``) and merges at least ``fanout`` of them into files of up to the target size; a
 file from ``SEALED`` of the target on is left as it is. A version is one JSON file that names its shards; it is written
 under another name and renamed, which fails if that version is there, so a reader sees a whole version or none and of
-two writers one starts again. Shards of older versions stay until ``vacuum``.
+two writers one starts again. Shards of older versions, and of writers that never committed, stay until ``vacuum`` finds
+them older than its grace time.
 
-Planning works on the manifest (a line a shard); rows move once, by the merge's own number, a task each, so a task holds one
+Planning works on the manifest (a line a shard, on the driver: a table of 100 TB has 100,000 lines of 1 GB each, so its
+target is to be of that size); rows move once, by the merge's own number, a task each, so a task holds one
 target file. All files go through Spark's file system layer, so the store can be any that Spark reaches.
 
-Edge cases: an empty arrival adds a version without shards; null and repeated rows are rows like others; columns are
-kept as they are; an arrival with other columns than the store's raises ValueError.
+Edge cases: an empty arrival adds a version without shards; null and repeated rows are rows like others; columns of any
+name are kept as they are (the merge's own columns take names that no column has); an arrival with other columns than the store's raises ValueError.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -27,6 +30,8 @@ from pyspark.sql.types import StructType
 
 TARGET_BYTES, FANOUT, MIN_BYTES, SEALED = 32 << 20, 4, 64 << 10, 0.6
 ROWS_PER_ARRIVAL = 1000
+GRACE_S = 24 * 3600.0  # data files younger than this may belong to a writer that has yet to commit
+BROADCAST_FILES = 200_000  # names of some 100 bytes; longer lists are joined by a shuffle
 
 
 @dataclass(frozen=True)
@@ -36,6 +41,14 @@ class Shard:
     added: int  # the version that added it
 
 
+def free(name: str, columns: list[str]) -> str:
+    """The name, or with as many _ as it takes to be none of the columns."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def tier(size: int, fanout: int = FANOUT) -> int:
     return max(0, math.floor(math.log(max(size, 1) / MIN_BYTES, fanout) + 1e-9)) if size > MIN_BYTES else 0
 
@@ -119,7 +132,7 @@ class Store:
         for path, size in found:
             if path.getName().endswith(".parquet"):
                 out.append((f"{folder}/{path.getName()}", size))
-            elif path.getName().startswith("merge="):
+            elif "=" in path.getName():
                 out += self._files(f"{folder}/{path.getName()}")
         return sorted(out)
 
@@ -144,11 +157,10 @@ class Store:
         if not groups:
             return now["version"]
         folder = f"data/{uuid.uuid4().hex}"
-        to = self.spark.createDataFrame([(s.path.rpartition("/")[2], k) for k, g in enumerate(groups) for s in g], "__file string, merge int")
         rows = self.spark.read.schema(self._schema(now)).parquet(*(f"{self.root}/{s.path}" for g in groups for s in g))
-        # File names are unique (they hold a UUID); the list is the manifest's, a line a shard.
-        named = rows.withColumn("__file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).join(F.broadcast(to), "__file").drop("__file")
-        named.repartitionById(len(groups), "merge").write.option("compression", "zstd").partitionBy("merge").parquet(f"{self.root}/{folder}")
+        merge = free("merge", rows.columns)
+        named = self._with_file(rows, [(s.path.rpartition("/")[2], k) for k, g in enumerate(groups) for s in g], f"{merge} int")
+        named.repartitionById(len(groups), merge).write.option("compression", "zstd").partitionBy(merge).parquet(f"{self.root}/{folder}")
         gone = {s.path for g in groups for s in g}
         files = self._files(folder)
         while True:
@@ -159,6 +171,13 @@ class Store:
             if self._commit(now["version"] + 1, now["schema"], kept + [Shard(p, n, now["version"] + 1) for p, n in files]):
                 return now["version"] + 1
 
+    def _with_file(self, rows: DataFrame, about: list[tuple], columns: str) -> DataFrame:
+        """rows of shards with what about says of each one's file name (unique, as it holds a UUID) as more columns."""
+        file = free("file", [*rows.columns, *(c.split()[0] for c in columns.split(", "))])
+        table = self.spark.createDataFrame(about, f"{file} string, {columns}")
+        named = rows.withColumn(file, F.element_at(F.split(F.input_file_name(), "/"), -1))
+        return named.join(F.broadcast(table) if len(about) <= BROADCAST_FILES else table, file).drop(file)
+
     @staticmethod
     def _schema(manifest: dict):
         return StructType.fromJson(json.loads(manifest["schema"]))
@@ -177,16 +196,16 @@ class Store:
         now = self.manifest(version)
         if not now["shards"]:
             return self.read(version).select(key, F.lit("").alias("shard"), F.lit(0).alias("shard_tier"), F.lit(now["version"]).alias("version"))
-        about = self.spark.createDataFrame([(s.path.rpartition("/")[2], s.path, tier(s.bytes)) for s in now["shards"]], "__file string, shard string, shard_tier int")
-        rows = self.read(version).select(key, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("__file"))
-        return rows.join(F.broadcast(about), "__file").select(key, "shard", "shard_tier", F.lit(now["version"]).alias("version"))
+        rows = self.read(version).select(F.col(f"`{key}`").alias("__key"))
+        named = self._with_file(rows, [(s.path.rpartition("/")[2], s.path, tier(s.bytes)) for s in now["shards"]], "shard string, shard_tier int")
+        return named.select(F.col("__key").alias(key), "shard", "shard_tier", F.lit(now["version"]).alias("version"))
 
-    def vacuum(self) -> int:
-        """Deletes data files that the newest version doesn't name; older versions can't be read afterwards."""
+    def vacuum(self, grace_s: float = GRACE_S) -> int:
+        """Deletes data files over grace_s old that the newest version doesn't name; older versions can't be read afterwards."""
         live, n = {s.path for s in self.manifest()["shards"]}, 0
         at = self._path("data")
         for folder in self.fs.listStatus(at) if self.fs.exists(at) else []:
             for path, _ in self._files(f"data/{folder.getPath().getName()}"):
-                if path not in live:
+                if path not in live and self.fs.getFileStatus(self._path(path)).getModificationTime() <= 1000 * (time.time() - grace_s):
                     n += bool(self.fs.delete(self._path(path), False))
         return n
