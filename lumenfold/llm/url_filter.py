@@ -25,32 +25,32 @@ STEPS, RATE, DECAY = 400, 1.0, 1e-3
 
 #: The labelled URL table, 1 for those to block.
 LABELLED = [
-    ("http://spam-farm.example.org/en/1", 1), ("https://www.spam-farm.example.com/de/22", 1), ("http://m.spam-farm.info/fr/7.html", 1),
-    ("https://spam.example.com/es/60", 1), ("http://mail.spam-links.example.org/es/48?utm_source=feed", 1), ("https://cheap-pills.example.com/fr/3", 1),
-    ("http://m.cheap-pills.info/en/44#top", 1), ("https://www.cheap-meds.example.org/en/12", 1), ("http://pills-online.example.com/es/8", 1),
-    ("https://buy-pills.example.org/de/71/", 1), ("http://casino-win.example.org/en/5", 1), ("https://m.casino-win.info/en/91.html", 1),
+    ("http://spam-mills.example.org/en/1", 1), ("https://www.spam-mills.example.com/de/22", 1), ("http://m.spam-mills.info/fr/7.html", 1),
+    ("https://spam.example.com/es/60", 1), ("http://mail.spam-links.example.org/es/48?utm_source=feed", 1), ("https://discount-pills.example.com/fr/3", 1),
+    ("http://m.discount-pills.info/en/44#top", 1), ("https://www.cheap-meds.example.org/en/12", 1), ("http://pills-online.example.com/es/8", 1),
+    ("https://buy-pills.example.org/de/71/", 1), ("http://casino-jackpot.example.org/en/5", 1), ("https://m.casino-jackpot.info/en/91.html", 1),
     ("http://www.casino-bonus.example.com/es/17", 1), ("https://online-casino.example.com/fr/2", 1), ("http://blog.free-casino.example.org/en/33", 1),
-    ("http://free-bets.example.org/en/70", 1), ("https://m.free-bets.info/es/6/", 1), ("http://www.best-bets.example.com/en/28", 1),
-    ("https://sports-bets.example.org/fr/54", 1), ("http://free-prizes.example.com/en/19?page=2", 1), ("http://ads-track.example.org/en/64", 1),
-    ("https://m.ads-track.info/fr/10", 1), ("http://www.ads-click.example.com/en/37", 1), ("https://track-ads.example.org/es/21.html", 1),
-    ("http://blog.click-track.example.com/de/9", 1), ("http://adult-x.example.org/en/4", 1), ("https://www.adult-x.info/fr/88/", 1),
-    ("http://adult-videos.example.com/es/13", 1), ("https://m.adult-cams.example.org/en/55", 1), ("http://x-adult.example.com/en/29#top", 1),
+    ("http://betting-tips.example.org/en/70", 1), ("https://m.betting-tips.info/es/6/", 1), ("http://www.best-bets.example.com/en/28", 1),
+    ("https://sports-bets.example.org/fr/54", 1), ("http://free-prizes.example.com/en/19?page=2", 1), ("http://ad-tracker.example.org/en/64", 1),
+    ("https://m.ad-tracker.info/fr/10", 1), ("http://www.ads-click.example.com/en/37", 1), ("https://track-ads.example.org/es/21.html", 1),
+    ("http://blog.click-track.example.com/de/9", 1), ("http://adult-chat.example.org/en/4", 1), ("https://www.adult-chat.info/fr/88/", 1),
+    ("http://adult-videos.example.com/es/13", 1), ("https://m.adult-cams.example.org/en/55", 1), ("http://hot-adult.example.com/en/29#top", 1),
     ("http://warez-crack.example.com/en/31", 1), ("https://www.phish-login.example.org/en/2", 1), ("http://payday-loans.example.com/fr/43", 1),
     ("https://link-farm.example.org/es/3", 1), ("http://seo-links.example.com/en/14", 1),
-    ("http://thther.example.com/en/676", 0), ("https://blog.therin.example.org/en/853/", 0), ("https://m.tionon.example.com/en/474.html", 0),
-    ("http://ingand.example.org/fr/533", 0), ("https://www.example.com/", 0), ("http://docs.example.org/guide/intro", 0),
+    ("http://thunder.example.com/en/676", 0), ("https://blog.rivers.example.org/en/853/", 0), ("https://m.station.example.com/en/474.html", 0),
+    ("http://england.example.org/fr/533", 0), ("https://www.example.com/", 0), ("http://docs.example.org/guide/intro", 0),
     ("https://news.example.com/2024/05/01/story", 0), ("http://wiki.example.org/wiki/Main_Page", 0), ("http://example.org/es/15", 0),
-    ("https://shop.example.com/catalog/chairs", 0), ("http://university.example.org/courses/math", 0), ("https://blog.erhein.example.com/fr/9", 0),
-    ("https://m.stheat.example.org/es/231?page=2", 0), ("http://library.example.com/books/1001", 0), ("https://museum.example.org/en/visit", 0),
+    ("https://shop.example.com/catalog/chairs", 0), ("http://university.example.org/courses/math", 0), ("https://blog.rhineland.example.com/fr/9", 0),
+    ("https://m.theatre.example.org/es/231?page=2", 0), ("http://library.example.com/books/1001", 0), ("https://museum.example.org/en/visit", 0),
     ("http://city.example.com/transport/timetable", 0), ("https://recipes.example.org/soup/12", 0), ("http://forum.example.com/thread/42#top", 0),
-    ("https://weather.example.org/en/berlin", 0), ("https://ththha.example.com/es/77?ref=x", 0), ("http://www.tionhe.example.org/en/64", 0),
-    ("https://m.erther.example.com/fr/10", 0), ("http://blog.andine.example.com/en/37", 0), ("https://ionthe.example.org/es/21.html", 0),
-    ("http://www.esthin.example.com/en/9", 0), ("https://thande.example.org/en/4/", 0), ("http://m.arenti.example.com/fr/88", 0),
-    ("https://onther.example.com/es/13?utm_source=feed", 0), ("http://blog.stinge.example.org/en/55", 0), ("https://www.heandr.example.com/en/29#top", 0),
+    ("https://weather.example.org/en/berlin", 0), ("https://harbour.example.com/es/77?ref=x", 0), ("http://www.mountain.example.org/en/64", 0),
+    ("https://m.leather.example.com/fr/10", 0), ("http://blog.andes.example.com/en/37", 0), ("https://pantheon.example.org/es/21.html", 0),
+    ("http://www.aesthetics.example.com/en/9", 0), ("https://handball.example.org/en/4/", 0), ("http://m.parenting.example.com/fr/88", 0),
+    ("https://panther.example.com/es/13?utm_source=feed", 0), ("http://blog.hosting.example.org/en/55", 0), ("https://www.leander.example.com/en/29#top", 0),
     ("http://garden.example.info/en/31", 0), ("https://www.schule.example.info/es/2", 0), ("http://bakery.example.com/fr/43", 0),
-    ("https://m.music.example.org/es/3", 0), ("http://travel.example.com/en/14", 0), ("https://thinbl.example.org/en/1", 0),
-    ("http://www.redtio.example.com/en/22", 0), ("https://thouar.example.com/fr/7.html", 0), ("http://m.blethe.example.org/en/60", 0),
-    ("https://inerat.example.com/en/48", 0),
+    ("https://m.music.example.org/es/3", 0), ("http://travel.example.com/en/14", 0), ("https://thimble.example.org/en/1", 0),
+    ("http://www.radio.example.com/en/22", 0), ("https://thoughts.example.com/fr/7.html", 0), ("http://m.athlete.example.org/en/60", 0),
+    ("https://minerals.example.com/en/48", 0),
     ("http://m.org/en/7", 0), ("https://go.com/", 0), ("http://ab.org/en/", 0),
     ("https://tv.info/fr/2", 0), ("http://bio.org/en/15", 0), ("https://lab.com/es/", 0),
     ("http://localhost/", 0), ("https://intranet/en/start", 0), ("http://10.0.0.1/x", 0), ("plain text", 0),
