@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm import ann, bloom_lm, compaction, language_id, merkle, mixing, sentencepiece_bpe, simhash, toxicity, url_filter
 from lumenfold.llm.common import fold, scratch, table, written
+from lumenfold.session import spread
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,14 +18,14 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     held_out = fold(F.col("doc_id"), 5) == 0
     net = toxicity.train(docs.filter(~held_out).select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return toxicity.predict(docs, net).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.against_edits(table(spark, sf_dir, "documents"))
+    return merkle.against_edits(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,14 +41,14 @@ def op3_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mixture of as many tokens as the corpus has, near equal weights, no source more than four times."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     tokens = docs.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0))).first()[0]
     mixed = mixing.mix(docs.select("doc_id", "source", "text"), limit=4.0, budget=float(tokens))
     return mixed.select("doc_id", "source", F.col("__epoch").alias("epoch"), F.col("__at").alias("at"), F.col("__block").alias("block"), F.col("__place").alias("place"))
 
 
 def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     held_out = fold(F.col("doc_id"), 5) == 1
     words, model = bloom_lm.train_model(docs.filter(~held_out))
     scored = bloom_lm.score(docs, words, model)
@@ -55,7 +56,7 @@ def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = written(simhash.fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
+    prints = written(simhash.fingerprints(spread(table(spark, sf_dir, "documents"))), "fingerprints")
     return prints.join(simhash.near_components(prints), "fp").select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
@@ -69,7 +70,7 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path())
+    coded = sentencepiece_bpe.encode(spread(table(spark, sf_dir, "documents")), tokenizer_path())
     return coded.select("doc_id", sentencepiece_bpe.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
@@ -79,7 +80,7 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))))
     judged = language_id.predict(docs.select("doc_id", "text"), model, reject=False)
     return judged.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
