@@ -6,10 +6,13 @@ about ``LEAF`` vectors of the whole table need (at most as deep as the sample of
 of the table then goes down all trees. A query searches all trees through one priority queue, ordered by the squared
 distance to the half-spaces not yet entered, until the leaves found hold ``CANDIDATES`` * n ** ``POWER`` of the n different
 vectors, counted once a tree, so the share of the table that a query reads falls as the table grows; they are reranked by
-exact products in double precision, a block of queries against a block of a leaf at a time.
+exact products in double precision, a block of queries against a leaf at a time.
 
+Neighbouring leaves of a tree lie in one bucket of about ``BUCKET_BYTES``. A query goes once to each bucket in which it has
+leaves, with their numbers, and gets the bucket's best back, so what is moved grows with the buckets and not with the leaves.
 Equal vectors are one entry with their k + 1 least ids (no more can be asked for), so a vector that much of the table
-shares costs one. Leaves of over ``CHUNK`` entries and over ``QUERY_BLOCK`` queries are split by hash, so no task grows.
+shares costs one. Buckets of over twice their size are split by hash, and where over ``QUERY_BLOCK`` queries come to one, they
+come in blocks, so no task grows.
 
 Edge cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no
 part, nor do null ids; a repeated row counts once; of several vectors of one query id the least is searched for; empty
@@ -33,7 +36,7 @@ from lumenfold.llm.common import least_hashed, map_batches, written
 
 TREES, LEAF, SAMPLE, LEAF_SAMPLE, SEED = 8, 150, 65_536, 16, 9  # LEAF_SAMPLE: vectors of the sample that a leaf has at least
 CANDIDATES, POWER = 4.6, 0.825  # fitted to a recall at 20 of 0.92 on random directions in 64 dimensions, from 2,000 to 51,282 vectors
-CHUNK, QUERY_BLOCK, AT_ONCE = 50_000, 50_000, 256
+BUCKET_BYTES, QUERY_BLOCK, AT_ONCE = 16 << 20, 50_000, 256
 
 
 class Forest:
@@ -140,43 +143,84 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
     for r in index.groupBy("leaf").count().collect():  # a row a leaf
         sizes[r["leaf"]] = r["count"]
 
+    per_bucket = max(1, BUCKET_BYTES // (dim * np.dtype(dtype).itemsize))
+    shift = depth - min(depth, max(0, math.ceil(math.log2(n / per_bucket))))  # leaves of a bucket: 2 ** shift
+    of_bucket = sizes.reshape(-1, 1 << shift).sum(1)
+    n_chunks = -(-of_bucket // (2 * per_bucket))
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 x, v = packed(batch.column(0))
-                found = list(forest.value.search(x, sizes, budget, k + 1))
-                row = pa.array(np.repeat(np.arange(len(x)), [len(f) for f in found]))
-                yield pa.RecordBatch.from_arrays([pa.array([a for f in found for a in f], pa.int64()), batch.column(1).take(row), v.take(row)], ["leaf", "query_id", "q"])
-
-    chunks = F.get(F.lit(np.maximum(1, -(-sizes // CHUNK)).tolist()), F.col("leaf").cast("int"))
-    n_blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    dealt = index.withColumn("chunk", F.pmod(F.xxhash64("v"), chunks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    routed = map_batches(asked.select("v", "query_id"), route, "leaf long, query_id long, q binary")
-    routed = routed.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
-
-    def rerank(data: pa.Table, ask: pa.Table) -> pa.Table:
+                rows, buckets, lists = [], [], []
+                for i, found in enumerate(forest.value.search(x, sizes, budget, k + 1)):
+                    own: dict[int, list[int]] = {}
+                    for at in found:
+                        own.setdefault(at >> shift, []).append(at)
+                    rows += [i] * len(own)
+                    buckets += own
+                    lists += own.values()
+                row = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(lists, pa.list_(pa.int64())), batch.column(1).take(row), v.take(row)], ["bucket", "leaves", "query_id", "q"])
+
+    routed = written(map_batches(asked.select("v", "query_id"), route, "bucket long, leaves array<long>, query_id long, q binary"), "routed")
+    n_blocks = np.ones(len(of_bucket), np.int64)
+    for r in routed.groupBy("bucket").count().collect():  # a row a bucket
+        n_blocks[r["bucket"]] = -(-r["count"] // QUERY_BLOCK)
+    at_bucket = lambda x: F.get(F.lit(np.maximum(1, x).tolist()), F.col("bucket").cast("int"))
+    data = index.withColumn("bucket", F.shiftright("leaf", shift)).withColumn("chunk", F.pmod(F.xxhash64("v"), at_bucket(n_chunks)))
+    data = data.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), at_bucket(n_blocks) - 1)))
+    asking = routed.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), at_bucket(n_chunks) - 1))).withColumn("block", F.pmod(F.xxhash64("query_id"), at_bucket(n_blocks)))
+
+    def best(x: np.ndarray, spans: dict[int, tuple[int, int]], q: np.ndarray, leaves: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of q, entries and products of the k + 1 best entries (and ties of the last) in the leaves that each row names."""
+        wanted: dict[int, list[int]] = {}
+        for i, own in enumerate(leaves):
+            for at in own:
+                wanted.setdefault(at, []).append(i)
+        rows, entries, scores = [], [], []
+        for at, who in wanted.items():
+            first, end = spans.get(at, (0, 0))
+            if first < end:
+                products = q[who] @ x[first:end].T
+                top = min(k + 1, end - first)
+                row, entry = np.nonzero(products >= np.partition(products, end - first - top, axis=1)[:, end - first - top, None])
+                rows.append(np.array(who)[row])
+                entries.append(entry + first)
+                scores.append(products[row, entry])
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        row, entry, score = (np.concatenate(c) for c in (rows, entries, scores))
+        order = np.lexsort((-score, row))
+        row, entry, score = row[order], entry[order], score[order]
+        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        count = np.diff(np.append(starts, len(row)))
+        keep = score >= np.repeat(score[starts + np.minimum(k, count - 1)], count)
+        return row[keep], entry[keep], score[keep]
+
+    def rerank(have: pa.Table, ask: pa.Table) -> pa.Table:
         names, who, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        if len(data) and len(ask):
-            x, lists = matrix(data["v"]), data["ids"].combine_chunks()
+        if len(have) and len(ask):
+            have = have.sort_by("leaf")
+            of_leaf, first = np.unique(have["leaf"].to_numpy(), return_index=True)
+            spans = {at: (s, e) for at, s, e in zip(of_leaf.tolist(), first.tolist(), [*first[1:].tolist(), len(have)], strict=True)}
+            x, lists = matrix(have["v"]), have["ids"].combine_chunks()
             ids, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
             n_ids = np.diff(ends, prepend=0)
-            q, own = matrix(ask["q"]), ask["query_id"].to_numpy()
-            top = min(k + 1, len(x))
+            q, own, leaves = matrix(ask["q"]), ask["query_id"].to_numpy(), ask["leaves"].to_pylist()
             for at in range(0, len(q), AT_ONCE):
-                products = q[at : at + AT_ONCE] @ x.T
-                bound = np.partition(products, len(x) - top, axis=1)[:, len(x) - top]
-                row, entry = np.nonzero(products >= bound[:, None])  # ties of the last one too
+                row, entry, score = best(x, spans, q[at : at + AT_ONCE], leaves[at : at + AT_ONCE])
                 each = n_ids[entry]
                 place = np.repeat(ends[entry] - np.cumsum(each), each) + np.arange(each.sum())
-                query, vec, score = own[at + np.repeat(row, each)], ids[place], np.repeat(products[row, entry], each)
+                query, vec, score = own[at + np.repeat(row, each)], ids[place], np.repeat(score, each)
                 other = query != vec
                 names.append(query[other])
                 who.append(vec[other])
                 scores.append(score[other])
         return pa.table([pa.array(np.concatenate(c)) for c in (names, who, scores)], ["query_id", "vec_id", "score"])
 
-    keys = ["leaf", "chunk", "block"]
-    found = dealt.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInArrow(rerank, "query_id long, vec_id long, score double")
+    keys = ["bucket", "chunk", "block"]
+    found = data.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(rerank, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
