@@ -66,10 +66,12 @@ def least_hashed(df: DataFrame, h: Column, n: int, total: int, *ties: str) -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only in local mode, where none is set (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         now = spark.sparkContext.getCheckpointDir()
+        if not now and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = now if now else tempfile.mkdtemp(prefix="lumenfold-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
