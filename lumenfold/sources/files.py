@@ -11,7 +11,6 @@ from lumenfold import schemas
 
 #: What windows-1252 has where ISO-8859-1 has control characters; bytes that it leaves undefined are kept.
 WINDOWS_1252 = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
-DAMAGED = "�"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -22,13 +21,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 def read_raw_catalog(spark: SparkSession, path: str) -> DataFrame:
     """pos (0-based place in the file), raw_facet of a one-column CSV with the header Facets or facets.
 
-    Read as UTF-8, or where that gives replacement characters as windows-1252, or as ISO-8859-1 where it has bytes that
+    Read as UTF-8, or where its bytes aren't valid UTF-8 as windows-1252, or as ISO-8859-1 where it has bytes that
     windows-1252 doesn't define. Blank lines are left out; NA, null and empty cells are null.
     """
     if not exists(spark, path):
         raise FileNotFoundError(path)
     raw = _one_column(spark, path, "UTF-8")
-    if raw.filter(F.col("raw_facet").contains(DAMAGED)).limit(1).count():
+    if spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count():  # lines are read as the bytes they are
         raw = _one_column(spark, path, "ISO-8859-1")
         if not raw.filter(F.col("raw_facet").rlike("[\\x81\\x8D\\x8F\\x90\\x9D]")).limit(1).count():
             raw = raw.withColumn("raw_facet", F.translate("raw_facet", "".join(WINDOWS_1252), "".join(WINDOWS_1252.values())))

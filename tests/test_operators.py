@@ -38,6 +38,23 @@ def test_fusion_and_tiers(spark):
     assert {r.doc_id: r.target_rank for r in ret.target_rank(a, target).collect()} == {"y": 2, "q": 999}
 
 
+def test_complete_fusion_and_containment_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    vocab = [f"w{i}" for i in range(40)]
+    rows = [(i, i, " ".join(rng.choice(vocab, rng.integers(1, 12))) if i % 9 else "zzz", rng.standard_normal(4).tolist() if i % 4 else None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, doc_pos long, text string, vector array<double>")
+    asked = [(1, "w1 w2 w3", [1.0, 0.0, 0.0, 0.0]), (2, "nothing", [0.0, 1.0, 0.0, 0.0]), (3, "w5 w6", None), (4, "w7", [0.0, 0.0, 1.0, 1.0])]
+    queries = spark.createDataFrame(asked, "query_id long, text string, vector array<double>")
+    got = [(r.query_id, r.doc_id, r.rank) for r in ret.rrf_complete(docs.drop("vector"), docs, queries, 7).orderBy("query_id", "rank").collect()]
+    want = [(r.query_id, r.doc_id, r.rank) for r in ret.rrf([ret.bm25_all(docs, queries), ret.dense_top(docs, queries, None)], 7).orderBy("query_id", "rank").collect()]
+    assert got == want and len(got) == 28
+    more = spark.createDataFrame([(1, " ".join(rows[5][2].split()[:3])), (2, rows[7][2]), (3, "1 w"), (4, None), (5, "w")], "query_id long, text string")
+    held = {(r.query_id, r.doc_id) for r in ret.containing(docs, ret.index(docs), more).collect()}
+    assert held == {(q, r[0]) for q, t in more.collect() if t is not None for r in rows if t in r[2]}
+
+
 def test_dense_zero_vectors(spark):
     d = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 1, [0.0, 0.0]), (3, 2, None)], "doc_id long, doc_pos long, vector array<float>")
     q = spark.createDataFrame([(7, [2.0, 0.0]), (8, [0.0, 0.0])], "query_id long, vector array<float>")
@@ -117,6 +134,8 @@ def test_files_round_trip(spark, tmp_path):
     files.write_catalog(built, str(tmp_path / "out"))
     for name in ("catalog.parquet", "catalog_csv", "catalog_json"):
         assert (spark.read.parquet if name.endswith("parquet") else spark.read.csv if name.endswith("csv") else spark.read.json)(str(tmp_path / "out" / name)).count() >= 3
+    path.write_bytes("Facets\ncaf\u00e9 a\ufffdb\n".encode())  # valid UTF-8, though a character was lost before
+    assert files.read_raw_catalog(spark, str(path)).first().raw_facet == "café a\ufffdb"
     with pytest.raises(FileNotFoundError):
         files.read_raw_catalog(spark, str(tmp_path / "none.csv"))
     assert files.markdown_table(spark.createDataFrame([(1, "a|b")], "n int, s string")).splitlines()[2] == "| 1 | a\\|b |"
