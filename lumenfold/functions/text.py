@@ -195,6 +195,15 @@ def dense_text(name: Column, raw: Column, kind: Column, definition: Column, keyw
     )
 
 
+def rich_text(name: Column, raw: Column, kind: Column, definition: Column, rules: Column, keywords: Column, reason: Column) -> Column:
+    """The text for the other embedder. A null reason reads None; a null kind is conversational_trait, a null name the raw one."""
+    parts = [
+        ("Facet Name", F.coalesce(name, _text(raw))), ("Raw Facet", _text(raw)), ("Type", F.coalesce(kind, F.lit("conversational_trait"))), ("Definition", _text(definition)),
+        ("Scoring Rules", _text(rules)), ("Keywords", F.array_join(keywords, ", ")), ("Abstention Reason", F.coalesce(reason, F.lit("None"))),
+    ]
+    return F.array_join(F.array(*(F.concat(F.lit(f"{label}: "), value) for label, value in parts)), " | ")
+
+
 def enriched_text(facet_id: Column, name: Column, raw: Column, kind: Column, definition: Column, keywords: Column, reason: Column) -> Column:
     words = F.array_join(keywords, ", ")
     return F.concat(

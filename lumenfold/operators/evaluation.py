@@ -61,6 +61,21 @@ def contains_match(results: DataFrame, wanted: DataFrame, both_ways: bool = Fals
     return one.select("case_id", "expected", F.col("__hit").alias("matched"), F.when(shown, F.col("pos")).alias("pos"), F.when(shown, F.col("facet")).alias("facet"))
 
 
+def harness_match(results: DataFrame, wanted: DataFrame) -> DataFrame:
+    """results: case_id, pos, facet_id, facet; wanted: case_id, facet_id (null: unknown), expected. Each case's first result
+    whose name holds the expected one or is held by it, or whose id equals the expected name or the wanted id."""
+    own, want, own_id = F.lower(F.trim("facet")), match_key(F.col("expected")), F.lower(F.trim("facet_id"))
+    hit = ((want != "") & own.contains(want)) | ((own != "") & want.contains(own)) | (own_id == want) | (own_id == F.lower("want_id"))
+    j = wanted.select("case_id", F.col("facet_id").alias("want_id"), "expected").join(results, "case_id").filter(F.coalesce(hit, F.lit(False)))
+    return j.groupBy("case_id").agg(F.min(F.struct("pos", "facet_id")).alias("r")).select("case_id", "r.pos", "r.facet_id")
+
+
+def in_set(targets: DataFrame, members: DataFrame, on: str) -> DataFrame:
+    """targets with is_member: whether the key is one of members'."""
+    known = members.filter(F.col(on).isNotNull()).select(on).distinct().withColumn("is_member", F.lit(True))
+    return targets.join(known, on, "left").withColumn("is_member", F.coalesce("is_member", F.lit(False)))
+
+
 def result_match(results: DataFrame, wanted: DataFrame) -> DataFrame:
     """results: case_id, pos, facet_id, facet, status; wanted: case_id, facet_id, expected. First by id, name or part of the
     id; where none fits, the first scored result."""
@@ -248,3 +263,8 @@ def response_metadata(results: DataFrame, by: str = "conv_id") -> DataFrame:
     """retrieved, scored and abstained (all the rest, errors too) for each conversation."""
     n, scored = F.count("*"), F.count_if(F.col("status") == "scored")
     return results.groupBy(by).agg(n.alias("n_retrieved"), scored.alias("n_scored"), (n - scored).alias("n_abstained"))
+
+
+def component_means(rows: DataFrame, value: str, by: str) -> DataFrame:
+    """Mean time of each component of a run, to two places."""
+    return rows.groupBy(by).agg(F.count(value).alias("n"), F.round(F.avg(value), 2).alias("mean_ms"))

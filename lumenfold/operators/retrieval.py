@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -333,6 +334,41 @@ def rrf(lists: list[DataFrame], top_k: int | None = None, k: int = RRF_K, pool:
     return ranked(fused, [F.desc("score"), *(F.asc_nulls_last(f"rank_{i + 1}") for i in range(len(lists))), F.col("doc_id")], top_k)
 
 
+def model_vectors(docs: DataFrame, load: Callable[[], Callable[[list[str]], object]], id_column: str = "doc_id", batch: int = 64) -> DataFrame:
+    """id_column, vector: load() gives a function from texts to rows of numbers; it is called once a task, and the
+    function for each batch of texts. A null text is embedded as an empty one."""
+    kind = dict(docs.dtypes)[id_column]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = None
+        for frame in frames:
+            encode = encode or load()
+            texts = [t or "" for t in frame["text"]]
+            rows = [v for k in range(0, len(texts), batch) for v in np.asarray(encode(texts[k : k + batch]), dtype=float)]
+            yield pd.DataFrame({id_column: frame[id_column], "vector": rows})
+
+    return docs.select(id_column, "text").mapInPandas(run, f"{id_column} {kind}, vector array<double>")
+
+
+BACKENDS = ("model", "tfidf", "tf")
+
+
+def semantic_top(docs: DataFrame, queries: DataFrame, top_k: int, backend: str = "tfidf", load: Callable | None = None) -> DataFrame:
+    """The semantic list by the backend named: vectors of a loaded model, or cosine over weighted or plain term counts.
+    The choice is the caller's; a model that fails to load fails the query and doesn't become another backend."""
+    if backend not in BACKENDS or (backend == "model") != (load is not None):
+        raise ValueError(f"backend is one of {BACKENDS}, with a loader for model alone")
+    if backend != "model":
+        return term_cosine(docs, queries, top_k, inverse=backend == "tfidf")
+    placed = model_vectors(docs, load).join(docs.select("doc_id", "doc_pos"), "doc_id")
+    return dense_top(placed, model_vectors(queries, load, "query_id"), top_k)
+
+
+def tri_fusion(lexical: DataFrame, docs: DataFrame, queries: DataFrame, expanded: DataFrame, top_k: int, pool: int = 100, backend: str = "tfidf", load: Callable | None = None) -> DataFrame:
+    """Fusion of a lexical list of the queries with the semantic lists of the queries and of the expanded queries."""
+    return rrf([lexical, *(semantic_top(docs, asked, pool, backend, load) for asked in (queries, expanded))], top_k, pool=pool)
+
+
 def tiered_union(lists: list[DataFrame], each: int = 10, cap: int = 20) -> DataFrame:
     """The first ``each`` of every list in turn, each document once, at most cap."""
     union = reduce(DataFrame.unionByName, [x.filter(F.col("rank") <= each).select("query_id", "doc_id", F.lit(i).alias("tier"), "rank") for i, x in enumerate(lists)])
@@ -371,6 +407,18 @@ def rerank(candidates: DataFrame, scorer: Callable[[Column, Column], Column] | N
     return ranked(scored, [F.desc("reranker_score"), F.col("rank")], top_k, "new_rank")
 
 
+def model_scorer(load: Callable[[], Callable[[list[str], list[str]], object]]) -> Callable[[Column, Column], Column]:
+    """A scorer for rerank: load() gives a function from queries and documents to scores, once a task."""
+
+    @F.pandas_udf("double")
+    def score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for asked, docs in pairs:
+            yield pd.Series(np.asarray(model(asked.fillna("").tolist(), docs.fillna("").tolist()), dtype=float))
+
+    return score
+
+
 def target_rank(candidates: DataFrame, targets: DataFrame, missing: int = MISSING) -> DataFrame:
     """query_id, doc_id, target_rank of each target; missing where it isn't among the candidates."""
     return targets.select("query_id", "doc_id").join(candidates.select("query_id", "doc_id", "rank"), ["query_id", "doc_id"], "left").groupBy("query_id", "doc_id").agg(F.coalesce(F.min("rank"), F.lit(missing)).alias("target_rank"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenfold.functions.text import any_of, strip
+from lumenfold.functions.text import any_of, display_name, strip
 from lumenfold.schemas import RESULT, valid_result
 
 DEFAULT_ANCHORS = "High/Low behavioral indicators"
@@ -28,12 +28,41 @@ TRAIT_WORDS = ["risk", "naivety", "leadership", "hesitation", "discontentment",
 STRONG_WORDS = ["solo", "immediately", "voted", "pause", "complaining", "hilarious", "course", "firmly", "gloomy", "six years", "admitted", "failed", "returned", "donated"]
 REFUSALS = ["cannot fulfill", "cannot answer", "unable to evaluate", "as an ai", "as a language model", "sorry, but i cannot"]
 
-SYSTEM_PROMPT = (
-    "You judge which behavioural traits a conversation shows. Score a trait from 1 (hardly any evidence) to 5 (explicit "
-    "evidence) only on what the text says, and quote that; give status scored, insufficient_evidence, not_observable or "
-    "invalid_facet. Answer with a JSON array of objects with the keys facet_id, facet, status, score, confidence, evidence, "
-    "reason, and null for score and evidence unless the status is scored."
-)
+#: The instructions that models get, as text.
+SYSTEM_PROMPT = """You are an expert AI/ML Behavioral & Conversational Trait Evaluator.
+Your job is to evaluate a conversation transcript against a small set of candidate facets.
+
+CRITICAL ABSTENTION & ACCURACY RULES:
+1. DO NOT infer unsupported facts, medical lab values, blood test results, physical health diagnoses, or unverified external biographical details.
+2. If the conversation DOES NOT contain explicit or strong implicit evidence for a facet, you MUST ABSTAIN by returning status "insufficient_evidence" with score = null and evidence = null.
+3. If a facet is unobservable from text (e.g. medical biomarker, lab count, physical sensor log), return status "not_observable" with score = null and evidence = null.
+4. For observable behavioral/conversational traits, self-reported skill experiences, or explicit statements supported by text, assign status "scored" and an integer score from 1 to 5:
+   1 = Minimal / Essentially Absent evidence
+   2 = Weak / Vague implicit evidence
+   3 = Moderate clear evidence
+   4 = Strong explicit evidence
+   5 = Very Strong / Explicit direct evidence or multi-year expertise statement
+5. For status "scored", you MUST extract an exact quote from the conversation into the "evidence" field.
+
+OUTPUT FORMAT:
+You MUST respond with a valid JSON array of objects. Do not include markdown formatting outside the JSON array. Each object MUST contain:
+{
+  "facet_id": "string",
+  "facet": "string",
+  "status": "scored" | "insufficient_evidence" | "not_observable" | "invalid_facet",
+  "score": integer (1-5) or null,
+  "confidence": float (0.0 to 1.0),
+  "evidence": "exact quote from text" or null,
+  "reason": "explanation of score or abstention reason"
+}
+"""
+HARNESS_PROMPT = """You are a psychological facet evaluator. Assess if the user's text exhibits any of the given candidate traits.
+Evaluate each candidate trait INDEPENDENTLY against the conversation text. Do NOT abstain on a valid trait simply because another related candidate trait is present.
+When team voting, consensus, or democratic decision-making ('We voted together') is mentioned, score 'Democratic Leadership' directly.
+For matching traits, set status to 'scored' and assign a score from 1.0 to 5.0.
+For unmatched traits, set status to 'abstained' and score to 0.0.
+Keep reasoning short (1 concise sentence per trait).
+Return ONLY a raw JSON array of objects with keys: facet_id, facet_name, score, status, confidence, reasoning."""
 
 
 def batches(candidates: DataFrame, batch_size: int) -> DataFrame:
@@ -59,6 +88,15 @@ def prompts(batched: DataFrame) -> DataFrame:
     return grouped.select("conv_id", "batch", "n_candidates", prompt.alias("prompt"))
 
 
+def harness_prompts(batched: DataFrame) -> DataFrame:
+    """batched as for prompts. The short list form: a line a candidate, in rank order, for HARNESS_PROMPT."""
+    line = F.concat(F.lit("- ["), F.col("facet_id"), F.lit("] "), display_name(F.col("normalized_facet")), F.lit(": "), F.coalesce("scoring_definition", F.lit("")))
+    grouped = batched.groupBy("conv_id", "batch").agg(F.max("text").alias("text"), F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"), F.count("*").alias("n_candidates"))
+    lines = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
+    prompt = F.concat(F.lit('CONVERSATION TEXT:\n"'), F.coalesce("text", F.lit("")), F.lit('"\n\nCANDIDATE FACETS:\n'), lines, F.lit("\n\nOutput JSON array:"))
+    return grouped.select("conv_id", "batch", "n_candidates", prompt.alias("prompt"))
+
+
 def cues(conversation: Column) -> Column:
     """What the rules look for in a conversation, once for all its candidates: its lower-case text up to the first inner
     quote, and whether it holds a cue, a strong cue, a rejected quotation."""
@@ -219,22 +257,55 @@ def parse(outputs: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
-def harness_state(raw: Column) -> Column:
-    """How an output could be read: empty_output, valid_array, wrapped_object, single_object, truncated_recovery, parse_error."""
+HARNESS_FIELDS = ("facet_id", "facet", "score", "status", "confidence", "reasoning")
+PARSED_STATES = ("valid_array", "wrapped_object", "single_object", "truncated_recovery")
+
+
+def _listed(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def harness_read(raw: Column) -> Column:
+    """state and items of an output. state: empty_output, valid_array, wrapped_object (the first list in an object),
+    single_object, truncated_recovery (whole objects of a broken list) or parse_error. items: the list that was read, as
+    variants, empty for the first and the last state."""
     t = strip(F.regexp_replace(F.coalesce(raw, F.lit("")), "```(?:json)?", ""))
-    is_array = lambda p: F.coalesce(F.schema_of_variant(whole_json(p)).startswith("ARRAY"), F.lit(False))
-    objects, any_array, obj = (F.regexp_extract(t, p, 1) for p in (r"(?s)(\[\s*\{.*\}\s*\])", r"(?s)(\[.*\])", r"(?s)(\{.*\})"))
-    parsed = whole_json(F.when(obj != "", obj))
-    shape = F.coalesce(F.schema_of_variant(parsed), F.lit(""))
-    recovered = F.exists(F.regexp_extract_all(t, F.lit(r'(?s)(\{\s*"facet_id".*?\})'), F.lit(1)), lambda o: whole_json(o).isNotNull())
-    return (
-        F.when(strip(F.coalesce(raw, F.lit(""))) == "", "empty_output")
-        .when(is_array(F.when(objects != "", objects)) | is_array(F.when(any_array != "", any_array)), "valid_array")
-        .when(shape.rlike(r": ARRAY<"), "wrapped_object")
-        .when(shape.rlike(r"[<, ](facet_id|score|status): "), "single_object")
-        .when(recovered, "truncated_recovery")
-        .otherwise("parse_error")
-    )
+    found = {name: F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for name, p in (("objects", r"(?s)(\[\s*\{.*\}\s*\])"), ("array", r"(?s)(\[.*\])"), ("object", r"(?s)(\{.*\})"))}
+    whole = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r'(?s)(\{\s*"facet_id".*?\})'), F.lit(1)), whole_json), lambda o: o.isNotNull())
+    read = F.struct(
+        F.coalesce(_listed(whole_json(found["objects"])), _listed(whole_json(found["array"]))).alias("list"), whole_json(found["object"]).alias("object"),
+        F.map_keys(F.from_json(found["object"], "map<string,string>")).alias("keys"), whole.alias("recovered"), (strip(F.coalesce(raw, F.lit(""))) == "").alias("empty"),
+    )
+
+    def result(state: str, items: Column) -> Column:
+        return F.struct(F.lit(state).alias("state"), items.alias("items"))
+
+    def judged(r: Column) -> Column:
+        fields = F.try_variant_get(r["object"], "$", "map<string,variant>")
+        # A variant's fields are in the order of their names; the first list is that of the text's order.
+        lists = F.filter(F.transform(r["keys"], lambda k: _listed(F.try_element_at(fields, k))), lambda x: x.isNotNull())
+        single = F.exists(F.map_keys(fields), lambda k: k.isin("facet_id", "score", "status"))
+        none = F.slice(r["recovered"], 1, 0)
+        return (
+            F.when(r["empty"], result("empty_output", none)).when(r["list"].isNotNull(), result("valid_array", r["list"])).when(F.size(lists) > 0, result("wrapped_object", F.get(lists, F.lit(0))))
+            .when(single, result("single_object", F.array(r["object"]))).when(F.size(r["recovered"]) > 0, result("truncated_recovery", r["recovered"])).otherwise(result("parse_error", none))
+        )
+
+    return F.get(F.transform(F.array(read), judged), F.lit(0))
+
+
+def harness_state(raw: Column) -> Column:
+    return harness_read(raw)["state"]
+
+
+def harness_items(items: Column) -> Column:
+    """The objects among the variants of harness_read, each as harness_item reads it; other values are left out."""
+
+    def field(v: Column, name: str) -> Column:
+        return F.when(F.is_variant_null(F.try_variant_get(v, f"$.{name}", "variant")), "None").otherwise(F.try_variant_get(v, f"$.{name}", "string")).alias(name)
+
+    objects = F.filter(items, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    return F.transform(objects, lambda v: harness_item(F.struct(*(field(v, n) for n in HARNESS_FIELDS))))
 
 
 def harness_item(item: Column) -> Column:
@@ -244,8 +315,19 @@ def harness_item(item: Column) -> Column:
     known = status.isin("scored", "abstained", "not_observable", "insufficient_evidence")
     return F.struct(
         strip(F.coalesce(item["facet_id"], item["facet"], F.lit(""))).alias("facet_id"), score.alias("score"), F.when(known, status).when(score > 0, "scored").otherwise("abstained").alias("status"),
-        F.coalesce(item["confidence"], F.lit("medium")).alias("confidence"), F.coalesce(item["reason"], F.lit("")).alias("reasoning"),
+        F.coalesce(item["confidence"], F.lit("medium")).alias("confidence"), F.coalesce(item["reasoning"], F.lit("")).alias("reasoning"),
+    )
+
+
+def merged_passes(passes: DataFrame) -> DataFrame:
+    """passes: conv_id, batch, state, items (array of structs), latency_ms. One row a conversation: the passes' items in
+    turn, their summed latency, and the first pass's state if it was read, else the second's (valid_array without one)."""
+    one = passes.groupBy("conv_id").agg(
+        F.sum("latency_ms").alias("latency_ms"), F.count("*").alias("n_passes"), F.array_sort(F.collect_list(F.struct("batch", "state", "items"))).alias("in_turn"),
     )
+    first, second = F.get("in_turn", F.lit(0))["state"], F.get("in_turn", F.lit(1))["state"]
+    state = F.when(first.isin(*PARSED_STATES), first).otherwise(F.coalesce(second, F.lit("valid_array")))
+    return one.select("conv_id", "n_passes", "latency_ms", state.alias("state"), F.flatten(F.transform("in_turn", lambda p: p["items"])).alias("items"))
 
 
 RESULT_COLUMNS = RESULT.fieldNames()

@@ -26,6 +26,23 @@ def split_inputs(conversations: DataFrame, max_chars: int = 10_000) -> tuple[Dat
     return judged.filter("error IS NULL").drop("error").withColumn("text", text.strip(F.col("text"))), judged.filter("error IS NOT NULL")
 
 
+def split_requests(requests: DataFrame, max_top_k: int = 50, default_top_k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """requests: conv_id, text, top_k (null: the default). (accepted, with text trimmed; rejected, with error).
+
+    A search takes texts of any length; one that is blank, or asks for no or over max_top_k entries, is rejected."""
+    asked = requests.withColumn("top_k", F.coalesce("top_k", F.lit(default_top_k)))
+    bad_k = F.when(~F.col("top_k").between(1, max_top_k), "top_k out of range")
+    judged = asked.withColumn("error", F.coalesce(text.input_error(F.col("text"), None), bad_k))
+    return judged.filter("error IS NULL").drop("error").withColumn("text", text.strip(F.col("text"))), judged.filter("error IS NOT NULL")
+
+
+def retrieve_requests(requests: DataFrame, catalog: DataFrame, strategy: str = "bm25", max_top_k: int = 50) -> DataFrame:
+    """query_id, doc_id, rank of each accepted request, as many as it asks for."""
+    accepted = split_requests(requests, max_top_k)[0]
+    found = retrieve(accepted, catalog, max_top_k, strategy)
+    return found.join(accepted.select(F.col("conv_id").alias("query_id"), "top_k"), "query_id").filter("rank <= top_k").select("query_id", "doc_id", "rank")
+
+
 def documents_of(catalog: DataFrame) -> DataFrame:
     """The observable entries as documents, in catalog order."""
     entries = cat.observable(catalog)

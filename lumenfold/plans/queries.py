@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,8 @@ from lumenfold.operators import retrieval as ret
 from lumenfold.operators import scoring as sc
 from lumenfold.plans import evaluate as plan
 from lumenfold.plans import sql as S
-from lumenfold.session import spread, stored
+from lumenfold.schemas import CATALOG
+from lumenfold.session import shared_dir, spread, stored
 from lumenfold.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,6 +194,16 @@ def _(t):
     return d.unionByName(c).select("id", text.input_error(F.col("text")).alias("error"))
 
 
+_TOP_K = "CASE WHEN conv_id % 11 = 0 THEN NULL ELSE (turn * 17 + conv_id) % 60 END"
+
+
+@query("request_validation", f"SELECT conv_id, turn, CASE WHEN text IS NULL OR {S.strip('text')} = '' THEN 'blank' WHEN NOT coalesce({_TOP_K}, 10) BETWEEN 1 AND 50 THEN 'top_k out of range' END AS error, coalesce({_TOP_K}, 10)::BIGINT AS top_k FROM conversations")
+def _(t):
+    asked = t.conversations.select("conv_id", "turn", "text", F.expr(_TOP_K).cast("long").alias("top_k"))
+    accepted, rejected = plan.split_requests(asked)
+    return accepted.withColumn("error", F.lit(None).cast("string")).unionByName(rejected).select("conv_id", "turn", "error", "top_k")
+
+
 @query("conversation_fold", f"WITH {S.CONVERSATIONS} SELECT * FROM folded")
 def _(t):
     return t.folded()
@@ -233,6 +246,12 @@ def _(t):
     return t.catalog().select("facet_id", text.lexical_text(name, kind, definition).alias("lexical"), text.dense_text(name, raw, kind, definition, keywords, none, reason).alias("dense"), text.enriched_text(F.col("facet_id"), name, raw, kind, definition, keywords, reason).alias("enriched"))
 
 
+@query("rich_text_template", f"""WITH {S.CATALOG} SELECT facet_id, 'Facet Name: ' || normalized_facet || ' | Raw Facet: ' || raw_facet || ' | Type: ' || facet_type || ' | Definition:  | Scoring Rules: ' || scoring_definition || ' | Keywords: k1, k2 | Abstention Reason: ' || coalesce(abstention_reason, 'None') AS rich FROM catalog""")
+def _(t):
+    name, raw, kind, rules, reason = (F.col(c) for c in ("normalized_facet", "raw_facet", "facet_type", "scoring_definition", "abstention_reason"))
+    return t.catalog().select("facet_id", text.rich_text(name, raw, kind, F.lit(None).cast("string"), rules, F.array(F.lit("k1"), F.lit("k2")), reason).alias("rich"))
+
+
 _BRANCHES = " ".join(f"WHEN {S.any_of('lower(nf)', w)} THEN [{S.q(a)}, {S.q(b)}]" for w, (a, b) in text.EXAMPLES)
 _GENERIC = ", ".join(f"{S.q(g.split('{}')[0])} || nf || {S.q(g.split('{}')[1])}" for g in text.GENERIC_EXAMPLES)
 
@@ -344,6 +363,23 @@ def _(t):
     return ret.rrf([*_lists(t, 50), ret.bm25_top(t.indexed(), _expanded(t), 50)], 10).select("query_id", "doc_id", "rank")
 
 
+def _weighted(name: str, asked: str) -> str:
+    """The first 100 of the weighted term cosine of the texts asked, over the documents' terms (w_d, w_i, w_n)."""
+    return f"""{name}q AS (SELECT q, term, count(*) * any_value(idf) AS c FROM (SELECT q, unnest({_TB}) AS term FROM {asked}) JOIN w_i USING (term) GROUP BY q, term), {name}n AS (SELECT q, sqrt(sum(c * c)) AS n FROM {name}q GROUP BY q),
+{name}s AS (SELECT q, doc, pos, round(sum(a.c * w_d.c / b.n / w_n.n), 9) AS score FROM {name}q a JOIN w_d USING (term) JOIN w_n USING (doc) JOIN {name}n b USING (q) GROUP BY ALL), {name}_top AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, pos) AS rank FROM {name}s QUALIFY rank <= 100)"""
+
+
+@query("rrf_tri_fusion", f"""WITH {CORPUS}, {BM25}, more AS (SELECT q, text || ' skydiving risk' AS text FROM asked), w_0 AS (SELECT doc, pos, term, count(*) AS c FROM (SELECT doc, pos, unnest({_TB}) AS term FROM corpus) GROUP BY ALL),
+w_i AS (SELECT term, ln((1 + (SELECT count(*) FROM corpus)) / (1 + count(*))) + 1 AS idf FROM w_0 GROUP BY term), w_d AS MATERIALIZED (SELECT doc, pos, term, c * idf AS c FROM w_0 JOIN w_i USING (term)), w_n AS (SELECT doc, sqrt(sum(c * c)) AS n FROM w_d GROUP BY doc), {_weighted('s', 'asked')}, {_weighted('e', 'more')},
+u AS (SELECT q, doc, 1 AS l, rank FROM b_all WHERE rank <= 100 UNION ALL SELECT q, doc, 2, rank FROM s_top UNION ALL SELECT q, doc, 3, rank FROM e_top),
+f AS (SELECT q, doc, max(rank) FILTER (l = 1) AS r1, max(rank) FILTER (l = 2) AS r2, max(rank) FILTER (l = 3) AS r3, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM u GROUP BY q, doc),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, r1 NULLS LAST, r2 NULLS LAST, r3 NULLS LAST, doc) AS rank FROM f) SELECT q AS query_id, doc AS doc_id, rank FROM r WHERE rank <= 10""")
+def _(t):
+    asked = t.asked().select("query_id", "text")
+    expanded = asked.withColumn("text", F.concat("text", F.lit(" skydiving risk")))
+    return ret.tri_fusion(ret.bm25_top(t.indexed(), t.asked(), 100), t.corpus(), asked, expanded, 10).select("query_id", "doc_id", "rank")
+
+
 _TIER = "u AS (SELECT q, doc, 0 AS tier, rank FROM b_all WHERE rank <= 10 UNION ALL SELECT q, doc, 1, rank FROM dense_all WHERE rank <= 10), o AS (SELECT q, doc, min(tier * 1000 + rank) AS place FROM u GROUP BY q, doc), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY place) AS rank FROM o)"
 
 
@@ -417,6 +453,12 @@ def _(t):
     return sc.prompts(sc.batches(_candidates(t), 4))
 
 
+@query("prompt_harness", f"""WITH {_CAND} SELECT conv_id, ((rank - 1) // 4)::INT AS batch, count(*) AS n_candidates, 'CONVERSATION TEXT:' || chr(10) || '"' || any_value(text) || '"' || chr(10) || chr(10) || 'CANDIDATE FACETS:' || chr(10)
+ || string_agg('- [' || facet_id || '] ' || trim(regexp_replace(trim(normalized_facet), ':$', '')) || ': ' || scoring_definition, chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Output JSON array:' AS prompt FROM cand GROUP BY conv_id, (rank - 1) // 4""")
+def _(t):
+    return sc.harness_prompts(sc.batches(_candidates(t), 4))
+
+
 _RULE = S.rule_fields("low", "conv")
 
 
@@ -476,9 +518,35 @@ def _(t):
     return t.part.select(sc.harness_state(F.expr(_STATE_SQL)).alias("state")).groupBy("state").agg(F.count("*").alias("n")).withColumn("parsed", ~F.col("state").isin("parse_error", "empty_output"))
 
 
+_H = """'{"facet_id": "F' || %d || '", "score": %s, "status": "%s", "reasoning": "as ' || p_name || '"}'"""
+_READ = [("NULL", "empty_output", 0), (f"'Here: [' || {_H % (1, '4.5', 'Scored')} || ', 7, ' || {_H % (2, 'null', 'odd')} || ']'", "valid_array", 2), (f"'{{\"z\": [7, ' || {_H % (1, '4.5', 'Scored')} || ', ' || {_H % (2, 'null', 'odd')} || '], \"a\": [1]}}'", "wrapped_object", 2), (f"'```json ' || {_H % (1, '4.5', 'Scored')} || '```'", "single_object", 1), (f"'[' || {_H % (1, '4.5', 'Scored')} || ', ' || {_H % (2, 'null', 'odd')} || ', {{\"facet_id\": \"F3'", "truncated_recovery", 2), ("'{\"a\": {\"b\": [1]}, \"c\": 2, \"d\": \"[]'", "parse_error", 0)]
+_READ_SQL = "CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN {o}" for i, (o, _, _) in enumerate(_READ)) + " END"
+_READ_STATES = "CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '{state}'" for i, (_, state, _) in enumerate(_READ)) + " END"
+_READ_COUNTS = "CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN {n}" for i, (_, _, n) in enumerate(_READ)) + " END"
+
+
+@query("harness_parse_items", f"""WITH r AS (SELECT p_partkey, p_name, {_READ_STATES} AS state, {_READ_COUNTS} AS n FROM part)
+SELECT p_partkey, state, i::INT AS place, 'F' || i AS facet_id, CASE WHEN i = 1 THEN 4.5::DOUBLE ELSE 0::DOUBLE END AS score, CASE WHEN i = 1 THEN 'scored' ELSE 'abstained' END AS status, 'medium' AS confidence, 'as ' || p_name AS reasoning FROM r, generate_series(1, n) g(i)
+UNION ALL SELECT p_partkey, state, NULL, NULL, NULL, NULL, NULL, NULL FROM r WHERE n = 0""")
+def _(t):
+    read = t.part.select("p_partkey", sc.harness_read(F.expr(_READ_SQL)).alias("r"))
+    each = read.select("p_partkey", "r.state", F.posexplode_outer(sc.harness_items(F.col("r.items"))).alias("place", "i"))
+    return each.select("p_partkey", "state", (F.col("place") + 1).alias("place"), "i.*")
+
+
+@query("harness_two_passes", f"""WITH r AS (SELECT conv_id, p_partkey AS k, p_partkey % 6 AS f FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN part ON p_partkey = conv_id % 37 + 1),
+p AS (SELECT k AS p_partkey, * FROM r UNION ALL SELECT k + 1, conv_id, k, f FROM r WHERE conv_id % 5 <> 0), s AS (SELECT conv_id, p_partkey - k AS batch, {_READ_STATES} AS state, {_READ_COUNTS} AS n, 10 + p_partkey AS ms FROM p)
+SELECT conv_id, count(*) AS n_passes, sum(ms)::BIGINT AS latency_ms, sum(n)::BIGINT AS n_items, CASE WHEN max(state) FILTER (batch = 0) NOT IN ('empty_output', 'parse_error') THEN max(state) FILTER (batch = 0) ELSE coalesce(max(state) FILTER (batch = 1), 'valid_array') END AS state FROM s GROUP BY conv_id""")
+def _(t):
+    talk = t.conversations.select("conv_id").distinct().withColumn("k", F.col("conv_id") % 37 + 1).select("conv_id", "k", F.explode(F.expr("CASE WHEN conv_id % 5 = 0 THEN array(0) ELSE array(0, 1) END")).alias("batch"))
+    read = talk.withColumn("p_partkey", F.col("k") + F.col("batch")).join(t.part.select("p_partkey", sc.harness_read(F.expr(_READ_SQL)).alias("r")), "p_partkey")
+    passes = read.select("conv_id", "batch", "r.state", sc.harness_items(F.col("r.items")).alias("items"), (F.col("p_partkey") + 10).cast("long").alias("latency_ms"))
+    return sc.merged_passes(passes).select("conv_id", "n_passes", "latency_ms", F.size("items").cast("long").alias("n_items"), "state")
+
+
 @query("harness_schema", "SELECT p_partkey, 'F' || p_partkey AS facet_id, CASE WHEN p_partkey % 3 = 0 THEN 2.5::DOUBLE WHEN p_partkey % 3 = 1 THEN 0::DOUBLE ELSE 4::DOUBLE END AS score, CASE WHEN p_partkey % 2 = 0 THEN 'scored' WHEN p_partkey % 3 = 1 THEN 'abstained' ELSE 'scored' END AS status FROM part")
 def _(t):
-    item = F.struct(F.concat(F.lit(" F"), F.col("p_partkey").cast("string"), F.lit(" ")).alias("facet_id"), F.lit(None).cast("string").alias("facet"), F.expr("CASE p_partkey % 3 WHEN 0 THEN '2.5' WHEN 1 THEN 'n/a' ELSE '4' END").alias("score"), F.expr("CASE WHEN p_partkey % 2 = 0 THEN ' Scored' ELSE 'odd' END").alias("status"), F.lit(None).cast("string").alias("confidence"), F.lit(None).cast("string").alias("reason"))
+    item = F.struct(F.concat(F.lit(" F"), F.col("p_partkey").cast("string"), F.lit(" ")).alias("facet_id"), F.lit(None).cast("string").alias("facet"), F.expr("CASE p_partkey % 3 WHEN 0 THEN '2.5' WHEN 1 THEN 'n/a' ELSE '4' END").alias("score"), F.expr("CASE WHEN p_partkey % 2 = 0 THEN ' Scored' ELSE 'odd' END").alias("status"), F.lit(None).cast("string").alias("confidence"), F.lit(None).cast("string").alias("reasoning"))
     return t.part.select("p_partkey", item.alias("i")).select("p_partkey", sc.harness_item(F.col("i")).alias("h")).select("p_partkey", "h.facet_id", "h.score", "h.status")
 
 
@@ -527,6 +595,22 @@ def _(t):
     return ev.result_match(results, wanted)
 
 
+_WANT = "CASE conv_id % 4 WHEN 0 THEN 'F1' WHEN 1 THEN 'the:' WHEN 2 THEN '' ELSE 'no such words' END"
+
+
+@query("harness_match", f"""WITH r AS (SELECT conv_id AS case_id, turn AS pos, 'F' || turn AS facet_id, lower(trim(text)) AS own FROM conversations), w AS (SELECT DISTINCT conv_id AS case_id, lower({S.strip(f"regexp_replace({_WANT}, ':+$', '')")}) AS want, 'F' || (conv_id % 3) AS want_id FROM conversations),
+j AS (SELECT w.case_id, pos, facet_id FROM w JOIN r USING (case_id) WHERE (want <> '' AND contains(own, want)) OR (own <> '' AND contains(want, own)) OR lower(facet_id) = want OR facet_id = want_id) SELECT case_id, min(pos) AS pos, arg_min(facet_id, pos) AS facet_id FROM j GROUP BY case_id""")
+def _(t):
+    results = t.conversations.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("pos"), F.concat(F.lit("F"), F.col("turn").cast("string")).alias("facet_id"), F.col("text").alias("facet"))
+    wanted = t.conversations.select("conv_id").distinct().select(F.col("conv_id").alias("case_id"), F.concat(F.lit("F"), (F.col("conv_id") % 3).cast("string")).alias("facet_id"), F.expr(_WANT).alias("expected"))
+    return ev.harness_match(results, wanted)
+
+
+@query("curated_membership", "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS is_member FROM documents")
+def _(t):
+    return ev.in_set(t.documents.select("doc_id"), t.labels.filter("quality = 1"), "doc_id")
+
+
 @query("matched_unmatched", "SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'unmatched' ELSE 'matched' END AS side FROM (SELECT doc_id * 2 AS doc_id FROM labels) l LEFT JOIN (SELECT DISTINCT doc_id FROM documents) d USING (doc_id)")
 def _(t):
     yes, no = ev.split_matched(t.labels.select((F.col("doc_id") * 2).alias("doc_id")), t.documents.select("doc_id").distinct(), "doc_id")
@@ -679,6 +763,11 @@ def _(t):
     return ev.latency(t.events, "value", "event_type")
 
 
+@query("component_means", "SELECT event_type, count(value) AS n, round(avg(value), 2) AS mean_ms FROM events GROUP BY event_type")
+def _(t):
+    return ev.component_means(t.events, "value", "event_type")
+
+
 @query("run_stability", "SELECT user_id, count(*) AS n_runs, count(DISTINCT event_type) AS n_outcomes, count(DISTINCT event_type) = 1 AS stable FROM events GROUP BY user_id")
 def _(t):
     return ev.stability(t.events, "user_id", ["event_type"])
@@ -779,8 +868,57 @@ def _(t):
     return plan.evaluate(t.accepted(), t.kept_catalog(), batch_size=4, backend=echo_backend).select("conv_id", "rank", "facet_id", "status", "score")
 
 
-@query("nested_export")
+@query("nested_export", f"WITH {_EVAL} SELECT conv_id, to_json(list({{rank: rank, facet_id: facet_id, facet: facet, status: status, score: score, confidence: confidence, evidence: evidence}} ORDER BY rank))::VARCHAR AS results_json FROM results GROUP BY conv_id")
+def _(t):
+    return files.nested_export(plan.evaluate(t.accepted(), t.kept_catalog()).drop("reason"))
+
+
+_ANNOTATED = "SELECT conv_id, facet_id, CASE conv_id % 3 WHEN 0 THEN 'scored' WHEN 1 THEN 'insufficient_evidence' ELSE 'not_observable' END AS expected_status, CASE WHEN conv_id % 3 = 0 THEN 4 END AS expected_score FROM "
+
+
+@query("benchmark_report", f"WITH {_EVAL}, j AS (SELECT a.*, r.status AS predicted_status, r.score AS predicted_score FROM ({_ANNOTATED} results WHERE rank <= 3) a JOIN results r USING (conv_id, facet_id)) SELECT expected_status, predicted_status, count(*) AS n FROM j GROUP BY ALL")
 def _(t):
-    return files.nested_export(plan.evaluate(t.accepted(), t.kept_catalog()))
+    results = stored(plan.evaluate(t.accepted(), t.kept_catalog()))
+    annotations = t.spark.sql(_ANNOTATED + "{results} WHERE rank <= 3", results=results)
+    return plan.benchmark(annotations, results)["confusion"]
 
 
+@query("scored_partition", f"WITH {_EVAL} SELECT conv_id, count(*)::INT AS total_candidates_retrieved, coalesce(string_agg(facet_id, ' ' ORDER BY rank) FILTER (status = 'scored'), '') AS scored, coalesce(string_agg(facet_id, ' ' ORDER BY rank) FILTER (status <> 'scored'), '') AS abstained FROM results GROUP BY conv_id")
+def _(t):
+    names = lambda c: F.array_join(F.transform(c, lambda r: r["facet_id"]), " ")
+    return plan.responses(plan.evaluate(t.accepted(), t.kept_catalog())).select("conv_id", "total_candidates_retrieved", names("evaluated_results").alias("scored"), names("abstained_results").alias("abstained"))
+
+
+# sources and sinks, each written and read again
+
+
+def _folder(t: Tables) -> str:
+    return f"{shared_dir(t.spark)}/lumenfold/{uuid.uuid4().hex}"
+
+
+@query("catalog_files", f"WITH {S.CATALOG}, c AS (SELECT facet_id, normalized_facet, facet_type, conversation_observable, abstention_reason FROM catalog WHERE normalized_facet <> '') SELECT 'csv' AS kind, * FROM c UNION ALL SELECT 'json', * FROM c UNION ALL SELECT 'parquet', * FROM c")
+def _(t):
+    at = _folder(t)
+    files.write_catalog(t.catalog(), at)
+    read = [("csv", files.read_catalog(t.spark, f"{at}/catalog_csv/*.csv")), ("json", t.spark.read.schema(CATALOG).json(f"{at}/catalog_json")), ("parquet", files.read_catalog(t.spark, f"{at}/catalog.parquet"))]
+    return reduce(DataFrame.unionByName, [rows.filter("normalized_facet <> ''").select(F.lit(kind).alias("kind"), "facet_id", "normalized_facet", "facet_type", "conversation_observable", "abstention_reason") for kind, rows in read])
+
+
+@query("rows_log", "SELECT doc_id, quality, toxic, 2 AS n FROM labels")
+def _(t):
+    at = _folder(t)
+    files.write_rows(t.labels, at, ("csv",))
+    files.write_rows(t.labels, at, ("csv",), mode="append")
+    log = t.spark.read.option("header", True).schema(t.labels.schema).csv(f"{at}/csv")
+    return log.groupBy("doc_id", "quality", "toxic").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("embedding_store", "SELECT doc_id, CASE WHEN e.vec_id IS NULL OR doc_id % 3 = 0 THEN 'embed' ELSE 'stored' END AS side FROM documents LEFT JOIN embeddings e ON e.vec_id = doc_id")
+def _(t):
+    at = _folder(t)
+    docs = t.documents.select("doc_id", "text")
+    edited = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("before "), "text")).otherwise(F.col("text")))
+    files.write_embeddings(edited.withColumn("text_hash", F.sha2("text", 256)).join(t.dense().select("doc_id", "vector"), "doc_id"), at)
+    files.write_embeddings(docs.withColumn("text_hash", F.sha2("text", 256)).join(t.dense().select("doc_id", "vector"), "doc_id"), at, "tf")
+    have, rest = files.embeddings(t.spark, at, docs)
+    return have.select("doc_id", F.lit("stored").alias("side")).unionByName(rest.select("doc_id", F.lit("embed").alias("side")))

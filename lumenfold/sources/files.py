@@ -79,18 +79,19 @@ def scenarios(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFram
     return spark.createDataFrame(rows, "case_id string, description string, text string")
 
 
-def embeddings(spark: SparkSession, path: str, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(docs with stored vectors, docs to embed): a stored vector is that of the text's hash, so edits are noticed."""
+def embeddings(spark: SparkSession, path: str, docs: DataFrame, backend: str = "model") -> tuple[DataFrame, DataFrame]:
+    """(docs with stored vectors, docs to embed): a stored vector is that of the text's hash, so edits are noticed, and of
+    the backend named, so that vectors of two kinds never meet in one search."""
     keyed = docs.withColumn("text_hash", F.sha2(F.col("text"), 256))
     if not exists(spark, path):
         return keyed.withColumn("vector", F.lit(None).cast("array<float>")).filter("false"), keyed
-    stored = spark.read.parquet(path).select("doc_id", "text_hash", "vector")
+    stored = spark.read.parquet(path).filter(F.col("backend") == backend).select("doc_id", "text_hash", "vector")
     return keyed.join(stored, ["doc_id", "text_hash"]), keyed.join(stored, ["doc_id", "text_hash"], "left_anti")
 
 
-def write_embeddings(vectors: DataFrame, path: str) -> None:
+def write_embeddings(vectors: DataFrame, path: str, backend: str = "model") -> None:
     """vectors: doc_id, text_hash, vector. Appended; a text's newest hash is the one that later reads look for."""
-    vectors.select("doc_id", "text_hash", "vector").write.mode("append").parquet(path)
+    vectors.select("doc_id", "text_hash", "vector", F.lit(backend).alias("backend")).write.mode("append").parquet(path)
 
 
 def write_catalog(catalog: DataFrame, folder: str, one_file: bool = False) -> None:
@@ -123,3 +124,8 @@ def markdown_table(rows: DataFrame, title: str = "", limit: int = 1000) -> str:
     lines = [f"## {title}", ""] if title else []
     lines += ["| " + " | ".join(rows.columns) + " |", "| " + " | ".join("---" for _ in rows.columns) + " |"]
     return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in found)]) + "\n"
+
+
+def markdown_report(title: str, tables: dict[str, DataFrame]) -> str:
+    """A report: a heading, then each aggregated table under its own."""
+    return f"# {title}\n\n" + "\n".join(markdown_table(rows, name) for name, rows in tables.items())

@@ -76,6 +76,34 @@ def test_harness_states(spark):
     assert got == ["empty_output", "valid_array", "valid_array", "single_object", "truncated_recovery", "parse_error", "parse_error"]
 
 
+def test_harness_reads_the_first_list_of_an_object(spark):
+    rows = ['{"z": [7, {"facet_id": "a", "score": null}], "b": [2]}', '{"x": {"y": [1]}, "d": "]"}', '[1, {"facet": " n ", "score": "3", "confidence": 0.5}, null]', '{"status": "x", "k": {"l": []}} ]']
+    read = spark.createDataFrame(list(enumerate(rows)), "i int, x string").select("i", sc.harness_read(F.col("x")).alias("r"))
+    got = [(r.state, [tuple(i) for i in r.items_]) for r in read.orderBy("i").select("r.state", sc.harness_items(F.col("r.items")).alias("items_")).collect()]
+    assert got[0] == ("wrapped_object", [("a", 0.0, "abstained", "medium", "")])
+    assert got[1] == ("parse_error", [])
+    assert got[2] == ("valid_array", [("n", 3.0, "abstained", "0.5", "")])
+    assert got[3] == ("single_object", [("", 0.0, "abstained", "medium", "")])
+
+
+def test_model_vectors_and_semantic_list(spark):
+    letters = lambda texts: [[t.count("a"), t.count("b"), 0.0] for t in texts]
+    docs = spark.createDataFrame([(1, 1, "aaa"), (2, 2, "bb"), (3, 3, "ab"), (4, 4, None)], "doc_id long, doc_pos long, text string")
+    asked = spark.createDataFrame([(7, "aab")], "query_id long, text string")
+    found = ret.semantic_top(docs, asked, 2, "model", lambda: letters).orderBy("rank").collect()
+    assert [(r.doc_id, round(r.score, 6)) for r in found] == [(3, 0.948683), (1, 0.894427)]
+    with pytest.raises(ValueError):
+        ret.semantic_top(docs, asked, 2, "model")
+    fused = ret.tri_fusion(ret.bm25_top(docs, asked, 4), docs, asked, asked, 4, backend="model", load=lambda: letters)
+    assert [r.doc_id for r in fused.orderBy("rank").collect()][0] in (1, 3)
+
+
+def test_model_scorer_reranks(spark):
+    found = spark.createDataFrame([(1, 1, 1, "aa", "b"), (1, 2, 2, "aa", "aaa"), (1, 3, 3, "aa", None)], "query_id long, doc_id long, rank int, query_text string, doc_text string")
+    got = ret.rerank(found, ret.model_scorer(lambda: lambda q, d: [float(x.count("a")) for x in d]), 2).orderBy("new_rank").collect()
+    assert [(r.doc_id, r.reranker_score) for r in got] == [(2, 3.0), (1, 0.0)]
+
+
 def test_http_backend_retries_once():
     calls = []
 
