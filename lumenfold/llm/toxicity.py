@@ -5,12 +5,14 @@ into the gates of the two directions are one row for each word, kept up to a bou
 windows of ``WINDOW`` words; all windows, overlapping by half, are scored, and a text's logit is that of its worst
 window, calibrated on labelled texts that training left out.
 
-Fit: at most ``POSITIVE`` and ``NEGATIVE`` labelled documents (those of the smallest hash) and ``WINDOWS_EACH`` windows of
-each, first with the document's label for all its windows, then with the worst windows of positive documents. Scoring
-covers every window of every text.
+Fit: at most ``POSITIVE`` and ``NEGATIVE`` labelled documents (those of the smallest hash), twice. A first network learns from
+``WINDOWS_EACH`` windows of each, drawn at random, and scores all windows of these texts; the second learns from the same
+and the ``WINDOWS_EACH`` worst of all, so that a text's one telling window is among them wherever it stands. Each fit takes
+the document's label for all its windows first, then for the worst windows of positive documents alone. Scoring covers
+every window of every text.
 
 Edge cases: null, empty and wordless texts get the score of one blank window; texts of one window or less are padded;
-rows with a null label teach nothing and of several labels of a document the greatest counts; without any positive or
+rows with a null label teach nothing, of several labels of a document the greatest counts and of several texts the least; without any positive or
 negative label every score is ``UNTRAINED``; repeated rows stay; other columns aren't read.
 """
 
@@ -236,8 +238,8 @@ class Scorer:
             self.row.update(zip(some, range(first, first + len(some)), strict=True))
         return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
-    def logits(self, texts: list[str | None]) -> np.ndarray:
-        out = np.full(len(texts), -np.inf)
+    def windows(self, texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """All windows, some texts at a time: the texts' words, and each window's text, first word, size and logit."""
         at = 0
         while at < len(texts):
             if len(self.row) > CACHED_WORDS:
@@ -253,12 +255,28 @@ class Scorer:
             rows = self.learn(words)
             x = np.concatenate([self.x[rows], self.x[:1]])  # the last row is padding
             size, start, owner = np.array(first), np.array(starts), np.array(own)
+            logit = np.empty(len(start))
             for i in range(0, len(start), 2048):
                 s, n = start[i : i + 2048], size[i : i + 2048]
                 mask = np.arange(WINDOW) < n[:, None]
                 where = np.where(mask, s[:, None] + np.arange(WINDOW), len(x) - 1)
                 mask[:, 0] = True
-                np.maximum.at(out, owner[i : i + 2048], self.net.forward(x, where, mask)[0])
+                logit[i : i + 2048] = self.net.forward(x, where, mask)[0]
+            yield words, owner, start, size, logit
+
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        out = np.full(len(texts), -np.inf)
+        for _, owner, _, _, logit in self.windows(texts):
+            np.maximum.at(out, owner, logit)
+        return out
+
+    def worst(self, texts: list[str | None], k: int) -> list[list[str]]:
+        """The k windows of each text with the greatest logits, ties by place, each as a line of words."""
+        out: list[list[str]] = [[] for _ in texts]
+        for words, owner, start, size, logit in self.windows(texts):
+            for i in np.lexsort((start, -logit, owner)).tolist():
+                if len(out[owner[i]]) < k:
+                    out[owner[i]].append(" ".join(words[start[i] : start[i] + size[i]]))
         return out
 
 
@@ -274,31 +292,51 @@ def with_logits(docs: DataFrame, net: Network, text: str, keep: tuple[str, ...])
     return map_batches(rows, run, schema)
 
 
+def _windows(ready: DataFrame, net: Network | None = None) -> dict[int, tuple[int, list[str]]]:
+    """ready: id, label and text of the sample. By id the label and ``WINDOWS_EACH`` windows, the worst of all windows by
+    the network's logits, or drawn at random where there is none yet; bounded by the sample."""
+    shared = ready.sparkSession.sparkContext.broadcast(pickle.dumps(net))
+
+    def drawn(i: int, t: str | None) -> list[str]:
+        w = words_of(t)
+        s = window_starts(len(w))
+        if len(s) > WINDOWS_EACH:
+            s = np.random.default_rng(i & 0xFFFFFFFF).choice(s, WINDOWS_EACH, replace=False).tolist()
+        return [" ".join(w[k : k + WINDOW]) for k in s]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pickle.loads(shared.value)
+        scorer = Scorer(known) if known else None
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            found = scorer.worst(texts, WINDOWS_EACH) if scorer else [drawn(i, t) for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["id", "label", "windows"])
+
+    return {r.id: (r.label, r.windows) for r in map_batches(ready, run, "id long, label int, windows array<string>").collect()}
+
+
+def _fitted(*sets: dict[int, tuple[int, list[str]]]) -> Network:
+    """A network taught by the windows of all sets, those of a document that are the same text once."""
+    flat = []
+    for k, i in enumerate(sorted(sets[0])):
+        flat += [(w.split(), sets[0][i][0], k) for w in dict.fromkeys(w for s in sets for w in s[i][1])]
+    return fit([w for w, _, _ in flat], np.array([y for _, y, _ in flat], np.float32), np.array([k for _, _, k in flat]))
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positive: int = POSITIVE, negative: int = NEGATIVE, text: str = "text", doc_id: str = "doc_id") -> Network:
     """docs: those to learn from; labels: doc_id and label."""
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg((F.max(label) > 0).cast("int").alias("__label"))
     known = known.join(docs.select(F.col(doc_id).alias("__id")).distinct(), "__id")
     by, sizes = F.xxhash64(F.lit(SEED), F.col("__id")), known.agg(F.count_if(F.col("__label") == 1), F.count_if(F.col("__label") == 0)).first()
     chosen = least_hashed(known.filter("__label = 1"), by, positive, sizes[0], "__id").unionByName(least_hashed(known.filter("__label = 0"), by, negative, sizes[1], "__id"))
-    sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id").dropDuplicates(["__id"])
+    sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id").groupBy("__id", "__label").agg(F.min("__text").alias("__text"))
     sample = written(sample.select("__id", "__label", F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("__id")), F.lit(5)).alias("__part"), "__text"), "toxic-sample")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), []
-            for i, t in zip(ids, batch.column(2).to_pylist(), strict=True):
-                w = words_of(t)
-                s = window_starts(len(w))
-                if len(s) > WINDOWS_EACH:
-                    s = np.random.default_rng(i & 0xFFFFFFFF).choice(s, WINDOWS_EACH, replace=False).tolist()
-                texts.append([" ".join(w[k : k + WINDOW]) for k in s])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.list_(pa.string()))], ["id", "label", "windows"])
-
     ready = sample.filter("__part <> 0").select(F.col("__id").cast("long").alias("id"), F.col("__label").alias("label"), F.col("__text"))
-    rows = sorted(map_batches(ready, windows, "id long, label int, windows array<string>").collect(), key=lambda r: r.id)  # bounded by the sample
-    flat = [(w.split(), r.label, k) for k, r in enumerate(rows) for w in r.windows]
-    net = fit([w for w, _, _ in flat], np.array([y for _, y, _ in flat], np.float32), np.array([k for _, _, k in flat]))
+    drawn = _windows(ready)
+    net = _fitted(drawn)
     if net.trained:
+        net = _fitted(drawn, _windows(ready, net))
         held = with_logits(sample.filter("__part = 0").withColumnRenamed("__label", "label"), net, "__text", ("label",)).collect()
         calibrate(net, np.array([r.logit for r in held]), np.array([r.label for r in held], float))
     return net
