@@ -117,17 +117,6 @@ def test_toxicity_forward_against_plain_loops():
     assert abs(toxicity.Scorer(net).logits([" ".join(many)])[0] - max(each)) < 1e-4
 
 
-def test_toxicity_worst_windows_against_single_scores():
-    scorer, rng = toxicity.Scorer(toxicity.Network()), np.random.default_rng(5)
-    texts = [" ".join(rng.choice("one two three four five six seven".split(), n)) for n in (5, 300, 90)] + [None, ""]
-    for text, got in zip(texts, scorer.worst(texts, 3), strict=True):
-        words = toxicity.words_of(text)
-        windows = [" ".join(words[k : k + toxicity.WINDOW]) for k in toxicity.window_starts(len(words))]
-        logits = [scorer.logits([w])[0] for w in windows]
-        want = sorted(zip(logits, windows, strict=True), key=lambda x: -x[0])[:3]
-        assert len(got) == len(want) and np.allclose([scorer.logits([w])[0] for w in got], [x for x, _ in want], atol=1e-5)
-
-
 def test_toxicity_learns_the_least_of_several_texts(spark):
     docs, labels = spark.createDataFrame([(i, t) for i in range(40) for t in (f"z odd {i}", f"{'bad' if i % 2 else 'fine'} words {i}")], "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
     nets = [toxicity.train(docs.repartition(n), labels) for n in (1, 3)]
