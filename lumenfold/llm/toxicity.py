@@ -5,9 +5,10 @@ into the gates of the two directions are one row for each word, kept up to a bou
 windows of ``WINDOW`` words; all windows, overlapping by half, are scored, and a text's logit is that of its worst
 window, calibrated on labelled texts that training left out.
 
-Fit: at most ``POSITIVE`` and ``NEGATIVE`` labelled documents (those of the smallest hash) and ``WINDOWS_EACH`` windows of
-each, first with the document's label for all its windows, then with the worst windows of positive documents. Scoring
-covers every window of every text.
+Fit: at most ``POSITIVE`` and ``NEGATIVE`` labelled documents (those of the smallest hash) with all their windows. First
+epochs draw ``WINDOWS_EACH`` windows of each document anew, with the document's label for all of them; later ones take the
+worst two of all windows of each document, and of negative ones as many drawn ones beside, so that a toxic passage anywhere
+in a long text is found. Scoring covers every window of every text.
 
 Edge cases: null, empty and wordless texts get the score of one blank window; texts of one window or less are padded;
 rows with a null label teach nothing, of several labels of a document the greatest counts and of several texts the least; without any positive or
@@ -140,23 +141,25 @@ class Network:
         return g, dx
 
 
-def _numbered(windows: list[list[str]]) -> tuple[list[str], np.ndarray]:
-    """Distinct words and [windows, WINDOW] places among them from 1 on; 0 is padding."""
-    names = list(dict.fromkeys(w for window in windows for w in window))
-    place = {w: i + 1 for i, w in enumerate(names)}
-    at = np.zeros((len(windows), WINDOW), np.int64)
-    for i, window in enumerate(windows):
-        at[i, : len(window)] = [place[w] for w in window]
-    return names, at
+def _numbered(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words, [windows, WINDOW] places among them from 1 on (0 is padding) of all windows, and each one's text."""
+    place: dict[str, int] = {}
+    parts = []
+    for t in texts:
+        words = [place.setdefault(w, len(place) + 1) for w in words_of(t)]
+        own = np.array(words + [0] * WINDOW, np.int32)
+        parts.append(own[np.array(window_starts(len(words)))[:, None] + np.arange(WINDOW)])
+    return list(place), np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
 
 
-def fit(windows: list[list[str]], labels: np.ndarray, docs: np.ndarray, epochs: tuple[int, int] = (2, 2), batch: int = 256, rate: float = 0.01) -> Network:
-    """windows of words, each with its document's label and number."""
+def fit(texts: list[str | None], labels: np.ndarray, epochs: tuple[int, int] = (2, 2), batch: int = 256, rate: float = 0.01) -> Network:
+    """texts, each with its label."""
     net, rng = Network(), np.random.default_rng(SEED)
-    if not len(windows) or labels.min() == labels.max():
+    if not len(texts) or labels.min() == labels.max():
         return net
     net.trained = True
-    names, at = _numbered(windows)
+    names, at, docs = _numbered(texts)
+    labels = labels[docs]
     mask = at > 0
     mask[:, 0] = True
     rows, grams, sizes = features(names)
@@ -196,17 +199,23 @@ def fit(windows: list[list[str]], labels: np.ndarray, docs: np.ndarray, epochs:
         x = project(np.arange(len(names)))[0]
         return np.concatenate([net.forward(x, at[i : i + 2048], mask[i : i + 2048])[0] for i in range(0, len(at), 2048)])
 
+    def firsts(by: np.ndarray, n: int) -> np.ndarray:
+        """The first n windows of each document, in the order of by, which has a document's windows together."""
+        new = np.concatenate([[True], docs[by][1:] != docs[by][:-1]])
+        where = np.arange(len(by))
+        return by[where - np.maximum.accumulate(np.where(new, where, 0)) < n]
+
+    def drawn() -> np.ndarray:
+        return firsts(np.lexsort((rng.random(len(at)), docs)), WINDOWS_EACH)
+
     def chosen() -> np.ndarray:
-        """The worst two windows of each positive document, and all of negative ones."""
-        by = np.lexsort((-logits(), docs))
-        first = np.concatenate([[True], docs[by][1:] != docs[by][:-1]])
-        second = np.concatenate([[False], first[:-1]]) & ~first
-        return by[first | second | (labels[by] == 0)]
+        some = drawn()
+        return np.union1d(firsts(np.lexsort((-logits(), docs)), 2), some[labels[some] == 0])
 
     for part, n in enumerate(epochs):
         first, done = steps, 0
         while done < n or steps - first < LEAST_STEPS:  # small samples are gone through more often
-            use = rng.permutation(len(at) if not part else chosen())
+            use = rng.permutation(chosen() if part else drawn())
             for i in range(0, len(use), batch):
                 step(use[i : i + batch])
             done += 1
@@ -283,21 +292,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positive: in
     sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id").groupBy("__id", "__label").agg(F.min("__text").alias("__text"))
     sample = written(sample.select("__id", "__label", F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("__id")), F.lit(5)).alias("__part"), "__text"), "toxic-sample")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), []
-            for i, t in zip(ids, batch.column(2).to_pylist(), strict=True):
-                w = words_of(t)
-                s = window_starts(len(w))
-                if len(s) > WINDOWS_EACH:
-                    s = np.random.default_rng(i & 0xFFFFFFFF).choice(s, WINDOWS_EACH, replace=False).tolist()
-                texts.append([" ".join(w[k : k + WINDOW]) for k in s])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.list_(pa.string()))], ["id", "label", "windows"])
-
-    ready = sample.filter("__part <> 0").select(F.col("__id").cast("long").alias("id"), F.col("__label").alias("label"), F.col("__text"))
-    rows = sorted(map_batches(ready, windows, "id long, label int, windows array<string>").collect(), key=lambda r: r.id)  # bounded by the sample
-    flat = [(w.split(), r.label, k) for k, r in enumerate(rows) for w in r.windows]
-    net = fit([w for w, _, _ in flat], np.array([y for _, y, _ in flat], np.float32), np.array([k for _, _, k in flat]))
+    rows = sorted(sample.filter("__part <> 0").select("__id", "__label", "__text").collect(), key=lambda r: r[0])  # bounded by the sample
+    net = fit([r[2] for r in rows], np.array([r[1] for r in rows], np.float32))
     if net.trained:
         held = with_logits(sample.filter("__part = 0").withColumnRenamed("__label", "label"), net, "__text", ("label",)).collect()
         calibrate(net, np.array([r.logit for r in held]), np.array([r.label for r in held], float))
