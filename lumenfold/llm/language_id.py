@@ -3,8 +3,9 @@
 A text is its runs of letters, lower-cased, each between word marks; a model predicts each letter and the closing
 mark from the ``ORDER - 1`` characters before. Since context ends at the marks, a text's cross-entropy is the sum
 over its words, and a worker keeps each word's log probabilities in a bounded cache. The lowest cross-entropy per
-character wins. A text is rejected (``und``) where no language comes near: above ``reject_above``, which is set from
-the training texts' own cross-entropies, so that ordinary texts stay.
+character wins. A text is rejected (``und``) where no language comes near: above ``reject_above`` of the nearest one,
+which is ``REJECT_MARGIN`` bits over the ``REJECT_QUANTILE`` of that language's held-out texts, and more for a short text
+(``REJECT_SHORT`` over the root of its characters), so that ordinary texts stay and odd ones among the held-out lift nothing.
 
 Fit: ``SAMPLE_DOCS`` documents a language (those of the smallest hash), whole texts; the n-gram types are counted
 where the sample lies, one group a language, and merged on the driver. Scoring covers every whole text.
@@ -32,6 +33,7 @@ ORDER = 4
 SAMPLE_DOCS = 400
 SAMPLE_SEED = 10
 CACHED_WORDS = 400_000
+REJECT_QUANTILE, REJECT_MARGIN, REJECT_SHORT = 0.9, 1.75, 8.0
 MARK = 2  # code of the word mark; no letter has it
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -102,7 +104,7 @@ class Model:
         self.languages = sorted(types)
         n_langs = len(self.languages)
         self.uniform = 1.0 / (1 + len(np.unique(np.concatenate([g[:, -1] for g, _ in types.values()])))) if types else 1.0
-        self.reject_above, self.sharpness = np.inf, 8.0
+        self.reject_above, self.sharpness = np.full(n_langs, np.inf), 8.0
         self.prob: dict[int, Lookup] = {}
         self.back: dict[int, Lookup] = {}
         if not types:
@@ -163,11 +165,11 @@ class Scorer:
         self.row: dict[str, int] = {}
         self.log = np.zeros((1024, len(self.model.languages) + 1))
 
-    def entropies(self, texts: list[str | None]) -> np.ndarray:
-        """[texts, languages] bits per character; NaN for texts without a letter."""
+    def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """[texts, languages] bits per character, NaN for texts without a letter, and the texts' characters, marks included."""
         if len(self.row) > CACHED_WORDS:
             self.reset()
-        out = np.full((len(texts), len(self.model.languages)), np.nan)
+        out, chars = np.full((len(texts), len(self.model.languages)), np.nan), np.zeros(len(texts))
         for at in range(0, len(texts), 64):
             parts = [words_of(t) for t in texts[at : at + 64]]
             words = [w for p in parts for w in p]
@@ -186,18 +188,19 @@ class Scorer:
             ends = np.cumsum(n)[n > 0]
             sums = np.add.reduceat(self.log[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))], np.concatenate([[0], ends[:-1]]), axis=0)
             out[at : at + 64][n > 0] = -sums[:, :-1] / sums[:, -1:]
-        return out
+            chars[at : at + 64][n > 0] = sums[:, -1]
+        return out, chars
 
     def judge(self, texts: list[str | None], reject: bool) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and lowest cross-entropy of each text."""
-        m, e = self.model, self.entropies(texts)
+        m, (e, chars) = self.model, self.entropies(texts)
         if not m.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan)
         blank = np.isnan(e[:, 0])
         low = np.where(blank[:, None], 0, e)
         best, least = low.argmin(1), low.min(1)
         score = 1 / np.exp2(np.minimum(m.sharpness * (least[:, None] - low), 0)).sum(1)
-        out = blank | (reject & (least > m.reject_above))
+        out = blank | (reject & (least > m.reject_above[best] + REJECT_SHORT / np.sqrt(np.maximum(chars, 1))))
         return [UNDETERMINED if o else m.languages[b] for o, b in zip(out, best, strict=True)], np.where(out, 0.0, score), np.where(blank, np.nan, least)
 
 
@@ -224,17 +227,17 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str = "text", l
 
 
 def calibrate(model: Model, held: list[tuple[str, str]]) -> None:
-    """Sets the sharpness of scores to the one of the best likelihood, and the bound of rejection well above all held-out texts."""
+    """Sets the sharpness of scores to the one of the best likelihood, and each language's bound of rejection well above its held-out texts."""
     held = [(k, t) for k, t in held if k in model.languages and words_of(t)]
     if not held:
         return
-    e = Scorer(model).entropies([t for _, t in held])
+    e, _ = Scorer(model).entropies([t for _, t in held])
     right = np.array([model.languages.index(k) for k, _ in held])
     gap = e[np.arange(len(e)), right][:, None] - e
     cost = lambda s: np.log2(np.exp2(np.clip(s * gap, -60, 60)).sum(1)).mean()
     model.sharpness = min((1.0, 2.0, 4.0, 8.0, 16.0, 32.0), key=cost)
-    least = e.min(1)
-    model.reject_above = float(max(least.max() + 0.5, 0.9 * -np.log2(model.uniform)))  # nearly that of letters drawn at random
+    for k in np.unique(right):
+        model.reject_above[k] = np.quantile(e[right == k, k], REJECT_QUANTILE) + REJECT_MARGIN
 
 
 def predict(docs: DataFrame, model: Model, reject: bool = True, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

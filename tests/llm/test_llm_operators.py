@@ -707,6 +707,10 @@ def test_language_id(spark, odd, none):
     assert all(judged[i] == ("und", 0.0) for i in (0, 1, 2, 11)) and all(judged[i][0] in ("en", "de") for i in (3, 4, 9, 10))
     noise = spark.createDataFrame([(1, "qxzjv kwqxz vvjqk zzxqj xkcdq " * 20), (2, "the of and to in that")], "doc_id long, text string")
     assert {r.doc_id: r.lang_pred for r in language_id.predict(noise, model).collect()}[2] == "en"
+    one = language_id.train(docs.filter("lang = 'en'"))
+    alone = language_id.predict(docs, one, keep=("doc_id", "lang")).collect()
+    assert all(r.lang_pred == "en" for r in alone if r.lang == "en")
+    assert np.mean([r.lang_pred == "und" for r in alone if r.lang == "de"]) > 0.9  # a language that wasn't learned
     empty = language_id.train(none)
     assert {r.lang_pred for r in language_id.predict(odd, empty).collect()} == {"und"}
     assert language_id.predict(none, model).count() == 0
