@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.text import match_key
+from lumenfold.operators.numbering import ROWS_PER_RANGE, cuts_of, range_of
 from lumenfold.schemas import ABSTAINED
+from lumenfold.session import stored
 
 DEFAULT_STATUS = "insufficient_evidence"
 
@@ -223,11 +225,36 @@ def hit_rates(ranks: DataFrame, depths: tuple[int, ...] = (1, 5, 10, 20, 30), ra
     return ranks.agg(F.count("*").alias("n"), *map(hit, depths), F.round(F.avg(inverse), 4).alias("mrr"))
 
 
+def percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """key and, for each name of shares, the exact percentile of value (double) by linear interpolation; null values don't count.
+
+    Equal values are counted first, then each key's values are ranked in ranges of the value, so that no task holds all
+    values of a key.
+    """
+    counted = stored(rows.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("__key"), F.col(value).alias("__x")).agg(F.count("*").alias("__c")))
+    ranged = counted.withColumn("__r", range_of(F.col("__x"), cuts_of(counted, "__x", rows_per_range)))
+    whole = Window.partitionBy("__key")  # a row a range
+    sums = ranged.groupBy("__key", "__r").agg(F.sum("__c").alias("__s"))
+    sums = sums.select("__key", "__r", F.sum("__s").over(whole).alias("__n"), (F.sum("__s").over(whole.orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__s")).alias("__before"))
+    within = F.sum("__c").over(Window.partitionBy("__key", "__r").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranged.join(sums, ["__key", "__r"]).withColumn("__end", F.col("__before") + within)  # places from 0: end - c to end - 1
+    out, made = [], []
+    for name, share in shares.items():
+        at = F.lit(share) * (F.col("__n") - 1)
+        low, high = (F.max(F.when((i >= F.col("__end") - F.col("__c")) & (i < F.col("__end")), F.col("__x"))) for i in (F.floor(at), F.ceil(at)))
+        out += [low.alias(f"__low_{name}"), high.alias(f"__high_{name}")]
+        low, high = F.col(f"__low_{name}"), F.col(f"__high_{name}")
+        made.append(F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at))).alias(name))
+    return ranked.groupBy("__key", "__n").agg(*out).select(F.col("__key").alias(key), *made)
+
+
 def latency(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """Mean, median and exact percentiles by linear interpolation."""
-    x = F.col(value).cast("double")
-    p = lambda q, to: F.round(F.percentile(x, q), 4).alias(to)
-    return rows.groupBy(*by).agg(F.count(x).alias("n"), F.round(F.avg(x), 4).alias("mean"), p(0.5, "p50"), p(0.95, "p95"), p(0.99, "p99"))
+    """Mean, median and exact percentiles by linear interpolation; null is a group of its own."""
+    keyed = rows.select(F.struct(F.lit(0).alias("__0"), *by).alias("__group"), F.col(value).cast("double").alias("__value"))
+    basic = [F.count("__value").alias("n"), F.round(F.avg("__value"), 4).alias("mean")]
+    plain = keyed.groupBy("__group").agg(*basic) if by else keyed.agg(*basic).withColumn("__group", F.struct(F.lit(0).alias("__0")))
+    found = percentiles(keyed, "__group", "__value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return plain.join(found, "__group", "left").select(*(F.col("__group")[c].alias(c) for c in by), "n", "mean", *(F.round(c, 4).alias(c) for c in ("p50", "p95", "p99")))
 
 
 def stability(runs: DataFrame, case: str, outcome: list[str]) -> DataFrame:

@@ -17,14 +17,19 @@ def range_of(key: Column, cuts: list[float], low: int = 0, high: int | None = No
     return F.when(key >= F.lit(cuts[mid]), range_of(key, cuts, mid + 1, high)).otherwise(range_of(key, cuts, low, mid))
 
 
+def cuts_of(df: DataFrame, key: str, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
+    """Bounds of ranges of the key with about as many rows each; none for a small table."""
+    parts = min(MAX_RANGES, df.count() // rows_per_range + 1)
+    return sorted(set(df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+
+
 def numbered(df: DataFrame, key: str, to: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Adds 1, 2, ... by ascending key (numeric, without ties or nulls).
 
     Ranges of the key are numbered on their own and shifted by how many rows lie before them; only the ranges' bounds
     and counts come to the driver.
     """
-    parts = min(MAX_RANGES, df.count() // rows_per_range + 1)
-    cuts = sorted(set(df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    cuts = cuts_of(df, key, rows_per_range)
     part = range_of(F.col(key).cast("double"), cuts)
     ranged = df.withColumn("__range", part)
     before, total = [], 0

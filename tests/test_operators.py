@@ -171,6 +171,20 @@ def test_files_round_trip(spark, tmp_path):
     assert files.annotations_of(files.read_reference_set(spark, str(tmp_path / "ref.json"))).first().expected_score == 3
 
 
+def test_percentiles_over_ranges(spark):
+    rows = [(g, float(v)) for g, n in (("a", 40), (None, 7), ("b", 1)) for v in [(k * k) % 11 for k in range(n)]] + [("a", None), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    want = {r.g: tuple(round(x, 6) if x is not None else None for x in r[1:]) for r in df.groupBy("g").agg(*(F.percentile("v", q).alias(c) for c, q in shares.items())).collect()}
+    got = ev.percentiles(df.select(F.struct("g").alias("k"), "v"), "k", "v", shares, rows_per_range=2)
+    assert {r.k.g: tuple(round(r[c], 6) for c in shares) for r in got.collect()} == {k: v for k, v in want.items() if k != "c"}
+    many = {r.g: r for r in ev.latency(df, "v", "g").collect()}
+    assert set(many) == {"a", None, "b", "c"} and many["c"].n == 0 and many["c"].p50 is None and many[None].p95 == round(want[None][1], 4)
+    assert ev.latency(df, "v").first().n == 48
+    empty = ev.latency(df.limit(0), "v").first()
+    assert (empty.n, empty.mean, empty.p99) == (0, None, None)
+
+
 def test_stream(spark, tmp_path):
     from lumenfold.streaming import evaluate as streaming
 
