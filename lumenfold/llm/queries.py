@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import ann, bloom_lm, compaction, language_id, merkle, mixing, sentencepiece_bpe, simhash, toxicity, url_filter
+from lumenfold.llm import ann, bloom_lm, compaction, language_id, manifest, merkle, mixing, phrases, sentencepiece_bpe, simhash, toxicity, url_filter
 from lumenfold.llm.common import fold, scratch, table, written
 from lumenfold.session import spread
 
@@ -86,6 +86,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spread(table(spark, sf_dir, "documents").select("lang", "text")))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return manifest.verified(spread(table(spark, sf_dir, "documents")), tampered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_merkle": op2_merkle,
@@ -97,8 +106,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_ann": op9_ann,
     "op10_language_id": op10_language_id,
+    "op11_phrases": op11_phrases,
+    "op12_manifest": op12_manifest,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
     "op8_url_filter": url_filter.oracle,
+    "op11_phrases": phrases.oracle,
+    "op12_manifest": manifest.oracle,
 }
