@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import ann, bloom_lm, compaction, language_id, manifest, merkle, mixing, phrases, sentencepiece_bpe, simhash, toxicity, url_filter
+from lumenfold.llm import ann, bloom_lm, compaction, language_id, manifest, merkle, mixing, passages, phrases, sentencepiece_bpe, simhash, toxicity, url_filter
 from lumenfold.llm.common import fold, scratch, table, written
 from lumenfold.session import spread
 
@@ -95,6 +95,11 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verified(spread(table(spark, sf_dir, "documents")), tampered)
 
 
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = passages.remove(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_merkle": op2_merkle,
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_phrases": op11_phrases,
     "op12_manifest": op12_manifest,
+    "op13_passages": op13_passages,
 }
 
 ORACLES: dict[str, Callable[[], str]] = {
