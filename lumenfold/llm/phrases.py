@@ -8,8 +8,8 @@ of equal ones. Products are decimals of 38 digits, exact for counts below 10 **
 word longer that holds it has at least ``absorbed`` percent of its count; that covers phrases longer by more words, as
 each of them lies in such a one, which occurs as often at least.
 
-Counts are written once: all words (their sum is n), and longer phrases from ``least`` on, which are all that any candidate or
-part of one can be. The best of a language are ranked in shares of ``SHARES`` first, so that no task ranks a whole
+Counts are written once, a size at a time: all words (their sum is n), and longer phrases from ``least`` on, which are
+all that any candidate or part of one can be. The best of a language are ranked in shares of ``SHARES`` first, so that no task ranks a whole
 language: at most SHARES * top rows of one meet.
 
 Edge cases: a null text has no words, a null language counts as ``und``; repeated rows count as often as they stand there;
@@ -38,7 +38,7 @@ def tokens(text: Column) -> Column:
 
 
 def windows(docs: DataFrame, max_n: int = MAX_N, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, phrase: a row a word, the run of up to max_n words of its piece that begins with it."""
+    """lang, phrase: a row a word, the run of up to max_n words that begins with it inside its piece."""
     texts = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL")
     cut = texts.select("lang", tokens(F.col("text")).alias("w"))
     shifted = [F.slice("w", k + 1, F.size("w")).alias(f"w{k}") for k in range(1, max_n)]
@@ -55,19 +55,27 @@ def words_of(phrase: Column) -> Column:
 
 
 def counts(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, phrase, size, a of all words, and of the longer phrases that occur at least ``least`` times.
-
-    Every run of words is the beginning of the window at its place. So windows are summed first; then, for each size from
-    the longest down, each sum is exploded into the phrase itself, if that is a result, and what is left without its last
-    word, and summed again. That makes the same rows as all 1..max_n-grams at every place, of which most never move."""
-    now = windows(docs, max_n, text, lang).groupBy("lang", "phrase").agg(F.count("*").alias("a"))
-    for size in range(max_n, 1, -1):
-        n = F.col("n")
-        itself = F.when((n >= size) & (F.col("a") >= least), F.col("phrase"))
-        rest = F.when(n == size, F.substring_index("phrase", " ", size - 1)).when(n < size, F.col("phrase"))
-        each = now.select("lang", "phrase", "a", words_of(F.col("phrase")).alias("n")).select("lang", F.explode(F.array(itself, rest)).alias("phrase"), "a").filter("phrase IS NOT NULL")
-        now = each.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
-    return now.withColumn("size", words_of(F.col("phrase")))
+    """lang, phrase, size, a of all words, and of the longer phrases that occur at least ``least`` times, as a written table.
+
+    Each size from the longest to 2 is exploded, summed and written on its own, so that the shuffle of one size is
+    gone before the next begins. Words come with the pairs: a place's window of up to two words is summed first, and the
+    sums are exploded into the pair, if it is a result, and its first word."""
+    made = None
+    for size in range(max_n, 0, -1):
+        if size == 1 and max_n > 1:
+            break
+        now = windows(docs, size, text, lang).withColumn("n", words_of(F.col("phrase")))
+        if size > 2:
+            now = now.filter(F.col("n") == size)
+        now = now.groupBy("lang", "phrase").agg(F.count("*").alias("a"))
+        if size == 2:
+            pair = F.when((words_of(F.col("phrase")) == 2) & (F.col("a") >= least), F.col("phrase"))
+            now = now.select("lang", F.explode(F.array(pair, F.substring_index("phrase", " ", 1))).alias("phrase"), "a").filter("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+        elif size > 2:
+            now = now.filter(F.col("a") >= least)
+        now = written(now.withColumn("size", words_of(F.col("phrase"))), "phrases")
+        made = now if made is None else made.unionByName(now)
+    return made
 
 
 def part(phrase: Column, first: int, n: int) -> Column:
@@ -96,7 +104,7 @@ def absorbing(counted: DataFrame, max_n: int = MAX_N) -> DataFrame:
 
 def collocations(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST, absorbed: int = ABSORBED, top: int | None = TOP, text: str = "text", lang: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases by score, count and UTF-8 order (top None: all)."""
-    counted = written(counts(docs, max_n, least, text, lang), "phrases")
+    counted = counts(docs, max_n, least, text, lang)
     longer = absorbing(counted, max_n)
     alone = scored(counted, max_n).alias("c").join(longer.alias("x"), (F.col("c.lang") == F.col("x.lang")) & (F.col("c.phrase") == F.col("x.phrase")) & (100 * F.col("x.most") >= absorbed * F.col("c.a")), "left_anti")
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
