@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import language_id, mixing, near_dedup, sentencepiece_bpe, toxicity
-from lumenfold.llm.common import scratch, table
+from lumenfold.llm.common import kept_names, scratch, table
 from lumenfold.llm.queries import tokenizer_path
 
 ROW = "__document"
@@ -49,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, those of small sources more than once, up to one and a half times on average."""
     order = ("__at", "__block", "__place")  # the block permutations, which the written files are to hold
     mixed = mixing.mix(docs, limit=1.5).repartitionByRange(*order).sortWithinPartitions(*order)
-    return mixed.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return mixed.select(*(F.col(f"`{n}`").alias(c) for c, n in zip(docs.columns, kept_names(docs.columns, mixing.MADE), strict=True)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

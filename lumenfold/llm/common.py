@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,12 +32,26 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def kept_names(keep: Iterable[str], made: Iterable[str]) -> tuple[str, ...]:
+    """Names for kept columns beside those made: each its own, or with _kept added until no column has it."""
+    keep = tuple(keep)
+    taken = {m.lower() for m in made}
+    free = [k if k.lower() not in taken else None for k in keep]
+    taken |= {k.lower() for k in free if k is not None}
+    for i, k in enumerate(keep):
+        if free[i] is None:
+            while k.lower() in taken:
+                k += "_kept"
+            free[i] = k
+            taken.add(k.lower())
+    return tuple(free)
+
+
 def carried(docs: DataFrame, keep: tuple[str, ...], text: str, made: str) -> tuple[DataFrame, tuple[str, ...], StructType]:
     """The columns of keep and, last, the text; their names; the schema of them and of made, the DDL of the columns to come.
     A kept column with the name of one of those is called NAME_kept, so no name clashes."""
     new = StructType.fromDDL(made).fields
-    taken = {f.name.lower() for f in new}
-    names = tuple(f"{k}_kept" if k.lower() in taken else k for k in keep)
+    names = kept_names(keep, (*(f.name for f in new), "__text"))
     kept = [StructField(n, docs.schema[k].dataType) for k, n in zip(keep, names, strict=True)]
     return docs.select(*(F.col(f"`{k}`").alias(n) for k, n in zip(keep, names, strict=True)), F.col(f"`{text}`").alias("__text")), names, StructType([*kept, *new])
 

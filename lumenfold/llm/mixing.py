@@ -21,8 +21,11 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.llm.common import kept_names
+
 BLOCK_TOKENS, SEED, STEPS, MAX_SOURCES = 1_000_000, 5, 80, 100_000
 NO_SOURCE = ""
+MADE = ("__epoch", "__at", "__block", "__place")  # the columns that a mixture adds
 
 
 def weights_of(tokens: dict[str, int], exponent: float) -> dict[str, float]:
@@ -68,11 +71,13 @@ def solve(tokens: dict[str, int], limit: float | None = None, entropy: float | N
 
 
 def plan(docs: DataFrame, limit: float | None, entropy: float | None, budget: float | None, seed: int, block_tokens: int, columns: dict) -> tuple[DataFrame, list[tuple]]:
-    """docs with hidden columns of source, tokens and hash, and a row a source: what of it the mixture takes."""
-    source = F.coalesce(F.col(columns["source"]).cast("string"), F.lit(NO_SOURCE))
-    tokens = F.coalesce(F.regexp_count(F.col(columns["text"]), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    hashed = F.xxhash64(F.lit(seed), F.col(columns["doc_id"]), F.xxhash64(F.col(columns["text"])))
-    rows = docs.withColumns({"__source": source, "__tokens": tokens, "__hash": hashed})
+    """docs as one column __row beside those of source, tokens and hash, and a row a source: what of it the mixture takes."""
+    own = {k: F.col(f"`{c}`") for k, c in columns.items()}
+    source = F.coalesce(own["source"].cast("string"), F.lit(NO_SOURCE))
+    tokens = F.coalesce(F.regexp_count(own["text"], F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    hashed = F.xxhash64(F.lit(seed), own["doc_id"], F.xxhash64(own["text"]))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))  # no column's name can clash with those made here
+    rows = docs.select(row.alias("__row"), source.alias("__source"), tokens.alias("__tokens"), hashed.alias("__hash"))
     slim = rows.select("__source", "__tokens", "__hash")
     found = slim.groupBy("__source").agg(F.sum("__tokens").alias("t")).limit(MAX_SOURCES + 1).collect()  # one row a source
     if len(found) > MAX_SOURCES:
@@ -111,12 +116,13 @@ def placed_rows(rows: DataFrame, epoch, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, limit: float | None = None, entropy: float | None = None, budget: float | None = None, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """docs' rows as often as the mixture takes them, with __epoch, __at, __block and __place added.
+    """docs' rows as often as the mixture takes them, with __epoch, __at, __block and __place added (a column of docs of
+    such a name: NAME_kept).
 
     budget: tokens of the mixture; None takes every text at least once.
     """
     rows, table = plan(docs, limit, entropy, budget, seed, block_tokens, {"doc_id": doc_id, "source": source, "text": text})
-    names = [*(F.col(f"`{c}`") for c in docs.columns), "__epoch", "__at", "__block", "__place"]
+    names = [*(F.col("__row")[c].alias(n) for c, n in zip(docs.columns, kept_names(docs.columns, MADE), strict=True)), *MADE]
     if not table:
         return rows.withColumns({"__epoch": F.lit(0), "__at": F.lit(0.0), "__block": F.lit(0).cast("long"), "__place": F.lit(0).cast("long")}).select(*names)
     small = docs.sparkSession.createDataFrame(table, "__source string, __blocks long, __stride long, __whole long, __last long, __cut long, __budget double")

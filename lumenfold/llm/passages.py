@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.common import map_batches, written
+from lumenfold.llm.common import kept_names, map_batches, written
 
 WORDS, GRAM = 13, 5
 CELL = 40_000  # words of passages for one automaton
@@ -278,8 +278,7 @@ def remove(docs: DataFrame, words: int = WORDS, gram: int = GRAM, cell: int = CE
     """docs' rows, n_words, n_removed and kept: the words that no window of a smaller document covers, a space between."""
     found = repeats(docs, words, gram, cell, stream, text, doc_id)
     spans = written(found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")  # of one text
-    taken = {"n_words", "n_removed", "kept"}
-    names = [f"{c}_kept" if c.lower() in taken else c for c in docs.columns]
+    names = kept_names(docs.columns, ("n_words", "n_removed", "kept"))
     row = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True))).alias("__row")
     rows = docs.select(row, F.col(f"`{doc_id}`").cast("long").alias("__id"), F.col(f"`{text}`").alias("__text"))
     joined = rows.join(spans, (F.col("__id") == F.col("doc_id")) & (F.xxhash64("__text") == F.col("text_hash")), "left").select("__row", "__text", F.col("spans.start").alias("__start"), F.col("spans.stop").alias("__stop"))

@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenfold.llm.common import kept_names
+
 #: (host, path, verdict): a rule fits its host and every subdomain if the path starts with the rule's.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -121,15 +123,18 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]], valu
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple[str, str, str]] | None = None, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """keep columns, host, path, rule, verdict (allow or block) and block_score (0 to 1) of every row."""
+    """keep columns (one named as those to come: NAME_kept), host, path, rule, verdict (allow or block) and block_score (0 to 1) of every row."""
     rules = RULES if rules is None else rules
     w = train(labelled if labelled is not None else default_labels(pages.sparkSession))
-    parts = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    names = kept_names(keep, ("host", "path", "rule", "verdict", "block_score"))
+    row = F.struct(F.lit(0).alias("__none"), *(F.col(f"`{k}`").alias(n) for k, n in zip(keep, names, strict=True))).alias("row")
+    parts = pages.select(row, host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
     x, weights, host, path = buckets(F.col("host"), F.col("path")), F.lit(w), F.col("host"), F.col("path")
     parts = parts.select("*", rule_for(host, path, rules).alias("rule"), rule_for(host, path, rules, 1).alias("ruled"), x.alias("x"))
     margin = F.aggregate("x", F.lit(0.0), lambda a, b: a + F.get(weights, b)) / F.sqrt(F.greatest(F.size("x"), F.lit(1))) + F.lit(w[-1])
-    scored = parts.select(*keep, "host", "path", "rule", "ruled", (1 / (1 + F.exp(-margin))).alias("block_score"))
-    return scored.select(*keep, "host", "path", "rule", F.coalesce("ruled", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "block_score")
+    scored = parts.select("row", "host", "path", "rule", "ruled", (1 / (1 + F.exp(-margin))).alias("block_score"))
+    verdict = F.coalesce("ruled", F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")).alias("verdict")
+    return scored.select(*(F.col("row")[n].alias(n) for n in names), "host", "path", "rule", verdict, "block_score")
 
 
 def oracle() -> str:
