@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.text import match_key
 from lumenfold.operators.numbering import ROWS_PER_RANGE, cuts_of, range_of
+from lumenfold.operators.substrings import substring_pairs
 from lumenfold.schemas import ABSTAINED
 from lumenfold.session import stored
 
@@ -26,12 +27,12 @@ def resolve_names(names: DataFrame, catalog: DataFrame, aliases: DataFrame | Non
 
     In turn: alias, normalized name, raw name, lower-case normalized name (last entry of a name), then the first entry in
     catalog order whose lower-case name holds the wanted one. Only names that no equality resolves go into that last
-    search, and only against distinct names.
+    search, and only against distinct names that share their rarest three characters.
     """
     key = match_key(F.col("name"))
     wanted = names.withColumn("__key", key)
     if aliases is not None:
-        wanted = wanted.join(F.broadcast(aliases.select(match_key(F.col("alias")).alias("__key"), F.col("target").alias("__target")).dropDuplicates(["__key"])), "__key", "left")
+        wanted = wanted.join(aliases.groupBy(match_key(F.col("alias")).alias("__key")).agg(F.min("target").alias("__target")), "__key", "left")
     else:
         wanted = wanted.withColumn("__target", F.lit(None).cast("string"))
     wanted = wanted.withColumn("__name", F.coalesce("__target", "name")).withColumn("__low", match_key(F.col("__name")))
@@ -43,7 +44,7 @@ def resolve_names(names: DataFrame, catalog: DataFrame, aliases: DataFrame | Non
     equal = F.coalesce("__n_id", "__r_id", "__l_id")
     rest = out.filter(equal.isNull() & (F.col("__low") != "")).select("__low").distinct()
     entries = catalog.select("pos", "facet_id", match_key(F.col("normalized_facet")).alias("__entry")).filter(F.col("__entry") != "").groupBy("__entry").agg(F.min(F.struct("pos", "facet_id")).alias("__first"))
-    held = rest.join(entries, F.col("__entry").contains(F.col("__low"))).groupBy("__low").agg(F.min("__first").alias("__found"))
+    held = substring_pairs(entries, "__entry", rest, "__low").groupBy("__low").agg(F.min("__first").alias("__found"))
     done = out.join(held, "__low", "left")
     how = F.when(F.col("__n_id").isNotNull(), F.when(F.col("__target").isNotNull(), "alias").otherwise("normalized")).when(F.col("__r_id").isNotNull(), "raw").when(F.col("__l_id").isNotNull(), "lower").when(F.col("__found").isNotNull(), "contains").otherwise("none")
     return done.select(*names.columns, F.coalesce("__n_id", "__r_id", "__l_id", F.col("__found.facet_id")).alias("facet_id"), how.alias("matched_by"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import text
 from lumenfold.operators import catalog as cat
 from lumenfold.operators import evaluation, retrieval, scoring
+from lumenfold.session import stored
 
 STRATEGIES = ("bm25", "terms", "rrf", "rrf_pooled", "tiered")
 
@@ -49,11 +50,17 @@ def documents_of(catalog: DataFrame) -> DataFrame:
     return entries.select(F.col("facet_id").alias("doc_id"), F.col("pos").alias("doc_pos"), text.lexical_text(F.col("normalized_facet"), F.col("facet_type"), F.col("scoring_definition")).alias("text"))
 
 
-def retrieve(conversations: DataFrame, catalog: DataFrame, top_k: int = 10, strategy: str = "bm25", pool: int = 50) -> DataFrame:
-    """query_id (the conversation's), doc_id (the entry's), rank."""
+def indexed(catalog: DataFrame) -> DataFrame:
+    """The entries with their terms, stored: what several calls of retrieve or evaluate can share."""
+    docs = documents_of(catalog)
+    return stored(docs.join(retrieval.lexical_terms(docs).drop("doc_pos"), "doc_id"))
+
+
+def retrieve(conversations: DataFrame, catalog: DataFrame, top_k: int = 10, strategy: str = "bm25", pool: int = 50, index: DataFrame | None = None) -> DataFrame:
+    """query_id (the conversation's), doc_id (the entry's), rank. index: what ``indexed`` made of the catalog."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy is one of {STRATEGIES}")
-    docs, queries = documents_of(catalog), conversations.select(F.col("conv_id").alias("query_id"), "text")
+    docs, queries = index if index is not None else documents_of(catalog), conversations.select(F.col("conv_id").alias("query_id"), "text")
     if strategy == "bm25":
         return retrieval.bm25_top(docs, queries, top_k)
     if strategy == "terms":
@@ -69,13 +76,13 @@ def routed(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return candidates.filter(~hidden), candidates.filter(hidden)
 
 
-def evaluate(conversations: DataFrame, catalog: DataFrame, top_k: int = 10, batch_size: int = 10, backend: Callable[[str, str], str] | None = None, facets: DataFrame | None = None, strategy: str = "bm25", keep_outputs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def evaluate(conversations: DataFrame, catalog: DataFrame, top_k: int = 10, batch_size: int = 10, backend: Callable[[str, str], str] | None = None, facets: DataFrame | None = None, strategy: str = "bm25", keep_outputs: Callable[[DataFrame], DataFrame] | None = None, index: DataFrame | None = None) -> DataFrame:
     """conv_id, rank, facet_id, facet, status, score, confidence, evidence, reason.
 
     facets (conv_id, facet_id) replaces retrieval for the conversations that it names. backend None is the rule backend,
     pure columns; else it is called once for each conversation and batch, and keep_outputs may write its output first.
     """
-    found = retrieve(conversations, catalog, top_k, strategy).select(F.col("query_id").alias("conv_id"), F.col("doc_id").alias("facet_id"), F.col("rank").cast("int").alias("rank"))
+    found = retrieve(conversations, catalog, top_k, strategy, index=index).select(F.col("query_id").alias("conv_id"), F.col("doc_id").alias("facet_id"), F.col("rank").cast("int").alias("rank"))
     if facets is not None:
         given = facets.join(catalog.select("facet_id", "pos"), "facet_id")
         given = retrieval.ranked(given, [F.col("pos")], by="conv_id").select("conv_id", "facet_id", F.col("rank").cast("int").alias("rank"))

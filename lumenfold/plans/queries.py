@@ -16,7 +16,6 @@ from lumenfold.operators import retrieval as ret
 from lumenfold.operators import scoring as sc
 from lumenfold.plans import evaluate as plan
 from lumenfold.plans import sql as S
-from lumenfold.schemas import CATALOG
 from lumenfold.session import shared_dir, spread, stored
 from lumenfold.sources import files
 
@@ -896,12 +895,12 @@ def _folder(t: Tables) -> str:
     return f"{shared_dir(t.spark)}/lumenfold/{uuid.uuid4().hex}"
 
 
-@query("catalog_files", f"WITH {S.CATALOG}, c AS (SELECT facet_id, normalized_facet, facet_type, conversation_observable, abstention_reason FROM catalog WHERE normalized_facet <> '') SELECT 'csv' AS kind, * FROM c UNION ALL SELECT 'json', * FROM c UNION ALL SELECT 'parquet', * FROM c")
+@query("catalog_files", f"WITH {S.CATALOG}, c AS (SELECT facet_id, raw_facet, normalized_facet, facet_type, conversation_observable, sensitivity, scoring_anchors, abstention_reason, quality_flag FROM catalog) SELECT 'csv' AS kind, facet_id, nullif(raw_facet, '') AS raw_facet, nullif(normalized_facet, '') AS normalized_facet, facet_type, conversation_observable, sensitivity, scoring_anchors, nullif(abstention_reason, '') AS abstention_reason, quality_flag FROM c UNION ALL SELECT 'json', * FROM c UNION ALL SELECT 'parquet', * FROM c")
 def _(t):
     at = _folder(t)
     files.write_catalog(t.catalog(), at)
-    read = [("csv", files.read_catalog(t.spark, f"{at}/catalog_csv/*.csv")), ("json", t.spark.read.schema(CATALOG).json(f"{at}/catalog_json")), ("parquet", files.read_catalog(t.spark, f"{at}/catalog.parquet"))]
-    return reduce(DataFrame.unionByName, [rows.filter("normalized_facet <> ''").select(F.lit(kind).alias("kind"), "facet_id", "normalized_facet", "facet_type", "conversation_observable", "abstention_reason") for kind, rows in read])
+    read = {kind: files.read_catalog(t.spark, f"{at}/{name}") for kind, name in (("csv", "catalog_csv"), ("json", "catalog_json"), ("parquet", "catalog.parquet"))}
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(kind).alias("kind"), "facet_id", "raw_facet", "normalized_facet", "facet_type", "conversation_observable", "sensitivity", "scoring_anchors", "abstention_reason", "quality_flag") for kind, rows in read.items()])
 
 
 @query("rows_log", "SELECT doc_id, quality, toxic, 2 AS n FROM labels")
@@ -913,12 +912,29 @@ def _(t):
     return log.groupBy("doc_id", "quality", "toxic").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("embedding_store", "SELECT doc_id, CASE WHEN e.vec_id IS NULL OR doc_id % 3 = 0 THEN 'embed' ELSE 'stored' END AS side FROM documents LEFT JOIN embeddings e ON e.vec_id = doc_id")
+@query("embedding_store", "SELECT doc_id, CASE WHEN e.vec_id IS NULL OR doc_id % 3 = 0 OR doc_id % 7 = 0 THEN 'embed' ELSE 'stored' END AS side FROM documents LEFT JOIN embeddings e ON e.vec_id = doc_id")
 def _(t):
-    at = _folder(t)
+    """Vectors of all texts, then of every third one after an edit; each seventh document is deleted, and all is written for another backend."""
+    at, store = _folder(t), files.VectorStore
     docs = t.documents.select("doc_id", "text")
-    edited = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("before "), "text")).otherwise(F.col("text")))
-    files.write_embeddings(edited.withColumn("text_hash", F.sha2("text", 256)).join(t.dense().select("doc_id", "vector"), "doc_id"), at)
-    files.write_embeddings(docs.withColumn("text_hash", F.sha2("text", 256)).join(t.dense().select("doc_id", "vector"), "doc_id"), at, "tf")
+    hashed = lambda rows: rows.withColumn("text_hash", F.sha2("text", 256)).join(t.dense().select("doc_id", "vector"), "doc_id")
+    files.write_embeddings(hashed(docs), at)
+    files.write_embeddings(hashed(docs.filter("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("before "), "text"))), at)
+    store(t.spark, at).delete(docs.filter("doc_id % 7 = 0").select("doc_id"))
+    files.write_embeddings(hashed(docs), at, "tf")
+    store(t.spark, at).compact()
     have, rest = files.embeddings(t.spark, at, docs)
     return have.select("doc_id", F.lit("stored").alias("side")).unionByName(rest.select("doc_id", F.lit("embed").alias("side")))
+
+
+@query("vector_versions", """WITH w AS (SELECT vec_id AS doc_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS s FROM embeddings), v AS (SELECT 1 AS version, doc_id, s FROM w UNION ALL
+SELECT 2, doc_id, CASE WHEN doc_id % 4 = 0 THEN -s ELSE s END FROM w UNION ALL SELECT 3, doc_id, CASE WHEN doc_id % 4 = 0 THEN -s ELSE s END FROM w WHERE doc_id % 5 <> 0) SELECT version, doc_id, round(s, 5) + 0.0 AS total FROM v""")
+def _(t):
+    """Three versions of a store: all vectors, every fourth one turned round, every fifth one deleted; each is read as it was."""
+    store = files.VectorStore(t.spark, _folder(t))
+    rows = t.vectors().select("doc_id", F.lit("h").alias("text_hash"), F.col("vector").cast("array<double>").alias("vector"))
+    store.write(rows)
+    store.write(rows.filter("doc_id % 4 = 0").withColumn("vector", F.transform("vector", lambda x: -x)))
+    store.delete(rows.filter("doc_id % 5 = 0").select("doc_id"))
+    total = F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 5) + F.lit(0.0)
+    return reduce(DataFrame.unionByName, [store.read(version=v).select(F.lit(v).alias("version"), "doc_id", total.alias("total")) for v in (1, 2, 3)])

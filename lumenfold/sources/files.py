@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold import schemas
+from lumenfold.sources.vectors import VectorStore
 
 #: What windows-1252 has where ISO-8859-1 has control characters; bytes that it leaves undefined are kept.
 WINDOWS_1252 = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
@@ -19,38 +22,69 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_raw_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """pos (0-based place in the file), raw_facet of a one-column CSV with the header Facets or facets.
+    """pos (ascending by place in the file, then by file), raw_facet of one-column CSV files with the header Facets or facets.
 
-    Read as UTF-8, or where its bytes aren't valid UTF-8 as windows-1252, or as ISO-8859-1 where it has bytes that
-    windows-1252 doesn't define. Blank lines are left out; NA, null and empty cells are null.
+    Each file is read as UTF-8, or where its bytes aren't valid UTF-8 as windows-1252, or as ISO-8859-1 where it has bytes
+    that windows-1252 doesn't define. Blank lines are left out; NA, null and empty cells are null.
     """
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    raw = _one_column(spark, path, "UTF-8")
-    if spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count():  # lines are read as the bytes they are
-        raw = _one_column(spark, path, "ISO-8859-1")
-        if not raw.filter(F.col("raw_facet").rlike("[\\x81\\x8D\\x8F\\x90\\x9D]")).limit(1).count():
-            raw = raw.withColumn("raw_facet", F.translate("raw_facet", "".join(WINDOWS_1252), "".join(WINDOWS_1252.values())))
+    lines = spark.read.text(path)  # lines are read as the bytes they are
+    found = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.bool_and(F.is_valid_utf8("value")).alias("valid")).collect()  # a row a file
+    plain, other = (sorted(unquote(r.file) for r in found if r.valid == kind) for kind in (True, False))
+    raw = _one_column(spark, plain, "UTF-8") if plain else None
+    if other:
+        latin = _one_column(spark, other, "ISO-8859-1")
+        odd = [r.file for r in latin.filter(F.col("raw_facet").rlike("[\\x81\\x8D\\x8F\\x90\\x9D]")).select("file").distinct().collect()]
+        shown = F.translate("raw_facet", "".join(WINDOWS_1252), "".join(WINDOWS_1252.values()))
+        latin = latin.withColumn("raw_facet", F.when(F.col("file").isin(*odd), F.col("raw_facet")).otherwise(shown) if odd else shown)
+        raw = latin if raw is None else raw.unionByName(latin)
     value = F.when(F.col("raw_facet").isin("NA", "null", ""), None).otherwise(F.col("raw_facet"))
-    return raw.select(F.col("__n").alias("pos"), value.alias("raw_facet"))  # ids of a scan's rows grow with their place
+    if raw is None:
+        raise ValueError(f"{path} has no column Facets")
+    return raw.select(F.monotonically_increasing_id().alias("pos"), value.alias("raw_facet"))  # ids of a scan's rows grow with their place
 
 
-def _one_column(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    lines = spark.read.option("encoding", encoding).option("header", True).csv(path)
-    names = [c for c in lines.columns if c.strip() in ("Facets", "facets")]
-    if not names:
-        raise ValueError(f"{path} has no column Facets")
-    return lines.select(F.col(f"`{names[0]}`").alias("raw_facet"), F.monotonically_increasing_id().alias("__n"))
+def _one_column(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
+    found = None
+    for name in ("Facets", "facets"):
+        for path in paths:
+            head = spark.read.option("encoding", encoding).option("header", True).csv(path).columns
+            if own := [c for c in head if c.strip() == name]:
+                part = spark.read.option("encoding", encoding).option("header", True).csv(path).select(F.col(f"`{own[0]}`").alias("raw_facet"), F.lit(path).alias("file"))
+                found = part if found is None else found.unionByName(part)
+    if found is None:
+        raise ValueError(f"{paths[0]} has no column Facets")
+    return found
+
+
+KINDS = {"parquet": "parquet", "csv": "csv", "json": "json", "jsonl": "json", "ndjson": "json"}
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """The enriched catalog from JSON records (an array or lines), CSV or Parquet by the path's ending."""
+def kind_of(path: str) -> str:
+    """The format that a path's last parts name: catalog.csv, catalog_csv, catalog_json/part-0.json, catalog_csv/*."""
+    for part in reversed(path.rstrip("/").split("/")[-2:]):
+        if kind := KINDS.get(part.replace("_", ".").rsplit(".", 1)[-1]):
+            return kind
+    raise ValueError(f"{path} names no format: give one of {sorted(set(KINDS.values()))}")
+
+
+def read_catalog(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """The enriched catalog from Parquet, CSV or JSON (kind, or what the path names), all records of all its files.
+
+    A JSON file whose first line is a whole record has a record a line and is split among tasks; any other (an array, or
+    records over several lines) is read whole, a file a task. CSV doesn't tell an empty text from a null: both read as null."""
+    kind = kind or kind_of(path)
     reader = spark.read.schema(schemas.CATALOG)
-    if path.endswith(".parquet"):
-        return spark.read.parquet(path)
-    if path.endswith(".csv"):
+    if kind == "parquet":
+        return reader.parquet(path)
+    if kind == "csv":
         return reader.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return reader.option("multiLine", True).json(path)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"), F.trim(F.regexp_replace("value", "^\ufeff", "")).alias("value"))
+    first = lines.filter("value <> ''").groupBy("file").agg(F.min_by("value", "at").alias("value"))
+    found = first.select("file", (F.col("value").startswith("{") & F.get_json_object("value", "$").isNotNull()).alias("lines")).collect()  # a row a file
+    parts = [(reader if whole else spark.read.schema(schemas.CATALOG).option("multiLine", True)).json(sorted(unquote(r.file) for r in found if r.lines == whole)) for whole in sorted({r.lines for r in found})]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schemas.CATALOG)
 
 
 def read_reference_set(spark: SparkSession, path: str) -> DataFrame:
@@ -81,24 +115,25 @@ def scenarios(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFram
 
 def embeddings(spark: SparkSession, path: str, docs: DataFrame, backend: str = "model") -> tuple[DataFrame, DataFrame]:
     """(docs with stored vectors, docs to embed): a stored vector is that of the text's hash, so edits are noticed, and of
-    the backend named, so that vectors of two kinds never meet in one search."""
+    the backend named, so that vectors of two kinds never meet in one search. Each document has one vector in the store."""
     keyed = docs.withColumn("text_hash", F.sha2(F.col("text"), 256))
-    if not exists(spark, path):
-        return keyed.withColumn("vector", F.lit(None).cast("array<float>")).filter("false"), keyed
-    stored = spark.read.parquet(path).filter(F.col("backend") == backend).select("doc_id", "text_hash", "vector")
+    stored = VectorStore(spark, path).read(backend)
+    if stored is None:
+        return keyed.withColumn("vector", F.lit(None).cast("array<double>")).filter("false"), keyed
     return keyed.join(stored, ["doc_id", "text_hash"]), keyed.join(stored, ["doc_id", "text_hash"], "left_anti")
 
 
-def write_embeddings(vectors: DataFrame, path: str, backend: str = "model") -> None:
-    """vectors: doc_id, text_hash, vector. Appended; a text's newest hash is the one that later reads look for."""
-    vectors.select("doc_id", "text_hash", "vector", F.lit(backend).alias("backend")).write.mode("append").parquet(path)
+def write_embeddings(vectors: DataFrame, path: str, backend: str = "model") -> int:
+    """vectors: doc_id, text_hash, vector. A document's new vector replaces the one before; returns the store's version."""
+    return VectorStore(vectors.sparkSession, path).write(vectors, backend)
 
 
 def write_catalog(catalog: DataFrame, folder: str, one_file: bool = False) -> None:
     rows = catalog.select(*schemas.CATALOG.fieldNames())
     rows = rows.coalesce(1) if one_file else rows
     rows.write.mode("overwrite").parquet(f"{folder}/catalog.parquet")
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/catalog_csv")
+    whole = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.mode("overwrite").options(**whole).csv(f"{folder}/catalog_csv")
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/catalog_json")
 
 

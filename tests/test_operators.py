@@ -192,4 +192,4 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "a risk"), (2, "calm")], "conv_id long, text string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("conv_id long, text string").parquet(str(tmp_path / "in"))
     streaming.start(stream, catalog, str(tmp_path / "out"), str(tmp_path / "cp"), 1).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert streaming.committed(spark, str(tmp_path / "out")).count() == 2
