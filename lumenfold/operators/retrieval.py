@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text
+from lumenfold.operators import lsa, postings
 from lumenfold.session import spread, stored
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 0.01
@@ -80,14 +81,17 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, text_col: str = "text", k1:
     return weighed.join(asked, "token").groupBy("query_id", "doc_id", "doc_pos").agg(F.round(F.sum("share"), DIGITS).alias("score"))
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, top_k: int, text_col: str = "text", k1: float = K1, b: float = B, floor: float | None = IDF_FLOOR) -> DataFrame:
+def bm25_top(docs: DataFrame | postings.Index, queries: DataFrame, top_k: int, text_col: str = "text", k1: float = K1, b: float = B, floor: float | None = IDF_FLOOR) -> DataFrame:
     """The best top_k documents of each query, as in a list of all documents, in which those without a shared term
     follow with score 0 in the documents' order.
 
     A term that every document has gives each the same weight times a share that falls with its length, so such terms
     are added by one number a query and not joined. Beside the documents that share another term, only the top_k
-    shortest can come into a list then, or the top_k first where the query has no such term.
+    shortest can come into a list then, or the top_k first where the query has no such term. A kept index
+    (``postings.build``) is searched with skipping instead.
     """
+    if isinstance(docs, postings.Index):
+        return postings.search(docs, queries, top_k, k1, b, floor).found
     docs = docs if "terms" in docs.columns else index(docs, text_col)
     asked, hits, df = _matched(docs, queries, text_col, floor)
     stats = lexical_terms(docs, text_col).agg(F.greatest(F.coalesce(F.avg("n_terms"), F.lit(0.0)), F.lit(1.0)).alias("avg_len"))
@@ -350,20 +354,30 @@ def model_vectors(docs: DataFrame, load: Callable[[], Callable[[list[str]], obje
     return docs.select(id_column, "text").mapInPandas(run, f"{id_column} {kind}, vector array<double>")
 
 
-BACKENDS = ("model", "tfidf", "tf")
+BACKENDS = ("model", "lsa", "tfidf", "tf")
 
 
 def semantic_top(docs: DataFrame, queries: DataFrame, top_k: int, backend: str = "tfidf", load: Callable | None = None) -> DataFrame:
-    """The semantic list by the backend named: vectors of a loaded model, or cosine over weighted or plain term counts.
+    """The semantic list by the backend named: vectors of a loaded model or of a decomposition of the documents' own
+    terms, or cosine over weighted or plain term counts.
     The choice is the caller's; a model that fails to load fails the query and doesn't become another backend."""
     if backend not in BACKENDS or (backend == "model") != (load is not None):
         raise ValueError(f"backend is one of {BACKENDS}, with a loader for model alone")
+    if backend == "lsa":
+        return lsa_top(docs, queries, top_k)
     if backend != "model":
         return term_cosine(docs, queries, top_k, inverse=backend == "tfidf")
     placed = model_vectors(docs, load).join(docs.select("doc_id", "doc_pos"), "doc_id")
     return dense_top(placed, model_vectors(queries, load, "query_id"), top_k)
 
 
+def lsa_top(docs: DataFrame, queries: DataFrame, top_k: int, **how) -> DataFrame:
+    """The best documents by the cosine of vectors that are fitted on the documents (``lsa.fit``)."""
+    model = lsa.fit(docs, **how)
+    placed = model.docs.join(docs.select("doc_id", "doc_pos"), "doc_id")
+    return dense_top(placed, lsa.embedded(model, queries), top_k)
+
+
 def tri_fusion(lexical: DataFrame, docs: DataFrame, queries: DataFrame, expanded: DataFrame, top_k: int, pool: int = 100, backend: str = "tfidf", load: Callable | None = None) -> DataFrame:
     """Fusion of a lexical list of the queries with the semantic lists of the queries and of the expanded queries."""
     return rrf([lexical, *(semantic_top(docs, asked, pool, backend, load) for asked in (queries, expanded))], top_k, pool=pool)

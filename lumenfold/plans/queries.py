@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import text
 from lumenfold.operators import catalog as cat
 from lumenfold.operators import evaluation as ev
+from lumenfold.operators import postings
 from lumenfold.operators import retrieval as ret
 from lumenfold.operators import scoring as sc
 from lumenfold.plans import evaluate as plan
@@ -290,6 +291,16 @@ def _(t):
     return ret.bm25_top(t.indexed(), t.asked(), 10).select("query_id", "doc_id", "score", "rank")
 
 
+@query("bm25_kept_index", f"""WITH {CORPUS}, {BM25}, short AS (SELECT q, array_to_string(string_split(text, ' ')[1:3], ' ') AS text FROM asked), {S.bm25('corpus', 'short', 'x')}
+SELECT 'whole' AS kind, q AS query_id, doc AS doc_id, score, rank FROM b_all WHERE rank <= 10 UNION ALL SELECT 'short', q, doc, score, rank FROM x_all WHERE rank <= 5""")
+def _(t):
+    """An index that is built once, opened again by its path and searched for two sets of queries."""
+    index = postings.opened(t.spark, postings.build(t.corpus()).path)
+    short = t.asked().withColumn("text", F.substring_index("text", " ", 3))
+    lists = [postings.search(index, asked, k).found.select(F.lit(kind).alias("kind"), "query_id", "doc_id", "score", "rank") for kind, asked, k in (("whole", t.asked(), 10), ("short", short, 5))]
+    return lists[0].unionByName(lists[1])
+
+
 @query("bm25_all_docs_rank", f"WITH {CORPUS}, {BM25} SELECT q AS query_id, doc AS doc_id, rank FROM b_all")
 def _(t):
     return ret.bm25_all(t.indexed(), t.asked()).select("query_id", "doc_id", "rank")
@@ -324,6 +335,12 @@ def _(t):
     return ret.dense_top(t.dense(), t.asked(), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("lsa_topk")
+def _(t):
+    """No SQL decomposes a matrix; tests hold the values and the order against numpy."""
+    return ret.lsa_top(t.corpus(), t.asked(), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 _RRF = "row_number() OVER (PARTITION BY q ORDER BY score DESC, r1 NULLS LAST, r2 NULLS LAST, doc)"
 
 
