@@ -74,7 +74,8 @@ def sibling(run: Column, at: Column) -> Column:
 
 def paths(tree: list[DataFrame], above: DataFrame, fanout: int) -> DataFrame:
     """above: g and columns of the group's root, path among them (siblings from the root down). Returns g, i and those
-    columns for the nodes of the lowest level, the path with the tree's own siblings appended."""
+    columns for the nodes of the lowest level, the path with the tree's own siblings appended. Each level is written, so
+    that no plan holds more than one."""
     kept = [c for c in above.columns if c not in ("g", "path")]
     now = None
     for k in range(len(tree) - 1, -1, -1):
@@ -82,7 +83,7 @@ def paths(tree: list[DataFrame], above: DataFrame, fanout: int) -> DataFrame:
         if now is not None:
             each = tree[k + 1].select("g", "i", "run").join(now, ["g", "i"]).select("g", "i", *kept, "path", "run", F.posexplode("run").alias("at", "digest"))
             own = own.unionByName(each.select("g", (F.col("i") * fanout + F.col("at")).alias("i"), *kept, F.concat("path", F.array(sibling(F.col("run"), F.col("at")))).alias("path")))
-        now = own
+        now = written(own, "paths") if k else own
     return now
 
 
@@ -122,7 +123,7 @@ def build(leaves: DataFrame, group: str = "source", order: tuple[str, ...] = ("d
     root = upper[-1].filter("m = 1").select("digest").first()
     none = F.array().cast("array<struct<left:string,right:string>>")
     start = upper[-1].filter("m = 1").select("g", none.alias("path"))
-    top = paths(upper, start, fanout).select(F.col("i").alias("g"), "path").join(subroots.select("g", "subroot"), "g")
+    top = written(paths(upper, start, fanout).select(F.col("i").alias("g"), "path").join(subroots.select("g", "subroot"), "g"), "top")
     return Manifest(placed, subroots.select(group, "g", "subroot"), root[0] if root else None, paths(tree, top, fanout))
 
 
