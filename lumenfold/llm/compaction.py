@@ -5,7 +5,8 @@ a power of ``fanout`` times ``MIN_BYTES``) and merges at least ``fanout`` of the
 file from ``SEALED`` of the target on is left as it is. A version is one JSON file that names its shards; it is written
 under another name and renamed, which fails if that version is there, so a reader sees a whole version or none and of
 two writers one starts again. Shards of older versions, and of writers that never committed, stay until ``vacuum`` finds
-them older than its grace time.
+them older than its grace time. The rename must fail where its target exists, as HDFS and local file systems do through
+Hadoop's layer; on object stores, whose rename copies, let one writer commit at a time.
 
 Planning works on the manifest (a line a shard, on the driver: a table of 100 TB has 100,000 lines of 1 GB each, so its
 target is to be of that size); rows move once, by the merge's own number, a task each, so a task holds one

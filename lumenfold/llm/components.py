@@ -1,4 +1,8 @@
-"""Connected components of a table of links, by alternating large-star and small-star rounds."""
+"""Connected components of a table of links, by alternating large-star and small-star rounds.
+
+Edge cases: links to oneself, repeated links and links both ways count as one or none; an empty table gives no rows; links with
+a null end are left out.
+"""
 
 from __future__ import annotations
 

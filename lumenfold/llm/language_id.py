@@ -11,7 +11,8 @@ Fit: ``SAMPLE_DOCS`` documents a language (those of the smallest hash), whole te
 where the sample lies, one group a language, and merged on the driver. Scoring covers every whole text.
 
 Edge cases: null, empty and letterless texts give ``und`` and score 0; ties go to the language first in sorted
-order; an empty training table gives ``und`` for all; repeated rows stay; other columns aren't read.
+order; an empty training table gives ``und`` for all; repeated rows stay; other columns aren't read. Training leaves
+out rows with a null id, as the sample is one of ids, and takes all texts of a chosen id.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ they share a shard: one for each choice of ``KEPT`` blocks and the bits there. E
 BK-tree (children keyed by their Hamming distance to the parent); a new one first searches it, following only edges
 within the radius, and is linked to one member of each group that it joins. So a shard of n gives at most n - 1 links,
 and a group of thousands of near copies never becomes all its pairs. Trees live where their shard's rows were shuffled
-to: gathering the fingerprints of all documents on the driver to broadcast them is what the contract forbids.
+to and aren't broadcast: that would gather the fingerprints of all documents on the driver, 8 bytes each in every worker.
 
 Equal fingerprints are one node (their least id is found by pre-aggregation), so exact copies cost nothing.
 
