@@ -70,6 +70,7 @@ def batches(candidates: DataFrame, batch_size: int) -> DataFrame:
     return candidates.withColumn("batch", F.floor((F.col("rank") - 1) / max(1, batch_size)).cast("int"))
 
 
+#: The literals of this prompt are those that the published outputs answer.
 def prompts(batched: DataFrame) -> DataFrame:
     """batched: conv_id, text, batch, rank and the catalog's columns. One user prompt for each conversation and batch."""
     rank = F.row_number().over(Window.partitionBy("conv_id", "batch").orderBy("rank"))
@@ -88,6 +89,7 @@ def prompts(batched: DataFrame) -> DataFrame:
     return grouped.select("conv_id", "batch", "n_candidates", prompt.alias("prompt"))
 
 
+#: The literals of this prompt, as above.
 def harness_prompts(batched: DataFrame) -> DataFrame:
     """batched as for prompts. The short list form: a line a candidate, in rank order, for HARNESS_PROMPT."""
     line = F.concat(F.lit("- ["), F.col("facet_id"), F.lit("] "), display_name(F.col("normalized_facet")), F.lit(": "), F.coalesce("scoring_definition", F.lit("")))
@@ -105,6 +107,7 @@ def cues(conversation: Column) -> Column:
     return F.struct(conv.alias("conv"), any_of(conv, CUE_WORDS).alias("cue"), any_of(conv, STRONG_WORDS).alias("strong"), quoted.alias("quoted"))
 
 
+#: The reasons and confidences of the rule backend's results.
 def rule_result(facet_id: Column, facet: Column, about: Column) -> Column:
     """The deterministic backend as one struct of a result: ordered rules on the trait's name and the conversation's cues."""
     name, low, conv = strip(facet), F.lower(strip(facet)), about["conv"]
@@ -178,6 +181,7 @@ def complete(prompted: DataFrame, backend: Callable[[str, str], str], system: st
 
 
 ITEM = "struct<facet_id:string,facet:string,status:string,score:string,confidence:string,evidence:string,reason:string>"
+#: The patterns by which objects are told in a model's output, here and in the three functions that read it.
 FLAT_OBJECT = r'(\{(?:\s*"[a-zA-Z0-9_]+"\s*:\s*(?:"(?:\\.|[^"\\])*"|true|false|null|-?\d+(?:\.\d+)?)\s*,?\s*)+\})'
 
 
@@ -217,6 +221,7 @@ def round_half_even(c: Column) -> Column:
     return F.bround(c, 0).cast("int")
 
 
+#: The reasons of results that are missing or can't be read.
 def parse(outputs: DataFrame, candidates: DataFrame) -> DataFrame:
     """outputs: conv_id, batch, raw_output (and error); candidates: conv_id, batch, facet_id, facet, rank.
 
