@@ -15,8 +15,9 @@ estimate (c + 0.5) / (N + 0.5 (V + 1)), a pair's count is read from the filter,
 followers(v) / count(v) is the weight left after discounting v's pairs. A first word follows the end token. A pair
 that the filter doesn't have has count 0; of an unknown word as v, P(w | v) = P(w).
 
-Words are told apart by 64 bits, pairs by 64 bits in counting and by 32 bits beside their part in the filter, whose own
-false positives are some in a hundred. Edge cases: null counts as empty (one end token); with no training text c, N and V
+Words are told apart by 64 bits. A pair is told apart in counting by 40 bits of each of its words, mixed into 64, and goes to
+the parts as both, so that the first word's followers are counted whatever their number; in the filter it has 32 bits
+beside its part, and the filter's own false positives are some in a hundred. Edge cases: null counts as empty (one end token); with no training text c, N and V
 are 0 and scores are those of the formula; repeated rows stay; ids may repeat; other columns aren't read.
 """
 
@@ -44,10 +45,10 @@ while LEVELS[-1] < 1 << 45:
     LEVELS.append(max(LEVELS[-1] + 1, math.floor(LEVELS[-1] * 17 / 16)))
 LEVELS_ARRAY = np.array(LEVELS, np.int64)
 MIDDLE = np.concatenate([[0.0], np.sqrt(LEVELS_ARRAY.astype(float) * np.append(LEVELS_ARRAY[1:] - 1, LEVELS_ARRAY[-1]))])
-PAIR, PART = (np.uint64(x) for x in (0x13198A2E03707344, 0xA4093822299F31D0))
+PAIR, PART, FIRST = (np.uint64(x) for x in (0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = xxhash.xxh64_intdigest(END)
-KEY_BYTES, HEAD_BYTES = 4, 5  # of a pair's key in its part; of a first word
+KEY_BYTES, HEAD_BYTES = 4, 5  # of a pair's key in its part; of a word in a pair
 FILTER, WORDS, FOLLOWERS, ASKED = range(4)  # kinds of rows that a part gets
 ROWS = "part long, chunk long, kind int, blocks long, a binary, b binary"
 
@@ -58,9 +59,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def head_of(words: np.ndarray) -> np.ndarray:
+    """The 40 bits by which a pair knows a word."""
+    return words >> np.uint64(24)
+
+
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """40 bits of the first word and 24 of the second, so that a pair's first word can be told."""
-    return (first >> np.uint64(24) << np.uint64(24)) | (second >> np.uint64(40))
+    """All bits of both words' heads, mixed."""
+    return mixed(mixed(first ^ FIRST) + second)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -139,10 +145,6 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def head_of(pairs: np.ndarray) -> np.ndarray:
-    return pairs >> np.uint64(24)
-
-
 def part_of(h: np.ndarray, n_parts: int) -> np.ndarray:
     return (mixed(h ^ PART) % np.uint64(n_parts)).astype(np.int64)
 
@@ -178,14 +180,35 @@ def dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     return zip(parts.tolist(), np.split(order, starts[1:]), strict=False)
 
 
-def summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different hashes in order, and the sum of each one's numbers."""
+def summed(h: np.ndarray, n: np.ndarray, *beside: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different hashes in order, the sum of each one's numbers, and what else stands beside one of each."""
     if not len(h):
-        return h, n
-    order = np.argsort(h, kind="stable")
+        return h, n, *beside
+    order = np.argsort(h)
     h, n = h[order], n[order]
     starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[starts], np.add.reduceat(n, starts)
+    return h[starts], np.add.reduceat(n, starts), *(x[order[starts]] for x in beside)
+
+
+def counted(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs by their first words, and how often each stands there. A pair may come more than once, where pairs that
+    differ late in the second word lie between; the part that it goes to sums it."""
+    order = np.argsort(first << np.uint64(24) | second >> np.uint64(16))
+    first, second = first[order], second[order]
+    starts = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]))
+    return first[starts], second[starts], np.diff(np.append(starts, len(first)))
+
+
+def both_packed(first: np.ndarray, second: np.ndarray) -> bytes:
+    """The heads of pairs, byte by byte of all, so that runs of a first word compress."""
+    raw = np.stack([first, second]).view(np.uint8).reshape(2, -1, 8)[:, :, :HEAD_BYTES]
+    return np.ascontiguousarray(raw.transpose(0, 2, 1)).tobytes()
+
+
+def both_unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    by_byte = np.frombuffer(raw, np.uint8).reshape(2, HEAD_BYTES, -1).transpose(0, 2, 1)
+    first, second = np.pad(by_byte, ((0, 0), (0, 0), (0, 8 - HEAD_BYTES))).copy().view(np.uint64)[:, :, 0]
+    return first, second
 
 
 def rows_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -195,11 +218,11 @@ def rows_of(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def dealt_counts(train: DataFrame, text: str, n_parts: int) -> DataFrame:
-    """ROWS of hashes (a) and counts (b): those of pairs for the parts from 0 on, those of words for the parts from n_parts on."""
+    """ROWS of hashes (a) and counts (b): those of pairs (both heads) for the parts from 0 on, those of words for the parts from n_parts on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hashes, seen = Numbers(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def words_out() -> pa.RecordBatch:
@@ -208,10 +231,10 @@ def dealt_counts(train: DataFrame, text: str, n_parts: int) -> DataFrame:
             return rows_of([(n_parts + p, None, WORDS, 0, planes(h[at]), planes(n[at])) for p, at in dealt(part_of(head_of(h), n_parts))])
 
         def pairs_out() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
+            first, second, n = counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
             n = n.astype(np.uint32)
             held.clear()
-            return rows_of([(p, None, FILTER, 0, planes(h[at]), planes(n[at])) for p, at in dealt(part_of(h, n_parts))])
+            return rows_of([(p, None, FILTER, 0, both_packed(first[at], second[at]), planes(n[at])) for p, at in dealt(part_of(pair_hash(first, second), n_parts))])
 
         for batch in batches:
             if len(known) > WORDS_BOUND:
@@ -225,8 +248,8 @@ def dealt_counts(train: DataFrame, text: str, n_parts: int) -> DataFrame:
             more = np.bincount(at[1:], minlength=len(known.names))
             more[: len(seen)] += seen
             seen = more
-            h = hashes[at]
-            held.append(pair_hash(h[:-1], h[1:]))
+            h = head_of(hashes)[at]
+            held.append((h[:-1], h[1:]))
             size += len(h)
             if size > PAIRS_HELD:
                 yield pairs_out()
@@ -275,35 +298,41 @@ def train_model(train: DataFrame, text: str = "text") -> tuple[DataFrame, dict]:
     size = train.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     n_parts = max(2 * int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PART_BYTES))
 
-    def part_out(part: int, h: np.ndarray, n: np.ndarray) -> list[tuple]:
+    def part_out(part: int, h: np.ndarray, n: np.ndarray, first: np.ndarray) -> list[tuple]:
         if part >= n_parts:
             return [(part, None, WORDS, 0, planes(h), planes(n), int(n.sum()), len(h))]
         f = filled(keys_of(h), levels_of(n))
-        heads, kinds = np.unique(head_of(h), return_counts=True)
+        heads, kinds = np.unique(first, return_counts=True)
         to = dealt(part_of(heads, n_parts))
         return [(part, None, FILTER, f.n_blocks, f.bits.tobytes(), None, 0, 0), *((n_parts + p, None, FOLLOWERS, 0, packed(heads[at], HEAD_BYTES), kinds[at].astype(np.int32).tobytes(), 0, 0) for p, at in to)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, hs, ns, held = None, [], [], 0
+        now, got, held = None, [], 0
+
+        def merged() -> tuple[np.ndarray, ...]:
+            return summed(*(np.concatenate(x) for x in zip(*got, strict=True)))
 
         def out() -> pa.RecordBatch:
-            rows = part_out(now, *summed(np.concatenate(hs), np.concatenate(ns)))
+            rows = part_out(now, *merged())
             base = rows_of(rows)
             return pa.RecordBatch.from_arrays([*base.columns, pa.array([r[6] for r in rows], pa.int64()), pa.array([r[7] for r in rows], pa.int64())], [*base.schema.names, "tokens", "words"])
 
         for batch in batches:
             for part, a, b in zip(batch.column(0).to_pylist(), batch.column(4), batch.column(5), strict=True):
                 if part != now:
-                    if hs:
+                    if got:
                         yield out()
-                    now, hs, ns, held = part, [], [], 0
-                hs.append(unplaned(a.as_py(), np.uint64))
-                ns.append(unplaned(b.as_py(), np.uint32).astype(np.int64))
-                held += len(hs[-1])
+                    now, got, held = part, [], 0
+                if part < n_parts:
+                    first, second = both_unpacked(a.as_py())
+                    h = pair_hash(first, second)
+                else:
+                    h = first = unplaned(a.as_py(), np.uint64)
+                got.append((h, unplaned(b.as_py(), np.uint32).astype(np.int64), first))
+                held += len(h)
                 if held > PAIRS_HELD:
-                    h, n = summed(np.concatenate(hs), np.concatenate(ns))
-                    hs, ns, held = [h], [n], 0
-        if hs:
+                    got, held = [merged()], 0
+        if got:
             yield out()
 
     made = map_batches(by_part(dealt_counts(train, text, n_parts), n_parts), run, ROWS + ", tokens long, words long")
@@ -363,7 +392,8 @@ class Asked:
         at = known.of(words)
         self.n, self.before, self.at = np.diff(ends), at[:-1], at[1:]
         self.words = word_hashes(known.names)
-        self.pairs, self.pair_at = np.unique(pair_hash(self.words[self.before], self.words[self.at]), return_inverse=True)
+        heads = head_of(self.words)
+        self.pairs, self.pair_at = np.unique(pair_hash(heads[self.before], heads[self.at]), return_inverse=True)
         self.pair_parts = list(dealt(part_of(self.pairs, n_parts)))
         self.word_parts = [(n_parts + p, to) for p, to in dealt(part_of(head_of(self.words), n_parts))]
 

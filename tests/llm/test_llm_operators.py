@@ -273,7 +273,8 @@ def test_bloom_filter_levels():
 
 
 def test_bloom_lm_against_brute_force(spark, odd, none, monkeypatch):
-    monkeypatch.setattr(bloom_lm, "WORDS_BOUND", 8)  # so that many words go through the join
+    monkeypatch.setattr(bloom_lm, "WORDS_BOUND", 8)  # so that counts of words and pairs are sent on and summed in their parts
+    monkeypatch.setattr(bloom_lm, "PAIRS_HELD", 50)
     docs = odd.unionByName(corpus(spark, 60)[0].withColumn("doc_id", F.col("doc_id") + 100))
     train = docs.filter(common.fold(F.col("doc_id"), 5) != 1)
     words, model = bloom_lm.train_model(train)
@@ -319,6 +320,49 @@ def test_bloom_lm_keeps_every_pair(spark):
     assert all(g >= want - 1e-9 for g in got)
 
 
+def test_bloom_lm_score_against_brute_force(spark, odd):
+    """Scores of ordinary texts, with repeated words and pairs, from a plain count of all pairs."""
+    docs = odd.unionByName(corpus(spark, 120)[0].withColumn("doc_id", F.col("doc_id") + 100))
+    texts = {r.doc_id: bloom_lm.tokens(r.text) for r in docs.select("doc_id", "text").collect()}
+    taught = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    words, pairs = collections.Counter(w for t in taught for w in t), collections.Counter(p for t in taught for p in zip([b"", *t], t))  # noqa: B905
+    followers = collections.Counter(v for v, _ in pairs)
+    n, v = sum(words.values()), len(words)
+
+    def read(count):  # what a count is after it was quantised
+        least = max((x for x in bloom_lm.LEVELS if x <= count), default=0)
+        after = next(x for x in bloom_lm.LEVELS if x > least)
+        return math.sqrt(least * (after - 1)) if least else 0
+
+    def chance(before, w):
+        base, total = (words[w] + 0.5) / (n + 0.5 * (v + 1)), words[before]
+        if not total:
+            return base
+        direct = min(max((read(pairs[before, w]) - bloom_lm.D) / total, 0), 1)
+        return 0.5 * (direct + min(bloom_lm.D * followers[before] / total, 1) * base) + 0.5 * base
+
+    parts, model = bloom_lm.train_model(docs.filter(common.fold(F.col("doc_id"), 5) != 1))
+    got = {r.doc_id: r.score for r in bloom_lm.score(docs, parts, model).collect()}
+    want = {i: sum(math.log10(chance(a, b)) for a, b in zip([b"", *t], t)) for i, t in texts.items()}  # noqa: B905
+    assert got.keys() == want.keys()
+    assert all(got[i] >= want[i] - 1e-6 for i in want)  # the filter forgets nothing
+    exact = [i for i in want if math.isclose(got[i], want[i], rel_tol=1e-9)]
+    assert any(zlib.crc32(str(i).encode()) % 5 == 1 for i in exact) and len(exact) > len(want) / 2
+
+
+def test_bloom_lm_tells_many_followers_apart():
+    """Two million followers of one word, and as many words that never follow it."""
+    heads = bloom_lm.head_of(bloom_lm.word_hashes([b"w%d" % i for i in range(4_000_000)]))
+    first = np.full(len(heads), bloom_lm.head_of(bloom_lm.word_hashes([b"the"]))[0])
+    h = bloom_lm.pair_hash(first, heads)
+    had, other = h[:2_000_000], h[2_000_000:]
+    assert len(np.unique(had)) > 0.9999 * len(had) and np.isin(other, had).mean() < 0.0001
+    one, two, n = bloom_lm.counted(np.tile(first[:1000], 3), np.tile(heads[:1000], 3))
+    assert n.sum() == 3000 and len(n) == 1000 and np.array_equal(bloom_lm.pair_hash(one, two)[np.argsort(two)], h[:1000][np.argsort(heads[:1000])])
+    back = bloom_lm.both_unpacked(bloom_lm.both_packed(one, two))
+    assert np.array_equal(back[0], one) and np.array_equal(back[1], two)
+
+
 # 5 mixing
 
 
