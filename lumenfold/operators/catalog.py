@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions import taxonomy, text
@@ -15,11 +15,18 @@ def cleaned(raw: DataFrame, column: str = "raw_facet") -> DataFrame:
 
 
 def flagged(cleaned_rows: DataFrame, order: str = "pos", column: str = "raw_facet") -> DataFrame:
-    """Adds is_duplicate (the same raw or non-empty normalized name stands before) and quality_flag."""
-    seen = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(order)) > 1
-    duplicate = seen(column) | ((F.col("normalized_facet") != "") & seen("normalized_facet"))
+    """Adds is_duplicate (the same raw or non-empty normalized name stands before) and quality_flag; order is unique.
+
+    The first place of each name is a partial aggregation, and it is joined back by the place, not by the name, so that
+    a name that most rows have, as the blank one may be, is never one task.
+    """
+    firsts = [cleaned_rows.groupBy(c).agg(F.min(order).alias("__first")).select("__first", F.lit(raw).alias("__is_raw")) for c, raw in ((column, True), ("normalized_facet", False))]
+    places = firsts[0].unionByName(firsts[1]).groupBy("__first").agg(F.bool_or("__is_raw").alias("__raw"), F.bool_or(~F.col("__is_raw")).alias("__name"))
+    joined = cleaned_rows.join(places, F.col(order) == F.col("__first"), "left")
+    again = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    duplicate = again("__raw") | ((F.col("normalized_facet") != "") & again("__name"))
     meta = F.struct("is_blank", "is_header", "has_numeric_prefix", "encoding_repaired", "camelcase_reformatted")
-    return cleaned_rows.withColumn("is_duplicate", duplicate).withColumn("quality_flag", text.quality_flag(meta, F.col("is_duplicate")))
+    return joined.withColumn("is_duplicate", duplicate).drop("__first", "__raw", "__name").withColumn("quality_flag", text.quality_flag(meta, F.col("is_duplicate")))
 
 
 def classified(cleaned_rows: DataFrame) -> DataFrame:

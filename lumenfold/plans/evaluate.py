@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import text
 from lumenfold.operators import catalog as cat
-from lumenfold.operators import evaluation, retrieval, scoring
+from lumenfold.operators import evaluation, ledger, retrieval, scoring
 from lumenfold.session import stored
 
 STRATEGIES = ("bm25", "terms", "rrf", "rrf_pooled", "tiered")
@@ -76,11 +76,12 @@ def routed(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return candidates.filter(~hidden), candidates.filter(hidden)
 
 
-def evaluate(conversations: DataFrame, catalog: DataFrame, top_k: int = 10, batch_size: int = 10, backend: Callable[[str, str], str] | None = None, facets: DataFrame | None = None, strategy: str = "bm25", keep_outputs: Callable[[DataFrame], DataFrame] | None = None, index: DataFrame | None = None) -> DataFrame:
+def evaluate(conversations: DataFrame, catalog: DataFrame, top_k: int = 10, batch_size: int = 10, backend: Callable[[str, str], str] | None = None, facets: DataFrame | None = None, strategy: str = "bm25", keep_outputs: Callable[[DataFrame], DataFrame] | None = None, index: DataFrame | None = None, answers: str | None = None) -> DataFrame:
     """conv_id, rank, facet_id, facet, status, score, confidence, evidence, reason.
 
     facets (conv_id, facet_id) replaces retrieval for the conversations that it names. backend None is the rule backend,
-    pure columns; else it is called once for each conversation and batch, and keep_outputs may write its output first.
+    pure columns; else it is called once for each conversation and batch, and keep_outputs may write its output first; answers is the folder
+    of a ledger (``operators.ledger``) that keeps what the backend said, so that no prompt in it is asked again.
     """
     found = retrieve(conversations, catalog, top_k, strategy, index=index).select(F.col("query_id").alias("conv_id"), F.col("doc_id").alias("facet_id"), F.col("rank").cast("int").alias("rank"))
     if facets is not None:
@@ -95,7 +96,8 @@ def evaluate(conversations: DataFrame, catalog: DataFrame, top_k: int = 10, batc
         scored = score.select("conv_id", "rank", scoring.rule_result(F.col("facet_id"), F.col("normalized_facet"), F.col("cues")).alias("r")).select("conv_id", "rank", "r.*")
     else:
         batched = scoring.batches(score, batch_size)
-        outputs = scoring.complete(scoring.prompts(batched), backend)
+        asked = scoring.prompts(batched)
+        outputs = ledger.complete(asked, backend, answers) if answers else scoring.complete(asked, backend)
         scored = scoring.parse(keep_outputs(outputs) if keep_outputs else outputs, batched.withColumnRenamed("normalized_facet", "facet"))
     return scored.select("conv_id", "rank", *scoring.RESULT_COLUMNS).unionByName(hidden.select("conv_id", "rank", *scoring.RESULT_COLUMNS))
 
