@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import text
 from lumenfold.operators import catalog as cat
-from lumenfold.operators import evaluation, ledger, retrieval, scoring
+from lumenfold.operators import evaluation, ledger, measures, retrieval, scoring
 from lumenfold.session import stored
 
 STRATEGIES = ("bm25", "terms", "rrf", "rrf_pooled", "tiered")
@@ -102,6 +102,15 @@ def evaluate(conversations: DataFrame, catalog: DataFrame, top_k: int = 10, batc
     return scored.select("conv_id", "rank", *scoring.RESULT_COLUMNS).unionByName(hidden.select("conv_id", "rank", *scoring.RESULT_COLUMNS))
 
 
+def measured(run: measures.Run, conversations: DataFrame, catalog: DataFrame, top_k: int = 10, max_chars: int = 10_000, **options) -> tuple[DataFrame, DataFrame]:
+    """(results, rejected) of conversations, stored, with the counts of ``evaluation.response_metadata`` over all of them and
+    the time of each step in run. options: those of ``evaluate``."""
+    accepted, rejected = split_inputs(conversations, max_chars)
+    accepted, rejected = run.step("accepted", accepted), run.step("rejected", rejected)
+    scored = F.col("status") == "scored"
+    return run.step("results", evaluate(accepted, catalog, top_k, **options), n_scored=F.count_if(scored), n_abstained=F.count_if(~scored)), rejected
+
+
 def responses(results: DataFrame) -> DataFrame:
     """One row a conversation: how many were retrieved, and the scored and the abstained results in rank order."""
     row = F.struct("rank", *scoring.RESULT_COLUMNS)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import text
 from lumenfold.operators import catalog as cat
 from lumenfold.operators import evaluation as ev
-from lumenfold.operators import postings
+from lumenfold.operators import measures, postings
 from lumenfold.operators import retrieval as ret
 from lumenfold.operators import scoring as sc
 from lumenfold.plans import evaluate as plan
@@ -861,6 +861,14 @@ def _(t):
     return ev.response_metadata(plan.evaluate(t.accepted(), t.kept_catalog()))
 
 
+@query("observed_totals", f"""WITH {_EVAL} SELECT 'results' AS component, m.measure, CAST(m.value AS BIGINT) AS value FROM
+ (SELECT count(*) AS rows, count_if(status = 'scored') AS n_scored, count_if(status <> 'scored') AS n_abstained FROM results) UNPIVOT (value FOR measure IN (rows, n_scored, n_abstained)) m""")
+def _(t):
+    run = measures.Run(t.spark)
+    plan.measured(run, t.accepted(), t.kept_catalog())
+    return run.counts().filter("component = 'results'").select("component", "measure", "value")
+
+
 @query("candidate_override", f"WITH {S.CATALOG}, {S.CONVERSATIONS}, g AS (SELECT conv_id, facet_id, normalized_facet, conversation_observable, abstention_reason, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS rank FROM folded, catalog WHERE facet_id IN ('FACET_009', 'FACET_015', 'FACET_021')) SELECT conv_id, rank, facet_id, CASE WHEN conversation_observable THEN 'routed' ELSE 'not_observable' END AS status FROM g")
 def _(t):
     given = t.folded().select("conv_id", F.explode(F.array(*map(F.lit, ("FACET_009", "FACET_015", "FACET_021")))).alias("facet_id"))
