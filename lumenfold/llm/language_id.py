@@ -11,8 +11,9 @@ Fit: ``SAMPLE_DOCS`` documents a language (those of the smallest hash), whole te
 where the sample lies, one group a language, and merged on the driver. Scoring covers every whole text.
 
 Edge cases: null, empty and letterless texts give ``und`` and score 0; ties go to the language first in sorted
-order; an empty training table gives ``und`` for all; repeated rows stay; other columns aren't read. Training leaves
-out rows with a null id, as the sample is one of ids, and takes all texts of a chosen id.
+order; an empty training table gives ``und`` for all; repeated rows stay; other columns aren't read. The sample is one
+of different (id, text) pairs by their hash: a null id is like any other, a repeated id gives each of its texts its own
+chance, and a repeated row counts once.
 """
 
 from __future__ import annotations
@@ -208,12 +209,11 @@ class Scorer:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model:
     """docs: the rows to learn from; those with null text or language are left out."""
     known = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    by = Window.partitionBy("__lang").orderBy("__u", "__id")
-    keys = known.select(F.col(lang).alias("__lang"), F.col(doc_id).alias("__id"), unit(F.xxhash64(F.lit(SAMPLE_SEED), F.col(doc_id))).alias("__u"))
-    shares = known.groupBy(F.col(lang).alias("__lang")).agg((4 * F.lit(sample_docs) / F.count("*")).alias("__share"))  # a row a language
-    keys = keys.join(F.broadcast(shares), "__lang").filter(F.col("__u") <= F.col("__share"))  # so that a partition sends few rows on
-    chosen = keys.withColumn("__n", F.row_number().over(by)).filter(F.col("__n") <= sample_docs).select("__lang", "__id").distinct()
-    sample = known.select(F.col(lang).alias("__lang"), F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), ["__lang", "__id"])  # at most sample_docs ids a language
+    known = known.select(F.col(lang).alias("__lang"), F.xxhash64(F.lit(SAMPLE_SEED), F.col(doc_id), F.col(text)).alias("__h"), F.col(text).alias("__text"))
+    shares = known.groupBy("__lang").agg((4 * F.lit(sample_docs) / F.approx_count_distinct("__h")).alias("__share"))  # a row a language
+    near = known.select("__lang", "__h").join(F.broadcast(shares), "__lang").filter(unit(F.col("__h")) <= F.col("__share")).distinct()  # so that a partition sends few rows on
+    chosen = near.withColumn("__n", F.row_number().over(Window.partitionBy("__lang").orderBy(unit(F.col("__h")), "__h"))).filter(F.col("__n") <= sample_docs).select("__lang", "__h")
+    sample = known.join(F.broadcast(chosen), ["__lang", "__h"]).groupBy("__lang", "__h").agg(F.min("__text").alias("__text"))  # sample_docs texts a language
 
     def types(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         texts = sorted(pdf["__text"])

@@ -5,13 +5,14 @@ into the gates of the two directions are one row for each word, kept up to a bou
 windows of ``WINDOW`` words; all windows, overlapping by half, are scored, and a text's logit is that of its worst
 window, calibrated on labelled texts that training left out.
 
-Fit: at most ``POSITIVE`` and ``NEGATIVE`` labelled documents (those of the smallest hash) with all their windows. First
-epochs draw ``WINDOWS_EACH`` windows of each document anew, with the document's label for all of them; later ones take the
-worst two of all windows of each document, and of negative ones as many drawn ones beside, so that a toxic passage anywhere
-in a long text is found. Scoring covers every window of every text.
+Fit: at most ``POSITIVE`` and ``NEGATIVE`` labelled documents (those of the smallest hash) with all their windows, or
+``TEACH_WINDOWS`` drawn ones of a longer text, so that what comes to the driver is bounded. First epochs draw
+``WINDOWS_EACH`` windows of each document anew, with the document's label for all of them; later ones take the worst two
+of the windows of each document, and of negative ones as many drawn ones beside, so that a toxic passage anywhere in a
+text is found. Scoring covers every window of every text; a long text goes through a worker in pieces.
 
 Edge cases: null, empty and wordless texts get the score of one blank window; texts of one window or less are padded;
-rows with a null label teach nothing, of several labels of a document the greatest counts and of several texts the least; without any positive or
+rows with a null label or id teach nothing, of several labels of a document the greatest counts and of several texts the least; without any positive or
 negative label every score is ``UNTRAINED``; repeated rows stay; other columns aren't read.
 """
 
@@ -26,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lumenfold.llm.common import carried, least_hashed, map_batches, written
 
@@ -33,17 +35,15 @@ WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 8, 8, 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 14, 1 << 12
 POSITIVE, NEGATIVE, WINDOWS_EACH, SEED = 2000, 4000, 10, 1
+TEACH_WINDOWS = 512
 LEAST_STEPS = 120
+PIECE_CHARS, SCORED_WORDS = 100_000, 30_000
 CACHED_WORDS = 100_000
 UNTRAINED = 0.0
-WORDS = re.compile(r"[^\W\d_]+")
+WORDS, GAP = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
 GATES = 3 * HIDDEN
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
-
-
 def window_starts(n: int) -> list[int]:
     """Starts of all windows over n words; the last one ends with the text."""
     if n <= WINDOW:
@@ -52,6 +52,33 @@ def window_starts(n: int) -> list[int]:
     return [*starts, n - WINDOW]
 
 
+def pieces(text: str | None) -> Iterator[tuple[list[str], list[int]]]:
+    """The words of a text in pieces of some PIECE_CHARS characters, each with the starts of its own windows: in all,
+    those of ``window_starts`` over the whole text, each once."""
+    low, at, words = (text or "").lower(), 0, []
+    while at < len(low):
+        gap = GAP.search(low, at + PIECE_CHARS)
+        end = gap.end() if gap else len(low)
+        words += WORDS.findall(low, at, end)
+        at = end
+        starts = range(0, len(words) - WINDOW - STRIDE, STRIDE)  # what is left is more than a window, so the last one is whole
+        if at < len(low) and starts:
+            yield words, list(starts)
+            words = words[len(starts) * STRIDE :]
+    yield words, window_starts(len(words))
+
+
+def taught(text: str | None) -> list[str]:
+    """The windows of a text, each its words in a row; of more than TEACH_WINDOWS, that many drawn by the text's hash."""
+    rng, n, found = np.random.default_rng(xxhash.xxh64_intdigest((text or "").encode("utf-8", "replace"))), 0, []
+    for words, starts in pieces(text):
+        found += [(r, n + k, " ".join(words[i : i + WINDOW])) for k, (r, i) in enumerate(zip(rng.random(len(starts)).tolist(), starts, strict=True))]
+        n += len(starts)
+        if len(found) > TEACH_WINDOWS:
+            found = sorted(found)[:TEACH_WINDOWS]
+    return [w for _, _, w in sorted(found, key=lambda f: f[1])]
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each word's row of the word table, all its trigrams' rows of the character table, and how many those are."""
     rows = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.int64, len(words)) % (WORD_ROWS - 1) + 1
@@ -141,24 +168,23 @@ class Network:
         return g, dx
 
 
-def _numbered(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words, [windows, WINDOW] places among them from 1 on (0 is padding) of all windows, and each one's text."""
+def _numbered(documents: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words, [windows, WINDOW] places among them from 1 on (0 is padding) of all windows, and each one's document."""
     place: dict[str, int] = {}
-    parts = []
-    for t in texts:
-        words = [place.setdefault(w, len(place) + 1) for w in words_of(t)]
-        own = np.array(words + [0] * WINDOW, np.int32)
-        parts.append(own[np.array(window_starts(len(words)))[:, None] + np.arange(WINDOW)])
-    return list(place), np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    at = np.zeros((sum(map(len, documents)), WINDOW), np.int32)
+    for row, window in enumerate(w for own in documents for w in own):
+        words = window.split()
+        at[row, : len(words)] = [place.setdefault(w, len(place) + 1) for w in words]
+    return list(place), at, np.repeat(np.arange(len(documents)), [len(own) for own in documents])
 
 
-def fit(texts: list[str | None], labels: np.ndarray, epochs: tuple[int, int] = (2, 2), batch: int = 256, rate: float = 0.01) -> Network:
-    """texts, each with its label."""
+def fit(documents: list[list[str]], labels: np.ndarray, epochs: tuple[int, int] = (2, 2), batch: int = 256, rate: float = 0.01) -> Network:
+    """documents: the windows of each, as of ``taught``, with its label."""
     net, rng = Network(), np.random.default_rng(SEED)
-    if not len(texts) or labels.min() == labels.max():
+    if not len(documents) or labels.min() == labels.max():
         return net
     net.trained = True
-    names, at, docs = _numbered(texts)
+    names, at, docs = _numbered(documents)
     labels = labels[docs]
     mask = at > 0
     mask[:, 0] = True
@@ -246,30 +272,33 @@ class Scorer:
         return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
-        out = np.full(len(texts), -np.inf)
-        at = 0
-        while at < len(texts):
-            if len(self.row) > CACHED_WORDS:
-                self.reset()
-            words, first, starts, own = [], [], [], []
-            while at < len(texts) and len(words) < 30_000:
-                w = words_of(texts[at])
-                own += [at] * len(s := window_starts(len(w)))
-                starts += [len(words) + i for i in s]
-                first += [min(WINDOW, len(w))] * len(s)
-                words += w
-                at += 1
-            rows = self.learn(words)
-            x = np.concatenate([self.x[rows], self.x[:1]])  # the last row is padding
-            size, start, owner = np.array(first), np.array(starts), np.array(own)
-            for i in range(0, len(start), 2048):
-                s, n = start[i : i + 2048], size[i : i + 2048]
-                mask = np.arange(WINDOW) < n[:, None]
-                where = np.where(mask, s[:, None] + np.arange(WINDOW), len(x) - 1)
-                mask[:, 0] = True
-                np.maximum.at(out, owner[i : i + 2048], self.net.forward(x, where, mask)[0])
+        out, words, spans = np.full(len(texts), -np.inf), [], []
+        for at, text in enumerate(texts):
+            for own, starts in pieces(text):
+                spans.append((at, min(WINDOW, len(own)), len(words) + np.array(starts)))
+                words += own
+                if len(words) >= SCORED_WORDS:
+                    self._worst(out, words, spans)
+                    words, spans = [], []
+        if spans:
+            self._worst(out, words, spans)
         return out
 
+    def _worst(self, out: np.ndarray, words: list[str], spans: list[tuple[int, int, np.ndarray]]) -> None:
+        """Raises out to the logits of the windows; spans: a text's place in out, its windows' size and their starts in words."""
+        if len(self.row) > CACHED_WORDS:
+            self.reset()
+        x = np.concatenate([self.x[self.learn(words)], self.x[:1]])  # the last row is padding
+        many = [len(starts) for _, _, starts in spans]
+        owner, size = (np.repeat([s[k] for s in spans], many) for k in (0, 1))
+        start = np.concatenate([starts for _, _, starts in spans])
+        for i in range(0, len(start), 2048):
+            s, n = start[i : i + 2048], size[i : i + 2048]
+            mask = np.arange(WINDOW) < n[:, None]
+            where = np.where(mask, s[:, None] + np.arange(WINDOW), len(x) - 1)
+            mask[:, 0] = True
+            np.maximum.at(out, owner[i : i + 2048], self.net.forward(x, where, mask)[0])
+
 
 def with_logits(docs: DataFrame, net: Network, text: str, keep: tuple[str, ...]) -> DataFrame:
     rows, keep, schema = carried(docs, keep, text, "logit double")
@@ -292,7 +321,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positive: in
     sample = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id").groupBy("__id", "__label").agg(F.min("__text").alias("__text"))
     sample = written(sample.select("__id", "__label", F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("__id")), F.lit(5)).alias("__part"), "__text"), "toxic-sample")
 
-    rows = sorted(sample.filter("__part <> 0").select("__id", "__label", "__text").collect(), key=lambda r: r[0])  # bounded by the sample
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(map(taught, batch.column(batch.num_columns - 1).to_pylist())), pa.list_(pa.string()))], ["__id", "__label", "windows"])
+
+    schema = StructType([*known.schema.fields, StructField("windows", ArrayType(StringType()))])
+    rows = map_batches(sample.filter("__part <> 0").select("__id", "__label", "__text"), windows, schema).collect()  # at most TEACH_WINDOWS windows a document
+    rows = sorted(rows, key=lambda r: r[0])
     net = fit([r[2] for r in rows], np.array([r[1] for r in rows], np.float32))
     if net.trained:
         held = with_logits(sample.filter("__part = 0").withColumnRenamed("__label", "label"), net, "__text", ("label",)).collect()

@@ -136,6 +136,36 @@ def test_toxicity_learns_and_covers_whole_texts(spark):
     assert toxicity.window_starts(5) == [0] and toxicity.window_starts(70) == [0, 16, 32, 38]
 
 
+def test_toxicity_pieces_hold_each_window_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    for chars in (1, 50, 333, 5000):
+        monkeypatch.setattr(toxicity, "PIECE_CHARS", chars)
+        for n in (0, 1, 31, 32, 33, 47, 48, 49, 64, 65, 80, 81, 97, 500):
+            words = ["".join(rng.choice(list("abÄß"), rng.integers(1, 9))).lower() for _ in range(n)]
+            text = "".join(w + rng.choice([" ", "7", "_. ", "\n\n"]) for w in words) + ("tail" if n % 2 else "")
+            words += ["tail"] if n % 2 else []
+            got = [tuple(own[i : i + toxicity.WINDOW]) for own, starts in toxicity.pieces(text) for i in starts]
+            assert got == [tuple(words[i : i + toxicity.WINDOW]) for i in toxicity.window_starts(len(words))], (chars, n)
+    assert list(toxicity.pieces(None)) == [([], [0])]
+
+
+def test_toxicity_bounds_what_one_text_takes(monkeypatch):
+    text = " ".join(f"{a}{b}" for a in "abcdefghij" for b in ["word"] * 2000)
+    windows = toxicity.taught(text)
+    assert len(windows) == toxicity.TEACH_WINDOWS and windows == toxicity.taught(text) and all(len(w.split()) == toxicity.WINDOW for w in windows)
+    assert len({w[0] for w in windows}) == 10 and windows == sorted(windows)  # drawn from all of the text, in its order
+    few = " ".join(text.split()[:500])
+    assert toxicity.taught(few) == [" ".join(few.split()[i : i + 32]) for i in toxicity.window_starts(500)] and toxicity.taught("") == toxicity.taught(None) == [""]
+    net, sizes = toxicity.Network(), []
+    scorer = toxicity.Scorer(net)
+    learn = scorer.learn
+    monkeypatch.setattr(scorer, "learn", lambda words: (sizes.append(len(words)), learn(words))[1])
+    long = " ".join([*(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(300_000)), *["worst"] * 40])
+    got = scorer.logits([long, "worst " * 32, None])
+    assert max(sizes) < 60_000 and len(sizes) == 7  # words of three letters, 50,000 in a piece
+    assert got[0] >= got[1] - 1e-4  # its last windows are scored too
+
+
 def test_toxicity_edges(spark, odd, none):
     net = toxicity.train(odd, spark.createDataFrame([(3, 1), (4, 0), (5, None), (6, 1), (6, 0), (7, 0), (99, 1)], "doc_id long, toxic int"))
     got = {r.doc_id: r.score for r in toxicity.predict(odd, net).collect()}
@@ -760,6 +790,22 @@ def test_language_id(spark, odd, none):
     assert language_id.predict(none, model).count() == 0
 
 
+def test_language_sample_of_null_repeated_and_hot_ids(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id, "calibrate", lambda model, held: seen.append(held))
+    texts = {"de": "der hund und die katze", "en": "the dog and the cat", "fr": "le chien et le chat"}
+    rows = [(None, f"{texts['de']} {'x' * i}", "de") for i in range(60)]  # no id at all
+    rows += [(7, f"{texts['en']} {'x' * i}", "en") for i in range(60)]  # one id
+    rows += [(8, texts["fr"], "fr")] * 300  # one row
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    for n in (10, 400):
+        model = language_id.train(docs, sample_docs=n)
+        assert model.languages == ["de", "en", "fr"]
+        held = collections.Counter(k for k, _ in seen[-1])
+        assert held["fr"] == 1 and held["de"] == held["en"] == -(-min(n, 60) // 8)
+    assert {r.lang_pred for r in language_id.predict(docs.filter("lang = 'de'"), model, reject=False).collect()} == {"de"}
+
+
 def test_kept_columns_may_have_the_names_of_results(spark):
     rows = [(i, f"some text of words {i}", f"k{i}") for i in range(6)]
     docs = lambda name: spark.createDataFrame(rows, f"doc_id long, text string, {name} string")
