@@ -288,7 +288,8 @@ class Scorer:
         """Raises out to the logits of the windows; spans: a text's place in out, its windows' size and their starts in words."""
         if len(self.row) > CACHED_WORDS:
             self.reset()
-        x = np.concatenate([self.x[self.learn(words)], self.x[:1]])  # the last row is padding
+        rows = self.learn(words)  # may make self.x anew
+        x = np.concatenate([self.x[rows], self.x[:1]])  # the last row is padding
         many = [len(starts) for _, _, starts in spans]
         owner, size = (np.repeat([s[k] for s in spans], many) for k in (0, 1))
         start = np.concatenate([starts for _, _, starts in spans])

@@ -160,7 +160,7 @@ def test_toxicity_bounds_what_one_text_takes(monkeypatch):
     scorer = toxicity.Scorer(net)
     learn = scorer.learn
     monkeypatch.setattr(scorer, "learn", lambda words: (sizes.append(len(words)), learn(words))[1])
-    long = " ".join([*(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(300_000)), *["worst"] * 40])
+    long = " ".join([*(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(300_000)), *["worst"] * 40])
     got = scorer.logits([long, "worst " * 32, None])
     assert max(sizes) < 60_000 and len(sizes) == 7  # words of three letters, 50,000 in a piece
     assert got[0] >= got[1] - 1e-4  # its last windows are scored too
