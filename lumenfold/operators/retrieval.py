@@ -261,7 +261,7 @@ def bm25_ranks(docs: DataFrame, queries: DataFrame, wanted: DataFrame, **how) ->
     before them that share none, which is the documents before them and the scored ones behind them.
     """
     spark = docs.sparkSession
-    scored = bm25_scores(docs, queries, **how).select(F.col("query_id").cast("long").alias("query_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_pos").cast("long").alias("doc_pos"), "score")
+    scored = stored(bm25_scores(docs, queries, **how).select(F.col("query_id").cast("long").alias("query_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_pos").cast("long").alias("doc_pos"), "score"))  # read twice
     pairs = _small(wanted, 96).select("query_id", "doc_id").distinct().join(docs.select("doc_id", "doc_pos"), "doc_id")
     rows = pairs.join(scored.select("query_id", "doc_id", "score"), ["query_id", "doc_id"], "left").collect()  # the wanted pairs
     have = spark.sparkContext.broadcast(_of_query([r for r in rows if r["score"] is not None], "doc_id", "score", "doc_pos"))
@@ -283,10 +283,11 @@ def bm25_ranks(docs: DataFrame, queries: DataFrame, wanted: DataFrame, **how) ->
             pos = np.sort(batch.column(0).to_numpy())
             for n, w in lack.value.items():
                 yield _counted(n, w[0], np.searchsorted(pos, w[1]))
-            for n, w in have.value.items():
-                yield _counted(n, w[0], np.zeros(len(w[0]), np.int64))
 
-    counts = scored.select("query_id", "doc_pos", "score").mapInArrow(of_scores, schema).unionByName(docs.select(F.col("doc_pos").cast("long").alias("doc_pos")).mapInArrow(of_places, schema))
+    parts = [scored.select("query_id", "doc_pos", "score").mapInArrow(of_scores, schema), pairs.select(F.col("query_id").cast("long").alias("query_id"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"))]
+    if lack.value:
+        parts.append(docs.select(F.col("doc_pos").cast("long").alias("doc_pos")).mapInArrow(of_places, schema))
+    counts = reduce(DataFrame.unionByName, parts)
     return counts.groupBy("query_id", "doc_id").agg((F.sum("n") + 1).cast("int").alias("rank"))
 
 
