@@ -111,6 +111,53 @@ def bm25_top(docs: DataFrame | postings.Index, queries: DataFrame, top_k: int, t
     return ranked(both, [F.desc("score"), F.col("doc_pos")], top_k)
 
 
+def bm25_many(docs: DataFrame, queries: DataFrame, top_k: int, text_col: str = "text", k1: float = K1, b: float = B, floor: float | None = IDF_FLOOR) -> DataFrame:
+    """The lists of ``bm25_top`` for any number of queries, over documents of which many look alike to them.
+
+    Documents with the same number of terms and the same terms among those that queries ask for score the same for every
+    query, so only the first top_k of each such pattern can come into a list, and of a query's patterns only the top_k
+    best. Patterns are scored, not documents: the pairs grow with the queries and the different patterns. Terms that
+    every document has are added by one number a query, as in ``bm25_top``.
+    """
+    docs = docs if "terms" in docs.columns else index(docs, text_col)
+    terms = lexical_terms(docs, text_col)
+    stats = terms.agg(F.count("*").alias("n"), F.greatest(F.coalesce(F.avg("n_terms"), F.lit(0.0)), F.lit(1.0)).alias("avg_len"))
+    asked = queries.select("query_id", F.explode(text.terms(F.col("text"))).alias("token"))
+    df = terms.select(F.explode("terms").alias("token")).groupBy("token").agg(F.count("*").alias("df")).join(asked.select("token").distinct(), "token", "left_semi")
+    vocabulary = stored(_with_idf(df.join(F.broadcast(stats)), floor).select("token", "idf", "avg_len", (F.col("df") == F.col("n")).alias("everywhere")))
+    known = stored(asked.join(vocabulary, "token"))
+    share = _length_share(k1=k1, b=b)
+
+    telling = vocabulary.filter("NOT everywhere").select("token")
+    hits = terms.select("doc_id", "doc_pos", "n_terms", F.explode("terms").alias("token")).join(telling, "token", "left_semi")
+    own = hits.groupBy("doc_id", "doc_pos", "n_terms").agg(F.array_sort(F.collect_list("token")).alias("own"))  # at most a document's terms
+    place = F.row_number().over(Window.partitionBy("n_terms", "own").orderBy("doc_pos"))
+    members = stored(own.withColumn("place", place).filter(F.col("place") <= top_k))
+    patterns = members.filter("place = 1").select(F.col("doc_id").alias("pattern"), F.col("doc_pos").alias("first"), "n_terms", "own")
+    weighed = patterns.select("pattern", "first", "n_terms", F.explode("own").alias("token")).join(known.filter("NOT everywhere"), "token")
+    summed = weighed.groupBy("query_id", "pattern", "first", "n_terms", "avg_len").agg(F.sum(F.col("idf") * share).alias("s"))
+
+    common = known.filter("everywhere").groupBy("query_id").agg(F.sum("idf").alias("u"))
+    every = stored(queries.select("query_id").distinct().join(common, "query_id", "left").withColumn("u", F.coalesce("u", F.lit(0.0))))
+    scored = summed.join(every, "query_id").select("query_id", "pattern", "first", F.round(F.col("s") + F.col("u") * share, DIGITS).alias("score"))
+    best = ranked(scored, [F.desc("score"), F.col("first")], top_k).drop("rank", "first")
+    of = members.join(patterns.select("pattern", "n_terms", "own"), ["n_terms", "own"]).select("pattern", "doc_id", "doc_pos")
+    found = best.join(of, "pattern").select("query_id", "doc_id", "doc_pos", "score")
+
+    both = found.unionByName(_without_telling(terms, every, stats, top_k, share)).groupBy("query_id", "doc_id", "doc_pos").agg(F.max("score").alias("score"))
+    return ranked(both, [F.desc("score"), F.col("doc_pos")], top_k)
+
+
+def _without_telling(terms: DataFrame, every: DataFrame, stats: DataFrame, top_k: int, share: Column) -> DataFrame:
+    """What may come into a query's list without a term that tells documents apart: the top_k shortest where the query has a
+    term that all documents have (u > 0), else the first."""
+    sized = terms.select("doc_id", "doc_pos", "n_terms")
+    short = sized.orderBy("n_terms", "doc_pos").limit(top_k).withColumn("for_common", F.lit(True))
+    first = sized.orderBy("doc_pos").limit(top_k).withColumn("for_common", F.lit(False))
+    few = short.unionByName(first).join(F.broadcast(stats.select("avg_len")))
+    return every.join(F.broadcast(few), (F.col("u") > 0) == F.col("for_common")).select("query_id", "doc_id", "doc_pos", F.round(F.col("u") * share, DIGITS).alias("score"))  # top_k rows a query
+
+
 def bm25_all(docs: DataFrame, queries: DataFrame, **how) -> DataFrame:
     """The rank of every document for every query, those without a shared term last in the documents' order."""
     pairs = queries.select("query_id").crossJoin(docs.select("doc_id", "doc_pos"))

@@ -62,14 +62,20 @@ def retrieve(conversations: DataFrame, catalog: DataFrame, top_k: int = 10, stra
         raise ValueError(f"strategy is one of {STRATEGIES}")
     docs, queries = index if index is not None else documents_of(catalog), conversations.select(F.col("conv_id").alias("query_id"), "text")
     if strategy == "bm25":
-        return retrieval.bm25_top(docs, queries, top_k)
+        return retrieval.bm25_many(docs, queries, top_k)
     if strategy == "terms":
         return retrieval.term_cosine(docs, queries, top_k)
     depth = pool if strategy == "rrf_pooled" else 60 + 2 * top_k  # no entry outside both lists' first 59 + 2 k can be among the best k
-    lists = [retrieval.bm25_top(docs, queries, depth), retrieval.term_cosine(docs, queries, depth)]
+    lists = [retrieval.bm25_many(docs, queries, depth), retrieval.term_cosine(docs, queries, depth)]
     return retrieval.tiered_union(lists, top_k, top_k) if strategy == "tiered" else retrieval.rrf(lists, top_k)
 
 
+def entries_of(found: DataFrame, catalog: DataFrame) -> DataFrame:
+    """found (stored: conv_id, facet_id, rank) with the catalog's columns. Most conversations find the same few entries, so
+    only those that any found go into the join, as a small table where they are few, and no entry's rows are one task."""
+    return found.join(catalog.join(found.select("facet_id").distinct(), "facet_id", "left_semi"), "facet_id")
+
+
 def routed(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(to score, to abstain from): only a flag that is false abstains, a null one doesn't."""
     hidden = F.coalesce(~F.col("conversation_observable"), F.lit(False))
@@ -83,13 +89,14 @@ def evaluate(conversations: DataFrame, catalog: DataFrame, top_k: int = 10, batc
     pure columns; else it is called once for each conversation and batch, and keep_outputs may write its output first; answers is the folder
     of a ledger (``operators.ledger``) that keeps what the backend said, so that no prompt in it is asked again.
     """
-    found = retrieve(conversations, catalog, top_k, strategy, index=index).select(F.col("query_id").alias("conv_id"), F.col("doc_id").alias("facet_id"), F.col("rank").cast("int").alias("rank"))
+    asking = conversations if facets is None else conversations.join(facets.select("conv_id").distinct(), "conv_id", "left_anti")
+    found = retrieve(asking, catalog, top_k, strategy, index=index).select(F.col("query_id").alias("conv_id"), F.col("doc_id").alias("facet_id"), F.col("rank").cast("int").alias("rank"))
     if facets is not None:
         given = facets.join(catalog.select("facet_id", "pos"), "facet_id")
         given = retrieval.ranked(given, [F.col("pos")], by="conv_id").select("conv_id", "facet_id", F.col("rank").cast("int").alias("rank"))
-        found = found.join(facets.select("conv_id").distinct(), "conv_id", "left_anti").unionByName(given)
+        found = found.unionByName(given)
     talk = conversations.select("conv_id", scoring.cues(F.col("text")).alias("cues")) if backend is None else conversations.select("conv_id", "text")
-    candidates = found.join(catalog.drop("pos"), "facet_id").join(talk, "conv_id")
+    candidates = entries_of(stored(found), catalog.drop("pos")).join(talk, "conv_id")
     score, abstain = routed(candidates)
     hidden = abstain.select("conv_id", "rank", scoring.unobservable_result(F.col("facet_id"), F.col("normalized_facet"), F.col("abstention_reason")).alias("r")).select("conv_id", "rank", "r.*")
     if backend is None:

@@ -448,8 +448,8 @@ def _(t):
 def _candidates(t: Tables) -> DataFrame:
     """The ten entries retrieved for every conversation, with the conversation's text."""
     talk, catalog = t.accepted(), t.kept_catalog()
-    found = plan.retrieve(talk, catalog, 10).select(F.col("query_id").alias("conv_id"), F.col("doc_id").alias("facet_id"), "rank")
-    return found.join(catalog, "facet_id").join(talk, "conv_id")
+    found = stored(plan.retrieve(talk, catalog, 10).select(F.col("query_id").alias("conv_id"), F.col("doc_id").alias("facet_id"), "rank"))
+    return plan.entries_of(found, catalog).join(talk, "conv_id")
 
 
 _SEARCH = f"""{S.CATALOG}, {S.CONVERSATIONS}, ok AS MATERIALIZED (SELECT conv_id AS q, {S.strip('text')} AS text FROM folded WHERE {S.strip('text')} <> '' AND length(text) <= 10000),
