@@ -14,9 +14,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructType
 
 from lumenfold.functions import text
-from lumenfold.operators import lsa, postings
+from lumenfold.operators import lsa, postings, streamed
 from lumenfold.session import spread, stored
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 0.01
@@ -60,55 +62,77 @@ def _length_share(stats: str = "avg_len", k1: float = K1, b: float = B) -> Colum
     return (k1 + 1) / F.greatest(1 + k1 * (1 - b + b * F.col("n_terms") / F.col(stats)), F.lit(1e-6))
 
 
-def _matched(docs: DataFrame, queries: DataFrame, text_col: str, floor: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(query_id, token), the postings of those tokens, and (token, idf, avg_len, everywhere)."""
-    terms = lexical_terms(docs, text_col)
-    stats = terms.agg(F.count("*").alias("n"), F.greatest(F.coalesce(F.avg("n_terms"), F.lit(0.0)), F.lit(1.0)).alias("avg_len"))
-    asked = queries.select("query_id", F.explode(text.terms(F.col("text"))).alias("token"))
-    hits = terms.select("doc_id", "doc_pos", "n_terms", F.explode("terms").alias("token")).join(asked.select("token").distinct(), "token", "left_semi")
-    df = _with_idf(hits.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(stats)), floor)
-    return asked, hits, df.select("token", "idf", "avg_len", (F.col("df") == F.col("n")).alias("everywhere"))
-
-
-def bm25_scores(docs: DataFrame, queries: DataFrame, text_col: str = "text", k1: float = K1, b: float = B, floor: float | None = IDF_FLOOR) -> DataFrame:
-    """query_id, doc_id, doc_pos, score of the pairs that share a term.
-
-    Only the postings of the queries' terms are kept, so neither the documents' term table nor the pairs without a
-    shared term are ever made.
-    """
-    asked, hits, df = _matched(docs, queries, text_col, floor)
-    weighed = hits.join(df, "token").select("token", "doc_id", "doc_pos", (F.col("idf") * _length_share(k1=k1, b=b)).alias("share"))
-    return weighed.join(asked, "token").groupBy("query_id", "doc_id", "doc_pos").agg(F.round(F.sum("share"), DIGITS).alias("score"))
+class Lexical:
+    """Scores of the documents that stream past a stated set of queries. A score is the sum of the shared terms' parts, each the
+    term's idf times a share that falls with the document's length; documents without a shared term score 0."""
+
+    def __init__(self, docs: DataFrame, queries: DataFrame, text_col: str = "text", k1: float = K1, b: float = B, floor: float | None = IDF_FLOOR):
+        self.docs = lexical_terms(docs if "terms" in docs.columns else index(docs, text_col))
+        self.kinds = queries.schema["query_id"].dataType, self.docs.schema["doc_id"].dataType
+        asked = stored(queries.select("query_id", F.explode_outer(text.terms(F.col("text"))).alias("token")))
+        rows = _small(asked, 96).collect()
+        tokens = asked.select("token").filter("token IS NOT NULL").distinct()
+        stats = self.docs.agg(F.count("*").alias("n"), F.greatest(F.coalesce(F.avg("n_terms"), F.lit(0.0)), F.lit(1.0)).alias("avg_len"))
+        df = self.docs.select(F.explode("terms").alias("token")).join(F.broadcast(tokens), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))  # the stated queries' terms
+        idfs = {r.token: r.idf for r in _with_idf(df.join(F.broadcast(stats)), floor).collect()}
+        self.avg_len, self.k1, self.b = stats.first()["avg_len"], k1, b
+        pairs = sorted({(r.query_id, r.token, idfs[r.token]) for r in rows if r.token in idfs}, key=lambda p: p[1])
+        self.asked = streamed.asked(list(dict.fromkeys(r.query_id for r in rows)), pairs)
+
+    def map(self, use: Callable, *more: tuple[str, object]) -> DataFrame:
+        """What use makes of the scores: query_id, doc_id and the columns named in more."""
+        shared, k1, b, avg_len = self.docs.sparkSession.sparkContext.broadcast(self.asked), self.k1, self.b, self.avg_len
+        schema = StructType().add("query_id", self.kinds[0]).add("doc_id", self.kinds[1])
+        for name, kind in more:
+            schema = schema.add(name, kind)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> streamed.Slices:
+            asked = shared.value
+            tokens = pa.array(asked.tokens, pa.string())
+            for batch in batches:
+                for at in range(0, len(batch), asked.rows):
+                    part = batch.slice(at, asked.rows)
+                    doc, token = streamed.hits(part.column(2), tokens)
+                    length = np.maximum(1 + k1 * (1 - b + b * part.column(3).to_numpy() / avg_len), 1e-6)
+                    s = streamed.summed(asked, doc, token, (k1 + 1) / length[doc], len(part))
+                    yield np.round(s, DIGITS), part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy()
+
+        docs = self.docs.select("doc_id", F.col("doc_pos").cast("long").alias("doc_pos"), "terms", "n_terms")
+        return docs.mapInArrow(streamed.run(score, use, to_arrow_schema(schema)), schema)
+
+    def scores(self, top_k: int | None = None) -> DataFrame:
+        """query_id, doc_id, doc_pos, score of all pairs, or of each task's best top_k of a query."""
+        names = self.asked.names
+        return self.map(streamed.best_of(names, top_k) if top_k else streamed.all_of(names), ("doc_pos", LongType()), ("score", DoubleType()))
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """query_id, doc_id, doc_pos, score of the wanted pairs, a stated set."""
+        rows = _small(wanted, 96).select("query_id", "doc_id").distinct().collect()
+        return self.map(streamed.those_of(self.asked.names, _of_query(rows, "doc_id")), ("doc_pos", LongType()), ("score", DoubleType()))
+
+    def ranks(self, wanted: DataFrame) -> DataFrame:
+        """query_id, doc_id, rank in the list of all documents for the wanted pairs, by counting what stands before each."""
+        found = _of_query(self.of(wanted).collect(), "doc_id", "score", "doc_pos")  # at most the wanted pairs
+        counts = self.map(streamed.counts_of(self.asked.names, found, before), ("n", LongType()))
+        return counts.groupBy("query_id", "doc_id").agg((F.sum("n") + 1).cast("int").alias("rank"))
+
+
+def bm25_scores(docs: DataFrame, queries: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """query_id, doc_id, doc_pos, score of the pairs that share a term."""
+    return Lexical(docs, queries, text_col, **how).scores().filter("score > 0")
 
 
 def bm25_top(docs: DataFrame | postings.Index, queries: DataFrame, top_k: int, text_col: str = "text", k1: float = K1, b: float = B, floor: float | None = IDF_FLOOR) -> DataFrame:
-    """The best top_k documents of each query, as in a list of all documents, in which those without a shared term
-    follow with score 0 in the documents' order.
+    """The best top_k documents of each query (a stated set), as in a list of all documents, in which those without a shared
+    term follow with score 0 in the documents' order.
 
-    A term that every document has gives each the same weight times a share that falls with its length, so such terms
-    are added by one number a query and not joined. Beside the documents that share another term, only the top_k
-    shortest can come into a list then, or the top_k first where the query has no such term. A kept index
-    (``postings.build``) is searched with skipping instead.
+    Documents stream past the queries, and of each task the best top_k of a query go on, so what is shuffled doesn't grow
+    with the pairs. ``bm25_many`` is for more queries than a worker should hold. A kept index (``postings.build``) is
+    searched with skipping instead.
     """
     if isinstance(docs, postings.Index):
         return postings.search(docs, queries, top_k, k1, b, floor).found
-    docs = docs if "terms" in docs.columns else index(docs, text_col)
-    asked, hits, df = _matched(docs, queries, text_col, floor)
-    stats = lexical_terms(docs, text_col).agg(F.greatest(F.coalesce(F.avg("n_terms"), F.lit(0.0)), F.lit(1.0)).alias("avg_len"))
-    common = asked.join(df.filter("everywhere"), "token").groupBy("query_id").agg(F.sum("idf").alias("u"))
-    every = queries.select("query_id").distinct().join(common, "query_id", "left").withColumn("u", F.coalesce("u", F.lit(0.0)))
-    share = _length_share(k1=k1, b=b)
-    weighed = hits.join(df.filter("not everywhere"), "token").select("token", "doc_id", "doc_pos", "n_terms", "avg_len", (F.col("idf") * share).alias("share"))
-    summed = weighed.join(asked, "token").groupBy("query_id", "doc_id", "doc_pos", "n_terms", "avg_len").agg(F.sum("share").alias("s"))
-    found = summed.join(every, "query_id").select("query_id", "doc_id", "doc_pos", F.round(F.col("s") + F.col("u") * share, DIGITS).alias("score"))
-    found = ranked(found, [F.desc("score"), F.col("doc_pos")], top_k).drop("rank")
-    sized = lexical_terms(docs, text_col).select("doc_id", "doc_pos", "n_terms")
-    short = sized.orderBy("n_terms", "doc_pos").limit(top_k).withColumn("for_common", F.lit(True))
-    first = sized.orderBy("doc_pos").limit(top_k).withColumn("for_common", F.lit(False))
-    few = short.unionByName(first).join(F.broadcast(stats))
-    fill = every.join(F.broadcast(few), (F.col("u") > 0) == F.col("for_common")).select("query_id", "doc_id", "doc_pos", F.round(F.col("u") * share, DIGITS).alias("score"))  # top_k rows a query
-    both = found.unionByName(fill).groupBy("query_id", "doc_id", "doc_pos").agg(F.max("score").alias("score"))
-    return ranked(both, [F.desc("score"), F.col("doc_pos")], top_k)
+    return ranked(Lexical(docs, queries, text_col, k1, b, floor).scores(top_k), [F.desc("score"), F.col("doc_pos")], top_k)
 
 
 def bm25_many(docs: DataFrame, queries: DataFrame, top_k: int, text_col: str = "text", k1: float = K1, b: float = B, floor: float | None = IDF_FLOOR) -> DataFrame:
@@ -159,10 +183,8 @@ def _without_telling(terms: DataFrame, every: DataFrame, stats: DataFrame, top_k
 
 
 def bm25_all(docs: DataFrame, queries: DataFrame, **how) -> DataFrame:
-    """The rank of every document for every query, those without a shared term last in the documents' order."""
-    pairs = queries.select("query_id").crossJoin(docs.select("doc_id", "doc_pos"))
-    scored = pairs.join(bm25_scores(docs, queries, **how).drop("doc_pos"), ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return ranked(scored, [F.desc("score"), F.col("doc_pos")])
+    """The rank of every document for every query of a stated set, those without a shared term last in the documents' order."""
+    return ranked(Lexical(docs, queries, **how).scores(), [F.desc("score"), F.col("doc_pos")])
 
 
 def term_vectors(docs: DataFrame, inverse: bool = False, statistics_of: DataFrame | None = None) -> DataFrame:
@@ -301,55 +323,15 @@ def dense_ranks(docs: DataFrame, queries: DataFrame, wanted: DataFrame) -> DataF
     return counts.groupBy("query_id", "doc_id").agg((F.sum("n") + 1).cast("int").alias("rank"))
 
 
-def bm25_ranks(docs: DataFrame, queries: DataFrame, wanted: DataFrame, **how) -> DataFrame:
-    """query_id, doc_id, rank in the list of all documents for the wanted pairs (a stated set; ids and places are numbers).
-
-    Pairs with a shared term stand after as many as score more; the others after all of those, and after the documents
-    before them that share none, which is the documents before them and the scored ones behind them.
-    """
-    spark = docs.sparkSession
-    scored = stored(bm25_scores(docs, queries, **how).select(F.col("query_id").cast("long").alias("query_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_pos").cast("long").alias("doc_pos"), "score"))  # read twice
-    pairs = _small(wanted, 96).select("query_id", "doc_id").distinct().join(docs.select("doc_id", "doc_pos"), "doc_id")
-    rows = pairs.join(scored.select("query_id", "doc_id", "score"), ["query_id", "doc_id"], "left").collect()  # the wanted pairs
-    have = spark.sparkContext.broadcast(_of_query([r for r in rows if r["score"] is not None], "doc_id", "score", "doc_pos"))
-    lack = spark.sparkContext.broadcast(_of_query([r for r in rows if r["score"] is None], "doc_id", "doc_pos"))
-    schema = "query_id long, doc_id long, n long"
-
-    def of_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            query, pos, score = (batch.column(i).to_numpy() for i in range(3))
-            for n in np.unique(query).tolist():
-                own = query == n
-                if (w := have.value.get(n)) is not None:
-                    yield _counted(n, w[0], before(score[own], pos[own], w[1], w[2]))
-                if (w := lack.value.get(n)) is not None:
-                    yield _counted(n, w[0], own.sum() - np.searchsorted(np.sort(pos[own]), w[1]))
-
-    def of_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pos = np.sort(batch.column(0).to_numpy())
-            for n, w in lack.value.items():
-                yield _counted(n, w[0], np.searchsorted(pos, w[1]))
-
-    parts = [scored.select("query_id", "doc_pos", "score").mapInArrow(of_scores, schema), pairs.select(F.col("query_id").cast("long").alias("query_id"), F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"))]
-    if lack.value:
-        parts.append(docs.select(F.col("doc_pos").cast("long").alias("doc_pos")).mapInArrow(of_places, schema))
-    counts = reduce(DataFrame.unionByName, parts)
-    return counts.groupBy("query_id", "doc_id").agg((F.sum("n") + 1).cast("int").alias("rank"))
-
-
-def _counted(query: int, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), query)), pa.array(ids), pa.array(n.astype(np.int64))], ["query_id", "doc_id", "n"])
-
-
 def rrf_complete(docs: DataFrame, vectors: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     """Fusion of the lexical and the dense list of all documents, without making them: a document outside the first
     59 + 2 top_k of both can't be among the best, and of those inside the exact rank in the other list is counted."""
     depth = RRF_K + 2 * top_k
-    docs = docs if "terms" in docs.columns else index(docs)
-    lists = [stored(bm25_top(docs, queries, depth).select("query_id", "doc_id", "rank")), stored(dense_top(vectors, queries, depth).select("query_id", "doc_id", "rank"))]
+    lexical = Lexical(docs, queries)
+    first = ranked(lexical.scores(depth), [F.desc("score"), F.col("doc_pos")], depth)
+    lists = [stored(first.select("query_id", "doc_id", "rank")), stored(dense_top(vectors, queries, depth).select("query_id", "doc_id", "rank"))]
     pairs = stored(lists[0].select("query_id", "doc_id").unionByName(lists[1].select("query_id", "doc_id")).distinct())
-    return rrf([bm25_ranks(docs, queries, pairs), dense_ranks(vectors, queries, pairs)], top_k)
+    return rrf([lexical.ranks(pairs), dense_ranks(vectors, queries, pairs)], top_k)
 
 
 def containing(docs: DataFrame, indexed: DataFrame, queries: DataFrame) -> DataFrame:

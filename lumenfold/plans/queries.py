@@ -406,8 +406,8 @@ def _(t):
 
 @query("threshold_filter", f"WITH {CORPUS}, {BM25}, {DENSE} SELECT d.q AS query_id, d.doc AS doc_id FROM dense_all d JOIN b_all b ON b.q = d.q AND b.doc = d.doc WHERE d.rank <= 20 AND NOT (d.score < 0.3 AND b.score <= 0)")
 def _(t):
-    dense = ret.dense_top(t.dense(), t.asked(), 20).select("query_id", "doc_id", F.col("score").alias("dense_score"))
-    both = dense.join(ret.bm25_scores(t.indexed(), t.asked()).select("query_id", "doc_id", F.col("score").alias("bm25_score")), ["query_id", "doc_id"], "left")
+    dense = stored(ret.dense_top(t.dense(), t.asked(), 20).select("query_id", "doc_id", F.col("score").alias("dense_score")))
+    both = dense.join(ret.Lexical(t.indexed(), t.asked()).of(dense).select("query_id", "doc_id", F.col("score").alias("bm25_score")), ["query_id", "doc_id"], "left")
     return ret.above_threshold(both.withColumn("bm25_score", F.coalesce("bm25_score", F.lit(0.0))), 0.3).select("query_id", "doc_id")
 
 

@@ -33,3 +33,25 @@ def test_conversations_with_given_entries_are_not_searched(spark, monkeypatch):
     monkeypatch.setattr(plan, "retrieve", lambda conversations, *a, real=plan.retrieve, **k: searched.append(conversations.count()) or real(conversations, *a, **k))
     assert sorted(r.conv_id for r in plan.evaluate(talk, catalog, facets=given).collect()) == [1, 2]
     assert searched == [1]
+
+
+def test_equal_documents_score_the_same_to_the_last_bit(spark):
+    """Sums in any order put equal texts on both sides of a rounding, which orders them wrongly."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 400, 60)) for _ in range(30)]
+    rows = [(j * 1000 + i, j * 1000 + i, t) for j in range(40) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, doc_pos long, text string").repartition(7)
+    queries = spark.createDataFrame([(q, texts[q]) for q in range(30)], "query_id long, text string")
+    scores = ret.Lexical(docs, queries).scores().toPandas()
+    scores["kind"] = scores.doc_id % 1000
+    assert len(scores) == 30 * 1200 and (scores.groupby(["query_id", "kind"]).score.nunique() == 1).all()
+
+
+def test_what_leaves_a_task_does_not_grow_with_the_documents(spark):
+    docs = spark.createDataFrame([(i, i, f"the same {i % 50} words") for i in range(3000)], "doc_id long, doc_pos long, text string").repartition(4).cache()
+    queries = spark.createDataFrame([(q, f"the {q}") for q in range(60)], "query_id long, text string")
+    lexical = ret.Lexical(ret.index(docs), queries)
+    assert lexical.scores(3).count() <= 60 * 3 * lexical.docs.rdd.getNumPartitions()
+    wanted = spark.createDataFrame([(7, 7), (7, 2999), (59, 0)], "query_id long, doc_id long")
+    every = {(r.query_id, r.doc_id): r["rank"] for r in ret.bm25_all(docs, queries).collect()}
+    assert {(r.query_id, r.doc_id): r["rank"] for r in lexical.ranks(wanted).collect()} == {p: every[p] for p in ((7, 7), (7, 2999), (59, 0))}
