@@ -343,10 +343,11 @@ def containing(docs: DataFrame, indexed: DataFrame, queries: DataFrame) -> DataF
     inner = F.regexp_replace("text", r"^[\p{L}\p{N}_]+|[\p{L}\p{N}_]+$", "")
     words = queries.filter("text IS NOT NULL").select("query_id", F.col("text").alias("want"), F.array_distinct(text.whole_words(inner)).alias("words"))
     each = words.select("query_id", "want", F.explode("words").alias("token"))
-    held = indexed.select("doc_id", F.explode("terms").alias("token")).join(each.select("token").distinct(), "token", "left_semi")
+    held = indexed.select("doc_id", F.explode("terms").alias("token")).join(F.broadcast(each.select("token").distinct()), "token", "left_semi")  # the stated queries' words
     df = held.groupBy("token").agg(F.count("*").alias("df"))
     rarest = each.join(df, "token", "left").groupBy("query_id", "want").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
-    tried = rarest.join(held, "token").join(docs.select("doc_id", "text"), "doc_id")
+    pairs = stored(held.join(F.broadcast(rarest), "token").select("query_id", "want", "doc_id"))  # few, so that the join needn't shuffle the texts
+    tried = pairs.join(docs.select("doc_id", "text"), "doc_id")
     rest = _small(words.filter("size(words) = 0").select("query_id", "want"), 1024)
     every = docs.select("doc_id", "text").join(F.broadcast(rest), F.col("text").contains(F.col("want")))
     return tried.filter(F.col("text").contains(F.col("want"))).select("query_id", "doc_id").unionByName(every.select("query_id", "doc_id"))

@@ -415,8 +415,8 @@ def _(t):
 s AS (SELECT q, doc, rank, round(coalesce(len(list_intersect(qt.t, dt.t)), 0) / greatest(coalesce(len(qt.t), 0), 1), 6) AS score FROM c LEFT JOIN qt USING (q) JOIN dt USING (doc)), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, rank) AS new_rank FROM s)
 SELECT q AS query_id, doc AS doc_id, score AS reranker_score, new_rank FROM r WHERE new_rank <= 10""")
 def _(t):
-    pool = ret.bm25_top(t.indexed(), t.asked(), ret.rerank_pool(10, True)).select("query_id", "doc_id", "rank")
-    texts = pool.join(t.asked().select("query_id", F.col("text").alias("query_text")), "query_id").join(t.corpus().select("doc_id", F.col("text").alias("doc_text")), "doc_id")
+    pool = stored(ret.bm25_top(t.indexed(), t.asked(), ret.rerank_pool(10, True)).select("query_id", "doc_id", "rank"))
+    texts = F.broadcast(pool.join(t.asked().select("query_id", F.col("text").alias("query_text")), "query_id")).join(t.corpus().select("doc_id", F.col("text").alias("doc_text")), "doc_id")
     return ret.rerank(texts).select("query_id", "doc_id", "reranker_score", "new_rank")
 
 
