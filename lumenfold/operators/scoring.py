@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.text import any_of, display_name, strip
 from lumenfold.schemas import RESULT, valid_result
+from lumenfold.session import spread
 
 DEFAULT_ANCHORS = "High/Low behavioral indicators"
 DEFAULT_REASON = "Facet is unobservable from conversational text."
@@ -204,11 +205,21 @@ def repaired_json(c: Column) -> Column:
 
 def items(raw: Column) -> Column:
     """The objects of an output as array<struct> of strings: a list, one object, or flat objects found in broken text."""
-    t = repaired_json(json_text(raw))
-    whole = F.when(t.startswith("["), F.from_json(t, f"array<{ITEM}>", {"mode": "PERMISSIVE"})).when(t.startswith("{"), F.array(F.from_json(t, ITEM)))
-    sound = whole_json(t).isNotNull()
-    flat = F.transform(F.regexp_extract_all(t, F.lit(FLAT_OBJECT), F.lit(1)), lambda o: F.from_json(repaired_json(o), ITEM))
-    return F.filter(F.when(sound, whole).otherwise(flat), lambda x: x.isNotNull())
+
+    def read(r: Column) -> Column:
+        t = r["t"]
+        whole = F.when(t.startswith("["), F.from_json(t, f"array<{ITEM}>", {"mode": "PERMISSIVE"})).when(t.startswith("{"), F.array(F.from_json(t, ITEM)))
+        flat = F.transform(F.regexp_extract_all(t, F.lit(FLAT_OBJECT), F.lit(1)), lambda o: F.from_json(repaired_json(o), ITEM))
+        return F.filter(F.when(r["sound"], whole).otherwise(flat), lambda x: x.isNotNull())
+
+    # The lambdas' arguments are computed once a text; a repeated expression would be, with all its patterns, once for each of its places.
+    repaired = once(json_text(raw), repaired_json)
+    return once(once(repaired, lambda t: F.struct(t.alias("t"), whole_json(t).isNotNull().alias("sound"))), read)
+
+
+def once(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once, however often fn names it."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
 
 
 def whole_json(c: Column) -> Column:
@@ -231,7 +242,10 @@ def parse(outputs: DataFrame, candidates: DataFrame) -> DataFrame:
     if "error" not in outputs.columns:
         outputs = outputs.withColumn("error", F.lit(None).cast("string"))
     raw = F.coalesce("raw_output", F.lit(""))
-    read = outputs.select("conv_id", "batch", is_refusal(raw).alias("refused"), "error", F.posexplode_outer(F.when(~is_refusal(raw) & F.col("error").isNull(), items(raw))).alias("at", "item"))
+    # A task's rows are some thousand of these texts; a small table of them is dealt out to all cores before they are read.
+    judged = spread(outputs).select("conv_id", "batch", "error", raw.alias("raw"), is_refusal(raw).alias("refused"))
+    found = judged.select("conv_id", "batch", "refused", "error", F.when(~F.col("refused") & F.col("error").isNull(), items(F.col("raw"))).alias("found"))
+    read = found.select("conv_id", "batch", "refused", "error", F.posexplode_outer("found").alias("at", "item"))
     status = F.coalesce(F.col("item.status"), F.lit(""))
     known = F.lower(status).isin("scored", "insufficient_evidence", "not_observable", "invalid_facet")
     # An unknown status is abstention; one in other letters is known but then fails the check of the exact values.
