@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, LongType, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lumenfold.functions import text
 from lumenfold.operators import lsa, postings, streamed
@@ -26,6 +26,7 @@ RRF_K = 60
 MISSING = 999
 DIGITS = 9
 MAX_QUERY_BYTES = 256 << 20
+MAX_NORMS = 4_000_000  # rows of a document's id and length that may be broadcast; beyond, they are joined by a shuffle
 
 
 def ranked(scores: DataFrame, order: list[Column], top_k: int | None = None, to: str = "rank", by: str = "query_id") -> DataFrame:
@@ -205,22 +206,90 @@ def term_vectors(docs: DataFrame, inverse: bool = False, statistics_of: DataFram
     return counts.join(norm, "doc_id").select("doc_id", "term", (F.col("weight") / F.col("norm")).alias("weight"))
 
 
+def _term_list(inverse: bool) -> Column:
+    words = text.word_tokens(F.col("text"))
+    if not inverse:
+        return words
+    words = F.filter(words, lambda t: F.length(t) >= 2)
+    return F.transform(F.array(words), lambda w: F.concat(w, text.bigrams(w)))[0]
+
+
+def term_norms(lists: DataFrame, n: int) -> DataFrame:
+    """doc_id, norm: the lengths of the smoothed tf-idf vectors. lists: doc_id, terms, repeats kept.
+
+    A document's terms are counted in its task, and of each only the 64-bit hash is shuffled, once. Two terms of one hash
+    would share a document frequency, in these lengths alone; among 10 ** 9 different terms there is such a pair once in 37 times.
+    """
+    schema = StructType([lists.schema["doc_id"], StructField("h", LongType()), StructField("c", LongType())])
+    made = to_arrow_schema(schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                h, c = np.unique(batch.column(1)[i].values.to_numpy(zero_copy_only=False), return_counts=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(h), i))), pa.array(h), pa.array(c)], schema=made)
+
+    hashed = lists.select("doc_id", F.transform("terms", lambda t: F.xxhash64(t)).alias("h"))
+    seen = F.count(F.lit(1)).over(Window.partitionBy("h"))  # a row a document that has the term
+    counts = hashed.mapInArrow(count, schema).withColumn("idf", F.log(F.lit(1.0 + n) / (1 + seen)) + 1)
+    return counts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("c") * F.col("idf") * F.col("c") * F.col("idf"))).alias("norm"))
+
+
+class Terms:
+    """Cosine of sparse term vectors of the documents that stream past a stated set of queries. Query terms outside the
+    documents' vocabulary don't count; pairs without a shared term have no score.
+
+    Documents are tokenized once into a table of the shared folder, whatever is asked of them. Without weights a
+    document's length comes from its own terms, in the task that has them.
+    """
+
+    def __init__(self, docs: DataFrame, inverse: bool = False):
+        self.inverse = inverse
+        lists = stored(spread(docs.select("doc_id", "doc_pos", "text")).select("doc_id", "doc_pos", _term_list(inverse).alias("terms")))
+        self.docs = lists.withColumn("norm", F.lit(0.0))
+        if inverse:
+            self.n = lists.count()
+            norms = stored(term_norms(lists, self.n))
+            self.docs = lists.join(F.broadcast(norms) if self.n <= MAX_NORMS else norms, "doc_id").select("doc_id", "doc_pos", "terms", "norm")
+
+    def top(self, queries: DataFrame, top_k: int) -> DataFrame:
+        asked = stored(queries.select("query_id", F.explode_outer(_term_list(self.inverse)).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("c")))
+        tokens = F.broadcast(asked.select("token").filter("token IS NOT NULL").distinct())  # the stated queries' terms
+        df = self.docs.select(F.explode(F.array_distinct("terms")).alias("token")).join(tokens, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+        df = {r.token: r.df for r in df.collect()}
+        weight = {t: float(np.log((1 + self.n) / (1 + v)) + 1) if self.inverse else 1.0 for t, v in df.items()}
+        rows = _small(asked, 96).collect()
+        own: dict = {}
+        for r in rows:
+            if r.token in weight:
+                own.setdefault(r.query_id, []).append((r.token, r.c * weight[r.token]))
+        length = {q: float(np.sqrt(sum(w * w for _, w in sorted(held)))) for q, held in own.items()}
+        # A term's idf counts twice, as it is in the query's and in the document's vector.
+        pairs = [(q, t, w * weight[t] / length[q]) for q, held in own.items() for t, w in held]
+        shared = self.docs.sparkSession.sparkContext.broadcast(streamed.asked(list(dict.fromkeys(r.query_id for r in rows)), pairs))
+        schema = StructType().add("query_id", queries.schema["query_id"].dataType).add("doc_id", self.docs.schema["doc_id"].dataType).add("doc_pos", LongType()).add("score", DoubleType())
+        weighted = self.inverse
+
+        def score(batches: Iterator[pa.RecordBatch]) -> streamed.Slices:
+            asked = shared.value
+            tokens = pa.array(asked.tokens, pa.string())
+            for batch in batches:
+                for at in range(0, len(batch), asked.rows):
+                    part = batch.slice(at, asked.rows)
+                    norm = part.column(3).to_numpy() if weighted else streamed.lengths(part.column(2))
+                    doc, token, c = streamed.counted(*streamed.hits(part.column(2), tokens), len(asked.tokens))
+                    s = np.round(streamed.summed(asked, doc, token, c / norm[doc], len(part)), DIGITS)
+                    none = streamed.summed(asked, doc, token, np.ones(len(doc)), len(part)) == 0  # weights are positive
+                    yield np.where(none, -np.inf, s), part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy()
+
+        docs = self.docs.select("doc_id", F.col("doc_pos").cast("long").alias("doc_pos"), "terms", "norm")
+        best = docs.mapInArrow(streamed.run(score, streamed.best_of(shared.value.names, top_k), to_arrow_schema(schema)), schema)
+        return ranked(best, [F.desc("score"), F.col("doc_pos")], top_k)
+
+
 def term_cosine(docs: DataFrame, queries: DataFrame, top_k: int, inverse: bool = False) -> DataFrame:
-    """Cosine of sparse term vectors: a join on terms. Query terms outside the documents' vocabulary don't count."""
-    docs = spread(docs)
-    d = term_vectors(docs, inverse)
-    vocabulary = d.select("term").distinct()
-    asked = queries.select(F.col("query_id").alias("doc_id"), "text")
-    if inverse:
-        q = term_vectors(asked, True, statistics_of=docs)
-    else:
-        raw = asked.select("doc_id", F.explode(text.word_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("weight")).join(vocabulary, "term", "left_semi")
-        norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-        q = raw.join(norm, "doc_id").select("doc_id", "term", (F.col("weight") / F.col("norm")).alias("weight"))
-    pairs = q.select(F.col("doc_id").alias("query_id"), "term", F.col("weight").alias("qw")).join(d, "term")
-    scores = pairs.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), DIGITS).alias("score"))
-    scores = scores.join(docs.select("doc_id", "doc_pos"), "doc_id")
-    return ranked(scores, [F.desc("score"), F.col("doc_pos")], top_k)
+    """The best documents of each query by the cosine of their term vectors, of those that share a term."""
+    return Terms(docs, inverse).top(queries, top_k)
 
 
 def _small(rows: DataFrame, row_bytes: int) -> DataFrame:
@@ -411,6 +480,9 @@ def lsa_top(docs: DataFrame, queries: DataFrame, top_k: int, **how) -> DataFrame
 
 def tri_fusion(lexical: DataFrame, docs: DataFrame, queries: DataFrame, expanded: DataFrame, top_k: int, pool: int = 100, backend: str = "tfidf", load: Callable | None = None) -> DataFrame:
     """Fusion of a lexical list of the queries with the semantic lists of the queries and of the expanded queries."""
+    if backend in ("tf", "tfidf") and load is None:
+        terms = Terms(docs, backend == "tfidf")
+        return rrf([lexical, *(terms.top(asked, pool) for asked in (queries, expanded))], top_k, pool=pool)
     return rrf([lexical, *(semantic_top(docs, asked, pool, backend, load) for asked in (queries, expanded))], top_k, pool=pool)
 
 

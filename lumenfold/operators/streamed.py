@@ -64,8 +64,22 @@ def hits(terms: pa.Array, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return key // max(1, len(tokens)), key % max(1, len(tokens))
 
 
+def counted(doc: np.ndarray, token: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ordered rows (document, token) once each, and how often."""
+    key, c = np.unique(doc * max(1, tokens) + token, return_counts=True)
+    return key // max(1, tokens), key % max(1, tokens), c.astype(np.float64)
+
+
+def lengths(terms: pa.Array) -> np.ndarray:
+    """Of each list of strings the length of the vector of its counts."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(terms), 0))
+    code = terms.flatten().dictionary_encode()
+    key, c = np.unique(np.repeat(np.arange(len(terms)), sizes) * max(1, len(code.dictionary)) + np.asarray(code.indices).astype(np.int64), return_counts=True)
+    return np.sqrt(np.bincount(key // max(1, len(code.dictionary)), c.astype(np.float64) ** 2, len(terms)))
+
+
 class Best:
-    """The best k of each query so far, by falling score and then rising place."""
+    """The best k of each query so far, by falling score and then rising place; a score of -inf is none."""
 
     def __init__(self, queries: int, k: int):
         self.n, self.k = queries, k
@@ -74,7 +88,7 @@ class Best:
 
     def add(self, s: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> None:
         low = self.low[:, None]
-        who, what = np.nonzero((s > low) | ((s == low) & (pos[None, :] < self.at[:, None])))
+        who, what = np.nonzero((s > low) | ((s == low) & (pos[None, :] < self.at[:, None]) & (s > -np.inf)))
         if not len(who):
             return
         who, score, at = np.concatenate([self.who, who]), np.concatenate([self.score, s[who, what]]), np.concatenate([self.pos, pos[what]])
