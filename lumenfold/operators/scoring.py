@@ -242,7 +242,7 @@ def parse(outputs: DataFrame, candidates: DataFrame) -> DataFrame:
     if "error" not in outputs.columns:
         outputs = outputs.withColumn("error", F.lit(None).cast("string"))
     raw = F.coalesce("raw_output", F.lit(""))
-    # A task's rows are some thousand of these texts; a small table of them is dealt out to all cores before they are read.
+    # A small table is dealt out to all cores, as reading an output is heavy.
     judged = spread(outputs).select("conv_id", "batch", "error", raw.alias("raw"), is_refusal(raw).alias("refused"))
     found = judged.select("conv_id", "batch", "refused", "error", F.when(~F.col("refused") & F.col("error").isNull(), items(F.col("raw"))).alias("found"))
     read = found.select("conv_id", "batch", "refused", "error", F.posexplode_outer("found").alias("at", "item"))
