@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 
@@ -47,3 +49,18 @@ def test_empty_index(spark):
     queries = spark.createDataFrame([(1, "word")], "query_id long, text string")
     found = postings.search(postings.build(docs), queries, 3)
     assert found.found.count() == 0 and found.total.first().blocks == 0 and found.read.first().blocks == 0
+
+
+def test_pairs_of_queries_and_documents_are_not_shuffled(spark):
+    def shuffled():
+        time.sleep(1)  # the status store lags behind
+        return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    rng = np.random.default_rng(5)
+    vocab = [f"v{i}" for i in range(12)]
+    docs = spark.createDataFrame([(i, i, " ".join(rng.choice(vocab, int(rng.integers(4, 30))).tolist())) for i in range(3000)], "doc_id long, doc_pos long, text string").coalesce(2)
+    queries = spark.createDataFrame([(q, " ".join(rng.choice(vocab, 8).tolist())) for q in range(60)], "query_id long, text string")
+    index = postings.build(docs)
+    before = shuffled()
+    assert postings.search(index, queries, 3).found.count() == 180
+    assert shuffled() - before < 600_000  # 180,000 pairs share a term
