@@ -29,7 +29,6 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +38,12 @@ WORDS, GRAM = 13, 5
 CELL = 40_000  # words of passages for one automaton
 STREAM = 400_000  # words of segments for one copy of it
 PIECE = 4_000  # windows of a passage that stay together
-CACHE = 400_000  # hashes of words that a worker keeps
+BYTES = 1 << 18  # of texts that are hashed at once
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+BASE = np.uint64(0xD6E8FEB86659FD93)
+NUMBERS = np.random.default_rng(13).integers(0, 1 << 64, 256, np.uint64)
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+POWERS = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 OTHER = "\x01\x02"  # a word that no pattern has
 
 
@@ -49,15 +52,68 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").split() if text else []
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > CACHE:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE to the powers from 0, and their inverses modulo 2 ** 64."""
+    if len(POWERS[0]) < n:
+        POWERS[:] = [np.cumprod(np.append(np.uint64(1), np.full(n - 1, x, np.uint64))) for x in (BASE, pow(int(BASE), -1, 1 << 64))]
+    return POWERS[0], POWERS[1]
+
+
+def hashed(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of texts that lie in raw one after the other, from bounds[i] to bounds[i + 1].
+    A hash is the sum of the bytes' numbers times powers, taken from running sums of a part of raw, and mixed."""
+    fresh = np.zeros(len(raw) + 1, bool)
+    fresh[bounds] = True
+    found, at = [], 0
+    while at < len(raw):
+        stop = min(len(raw), at + BYTES)
+        if stop < len(raw):  # a part ends where a word can't go on
+            free = SPACE[raw[at:stop]] | fresh[at + 1 : stop + 1]
+            back = int(free[::-1].argmax())
+            if free[len(free) - 1 - back]:
+                stop -= back
+            else:
+                free = SPACE[raw[stop:]] | fresh[stop + 1 :]  # a word longer than a part
+                stop += int(free.argmax()) + 1
+        part = raw[at:stop]
+        word, new = ~SPACE[part], fresh[at : stop + 1]
+        s = np.flatnonzero(word & (new[:-1] | ~np.append(False, word[:-1])))
+        e = np.flatnonzero(word & (new[1:] | ~np.append(word[1:], False))) + 1
+        power, inverse = powers(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(NUMBERS[part] * power[: len(part)], out=sums[1:])
+        found.append((s + at, e + at, mixed((sums[e] - sums[s]) * inverse[s])))
+        at = stop
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint64 if k == 2 else np.int64) for k in range(3))
+
+
+class Batch:
+    """The words of a column of texts: raw, its bytes; starts, ends and hashes of the words; first, the number of each text's first word."""
+
+    def __init__(self, texts: pa.Array):
+        _, bounds, data = texts.buffers()
+        bounds = np.frombuffer(bounds, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        self.raw = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
+        self.starts, self.ends, self.hashes = hashed(self.raw, bounds - bounds[0])
+        self.first = np.searchsorted(self.starts, bounds - bounds[0])
+        # a gap that isn't one space
+        self.odd = np.cumsum(np.append(0, (self.starts[1:] - self.ends[:-1] != 1) | (self.raw[np.minimum(self.ends[:-1], len(self.raw) - 1)] != 32)))
+
+    def each(self, values: np.ndarray, words: int) -> list[np.ndarray]:
+        """Values of all windows (of all texts in a row) as those of each text."""
+        stop = np.maximum(self.first[1:] - words + 1, self.first[:-1])
+        return [values[s:e] for s, e in zip(self.first[:-1].tolist(), stop.tolist(), strict=True)]
+
+    def slice(self, text: int, s: int, e: int) -> bytes:
+        """The words from s to e of a text, a space between."""
+        s, e = s + self.first[text], e + self.first[text]
+        raw = self.raw[self.starts[s] : self.ends[e - 1]].tobytes()
+        return b" ".join(raw.split()) if self.odd[e - 1] > self.odd[s] else raw
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * MIX
+    return h ^ (h >> np.uint64(29))
 
 
 def runs(h: np.ndarray, n: int) -> np.ndarray:
@@ -65,8 +121,7 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(max(0, len(h) - n + 1), np.uint64)
     for k in range(n):
         out = out * FACTOR + h[k : k + len(out)]
-    out = (out ^ (out >> np.uint64(31))) * MIX
-    return out ^ (out >> np.uint64(29))
+    return mixed(out)
 
 
 def least(a: np.ndarray, n: int) -> np.ndarray:
@@ -86,12 +141,9 @@ def seeds(docs: DataFrame, words: int, gram: int) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, seeds: the different ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
-            found = []
-            for t in batch.column(1):
-                s = seeds_of(hashes.of(words_of(t.as_py())), words, gram)
-                found.append(np.unique(s[np.append(True, s[1:] != s[:-1])]) if len(s) else s)
+            texts = Batch(batch.column(1))
+            found = [np.unique(s[np.append(True, s[1:] != s[:-1])]) if len(s) else s for s in texts.each(seeds_of(texts.hashes, words, gram), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), packed(found)], ["doc_id", "seeds"])
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, seeds array<long>")
@@ -118,23 +170,20 @@ def segments(docs: DataFrame, homes: DataFrame, words: int, gram: int) -> DataFr
     schema = "home long, doc_id long, text_hash long, start int, n int, words binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            ids, digests = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, (t, at) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                w = words_of(t.as_py())
+            ids, digests, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), Batch(batch.column(2))
+            for i, (own, at) in enumerate(zip(texts.each(seeds_of(texts.hashes, words, gram), words), batch.column(3), strict=True)):
                 known = at.values  # this row's structs
                 seed, home = (known.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                 order = np.argsort(seed)
                 seed, home = seed[order], home[order]
-                own = seeds_of(hashes.of(w), words, gram)
                 place = np.minimum(np.searchsorted(seed, own), len(seed) - 1)
                 there = seed[place] == own
                 names, number = np.unique(home, return_inverse=True)
                 label = np.where(there, number[place], -1)
                 for s, e in stretches(label):
-                    row = (names[label[s]], ids[i], digests[i], s, e - s + words - 1, b" ".join(w[s : e + words - 1]))
+                    row = (names[label[s]], ids[i], digests[i], s, e - s + words - 1, texts.slice(i, s, e + words - 1))
                     for column, v in zip(out, row, strict=True):
                         column.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
@@ -145,12 +194,12 @@ def segments(docs: DataFrame, homes: DataFrame, words: int, gram: int) -> DataFr
 
 
 def windows(parts: DataFrame, words: int) -> DataFrame:
-    """parts: home, doc_id, words. Returns home, doc_id, hashes: those of the different windows."""
+    """parts: home, doc_id, words. Returns home, doc_id, hashes: those of the windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
-            found = [np.unique(runs(hashes.of(w.as_py().split(b" ")), words)).view(np.int64) for w in batch.column(2)]
+            texts = Batch(batch.column(2))
+            found = texts.each(runs(texts.hashes, words).view(np.int64), words)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], packed(found)], ["home", "doc_id", "hashes"])
 
     return map_batches(parts.select("home", "doc_id", "words"), run, "home long, doc_id long, hashes array<long>")
@@ -161,17 +210,15 @@ def passages(parts: DataFrame, recurring: DataFrame, words: int) -> DataFrame:
     doc_id, n, words: the maximal stretches of such windows, longer ones in pieces of PIECE windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
             out: list[list] = [[] for _ in range(4)]
-            home, doc = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, (t, known) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                w = t.as_py().split(b" ")
-                there = np.isin(runs(hashes.of(w), words).view(np.int64), known.values.to_numpy(zero_copy_only=False))
+            home, doc, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), Batch(batch.column(2))
+            for i, (own, known) in enumerate(zip(texts.each(runs(texts.hashes, words).view(np.int64), words), batch.column(3), strict=True)):
+                there = np.isin(own, known.values.to_numpy(zero_copy_only=False))
                 for first, last in stretches(there.astype(np.int64) - 1):
                     for s in range(first, last, PIECE):
                         e = min(last, s + PIECE)
-                        for column, v in zip(out, (home[i], doc[i], e - s + words - 1, b" ".join(w[s : e + words - 1])), strict=True):
+                        for column, v in zip(out, (home[i], doc[i], e - s + words - 1, texts.slice(i, s, e + words - 1)), strict=True):
                             column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["home", "doc_id", "n", "words"])
 

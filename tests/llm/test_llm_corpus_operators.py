@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +195,21 @@ def test_passages_edges(spark):
     assert Counter((r.doc_id, r.text, r.n_words, r.n_removed, r.kept) for r in got.collect()) == Counter(brute_repeats(rows, 4))
     assert passages.remove(docs.limit(0)).count() == 0
     assert passages.repeats(docs.filter("doc_id < 3")).count() == 0
+
+
+def test_passages_hash_a_batch_of_texts_at_once(monkeypatch):
+    """The words of a column, their hashes and slices are those of each text on its own, wherever the parts are cut."""
+    rng = np.random.default_rng(4)
+    pieces = ["a", "bé", "中", " ", "\n", "  ", "word", "x" * 30, "\x0b", "\x85", "　"]
+    seen: dict[bytes, int] = {}
+    for size in (8, 50, 1 << 18):
+        monkeypatch.setattr(passages, "BYTES", size)
+        for _ in range(60):
+            texts = ["".join(rng.choice(pieces, int(rng.integers(0, 40))).tolist()) for _ in range(int(rng.integers(0, 6)))]
+            batch = passages.Batch(pa.array(["zz", *texts, "q"]).slice(1, len(texts)))
+            for i, t in enumerate(texts):
+                w, s, e = passages.words_of(t), batch.first[i], batch.first[i + 1]
+                assert [batch.raw[x:y].tobytes() for x, y in zip(batch.starts[s:e], batch.ends[s:e], strict=True)] == w
+                assert all(seen.setdefault(x, h) == h for x, h in zip(w, batch.hashes[s:e].tolist(), strict=True))
+                assert not w or batch.slice(i, len(w) // 2, len(w)) == b" ".join(w[len(w) // 2 :])
+    assert len(set(seen.values())) == len(seen) > 100
